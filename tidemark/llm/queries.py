@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from tidemark.llm.bpe import op4_bpe
 from tidemark.llm.chat import OP3_SQL, op3_chat
 
 QUERIES = {
     "op3_chat": op3_chat,
+    "op4_bpe": op4_bpe,
 }
 
 ORACLE_SQL = {"op3_chat": OP3_SQL}
