@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from tidemark.llm.bpe import op4_bpe
 from tidemark.llm.chat import OP3_SQL, op3_chat
+from tidemark.llm.tokenfiles import op6_token_files
 
 QUERIES = {
     "op3_chat": op3_chat,
     "op4_bpe": op4_bpe,
+    "op6_token_files": op6_token_files,
 }
 
 ORACLE_SQL = {"op3_chat": OP3_SQL}

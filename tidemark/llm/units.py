@@ -58,10 +58,21 @@ class UnitEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        # a text's first unit has no space before it, so it is another unit than the same word later on
-        self.index, self.firsts = _Index(), {}
+        self.index = _Index()
         self.lengths, self.starts, self.flat, self.filled = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
 
+    def _forget(self, added: list[str], asked: int) -> None:
+        """Keep cache_units units, or start anew where most of what is kept was of no use."""
+        over = self.index.given - self.cache_units
+        if over <= 0:
+            return
+        if len(added) > asked / 5:
+            return self._reset()
+        for key in added[len(added) - over :]:
+            del self.index[key]
+        self.index.given = self.cache_units
+        self.filled = int(self.starts[self.cache_units - 1] + self.lengths[self.cache_units - 1])
+
     def _unit(self, key: str) -> str:
         return key[2:] if key.startswith("\n\0") else " " + key
 
@@ -69,10 +80,8 @@ class UnitEncoder:
         words = text.split(" ")
         if "" in words[1:] or re.search(r" \s", text):
             words = re.split(r" (?=\S)", text)
-        first = words[0]
-        if first not in self.firsts:
-            self.firsts[first] = self.index["\n\0" + first]  # no later unit starts with a line feed
-        out.append(self.firsts[first])
+        # a text's first unit has no space before it, so it is another unit than the same word later on; no later unit starts with a line feed
+        out.append(self.index["\n\0" + words[0]])
         out.extend(map(self.index.__getitem__, words[1:]))
 
     def _encode_waiting(self) -> None:
@@ -104,8 +113,6 @@ class UnitEncoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after another, and the number of ids of each; null is the empty text."""
-        if self.index.given > self.cache_units:
-            self._reset()
         out: list[int] = []
         ends, special = np.zeros(len(texts), np.int64), {}
         for i, text in enumerate(texts):
@@ -122,6 +129,7 @@ class UnitEncoder:
             ends[i] = len(out)
         if special and not self.index.given:
             self.index["x"]
+        added = self.index.waiting
         self._encode_waiting()
         units = np.array(out, np.int64)
         sizes = self.lengths[units]
@@ -132,6 +140,7 @@ class UnitEncoder:
         ids = self.flat[np.arange(total) + np.repeat(self.starts[units] - (stops - sizes), sizes)] if total else np.zeros(0, np.uint32)
         for at, token in special.items():
             ids[stops[at] - 1] = token
+        self._forget(added, len(out))
         bounds = np.concatenate([[0], stops])[ends]
         return ids, np.diff(bounds, prepend=0)
 
