@@ -5,12 +5,14 @@ from __future__ import annotations
 from tidemark.llm.bpe import op4_bpe
 from tidemark.llm.chat import OP3_SQL, op3_chat
 from tidemark.llm.fingerprints import op2_fingerprints
+from tidemark.llm.simhash import op5_simhash
 from tidemark.llm.tokenfiles import op6_token_files
 
 QUERIES = {
     "op2_fingerprints": op2_fingerprints,
     "op3_chat": op3_chat,
     "op4_bpe": op4_bpe,
+    "op5_simhash": op5_simhash,
     "op6_token_files": op6_token_files,
 }
 
