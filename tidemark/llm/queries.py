@@ -5,6 +5,8 @@ from __future__ import annotations
 from tidemark.llm.bpe import op4_bpe
 from tidemark.llm.chat import OP3_SQL, op3_chat
 from tidemark.llm.fingerprints import op2_fingerprints
+from tidemark.llm.language import op10_language
+from tidemark.llm.quality_rules import op7_quality_rules
 from tidemark.llm.simhash import op5_simhash
 from tidemark.llm.tokenfiles import op6_token_files
 
@@ -14,6 +16,8 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
     "op6_token_files": op6_token_files,
+    "op7_quality_rules": op7_quality_rules,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL = {"op3_chat": OP3_SQL}
