@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import append_columns, table
+from tidemark.llm.weak import estimate
 
 KINDS = ("email", "ip", "card", "phone", "secret", "address", "number")
 SAMPLE, BINS, THRESHOLD = 20_000, 4096, 0.5
@@ -129,29 +130,6 @@ def votes(text: str, span: tuple[str, int, int]) -> tuple[int, ...]:
     )
 
 
-def estimate(counts: dict[tuple, int], rounds: int = 200) -> tuple[float, np.ndarray, dict[tuple, float]]:
-    """EM over vote patterns: the share of personal spans, each labeler's P(vote | class) as an array [labeler,
-    class, vote + 1], and the posterior of every pattern. Starts from the sum of votes."""
-    if not counts:
-        return 0.5, np.full((len(NAMES), 2, 3), 1 / 3), {}
-    patterns = sorted(counts)
-    x, n = np.array(patterns), np.array([counts[p] for p in patterns], float)
-    post = 1 / (1 + np.exp(-2.0 * x.sum(1)))
-    for _ in range(rounds):
-        share = min(max(float((n * post).sum() / n.sum()), 1e-3), 1 - 1e-3)
-        rates = np.empty((x.shape[1], 2, 3))
-        for k in range(x.shape[1]):
-            for c, weight in enumerate((n * (1 - post), n * post)):
-                got = np.array([weight[x[:, k] == v].sum() for v in (-1, 0, 1)]) + 1.0
-                rates[k, c] = got / got.sum()
-        odds = np.log(share / (1 - share)) + sum(np.log(rates[k, 1, x[:, k] + 1] / rates[k, 0, x[:, k] + 1]) for k in range(x.shape[1]))
-        new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        if np.abs(new - post).max() < 1e-6:
-            break
-        post = new
-    return share, rates, dict(zip(patterns, post.tolist()))
-
-
 def features(text: str, span: tuple[str, int, int]) -> list[int]:
     """Hashed features of a span: its shape, length, make-up, ends and neighbouring words; never its kind."""
     _, a, b = span
@@ -193,7 +171,7 @@ def fit(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> np.ndarray:
 
     counts = docs.mapInArrow(count, "pattern array<int>, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     counts = {tuple(r["pattern"]): r["n"] for r in counts}
-    _, _, posterior = estimate(counts)
+    _, _, posterior = estimate(counts, len(NAMES))
     share = min(1.0, sample / max(1, sum(counts.values())))
 
     def draw(batches):

@@ -7,11 +7,13 @@ from tidemark.llm.chat import OP3_SQL, op3_chat
 from tidemark.llm.fingerprints import op2_fingerprints
 from tidemark.llm.language import op10_language
 from tidemark.llm.pii import op9_pii
+from tidemark.llm.quality_classifier import op1_quality
 from tidemark.llm.quality_rules import op7_quality_rules
 from tidemark.llm.simhash import op5_simhash
 from tidemark.llm.tokenfiles import op6_token_files
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_fingerprints": op2_fingerprints,
     "op3_chat": op3_chat,
     "op4_bpe": op4_bpe,
