@@ -6,6 +6,7 @@ from tidemark.llm.bpe import op4_bpe
 from tidemark.llm.chat import OP3_SQL, op3_chat
 from tidemark.llm.fingerprints import op2_fingerprints
 from tidemark.llm.language import op10_language
+from tidemark.llm.packing import op8_packing
 from tidemark.llm.pii import op9_pii
 from tidemark.llm.quality_classifier import op1_quality
 from tidemark.llm.quality_rules import op7_quality_rules
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_token_files": op6_token_files,
     "op7_quality_rules": op7_quality_rules,
+    "op8_packing": op8_packing,
     "op9_pii": op9_pii,
     "op10_language": op10_language,
 }
