@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from tidemark.llm.common import append_columns, table
-from tidemark.llm.units import encoder, in_slices
+from tidemark.llm.units import CACHE_UNITS, encoder, in_slices
 
 LEAF = 32
 
@@ -101,7 +101,7 @@ class ByteDecoder:
         return self.flat[np.arange(stops[-1]) + np.repeat(self.starts[ids] - (stops - sizes), sizes)].tobytes().decode("utf-8", "replace")
 
 
-def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "ids", leaf: int = LEAF, cache_units: int = 400_000) -> DataFrame:
+def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "ids", leaf: int = LEAF, cache_units: int = CACHE_UNITS) -> DataFrame:
     """df with an array<int> column of token ids of the whole text; a null text is the empty one, without ids.
 
     Texts never leave their partition. Rows, ties and repeated rows are independent of one another; a
@@ -135,7 +135,7 @@ def decode_ids(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded"
     return append_columns(df, {text: "string"}, make)
 
 
-def roundtrip_digests(df: DataFrame, path: str, text: str = "text", leaf: int = LEAF, cache_units: int = 400_000) -> DataFrame:
+def roundtrip_digests(df: DataFrame, path: str, text: str = "text", leaf: int = LEAF, cache_units: int = CACHE_UNITS) -> DataFrame:
     """df with n_tokens, ids_sha256 and decoded_sha256: encode and decode in one pass, without keeping ids."""
 
     def make():

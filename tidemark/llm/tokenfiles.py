@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import append_columns, materialize, new_path, partitions, table
 from tidemark.llm.ranges import bucket_of, split_points
-from tidemark.llm.units import encoder, in_slices
+from tidemark.llm.units import CACHE_UNITS, encoder, in_slices
 
 BLOCK_IDS = 65_536
 #: For each control byte the bytes of its four numbers.
@@ -70,7 +70,7 @@ def _numbers(x: bytes) -> np.ndarray:
     return np.frombuffer(x, f"<u{x[:1].decode()}", offset=1)
 
 
-def write_token_files(df: DataFrame, tokenizer: str, path: str, end_id: int = 1, id: str = "doc_id", text: str = "text", block_ids: int = BLOCK_IDS, files: int | None = None, cache_units: int = 400_000) -> None:
+def write_token_files(df: DataFrame, tokenizer: str, path: str, end_id: int = 1, id: str = "doc_id", text: str = "text", block_ids: int = BLOCK_IDS, files: int | None = None, cache_units: int = CACHE_UNITS) -> None:
     """Write the ids of every whole text, and end_id after each, to path/blocks in ascending id order, and
     the ranks to path/ranks (a row per id of the vocabulary at most).
 

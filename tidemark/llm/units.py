@@ -4,6 +4,10 @@ A text is cut before a space that a visible character follows. Both kinds of tok
 a new piece there (a byte-level tokenizer joins that space to what follows, a word tokenizer drops it), so the ids
 of a text are those of its units one after another. Units repeat, and each task encodes a distinct one
 once while it stays in a bounded cache. Strings of special tokens are cut out first, as the library does.
+
+Most unknown units are a plain word with or without marks behind it. Marks are a piece of their own for both
+kinds, so such a unit is its word and its marks, and a plain word is a single piece: it goes to the library's model directly,
+spared the normalizer and the splitting rules that would leave it as it is.
 """
 
 from __future__ import annotations
@@ -17,10 +21,15 @@ from itertools import chain
 import numpy as np
 from tokenizers import Tokenizer
 
+#: A word of Latin letters that no normalizer composes anew, then marks other than apostrophes.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ĮıĲ-ɏ]+)([.,!?;:|$%&*#]*)")
+
+CACHE_UNITS = 600_000
+
 _OPEN: dict[tuple, "UnitEncoder"] = {}
 
 
-def encoder(path: str, cache_units: int = 400_000, long_unit: int = 0, encode_long: Callable | None = None) -> "UnitEncoder":
+def encoder(path: str, cache_units: int = CACHE_UNITS, long_unit: int = 0, encode_long: Callable | None = None) -> "UnitEncoder":
     """The encoder of this worker process for a tokenizer file; it is kept between tasks."""
     key = (path, cache_units, long_unit)
     if key not in _OPEN:
@@ -49,11 +58,14 @@ class UnitEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
-            added = json.load(f)["added_tokens"]
+            described = json.load(f)
+        added = described["added_tokens"]
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added):
             raise ValueError("special tokens that take in their surroundings are not supported")
         self.special = {t["content"]: t["id"] for t in added}
         self.special_pattern = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
+        self.plain, self.drops_space = _plain_form(described)
+        self.bare = Tokenizer(self.tokenizer.model)
         self.cache_units, self.long_unit, self.encode_long = cache_units, long_unit, encode_long
         self._reset()
 
@@ -77,28 +89,49 @@ class UnitEncoder:
         return key[2:] if key.startswith("\n\0") else " " + key
 
     def _units_of(self, text: str, out: list) -> None:
-        words = text.split(" ")
-        if "" in words[1:] or re.search(r" \s", text):
-            words = re.split(r" (?=\S)", text)
-        # a text's first unit has no space before it, so it is another unit than the same word later on; no later unit starts with a line feed
-        out.append(self.index["\n\0" + words[0]])
-        out.extend(map(self.index.__getitem__, words[1:]))
+        if self.drops_space:  # then any cut in white space will do
+            out.extend(map(self.index.__getitem__, text.replace("\n", " ").split(" ")))
+            return
+        for k, line in enumerate(re.split(r"(?<=\S)\n(?=\S)", text) if "\n" in text else [text]):  # a lone line feed is a piece
+            if k:
+                out.append(self.index["\n\0\n"])
+            words = line.split(" ")
+            if "" in words[1:] or re.search(r" \s", line):
+                words = re.split(r" (?=\S)", line)
+            # a first unit has no space before it, so it is another unit than the same word later on; no later unit starts with a line feed
+            out.append(self.index["\n\0" + words[0]])
+            out.extend(map(self.index.__getitem__, words[1:]))
 
     def _encode_waiting(self) -> None:
-        waiting, self.index.waiting = self.index.waiting, []
+        waiting = self.index.waiting
         if not waiting:
             return
-        units = [self._unit(k) for k in waiting]
-        ids: list = [None] * len(units)
-        if self.long_unit:
-            for i, u in enumerate(units):
-                if len(u) > self.long_unit:
-                    ids[i] = self.encode_long(self.tokenizer, u)
-        short = [i for i, x in enumerate(ids) if x is None]
-        for at in range(0, len(short), 4096):
-            some = short[at : at + 4096]
-            for i, e in zip(some, self.tokenizer.encode_batch_fast([units[i] for i in some], add_special_tokens=False), strict=True):
-                ids[i] = e.ids
+        parts, short, words, index = {}, [], [], self.index
+        for i, key in enumerate(waiting):  # parts that are unknown join the end of the list
+            if self.plain and (m := _PLAIN.fullmatch(key, 2 * (key[:2] == "\n\0"))):
+                word = m[1].lower() if self.drops_space else key[: m.end(1)]
+                if m[2] or word != key:
+                    parts[i] = (index[word], index["\n\0" + m[2]] if m[2] else -1)
+                    continue
+                if not self.long_unit or len(key) <= self.long_unit:
+                    words.append(i)
+                    continue
+            short.append(i)
+        self.index.waiting = []
+        base, ids = self.index.given - len(waiting), [None] * len(waiting)
+        units = {i: self._unit(waiting[i]) for i in short}
+        long = [i for i in short if self.long_unit and len(units[i]) > self.long_unit]
+        for i in long:
+            ids[i] = self.encode_long(self.tokenizer, units[i])
+        for chosen, tokenizer, string in ((sorted(set(short) - set(long)), self.tokenizer, units.__getitem__), (words, self.bare, lambda i: self.plain(waiting[i]))):
+            for at in range(0, len(chosen), 4096):
+                some = chosen[at : at + 4096]
+                for i, e in zip(some, tokenizer.encode_batch_fast([string(i) for i in some], add_special_tokens=False), strict=True):
+                    ids[i] = e.ids
+        known = lambda n: ids[n - base] if n >= base else self.flat[self.starts[n] : self.starts[n] + self.lengths[n]].tolist()
+        for i, (word, marks) in sorted(parts.items(), reverse=True):
+            ids[i] = known(word) + known(marks) if marks >= 0 else known(word)
+        units = waiting
         first, last = self.index.given - len(units), self.index.given
         if last > len(self.lengths):
             size = max(last, 2 * len(self.lengths))
@@ -145,6 +178,21 @@ class UnitEncoder:
         return ids, np.diff(bounds, prepend=0)
 
 
+def _plain_form(described: dict) -> tuple[Callable[[str], str] | None, bool]:
+    """The string that a tokenizer's model gets for a unit that is a plain word (None where its rules are
+    others), and whether the tokenizer drops white space and case."""
+    visible = {b: chr(b) for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
+    of_byte = {b: visible.get(b) or chr(256 + sum(x not in visible for x in range(b))) for b in range(256)}
+    mapped = lambda word: word if word.isascii() else word.encode().decode("latin-1").translate(of_byte)
+    before, cut = described["normalizer"], described["pre_tokenizer"] or {}
+    if before is None and cut.get("type") == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"]:
+        return (lambda key: mapped(key[2:]) if key[:2] == "\n\0" else of_byte[32] + mapped(key)), False
+    steps = [x["type"] for x in (before or {}).get("normalizers", [])], [x["type"] for x in cut.get("pretokenizers", [])]
+    if steps == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and cut["pretokenizers"][0]["behavior"] == "Removed" and not cut["pretokenizers"][1]["use_regex"]:
+        return mapped, True
+    return None, False
+
+
 def in_slices(texts: list[str | None], chars: int = 4_000_000):
     """Slices of a batch by characters, so that a task holds little beside one batch, whatever the texts' lengths."""
     start, held = 0, 0
