@@ -20,6 +20,7 @@ from tidemark.llm.common import append_columns, table
 MIN_WORDS, REPEATED_PERCENT = 50, 50
 COMMON, LONGEST = 60, 4
 MAX_CHAR, MAX_WORD, NOISE = 0.16, 0.10, 3.6
+ROWS = 500  # texts compared at once
 SYMBOLS = b"#*$%&|<>"
 CLASSES = ("plain", "upper", "space", "line", "point", "mark", "symbol", "other", "beyond")
 
@@ -34,13 +35,13 @@ def _class_of() -> np.ndarray:
 
 
 _OF = _class_of()
+_MEMBERS = (_OF[:, None] == np.arange(len(CLASSES))).astype(np.int64)
 _EDGES = b".,;:!?\"'()[]-#*$%&|<>"
 
 
 def char_histogram(data: bytes) -> np.ndarray:
     """Characters of each class."""
-    n = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
-    return np.bincount(_OF[_OF >= 0], n[_OF >= 0], minlength=len(CLASSES)).astype(np.int64)
+    return np.bincount(np.frombuffer(data, np.uint8), minlength=256) @ _MEMBERS
 
 
 def bare(word: bytes) -> bytes:
@@ -48,21 +49,66 @@ def bare(word: bytes) -> bytes:
     return word.strip(_EDGES).decode("utf-8", "replace").lower().encode()
 
 
-def js_distance(p: np.ndarray, q: np.ndarray) -> float:
-    """Root of the Jensen-Shannon divergence, in bits, of two histograms; an empty one is at distance 1."""
-    if not p.sum() or not q.sum():
-        return 1.0
-    p, q = p / p.sum(), q / q.sum()
+def js_distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Root of the Jensen-Shannon divergence, in bits, of each row of p and the histogram q; empty ones are at distance 1."""
+    sums = p.sum(1)
+    if not q.sum():
+        return np.ones(len(p))
+    p, q = p / np.maximum(1, sums)[:, None], q / q.sum()
     m = (p + q) / 2
-    half = lambda x: float((x[x > 0] * np.log2(x[x > 0] / m[x > 0])).sum())
-    return max(0.0, (half(p) + half(q)) / 2) ** 0.5
-
-
-def repeated_words(words: list[bytes], counts: Counter) -> int:
+    half = lambda x: (x * np.log2(np.where(x > 0, x, 1) / np.where(x > 0, m, 1))).sum(1)
+    return np.where(sums > 0, np.sqrt(np.maximum(0, (half(p) + half(np.broadcast_to(q, p.shape))) / 2)), 1.0)
+
+
+class Histograms:
+    """Class and common-word counts of texts, against the references of all languages at once."""
+
+    def __init__(self, known: dict, longest: int = LONGEST):
+        self.known, self.longest, self.bares = known, longest, {}
+        self.column = {w: k for k, w in enumerate(sorted({w for _, places, _ in known.values() for w in places}))}
+
+    def short_words(self, words: list[bytes]) -> dict[bytes, int]:
+        """Counts of the bare forms of at most `longest` characters."""
+        out: dict[bytes, int] = {}
+        most = 2 * self.longest + 2
+        for w, n in Counter([w for w in words if len(w) <= most]).items():
+            b = self.bares.get(w)
+            if b is None:
+                if len(self.bares) > 200_000:
+                    self.bares.clear()
+                b = bare(w)
+                b = self.bares[w] = b if len(b.decode("utf-8", "replace")) <= self.longest else b""
+            if b:
+                out[b] = out.get(b, 0) + n
+        return out
+
+    def distances(self, chars: np.ndarray, short: list[dict[bytes, int]], n_words: np.ndarray, max_char: float, max_word: float, noise: float) -> tuple[np.ndarray, np.ndarray]:
+        """Character and word distance of each text to its nearest language. Nearness is the larger of the two,
+        each as a part of what is allowed at the text's length."""
+        if not self.known:
+            return np.zeros(len(chars)), np.zeros(len(chars))
+        counts = np.zeros((len(short), len(self.column)))
+        for i, found in enumerate(short):
+            for w, n in found.items():
+                k = self.column.get(w)
+                if k is not None:
+                    counts[i, k] = n
+        allowed, parts, pairs = max_word + noise / np.sqrt(np.maximum(1, n_words)), [], []
+        for h, places, hist in self.known.values():
+            own = counts[:, [self.column[w] for w in places]]
+            own = np.concatenate([own, n_words[:, None] - own.sum(1, keepdims=True)], axis=1)
+            c, w = js_distances(chars, h), js_distances(own, hist)
+            parts.append(np.maximum(c / max_char, w / allowed))
+            pairs.append((c, w))
+        best, rows = np.argmin(parts, axis=0), np.arange(len(chars))
+        return np.array([c for c, _ in pairs])[best, rows], np.array([w for _, w in pairs])[best, rows]
+
+
+def repeated_words(words: list[bytes]) -> int:
     """Words inside three-word windows that the text has twice or more."""
     if len(words) < 4:
         return 0
-    number = {w: i for i, w in enumerate(counts)}
+    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
     x, base = np.fromiter(map(number.__getitem__, words), np.int64, len(words)), len(number)
     pair = x[:-1] * base + x[1:]
     if base > 2_000_000:  # else the product of three would not fit
@@ -100,31 +146,25 @@ def references(df: DataFrame, text: str = "text", lang: str = "lang", min_words:
     return _sums(docs, _sums(docs, {}, min_words, common, longest), min_words, common, longest)
 
 
-def _bare_counts(counts: Counter) -> Counter:
-    out = Counter()
-    for w, k in counts.items():
-        out[bare(w) if len(w) <= 2 * LONGEST + 4 else b""] += k
-    return out
-
-
 def _sums(docs: DataFrame, judges: dict, min_words: int, common: int, longest: int) -> dict:
     def count(batches):
         chars, words, total = defaultdict(lambda: np.zeros(len(CLASSES), np.int64)), defaultdict(Counter), Counter()
+        histograms = Histograms(judges, longest)
         for batch in batches:
-            for t, l in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                data = (t or "").encode()
-                found = data.split()
-                if len(found) < min_words:
+            texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
+            for at in range(0, len(texts), ROWS):
+                some = [(l, data, found) for t, l in zip(texts[at : at + ROWS], langs[at : at + ROWS]) if len(found := (data := (t or "").encode()).split()) >= min_words]
+                if not some:
                     continue
-                bares, own = _bare_counts(Counter(found)), char_histogram(data)
-                if judges and not fits(*divergence(own, bares, len(found), judges), len(found)):
-                    continue
-                chars[l] += own
-                total[l] += len(found)
-                mine = words[l]
-                for w, n in bares.items():
-                    if 0 < len(w.decode("utf-8", "replace")) <= longest:
-                        mine[w] += n
+                own = np.stack([char_histogram(data) for _, data, _ in some])
+                short = [histograms.short_words(found) for _, _, found in some]
+                n = np.array([len(found) for _, _, found in some])
+                good = fits(*histograms.distances(own, short, n, MAX_CHAR, MAX_WORD, NOISE), n) if judges else np.ones(len(some), bool)
+                for i in np.flatnonzero(good).tolist():
+                    l = some[i][0]
+                    chars[l] += own[i]
+                    total[l] += int(n[i])
+                    words[l].update(short[i])
         rows = [(l, "char", CLASSES[k], int(n)) for l, h in chars.items() for k, n in enumerate(h)]
         rows += [(l, "all", "", n) for l, n in total.items()] + [(l, "word", w.decode("utf-8", "replace"), n) for l, c in words.items() for w, n in c.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], names=["lang", "kind", "item", "n"])
@@ -142,24 +182,9 @@ def _sums(docs: DataFrame, judges: dict, min_words: int, common: int, longest: i
     return out
 
 
-def fits(char_distance: float, word_distance: float, n_words: int, max_char: float = MAX_CHAR, max_word: float = MAX_WORD, noise: float = NOISE) -> bool:
+def fits(char_distance: np.ndarray, word_distance: np.ndarray, n_words: np.ndarray, max_char: float = MAX_CHAR, max_word: float = MAX_WORD, noise: float = NOISE) -> np.ndarray:
     """Few common words are expected in a short text, so what a word distance may be shrinks with the root of the length."""
-    return char_distance <= max_char and word_distance <= max_word + noise / max(1, n_words) ** 0.5
-
-
-def divergence(chars: np.ndarray, bare_counts: dict[bytes, int], n_words: int, known: dict, max_char: float = MAX_CHAR, max_word: float = MAX_WORD, noise: float = NOISE) -> tuple[float, float]:
-    """(character distance, word distance) to the nearest language. Nearness is the larger of the two, each as
-    a part of what is allowed at this length."""
-    allowed = max_word + noise / max(1, n_words) ** 0.5
-    best = None
-    for h, places, hist in known.values():
-        own = np.zeros(len(hist), np.int64)
-        for w, n in bare_counts.items():
-            own[places.get(w, -1)] += n
-        pair = js_distance(chars, h), js_distance(own, hist)
-        part = max(pair[0] / max_char, pair[1] / allowed)
-        best = min(best, (part, pair)) if best else (part, pair)
-    return best[1] if best else (0.0, 0.0)
+    return (char_distance <= max_char) & (word_distance <= max_word + noise / np.sqrt(np.maximum(1, n_words)))
 
 
 def quality(df: DataFrame, known: dict, text: str = "text", min_words: int = MIN_WORDS, repeated_percent: int = REPEATED_PERCENT, max_char: float = MAX_CHAR, max_word: float = MAX_WORD, noise: float = NOISE) -> DataFrame:
@@ -174,20 +199,27 @@ def quality(df: DataFrame, known: dict, text: str = "text", min_words: int = MIN
     space = [CLASSES.index("space"), CLASSES.index("line")]
 
     def make():
-        def one(t: str | None) -> tuple:
-            data = (t or "").encode()
-            words = data.split()
-            counts, chars = Counter(words), char_histogram(data)
-            n, repeated = len(words), repeated_words(words, counts)
-            failed = n < min_words or 100 * repeated > repeated_percent * n
-            c, w = divergence(chars, _bare_counts(counts), n, known, max_char, max_word, noise) if n else (1.0, 1.0)
-            good = not failed and fits(c, w, n, max_char, max_word, noise)
-            return n, int(chars.sum() - chars[space].sum()), int(chars[CLASSES.index("symbol")]), repeated_lines(data), repeated, c, w, failed, good
+        histograms = Histograms(known)
+
+        def some(texts: list[str | None]) -> list[np.ndarray]:
+            chars, short, base = [], [], []
+            for t in texts:
+                data = (t or "").encode()
+                words = data.split()
+                chars.append(char_histogram(data))
+                short.append(histograms.short_words(words))
+                base.append((len(words), repeated_lines(data), repeated_words(words)))
+            chars, base = np.stack(chars), np.array(base, np.int64)
+            n, lines, repeated = base.T
+            c, w = histograms.distances(chars, short, n, max_char, max_word, noise)
+            failed = (n < min_words) | (100 * repeated > repeated_percent * n)
+            return [n, chars.sum(1) - chars[:, space].sum(1), chars[:, CLASSES.index("symbol")], lines, repeated, c, w, failed, ~failed & fits(c, w, n, max_char, max_word, noise)]
 
         def compute(batch: pa.RecordBatch) -> list:
-            rows = [one(t) for t in batch.column(text).to_pylist()]
+            texts = batch.column(text).to_pylist()
+            found = [some(texts[at : at + ROWS]) for at in range(0, len(texts), ROWS)]
             types = [{"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[k] for k in kinds.values()]
-            return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(types)]
+            return [pa.array(np.concatenate([f[k] for f in found]) if found else [], kind) for k, kind in enumerate(types)]
 
         return compute
 
