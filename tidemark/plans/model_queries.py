@@ -45,13 +45,13 @@ def _dims(n=DIMS):
 
 
 def _assigned(x):
-    """A given clustering of entities by year: the share of the leading label, in ten steps."""
+    """A given clustering of entities by year: the share of the leading label, in steps of a twentieth."""
     s = _shares(x, ["year"]).groupBy("entity", "year").agg(F.max("share").alias("m"))
-    return s.select("entity", "year", F.least(F.lit(9), F.floor(F.col("m") * 40)).cast("long").alias("cluster"))
+    return s.select("entity", "year", F.floor(F.col("m") * 20).cast("long").alias("cluster"))
 
 
 def _pooled(x):
-    return _shares(x).groupBy("entity").agg(F.least(F.lit(9), F.floor(F.max("share") * 40)).cast("long").alias("cluster"))
+    return _shares(x).groupBy("entity").agg(F.floor(F.max("share") * 20).cast("long").alias("cluster"))
 
 
 def _archetypes(x):
@@ -205,7 +205,7 @@ tl AS (SELECT label FROM canon WHERE NOT generic GROUP BY label ORDER BY count(*
 tc AS (SELECT id, CASE WHEN generic THEN NULL WHEN label IN (FROM tl) THEN label ELSE 'Other' END AS top_label FROM canon),
 sh AS (SELECT t.entity, label, {r('coalesce(n / labelled, 0.0)', 9)} AS share, total FROM (SELECT entity, count(*) AS total, count(top_label) AS labelled FROM pe JOIN tc USING (id) GROUP BY entity HAVING count(*) >= 20) t
   LEFT JOIN (SELECT entity, top_label AS label, count(*) AS n FROM pe JOIN tc USING (id) WHERE top_label IS NOT NULL GROUP BY ALL) c USING (entity)),
-sy AS (SELECT entity, year, least(9, CAST(floor(max(coalesce(n / labelled, 0.0)) * 40) AS BIGINT)) AS cluster FROM (SELECT entity, year, count(*) AS total, count(top_label) AS labelled FROM pe JOIN tc USING (id) JOIN rec USING (id) GROUP BY ALL HAVING count(*) >= 5) t
+sy AS (SELECT entity, year, CAST(floor(max(coalesce(n / labelled, 0.0)) * 20) AS BIGINT) AS cluster FROM (SELECT entity, year, count(*) AS total, count(top_label) AS labelled FROM pe JOIN tc USING (id) JOIN rec USING (id) GROUP BY ALL HAVING count(*) >= 5) t
   LEFT JOIN (SELECT entity, year, top_label, count(*) AS n FROM pe JOIN tc USING (id) JOIN rec USING (id) WHERE top_label IS NOT NULL GROUP BY ALL) c USING (entity, year) GROUP BY ALL),
 dl AS (SELECT id, grp, lang AS label, 2015 + id % 10 AS year FROM docs),
 dt AS (SELECT label FROM dl GROUP BY label ORDER BY count(*) DESC, label LIMIT 3),
@@ -258,7 +258,7 @@ ORACLE_SQL = {
     "cluster_profile": f"SELECT cluster, label, {r('avg(share)', 6)} AS mean_share, count(*) AS size, row_number() OVER (PARTITION BY cluster ORDER BY avg(share) DESC, label) AS place FROM ({_long(8)}) GROUP BY cluster, label",
     "name_clusters": f"SELECT cluster, CASE WHEN o > greatest(a, b) THEN 'Diffuse' WHEN a = greatest(a, b) THEN 'A' ELSE 'B' END AS name FROM (SELECT cluster, avg(share) FILTER (label = 'd0') + avg(share) FILTER (label = 'd1') AS a, avg(share) FILTER (label = 'd2') + avg(share) FILTER (label = 'd3') AS b, avg(share) FILTER (label = 'd4') AS o FROM ({_long(8)}) GROUP BY cluster)",
     "stability": _FACT + "SELECT count(*) AS entities, count(*) FILTER (c = 1) AS stable, count(*) FILTER (c > 1) AS drifted FROM (SELECT count(DISTINCT cluster) AS c FROM sy GROUP BY entity HAVING count(DISTINCT year) >= 2)",
-    "latest_agreement": _FACT + "SELECT count(*) AS entities, count(*) FILTER (latest = pooled) AS agree FROM (SELECT entity, max_by(cluster, year) AS latest FROM sy GROUP BY entity) JOIN (SELECT entity, least(9, CAST(floor(max(share) * 40) AS BIGINT)) AS pooled FROM sh GROUP BY entity) USING (entity)",
+    "latest_agreement": _FACT + "SELECT count(*) AS entities, count(*) FILTER (latest = pooled) AS agree FROM (SELECT entity, max_by(cluster, year) AS latest FROM sy GROUP BY entity) JOIN (SELECT entity, CAST(floor(max(share) * 20) AS BIGINT) AS pooled FROM sh GROUP BY entity) USING (entity)",
     "drift_paths": _FACT + "SELECT entity, count(DISTINCT year) AS years, string_agg(year || '->' || cluster, ', ' ORDER BY year) AS path FROM sy GROUP BY entity HAVING count(DISTINCT cluster) > 1 ORDER BY years DESC, entity LIMIT 10",
     "top_shares": _FACT + "SELECT label, share FROM sh WHERE entity = 7 AND label IS NOT NULL ORDER BY share DESC, label LIMIT 10",
     "build_labelled": _FACT + "SELECT * FROM lb",
