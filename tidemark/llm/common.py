@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+BATCH_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -35,6 +38,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """df.mapInArrow(), with batches bounded by bytes: rows are whole texts, and a task holds a few copies of a batch.
+
+    A session that has set a bound of its own keeps it.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if str(conf.get(key)).removesuffix("b") == str(64 << 20):  # Spark's default
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def append_columns(df: DataFrame, fields: dict[str, str], make: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
     """df with columns computed from Arrow batches. make() runs once per task and returns a function from
     a batch to one array per field. A column of df with the name of a field is replaced."""
@@ -49,7 +63,7 @@ def append_columns(df: DataFrame, fields: dict[str, str], make: Callable[[], Cal
             new = compute(batch)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(x if isinstance(x, pa.Array) else pa.array(x) for x in new)], names=names)
 
-    return base.mapInArrow(run, schema)
+    return map_arrow(base, run, schema)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import append_columns, table
+from tidemark.llm.common import append_columns, map_arrow, table
 
 BINS, ORDERS = 4096, (2, 3, 4)
 #: Bounds of the training sample: documents in all, documents of a language, and languages.
@@ -160,7 +160,7 @@ def fit(df: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang
             found = [(l, profile(t).astype(np.float16).tobytes()) for t, l in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()) if has_letter(t)]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.binary())], names=["lang", "profile"])
 
-    got = sorted(taken.select("text", "lang").mapInArrow(profiles, "lang string, profile binary").collect(), key=lambda r: (r["lang"], r["profile"]))
+    got = sorted(map_arrow(taken.select("text", "lang"), profiles, "lang string, profile binary").collect(), key=lambda r: (r["lang"], r["profile"]))
     x = np.stack([np.frombuffer(r["profile"], np.float16) for r in got]).astype(np.float32) if got else np.zeros((0, BINS), np.float32)
     return LanguageModel.fit(x, [r["lang"] for r in got])
 

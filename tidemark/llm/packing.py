@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import append_columns, materialize, table
-from tidemark.llm.units import CACHE_UNITS, encoder, in_slices
+from tidemark.llm.units import encoder, in_slices
 
 MAX_LENGTH, STEP, BUCKETS, BUDGET = 4096, 8, 16, 65_536
+#: Units of text that a task remembers; less than for files of ids, since a pipeline's tasks hold other things too.
+UNITS = 250_000
 SHARD = 50_000  # sequences that are numbered together
 
 
@@ -52,14 +54,14 @@ def boundaries(counts: dict[int, int], buckets: int) -> list[int]:
     return sorted(out)
 
 
-def with_length(df: DataFrame, tokenizer: str, text: str = "text", name: str = "length", cache_units: int = CACHE_UNITS) -> DataFrame:
+def with_length(df: DataFrame, tokenizer: str, text: str = "text", name: str = "length", cache_units: int = UNITS) -> DataFrame:
     """df with the number of tokens of the whole text and its end token; a null text has the end token alone."""
 
     def make():
         enc = encoder(tokenizer, cache_units)
 
         def compute(batch: pa.RecordBatch) -> list:
-            found = [enc.encode(texts)[1] for _, texts in in_slices(batch.column(text).to_pylist())]
+            found = [enc.count(texts) for _, texts in in_slices(batch.column(text).to_pylist())]
             return [pa.array(1 + np.concatenate(found) if found else [], pa.int64())]
 
         return compute

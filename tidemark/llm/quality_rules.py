@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import append_columns, table
+from tidemark.llm.common import append_columns, map_arrow, table
 
 MIN_WORDS, REPEATED_PERCENT = 50, 50
 COMMON, LONGEST = 60, 4
@@ -169,7 +169,7 @@ def _sums(docs: DataFrame, judges: dict, min_words: int, common: int, longest: i
         rows += [(l, "all", "", n) for l, n in total.items()] + [(l, "word", w.decode("utf-8", "replace"), n) for l, c in words.items() for w, n in c.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], names=["lang", "kind", "item", "n"])
 
-    sums = docs.mapInArrow(count, "lang string, kind string, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+    sums = map_arrow(docs, count, "lang string, kind string, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
     first = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")
     kept = sums.withColumn("place", F.row_number().over(first)).filter((F.col("kind") != "word") | (F.col("place") <= common)).orderBy("lang", "kind", "place").collect()
     out = {}

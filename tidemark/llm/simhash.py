@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import append_columns, materialize, partitions, table
+from tidemark.llm.common import append_columns, map_arrow, materialize, partitions, table
 
 WORDS, BITS, BLOCKS, GROUP = 4, 4, 6, 20_000
 FAN = 16
@@ -205,7 +205,7 @@ def links(classes: DataFrame, bits: int = BITS, blocks: int = BLOCKS, group: int
         if out:
             yield _flush(out, names)
 
-    found = materialize(placed.select("mask", "pattern", "rank", "fp", "rep").mapInArrow(search, "kind long, mask long, pattern long, block long, a long, b long"), "links")
+    found = materialize(map_arrow(placed.select("mask", "pattern", "rank", "fp", "rep"), search, "kind long, mask long, pattern long, block long, a long, b long"), "links")
     small = found.filter("kind = 0").select("a", "b")
     large = found.filter("kind = 1")
     if large.isEmpty():
@@ -265,7 +265,7 @@ def _large_links(rows: DataFrame, bits: int, n: int) -> DataFrame:
             pairs = spanning_links(fp.view(np.uint64), bits, split)
             yield _flush([(int(rep[i]), int(rep[j])) for i, j in pairs], ["a", "b"])
 
-    return met.mapInArrow(search, "a long, b long")
+    return map_arrow(met, search, "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:

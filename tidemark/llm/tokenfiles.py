@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import append_columns, materialize, new_path, partitions, table
+from tidemark.llm.common import append_columns, map_arrow, materialize, new_path, partitions, table
 from tidemark.llm.ranges import bucket_of, split_points
 from tidemark.llm.units import CACHE_UNITS, encoder, in_slices
 
@@ -93,7 +93,7 @@ def write_token_files(df: DataFrame, tokenizer: str, path: str, end_id: int = 1,
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["token", "n"])
 
-    counts = tokens.select("ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    counts = map_arrow(tokens.select("ids"), count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
     counts = counts.sort_values(["n", "token"], ascending=[False, True]).reset_index(drop=True)
     spark.createDataFrame(counts.assign(rank=counts.index)[["rank", "token", "n"]], "rank long, token long, n long").coalesce(1).write.parquet(f"{path}/ranks")
     rank_of = np.zeros(int(counts["token"].max()) + 1 if len(counts) else 0, np.uint32)
@@ -143,7 +143,7 @@ def write_token_files(df: DataFrame, tokenizer: str, path: str, end_id: int = 1,
         if held:
             yield block()
 
-    placed.mapInArrow(blocks, "bucket int, block long, start long, n long, ids array<long>, sizes array<int>, control binary, data binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
+    map_arrow(placed, blocks, "bucket int, block long, start long, n long, ids array<long>, sizes array<int>, control binary, data binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -176,7 +176,7 @@ def _read(spark: SparkSession, path: str, schema: str, result, kind: pa.DataType
                 out = [result(ids[a:b]) for a, b in zip(starts.tolist(), stops.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts + start + before[bucket], pa.int64()), pa.array(out, kind)], names=names)
 
-    return blocks.select("bucket", "start", "n", "ids", "sizes", "control", "data").mapInArrow(decode, schema)
+    return map_arrow(blocks.select("bucket", "start", "n", "ids", "sizes", "control", "data"), decode, schema)
 
 
 def op6_token_files(spark, sf_dir: str) -> DataFrame:

@@ -144,8 +144,8 @@ class UnitEncoder:
         self.flat[self.filled : self.filled + more] = np.fromiter(chain.from_iterable(ids), np.uint32, more)
         self.filled += more
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, one after another, and the number of ids of each; null is the empty text."""
+    def _sizes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict]:
+        """Units of the texts, the number of ids of each, the units before each text's end, and special tokens by place."""
         out: list[int] = []
         ends, special = np.zeros(len(texts), np.int64), {}
         for i, text in enumerate(texts):
@@ -162,20 +162,29 @@ class UnitEncoder:
             ends[i] = len(out)
         if special and not self.index.given:
             self.index["x"]
-        added = self.index.waiting
+        self.added = self.index.waiting
         self._encode_waiting()
         units = np.array(out, np.int64)
         sizes = self.lengths[units]
-        if special:
-            sizes[list(special)] = 1
+        sizes[list(special)] = 1
+        return units, sizes, ends, special
+
+    def count(self, texts: list[str | None]) -> np.ndarray:
+        """The number of ids of each text; null is the empty text."""
+        units, sizes, ends, _ = self._sizes(texts)
+        self._forget(self.added, len(units))
+        return np.diff(np.concatenate([[0], np.cumsum(sizes)])[ends], prepend=0)
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one after another, and the number of ids of each; null is the empty text."""
+        units, sizes, ends, special = self._sizes(texts)
         stops = np.cumsum(sizes)
         total = int(stops[-1]) if len(stops) else 0
         ids = self.flat[np.arange(total) + np.repeat(self.starts[units] - (stops - sizes), sizes)] if total else np.zeros(0, np.uint32)
         for at, token in special.items():
             ids[stops[at] - 1] = token
-        self._forget(added, len(out))
-        bounds = np.concatenate([[0], stops])[ends]
-        return ids, np.diff(bounds, prepend=0)
+        self._forget(self.added, len(units))
+        return ids, np.diff(np.concatenate([[0], stops])[ends], prepend=0)
 
 
 def _plain_form(described: dict) -> tuple[Callable[[str], str] | None, bool]:
