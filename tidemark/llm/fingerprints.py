@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import append_columns, materialize, partitions, table
+from tidemark.llm.common import append_columns, map_arrow, materialize, partitions, table
 from tidemark.llm.ranges import bucket_of, split_points
 
 #: Bits of a digest by which rows are told that can't have an equal; the table of them has 2 ** PREFIX_BITS bits at most.
@@ -65,7 +65,7 @@ def split_classes(digests: DataFrame, texts: DataFrame, digest_of: Callable[[str
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.binary(), pa.binary()))], names=["digest", "bytes", "folded"])
 
     # equal bytes compress to equal bytes, and different ones to different ones
-    classes = texts.select("text").mapInArrow(fold, "digest string, bytes binary, folded binary").groupBy("digest", "bytes").agg(F.min("folded").alias("folded"))
+    classes = map_arrow(texts.select("text"), fold, "digest string, bytes binary, folded binary").groupBy("digest", "bytes").agg(F.min("folded").alias("folded"))
     clashing = classes.groupBy("digest").agg(F.array_sort(F.collect_list("folded")).alias("order")).filter(F.size("order") > 1)
     return clashing.select("digest", F.posexplode("order").alias("class", "folded"))
 
@@ -172,7 +172,7 @@ def with_next(df: DataFrame, n: int | None = None, digest_of: Callable[[str], st
         if rows:
             yield record(rows)
 
-    done = materialize(placed.mapInArrow(stream, schema), "neighbours")
+    done = materialize(map_arrow(placed, stream, schema), "neighbours")
     order = sorted((r["bucket"] for r in done.filter("kind = 'head'").select("bucket").collect()), reverse=True)  # a row per range of ids
     pairs = spark.createDataFrame([(b, order[(k + 1) % len(order)]) for k, b in enumerate(order)], "bucket int, next_bucket int")
     heads = done.filter("kind = 'head'").select(F.col("bucket").alias("next_bucket"), F.struct("packed", "digest", "folded").alias("h"))
@@ -185,7 +185,7 @@ def with_next(df: DataFrame, n: int | None = None, digest_of: Callable[[str], st
             found = list(zip(*(c.to_pylist() for c in batch.columns)))
             yield record([row((t["bucket"], t["id"], text(t["packed"]), (t["digest"], t["folded"])), (None, None, text(h["packed"]), (h["digest"], h["folded"]))) for t, h in found])
 
-    both = done.filter("kind = 'row'").unionByName(ends.mapInArrow(close, schema))
+    both = done.filter("kind = 'row'").unionByName(map_arrow(ends, close, schema))
     return both.withColumnRenamed("id", "doc_id").drop("kind", "bucket", "packed")
 
 
@@ -195,9 +195,12 @@ def edited_fingerprints(df: DataFrame, digest_of: Callable[[str], str] = wide_di
     docs = df.select("doc_id", "text")
     found = with_next(docs, digest_of=digest_of)
     names = {"fingerprint": ("digest", "folded"), "next_fingerprint": ("next_digest", "next_folded"), "edited_fingerprint": ("edited_digest", "edited_folded")}
-    found = resolved(found, split_classes(found, docs, digest_of), names)
-    alike = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")
-    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", alike("edited_fingerprint").alias("near_edited"), alike("next_fingerprint").alias("near_next"))
+    alike = lambda other: ((F.col("digest") == F.col(f"{other}_digest")) & (F.col("folded") == F.col(f"{other}_folded"))).cast("double")
+    classes = split_classes(found, docs, digest_of)
+    found = resolved(found.withColumns({"near_edited": alike("edited"), "near_next": alike("next")}), classes, names)
+    # an edited text is in no class; where it merely shares the digest of its document it gets a suffix of its own
+    own = F.when((F.col("near_edited") == 0) & (F.col("edited_fingerprint") == F.col("fingerprint")), F.concat("edited_fingerprint", F.lit("-edited"))).otherwise(F.col("edited_fingerprint"))
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", own.alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 def op2_fingerprints(spark, sf_dir: str) -> DataFrame:
