@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import append_columns, table
+from tidemark.llm.common import append_columns, map_arrow, table
 from tidemark.llm.weak import estimate
 
 KINDS = ("email", "ip", "card", "phone", "secret", "address", "number")
 SAMPLE, BINS, THRESHOLD = 20_000, 4096, 0.5
+#: How far labelers are believed to be better than chance: most of them have votes for one class alone.
+TRUST = 0.3
 
 # -- base spans ---------------------------------------------------------------------------------------
 
@@ -122,7 +124,7 @@ def votes(text: str, span: tuple[str, int, int]) -> tuple[int, ...]:
         0 if "@" not in token else 1 if kind == "email" else -1,
         1 if kind in ("ip", "card", "phone") else 0 if letters else -1,
         1 if _KEY.fullmatch(token) else -1 if len(token) < 12 and kind == "secret" else 0,
-        1 if token.startswith(_PREFIXES) and digits >= 8 or "@" in token and token.rsplit(".", 1)[-1] in _ENDINGS else 0,
+        1 if token.startswith(_PREFIXES) and digits >= 8 and kind != "number" or "@" in token and token.rsplit(".", 1)[-1] in _ENDINGS else 0,
         -1 if any(w in _AGAINST for w in near) else 0,
         1 if any(w in _CUES for w in near) else 0,
         1 if before.rstrip(" \"'").endswith(("=", ":")) else 0,
@@ -169,9 +171,9 @@ def fit(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> np.ndarray:
                     total.update(votes(t, s) for s in base + candidates(t, base))
         yield pa.RecordBatch.from_arrays([pa.array([list(p) for p in total], pa.list_(pa.int32())), pa.array(list(total.values()), pa.int64())], names=["pattern", "n"])
 
-    counts = docs.mapInArrow(count, "pattern array<int>, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+    counts = map_arrow(docs, count, "pattern array<int>, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     counts = {tuple(r["pattern"]): r["n"] for r in counts}
-    _, _, posterior = estimate(counts, len(NAMES))
+    _, _, posterior = estimate(counts, len(NAMES), balance=0.5, prior=TRUST)
     share = min(1.0, sample / max(1, sum(counts.values())))
 
     def draw(batches):
@@ -186,10 +188,24 @@ def fit(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> np.ndarray:
                             rows.append((h, features(t, s), list(votes(t, s))))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())))], names=["h", "f", "v"])
 
-    drawn = docs.mapInArrow(draw, "h long, f array<int>, v array<int>").orderBy("h", "f", "v").limit(sample).collect()
+    drawn = map_arrow(docs, draw, "h long, f array<int>, v array<int>").orderBy("h", "f", "v").limit(sample).collect()
     return train([(r["f"], posterior[tuple(r["v"])]) for r in drawn])
 
 
+def _finder(weights: np.ndarray, threshold: float):
+    """All spans of a text as (kind, start, end, base), by start, then kind."""
+    edge = math.log(threshold / (1 - threshold))
+
+    def found(t: str | None) -> list[tuple[str, int, int, bool]]:
+        if not t or not _HIT.search(t):
+            return []
+        base = base_spans(t)
+        spans = [(*s, True) for s in base] + [(*s, False) for s in candidates(t, base) if weights[sorted(set(features(t, s)))].sum() >= edge]
+        return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+
+    return found
+
+
 def find(df: DataFrame, weights: np.ndarray, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """df with spans array<struct<kind, start, end, base>> of the whole text, by start, then kind.
 
@@ -198,37 +214,30 @@ def find(df: DataFrame, weights: np.ndarray, text: str = "text", threshold: floa
     df with the name of the result is replaced.
     """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
-    edge = math.log(threshold / (1 - threshold))
 
     def make():
-        def one(t: str | None) -> list[dict]:
-            if not t or not _HIT.search(t):
-                return []
-            base = base_spans(t)
-            found = [(*s, True) for s in base] + [(*s, False) for s in candidates(t, base) if weights[sorted(set(features(t, s)))].sum() >= edge]
-            found.sort(key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
-            return [dict(zip(("kind", "start", "end", "base"), s)) for s in found]
-
-        return lambda batch: [pa.array([one(t) for t in batch.column(text).to_pylist()], kind)]
+        found = _finder(weights, threshold)
+        return lambda batch: [pa.array([[dict(zip(("kind", "start", "end", "base"), s)) for s in found(t)] for t in batch.column(text).to_pylist()], kind)]
 
     return append_columns(df, {"spans": "array<struct<kind:string,start:bigint,end:bigint,base:boolean>>"}, make)
 
 
-def redact(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
-    """df with every span of its texts replaced by its kind in brackets (of overlapping spans the first), and n_chars, if there is one, renewed."""
+def redact(df: DataFrame, weights: np.ndarray, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """df with every span of its texts, as find() gives them, replaced by its kind in brackets (of overlapping
+    spans the first), and n_chars, if there is one, renewed. A null text stays null."""
 
     def make():
-        def one(t: str | None, found: list[dict] | None) -> str | None:
-            if not t or not found:
-                return t
+        found = _finder(weights, threshold)
+
+        def one(t: str | None) -> str | None:
             out, at = [], 0
-            for s in found:
-                if s["start"] >= at:
-                    out += [t[at : s["start"]], f"[{s['kind'].upper()}]"]
-                at = max(at, s["end"])
-            return "".join(out) + t[at:]
+            for kind, start, end, _ in found(t):
+                if start >= at:
+                    out += [t[at:start], f"[{kind.upper()}]"]
+                at = max(at, end)
+            return "".join(out) + t[at:] if out else t
 
-        return lambda batch: [pa.array([one(t, s) for t, s in zip(batch.column(text).to_pylist(), batch.column(spans).to_pylist())], pa.string())]
+        return lambda batch: [pa.array([one(t) for t in batch.column(text).to_pylist()], pa.string())]
 
     done = append_columns(df, {"__redacted": "string"}, make)
     done = done.withColumn(text, F.col("__redacted")).drop("__redacted")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import append_columns, table
+from tidemark.llm.common import append_columns, map_arrow, table
 from tidemark.llm.weak import estimate
 
 BINS, ORDERS, CHUNK = 4096, (1, 2, 3), 1 << 20
@@ -120,8 +120,8 @@ def fit(df: DataFrame, id: str = "doc_id", text: str = "text", sample: int = SAM
                 total[votes(measures((t or "").encode()))] += 1
         yield pa.RecordBatch.from_arrays([pa.array([list(p) for p in total], pa.list_(pa.int32())), pa.array(list(total.values()), pa.int64())], names=["pattern", "n"])
 
-    counts = {tuple(r["pattern"]): r["n"] for r in docs.select("text").mapInArrow(count, "pattern array<int>, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
-    _, _, posterior = estimate(counts, len(LABELERS), in_favour=IN_FAVOUR, against=AGAINST)
+    counts = {tuple(r["pattern"]): r["n"] for r in map_arrow(docs.select("text"), count, "pattern array<int>, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
+    _, _, posterior = estimate(counts, len(LABELERS), in_favour=IN_FAVOUR, against=AGAINST, balance=0.5)
     share = min(1.0, sample / max(1, sum(counts.values())))
     drawn = docs.filter(F.pmod(F.xxhash64("id", F.lit("quality sample")), F.lit(1_000_003)) < F.lit(share * 1_000_003))
 
@@ -134,7 +134,7 @@ def fit(df: DataFrame, id: str = "doc_id", text: str = "text", sample: int = SAM
                 rows.append((list(votes(m)), hashed(data, m).astype(np.float16).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.binary())], names=["pattern", "x"])
 
-    got = sorted(drawn.select("text").mapInArrow(describe, "pattern array<int>, x binary").collect(), key=lambda r: (r["x"], r["pattern"]))
+    got = sorted(map_arrow(drawn.select("text"), describe, "pattern array<int>, x binary").collect(), key=lambda r: (r["x"], r["pattern"]))
     if not got:
         return train(np.zeros((0, BINS + 4)), np.zeros(0))
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32)
