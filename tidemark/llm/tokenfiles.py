@@ -23,23 +23,25 @@ from tidemark.llm.units import CACHE_UNITS, encoder, in_slices
 
 BLOCK_IDS = 65_536
 #: For each control byte the bytes of its four numbers.
-SIZES = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
+SIZES = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
 
 
 def encode_numbers(x: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit numbers."""
     x = x.astype("<u4")
-    size = 1 + (x >= 1 << 8).astype(np.int64) + (x >= 1 << 16) + (x >= 1 << 24)
-    codes = np.concatenate([size - 1, np.zeros(-len(x) % 4, np.int64)]).reshape(-1, 4)
-    control = (codes << np.array([0, 2, 4, 6])).sum(1).astype(np.uint8)
-    used = np.arange(4) < size[:, None]
+    size = np.ones(len(x), np.uint8)
+    for bits in (8, 16, 24):
+        size += x >= 1 << bits
+    codes = np.concatenate([size - np.uint8(1), np.zeros(-len(x) % 4, np.uint8)]).reshape(-1, 4)
+    control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
+    used = np.arange(4, dtype=np.uint8) < size[:, None]
     return control.tobytes(), x.view(np.uint8).reshape(-1, 4)[used].tobytes()
 
 
 def decode_numbers(control: bytes, data: bytes, n: int) -> np.ndarray:
     size = SIZES[np.frombuffer(control, np.uint8)].ravel()[:n]
     out = np.zeros((n, 4), np.uint8)
-    out[np.arange(4) < size[:, None]] = np.frombuffer(data, np.uint8)
+    out[np.arange(4, dtype=np.uint8) < size[:, None]] = np.frombuffer(data, np.uint8)
     return out.view("<u4").ravel()
 
 
@@ -96,17 +98,15 @@ def write_token_files(df: DataFrame, tokenizer: str, path: str, end_id: int = 1,
     counts = map_arrow(tokens.select("ids"), count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
     counts = counts.sort_values(["n", "token"], ascending=[False, True]).reset_index(drop=True)
     spark.createDataFrame(counts.assign(rank=counts.index)[["rank", "token", "n"]], "rank long, token long, n long").coalesce(1).write.parquet(f"{path}/ranks")
-    rank_of = np.zeros(int(counts["token"].max()) + 1 if len(counts) else 0, np.uint32)
+    rank_of = np.zeros(int(counts["token"].max()) + 1 if len(counts) else 0, "<u2" if len(counts) < 1 << 16 else "<u4")
     rank_of[counts["token"].to_numpy()] = counts.index.to_numpy()
 
     def ranked():
         pack = zstandard.ZstdCompressor(level=3)
 
         def compute(batch: pa.RecordBatch) -> list:
-            out = []
-            for x in batch.column("ids").to_pylist():
-                control, data = encode_numbers(rank_of[_numbers(x)])
-                out.append(pack.compress(len(control).to_bytes(4, "little") + control + data))
+            ids = batch.column("ids").to_pylist()
+            out = [pack.compress(rank_of[_numbers(x)].tobytes()) for x in ids]
             return [pa.array(out, pa.binary())]
 
         return compute
@@ -121,11 +121,7 @@ def write_token_files(df: DataFrame, tokenizer: str, path: str, end_id: int = 1,
         at, number, start, held, size = None, 0, 0, [], 0
 
         def block() -> pa.RecordBatch:
-            ranks = []
-            for _, n, x in held:
-                x = unpack.decompress(x)
-                cut = 4 + int.from_bytes(x[:4], "little")
-                ranks.append(decode_numbers(x[4:cut], x[cut:], n))
+            ranks = [np.frombuffer(unpack.decompress(x), rank_of.dtype) for _, _, x in held]
             control, data = encode_numbers(np.concatenate(ranks))
             row = [[at], [number], [start], [size], [[i for i, _, _ in held]], [[n for _, n, _ in held]], [control], [data]]
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]

@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 #: A word of Latin letters that no normalizer composes anew, then marks other than apostrophes.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ĮıĲ-ɏ]+)([.,!?;:|$%&*#]*)")
 
-CACHE_UNITS = 600_000
+CACHE_UNITS = 800_000
 
 _OPEN: dict[tuple, "UnitEncoder"] = {}
 
