@@ -8,7 +8,6 @@ hashed features, which decides on the candidates.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 import zlib
