@@ -130,7 +130,7 @@ def _backtest(x):
 def _forecast(x):
     e = _examples(x)
     last = e.agg(F.max("year").alias("year"))
-    return K.predict(K.fit_change_model(e.join(last, "year", "left_anti"), trees=20), e.join(last, "year", "left_semi"))
+    return K.predict(K.fit_change_model(e.join(last, "year", "left_anti")), e.join(last, "year", "left_semi"))
 
 
 def _drift(x):
