@@ -49,14 +49,19 @@ def fit_pca(df: DataFrame, columns: list[str], k: int = 2) -> PipelineModel:
     return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True), PCA(k=k, inputCol="scaled", outputCol="pca")]).fit(df)
 
 
-def kmeans_scan(scaled: DataFrame, ks: range = range(2, 11), seeds: int = 3, seed: int = 42) -> list[dict]:
+def _best_start(scaled: DataFrame, k: int, seeds: int, seed: int):
+    """The k-means model with the least cost of several starts, each until it rests or for 300 rounds."""
+    models = [KMeans(k=k, seed=seed + s, featuresCol="scaled", predictionCol="cluster", maxIter=300).fit(scaled) for s in range(seeds)]
+    return min(models, key=lambda m: m.summary.trainingCost)
+
+
+def kmeans_scan(scaled: DataFrame, ks: range = range(2, 11), seeds: int = 10, seed: int = 42) -> list[dict]:
     """for each k the best of several starts by cost, with its silhouette. `best` marks the highest
     silhouette and `at_edge` warns that it is the last k tried."""
     scaled = scaled.select("scaled").persist()
     out = []
     for k in ks:
-        models = [KMeans(k=k, seed=seed + s, featuresCol="scaled", predictionCol="cluster", maxIter=20).fit(scaled) for s in range(seeds)]
-        best = min(models, key=lambda m: m.summary.trainingCost)
+        best = _best_start(scaled, k, seeds, seed)
         silhouette = ClusteringEvaluator(featuresCol="scaled", predictionCol="cluster").evaluate(best.transform(scaled))
         out.append({"k": k, "cost": best.summary.trainingCost, "silhouette": silhouette})
     top = max(out, key=lambda r: (r["silhouette"], -r["k"]))
@@ -64,10 +69,13 @@ def kmeans_scan(scaled: DataFrame, ks: range = range(2, 11), seeds: int = 3, see
     return [r | {"best": r is top, "at_edge": r is top and r["k"] == out[-1]["k"]} for r in out]
 
 
-def fit_archetypes(df: DataFrame, columns: list[str], k: int, seed: int = 42) -> PipelineModel:
-    """one pipeline of scaler, PCA and k-means, to be saved and used on later data."""
+def fit_archetypes(df: DataFrame, columns: list[str], ks: range = range(2, 11), seeds: int = 10, seed: int = 42) -> PipelineModel:
+    """one pipeline of scaler, PCA and k-means at the k that the scan marks as best, to be saved and used on later data."""
     base = fit_pca(df, columns)
-    kmeans = KMeans(k=k, seed=seed, featuresCol="scaled", predictionCol="cluster").fit(base.transform(df))
+    scaled = base.transform(df).select("scaled").persist()
+    k = next(r["k"] for r in kmeans_scan(scaled, ks, seeds, seed) if r["best"])
+    kmeans = _best_start(scaled.persist(), k, seeds, seed)
+    scaled.unpersist()
     return PipelineModel(stages=[*base.stages, kmeans])
 
 

@@ -57,7 +57,7 @@ def _pooled(x):
 def _archetypes(x):
     labels = _labels(x)
     wide = P.wide_shares(_shares(x), labels)
-    model = P.fit_archetypes(wide, labels, 4)
+    model = P.fit_archetypes(wide, labels)
     profile = P.cluster_profile(model.transform(wide), labels)
     return model, wide, labels, P.name_clusters(profile, FAMILIES)
 
@@ -81,7 +81,7 @@ def _pca(x):
 
 def _scan(x):
     scaled = P.fit_pca(_vectors(x), _dims()).transform(_vectors(x))
-    return x.spark.createDataFrame(P.kmeans_scan(scaled, range(2, 6), seeds=2), "k long, cost double, silhouette double, best boolean, at_edge boolean")
+    return x.spark.createDataFrame(P.kmeans_scan(scaled), "k long, cost double, silhouette double, best boolean, at_edge boolean")
 
 
 def _docs(x):
