@@ -4,9 +4,11 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,7 +16,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, chat, fingerprints, pii, tokenfiles
-from tidemark.llm.units import UnitEncoder
+from tidemark.llm.ranges import ranges_of
+from tidemark.llm.units import UnitEncoder, WordEncoder
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 PIECES = ["a", "Word", "WORD,", "été", "ÉTÉ.", "ſ", "İa", "ß!!", "'ll", "'s", "!", " ", "  ", "\n", "\t", "́", " ", " ", "\x1c", "\x85", "<|endoftext|>", "<|startoftext|>", "<|end", "23", "漢", "😀", "tion", "'", "$$$", "\r", "\x00"]
@@ -35,11 +38,14 @@ def test_units_encode_as_the_library(path, long):
     texts = ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 50))) for _ in range(2000)]
     texts += ["".join(rng.choice("abcdeth") for _ in range(rng.randint(200, 2000))) for _ in range(20)] + ["=" * 3000, " " * 999, "\n" * 99, None, ""]
     mine = UnitEncoder(path, 500, long, bpe._encode_long(long) if long else None)
+    if not long:
+        mine = WordEncoder(mine)
     for at in range(0, len(texts), 300):
         ids, sizes = mine.encode(texts[at : at + 300])
         stops = np.cumsum(sizes)
         for t, a, b in zip(texts[at : at + 300], stops - sizes, stops):
             assert ids[a:b].tolist() == library.encode(t or "", add_special_tokens=False).ids, repr(t)
+        assert mine.count(texts[at : at + 300]).tolist() == sizes.tolist()
 
 
 @settings(max_examples=100, deadline=None)
@@ -72,7 +78,24 @@ def test_encode_and_decode_columns(spark):
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=40))
 def test_number_coding(xs):
     x = np.array(xs, np.uint32)
-    assert (tokenfiles.decode_numbers(*tokenfiles.encode_numbers(x), len(x)) == x).all()
+    for kind in ("<u4", "<u2"):
+        sizes = np.array([len(x) // 3, 0, len(x) - len(x) // 3])
+        control, data, control_ends, data_ends = tokenfiles.encode_numbers(x.astype(kind), sizes)
+        assert (tokenfiles.decode_numbers(control.tobytes(), data.tobytes(), sizes) == x.astype(kind)).all()
+        assert control_ends[-1] == len(control) and data_ends[-1] == len(data)
+        first = sizes[:1]  # a run can be cut out
+        assert (tokenfiles.decode_numbers(control[: control_ends[0]].tobytes(), data[: data_ends[0]].tobytes(), first) == x.astype(kind)[: first[0]]).all()
+
+
+def test_ranges_split_an_id_that_repeats(spark):
+    rows = [(7, f"t{k}") for k in range(3000)] + [(None, f"n{k}") for k in range(1500)] + [(k, "x") for k in range(100, 600)]
+    ranges = ranges_of(spark.createDataFrame(rows, "id long, text string"), "id", 10)
+    got = ranges.bucket_of(pa.array([i for i, _ in rows], pa.int64()), [t for _, t in rows])
+    assert Counter(got.tolist()).most_common(1)[0][1] < 800 and got.max() < ranges.count
+    span = {i: (got[k].min(), got[k].max()) for i in (None, 7, 100, 599) if len(k := np.array([j for j, r in enumerate(rows) if r[0] == i]))}
+    assert span[None][1] < span[7][0] and span[7][1] < span[100][0] <= span[599][1]
+    one = ranges_of(spark.createDataFrame([], "id long"), "id", 10)
+    assert one.bucket_of(pa.array([None, 3], pa.int64()), [None, "x"]).tolist() == [0, 1]
 
 
 @pytest.mark.parametrize("block, files", [(1, 1), (7, 3), (65_536, 4)])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import append_columns, map_arrow, materialize, partitions, table
-from tidemark.llm.ranges import bucket_of, split_points
+from tidemark.llm.ranges import ranges_of
 
 #: Bits of a digest by which rows are told that can't have an equal; the table of them has 2 ** PREFIX_BITS bits at most.
 PREFIX_BITS = 20
@@ -124,23 +124,24 @@ def with_next(df: DataFrame, n: int | None = None, digest_of: Callable[[str], st
     next document's and the edited text, for df(doc_id, text). The next document has the next smaller
     doc_id, and the last one is followed by the first.
 
-    Ties are ordered by text, null ids come last. Texts cross the network once, compressed and in ranges
-    of ids; a task streams over its range and hands only its first and last document to its neighbours.
+    Ties are ordered by their compressed bytes, where an id fills several ranges alone by a hash of the text before
+    that; null ids come last. Texts cross the network once, compressed and in ranges of ids; a task streams over its
+    range and hands only its first and last document to its neighbours.
     """
     spark = df.sparkSession
-    docs = df.select(F.col("doc_id").alias("id"), "text")
-    splits = split_points(docs, "id", n or partitions(spark))
+    docs = df.select(F.col("doc_id").cast("long").alias("id"), "text")
+    ranges = ranges_of(docs, "id", n or partitions(spark))
 
     def packed():
         pack = zstandard.ZstdCompressor(level=3)
 
         def compute(batch: pa.RecordBatch) -> list:
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            return [pa.array(bucket_of(batch.column("id"), splits), pa.int32()), pa.array([pack.compress(t) for t in texts], pa.binary())]
+            texts = batch.column("text").to_pylist()
+            return [pa.array(ranges.bucket_of(batch.column("id"), texts), pa.int32()), pa.array([pack.compress((t or "").encode()) for t in texts], pa.binary())]
 
         return compute
 
-    placed = append_columns(docs, {"bucket": "int", "packed": "binary"}, packed).select("bucket", "id", "packed").repartitionById(len(splits) + 1, "bucket")
+    placed = append_columns(docs, {"bucket": "int", "packed": "binary"}, packed).select("bucket", "id", "packed").repartitionById(ranges.count, "bucket")
     placed = placed.sortWithinPartitions(F.desc("bucket"), F.desc_nulls_last("id"), "packed")
     kinds = {"kind": pa.string(), "bucket": pa.int32(), "id": pa.int64(), "n_chars": pa.int64(), "digest": pa.string(), "folded": pa.binary(), "next_digest": pa.string(), "next_folded": pa.binary(), "edited_sha256": pa.string(), "edited_digest": pa.string(), "edited_folded": pa.binary(), "packed": pa.binary()}
     schema = "kind string, bucket int, id long, n_chars long, digest string, folded binary, next_digest string, next_folded binary, edited_sha256 string, edited_digest string, edited_folded binary, packed binary"

@@ -7,7 +7,8 @@ once while it stays in a bounded cache. Strings of special tokens are cut out fi
 
 Most unknown units are a plain word with or without marks behind it. Marks are a piece of their own for both
 kinds, so such a unit is its word and its marks, and a plain word is a single piece: it goes to the library's model directly,
-spared the normalizer and the splitting rules that would leave it as it is.
+spared the normalizer and the splitting rules that would leave it as it is. For tokenizers that drop white space and case,
+Arrow cuts a batch of texts into units, numbers the distinct ones and lowers their case (WordEncoder).
 """
 
 from __future__ import annotations
@@ -16,24 +17,29 @@ import json
 import os
 import re
 from collections.abc import Callable
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: A word of Latin letters that no normalizer composes anew, then marks other than apostrophes.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ĮıĲ-ɏ]+)([.,!?;:|$%&*#]*)")
+_WORD, _MARKS = "[A-Za-zÀ-ÖØ-öø-ĮıĲ-ɏ]+", "[.,!?;:|$%&*#]*"
+_PLAIN = re.compile(f"({_WORD})({_MARKS})")
+_PLAIN_RE2 = f"^(?P<word>{_WORD})(?P<marks>{_MARKS})$"
 
 CACHE_UNITS = 800_000
 
-_OPEN: dict[tuple, "UnitEncoder"] = {}
+_OPEN: dict[tuple, "UnitEncoder | WordEncoder"] = {}
 
 
-def encoder(path: str, cache_units: int = CACHE_UNITS, long_unit: int = 0, encode_long: Callable | None = None) -> "UnitEncoder":
+def encoder(path: str, cache_units: int = CACHE_UNITS, long_unit: int = 0, encode_long: Callable | None = None) -> "UnitEncoder | WordEncoder":
     """The encoder of this worker process for a tokenizer file; it is kept between tasks."""
     key = (path, cache_units, long_unit)
     if key not in _OPEN:
-        _OPEN[key] = UnitEncoder(path, cache_units, long_unit, encode_long)
+        made = UnitEncoder(path, cache_units, long_unit, encode_long)
+        _OPEN[key] = WordEncoder(made) if made.drops_space and not long_unit else made
     return _OPEN[key]
 
 
@@ -187,6 +193,113 @@ class UnitEncoder:
         return ids, np.diff(np.concatenate([[0], stops])[ends], prepend=0)
 
 
+class WordEncoder:
+    """The same results as the UnitEncoder given, for a tokenizer that drops white space and case: any space and line feed is a cut.
+
+    Units are split, numbered and lowered by Arrow, so that Python handles a distinct word of a slice of texts
+    once. What it keeps between slices are ids of words and of runs of marks; a unit is one of each.
+    """
+
+    def __init__(self, base: UnitEncoder):
+        self.tokenizer, self.bare, self.plain, self.cache_units = base.tokenizer, base.bare, base.plain, base.cache_units
+        vocabulary, suffix = self.bare.get_vocab(), getattr(self.bare.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(1 + max(vocabulary.values(), default=0), bool)
+        if suffix:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self._reset()
+
+    def _reset(self) -> None:
+        self.number = {"": 0}  # the empty string, a unit between two spaces, has no ids
+        self.lengths, self.starts, self.flat, self.filled = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
+
+    def _numbers(self, strings: pa.StringArray, plain: np.ndarray) -> np.ndarray:
+        """The number of each string; unknown ones are encoded: plain words by the model, others by the whole tokenizer."""
+        coded = strings.dictionary_encode()
+        names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        number = np.fromiter(map(self.number.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(number < 0)
+        self.added += len(new)
+        if len(new):
+            is_plain = np.zeros(len(names), bool)
+            is_plain[codes] = plain
+            words, others = new[is_plain[new]], new[~is_plain[new]]
+            ids, sizes = [], []
+            for at in range(0, len(words), 4096):
+                found = self._words([self.plain(names[i]) for i in words[at : at + 4096].tolist()])
+                ids.append(found[0])
+                sizes.append(found[1])
+            for at in range(0, len(others), 4096):
+                found = [e.ids for e in self.tokenizer.encode_batch_fast([names[i] for i in others[at : at + 4096].tolist()], add_special_tokens=False)]
+                ids.append(np.fromiter(chain.from_iterable(found), np.uint32))
+                sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            self._keep(np.concatenate(ids), np.concatenate(sizes))
+            order = np.concatenate([words, others])
+            number[order] = np.arange(len(self.number), len(self.number) + len(order))
+            self.number.update(zip(map(names.__getitem__, order.tolist()), number[order].tolist()))
+        return number[codes]
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words and the number of each. A list of words is one encoding, cut where a token ends a word."""
+        if self.ends.any():
+            ids = np.array(self.bare.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+            stops = 1 + np.flatnonzero(self.ends[ids])
+            if len(stops) == len(words) and stops[-1] == len(ids):
+                return ids, np.diff(stops, prepend=0)
+        found = [e.ids for e in self.bare.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        first, last = len(self.number), len(self.number) + len(sizes)
+        if last > len(self.lengths):
+            size = max(last, 2 * len(self.lengths))
+            self.lengths, self.starts = np.resize(self.lengths, size), np.resize(self.starts, size)
+        self.lengths[first:last], self.starts[first:last] = sizes, self.filled + np.cumsum(sizes) - sizes
+        if self.filled + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, max(self.filled + len(ids), 2 * len(self.flat)))
+        self.flat[self.filled : self.filled + len(ids)] = ids
+        self.filled += len(ids)
+
+    def _forget(self, asked: int) -> None:
+        """Keep cache_units strings, or start anew where most of what is kept was of no use."""
+        over = len(self.number) - self.cache_units
+        if over <= 0:
+            return
+        if self.added > asked / 5 or self.cache_units < 2:
+            return self._reset()
+        for _ in range(over):
+            self.number.popitem()  # the last added
+        self.filled = int(self.starts[self.cache_units - 1] + self.lengths[self.cache_units - 1])
+
+    def _parts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Two numbers for each unit of the texts, and the numbers before each text's end."""
+        self.added = 0
+        units = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()).fill_null(""), "\n", " "), " ")
+        coded = units.flatten().dictionary_encode()
+        found = pc.extract_regex(coded.dictionary, _PLAIN_RE2)
+        plain = found.is_valid()
+        words = self._numbers(pc.if_else(plain, pc.utf8_lower(found.field("word")), coded.dictionary), plain.to_numpy(zero_copy_only=False))
+        marks = self._numbers(pc.if_else(plain, found.field("marks"), ""), np.zeros(len(plain), bool))
+        return np.stack([words, marks], axis=1)[coded.indices.to_numpy()].ravel(), 2 * units.offsets.to_numpy()[1:].astype(np.int64)
+
+    def count(self, texts: list[str | None]) -> np.ndarray:
+        """The number of ids of each text; null is the empty text."""
+        parts, ends = self._parts(texts)
+        n = np.diff(np.concatenate([[0], np.cumsum(self.lengths[parts])])[ends], prepend=0)
+        self._forget(len(parts))
+        return n
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one after another, and the number of ids of each; null is the empty text."""
+        parts, ends = self._parts(texts)
+        sizes = self.lengths[parts]
+        stops = np.cumsum(sizes)
+        total = int(stops[-1]) if len(stops) else 0
+        ids = self.flat[np.arange(total) + np.repeat(self.starts[parts] - (stops - sizes), sizes)] if total else np.zeros(0, np.uint32)
+        n = np.diff(np.concatenate([[0], stops])[ends], prepend=0)
+        self._forget(len(parts))
+        return ids, n
+
+
 def _plain_form(described: dict) -> tuple[Callable[[str], str] | None, bool]:
     """The string that a tokenizer's model gets for a unit that is a plain word (None where its rules are
     others), and whether the tokenizer drops white space and case."""
