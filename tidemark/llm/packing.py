@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import append_columns, materialize, table
 from tidemark.llm.units import encoder, in_slices
 
-MAX_LENGTH, STEP, BUCKETS, BUDGET = 4096, 8, 16, 65_536
+MAX_LENGTH, STEP, BUCKETS, BUDGET = 4096, 1, 16, 65_536
 #: Units of text that a task remembers; less than for files of ids, since a pipeline's tasks hold other things too.
 UNITS = 250_000
 SHARD = 50_000  # sequences that are numbered together
