@@ -7,9 +7,11 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tidemark.llm import language, packing, quality_classifier, quality_rules, simhash, weak
@@ -134,6 +136,62 @@ def test_quality_rules(spark):
     assert sum(kept == (q == 1) for kept, q in judged) >= 0.98 * len(judged)
 
 
+def brute_references(rows, keep, common):
+    """Class and word counts by plain Python: {lang: (chars, [(word, n)], words in all)}."""
+    out = {}
+    for t, l in rows:
+        words = (t or "").encode().split()
+        if len(words) < 50 or not keep(t):
+            continue
+        chars, found, total = out.setdefault(l, (np.zeros(len(quality_rules.CLASSES), int), Counter(), []))
+        chars += quality_rules.char_histogram(t.encode())
+        total.append(len(words))
+        found.update(b for w in words if (b := w.decode().strip(quality_rules._EDGES).lower()))
+    return {l: (chars, sorted(found.items(), key=lambda x: (-x[1], x[0]))[:common], sum(total)) for l, (chars, found, total) in out.items()}
+
+
+def brute_distance(p, q):
+    p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+    half = lambda a: sum(x * np.log2(2 * x / (x + y)) for x, y in zip(*a) if x)
+    return max(0.0, (half((p, q)) + half((q, p))) / 2) ** 0.5
+
+
+@pytest.mark.parametrize("candidates", [2000, 30])  # with 30 the second round counts all words
+def test_quality_verdict_is_that_of_brute_force(spark, candidates):
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in table(spark, SF, "documents").where("doc_id < 250 AND lang != 'es'").collect()]
+    rows += [(1000, None, None), (1001, "naïve Straße " * 60, None), (1002, "x" * 400 + " " + "internationalisation " * 99, "en")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def judge(known, t):
+        words, parts = (t or "").encode().split(), []
+        bare = Counter(w.decode().strip(quality_rules._EDGES).lower() for w in words)
+        for chars, top, total in known.values():
+            n = [*(bare[w] for w, _ in top), len(words) - sum(bare[w] for w, _ in top)]
+            ref = [*(k for _, k in top), total - sum(k for _, k in top)]
+            c, w = brute_distance(quality_rules.char_histogram(t.encode()), chars), brute_distance(n, ref)
+            parts.append((max(c / 0.16, w / quality_rules.Reference(chars, [], np.array(ref)).allowed(np.array([len(words)]), 0.10)[0]), c, w))
+        return min(parts)
+
+    once = brute_references([(t, l) for _, t, l in rows], lambda t: True, 30)
+    twice = brute_references([(t, l) for _, t, l in rows], lambda t: judge(once, t)[0] <= 1, 30)
+    known = quality_rules.references(frame, candidates=candidates)
+    assert {l: (r.chars.tolist(), list(zip(r.words, r.counts.tolist())), r.counts.sum()) for l, r in known.items()} == {l: (c.tolist(), top, n) for l, (c, top, n) in twice.items()}
+    assert any(len(w) > 4 for r in known.values() for w in r.words)
+    for r in quality_rules.quality(frame, known).collect():
+        *_, failed = brute_quality(r["text"])
+        if not failed:
+            part, c, w = judge(twice, r["text"])
+            assert abs(r["char_distance"] - c) < 1e-6 and abs(r["word_distance"] - w) < 1e-6
+        assert r["kept"] == (not failed and part <= 1)
+
+
+def test_short_texts_without_common_words_fail(spark):
+    frame, rng = table(spark, SF, "documents"), random.Random(1)
+    junk = [(n * 100 + k, " ".join("".join(rng.choice("bcdfghjkmpqvwxz") for _ in range(rng.randint(3, 9))) for _ in range(n))) for n in (50, 60, 90, 200) for k in range(20)]
+    got = quality_rules.quality(docs(spark, junk), quality_rules.references(frame)).collect()
+    assert not any(r["kept"] or r["base_failed"] for r in got)
+
+
 def test_odd_rows_of_quality_rules(spark):
     frame = docs(spark, ODD).withColumn("lang", F.lit(None).cast("string"))
     got = quality_rules.quality(frame, quality_rules.references(frame)).collect()
@@ -191,6 +249,13 @@ def test_families_merge_the_most_alike():
     assert language.families_of(means) == [["a1", "a2"], ["b1", "b2"]]
 
 
+def test_lengths_are_those_of_the_library(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, rows = Tokenizer.from_file(path), ODD + [(20, "It's ÉTÉ!! 23 漢字 <|endoftext|> a\u0301"), (21, "x" * 9999)]
+    got = packing.with_length(docs(spark, rows), path).collect()
+    assert [r["length"] for r in got] == [1 + len(library.encode(t or "", add_special_tokens=False).ids) for _, t in rows]
+
+
 def test_pipeline_stages_take_effect(spark):
     kept = table(spark, SF, "documents")
     for name, stage in corpus_pipeline.STAGES[:-1]:

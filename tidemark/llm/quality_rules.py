@@ -1,26 +1,30 @@
 """Quality rules (operator 7): divergence of a document's histograms from those of its language.
 
-References are sums over the corpus: for each language a histogram of character classes and one of the
-common short words (function words are short) with the share of all other words. A document is held
-against every language and judged by the one it is nearest to, by Jensen-Shannon distance (the root of
-the divergence in bits), with an allowance for the noise of short texts and no such verdict below a minimum length.
+References are sums over the corpus: for each language a histogram of character classes and one of its
+common words with the share of all other words. A document is held against every language and judged by the one
+it is nearest to, by Jensen-Shannon distance (the root of the divergence in bits), with an allowance for the
+noise that a text of its length has by chance, and no such verdict below a minimum length.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import append_columns, map_arrow, table
+from tidemark.llm.units import in_slices
 
 MIN_WORDS, REPEATED_PERCENT = 50, 50
-COMMON, LONGEST = 60, 4
-MAX_CHAR, MAX_WORD, NOISE = 0.16, 0.10, 3.6
-ROWS = 500  # texts compared at once
+COMMON = 30
+#: Words of a language that the second round counts; it counts all where these turn out not to decide the common ones.
+CANDIDATES = 2_000
+MAX_CHAR, MAX_WORD = 0.16, 0.10
+ROWS_HELD = 1_000_000  # counts of words that a task holds before it hands them on
 SYMBOLS = b"#*$%&|<>"
 CLASSES = ("plain", "upper", "space", "line", "point", "mark", "symbol", "other", "beyond")
 
@@ -36,7 +40,8 @@ def _class_of() -> np.ndarray:
 
 _OF = _class_of()
 _MEMBERS = (_OF[:, None] == np.arange(len(CLASSES))).astype(np.int64)
-_EDGES = b".,;:!?\"'()[]-#*$%&|<>"
+_EDGES = ".,;:!?\"'()[]-#*$%&|<>"
+_LENGTHS = (50, 70, 100, 140, 200, 280, 400, 800, 1600, 3200, 6400)
 
 
 def char_histogram(data: bytes) -> np.ndarray:
@@ -44,11 +49,6 @@ def char_histogram(data: bytes) -> np.ndarray:
     return np.bincount(np.frombuffer(data, np.uint8), minlength=256) @ _MEMBERS
 
 
-def bare(word: bytes) -> bytes:
-    """A word as the histograms count it: lower case, without marks around it."""
-    return word.strip(_EDGES).decode("utf-8", "replace").lower().encode()
-
-
 def js_distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Root of the Jensen-Shannon divergence, in bits, of each row of p and the histogram q; empty ones are at distance 1."""
     sums = p.sum(1)
@@ -60,69 +60,104 @@ def js_distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(sums > 0, np.sqrt(np.maximum(0, (half(p) + half(np.broadcast_to(q, p.shape))) / 2)), 1.0)
 
 
-class Histograms:
-    """Class and common-word counts of texts, against the references of all languages at once."""
-
-    def __init__(self, known: dict, longest: int = LONGEST):
-        self.known, self.longest, self.bares = known, longest, {}
-        self.column = {w: k for k, w in enumerate(sorted({w for _, places, _ in known.values() for w in places}))}
-
-    def short_words(self, words: list[bytes]) -> dict[bytes, int]:
-        """Counts of the bare forms of at most `longest` characters."""
-        out: dict[bytes, int] = {}
-        most = 2 * self.longest + 2
-        for w, n in Counter([w for w in words if len(w) <= most]).items():
-            b = self.bares.get(w)
-            if b is None:
-                if len(self.bares) > 200_000:
-                    self.bares.clear()
-                b = bare(w)
-                b = self.bares[w] = b if len(b.decode("utf-8", "replace")) <= self.longest else b""
-            if b:
-                out[b] = out.get(b, 0) + n
-        return out
-
-    def distances(self, chars: np.ndarray, short: list[dict[bytes, int]], n_words: np.ndarray, max_char: float, max_word: float, noise: float) -> tuple[np.ndarray, np.ndarray]:
-        """Character and word distance of each text to its nearest language. Nearness is the larger of the two,
-        each as a part of what is allowed at the text's length."""
+@dataclass
+class Reference:
+    """What a language's texts look like: character classes, common words and their places, counts of these and of the rest."""
+
+    chars: np.ndarray
+    words: list[str]
+    counts: np.ndarray
+    noise: np.ndarray = field(init=False)
+
+    def __post_init__(self):
+        self.noise = chance_distances(self.counts)
+
+    def allowed(self, n_words: np.ndarray, max_word: float) -> np.ndarray:
+        """The word distance that a text of so many words may have: max_word beyond what chance brings."""
+        root = 1 / np.sqrt(np.maximum(1, n_words))
+        return max_word + np.interp(root, 1 / np.sqrt(np.array(_LENGTHS[::-1])), self.noise[::-1])
+
+
+def chance_distances(counts: np.ndarray, draws: int = 400) -> np.ndarray:
+    """The mean distance to a histogram of texts of _LENGTHS words drawn from it."""
+    rng, total = np.random.default_rng(5), counts.sum()
+    if not total:
+        return np.ones(len(_LENGTHS))
+    return np.array([js_distances(rng.multinomial(n, counts / total, draws), counts).mean() for n in _LENGTHS])
+
+
+class Texts:
+    """A slice of texts: per text the number of words, characters of each class, and its words as numbers."""
+
+    def __init__(self, texts: list[str | None]):
+        self.data = [(t or "").encode() for t in texts]
+        self.chars = np.stack([char_histogram(d) for d in self.data])
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()).fill_null(""))
+        coded = lists.flatten().dictionary_encode()
+        self.number, self.owner = coded.indices.to_numpy(), np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+        blank = pc.index(coded.dictionary, "").as_py()
+        if blank >= 0:  # white space at the ends of a text
+            self.owner, self.number = self.owner[self.number != blank], self.number[self.number != blank]
+        self.kinds = len(coded.dictionary)
+        self.n_words = np.bincount(self.owner, minlength=len(texts))
+        # words as the histograms count them: lower case, without marks around them
+        bare = pc.utf8_lower(pc.utf8_trim(coded.dictionary, characters=_EDGES)).dictionary_encode()
+        self.bare, self.bare_of = bare.dictionary, bare.indices.to_numpy()
+
+    def counts(self, columns: pa.Array) -> np.ndarray:
+        """How often each text has each of some words."""
+        place = pc.index_in(self.bare, value_set=columns).fill_null(-1).to_numpy()[self.bare_of][self.number]
+        known = place >= 0
+        return np.bincount(self.owner[known] * len(columns) + place[known], minlength=len(self.data) * len(columns)).reshape(len(self.data), len(columns))
+
+    def sums(self, group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(group, number of the bare word, count) over the texts of each group; group -1 is left out."""
+        at = group[self.owner]
+        n = np.bincount(at[at >= 0] * len(self.bare) + self.bare_of[self.number][at >= 0], minlength=groups * len(self.bare))
+        found = np.flatnonzero(n)
+        return found // len(self.bare), found % len(self.bare), n[found]
+
+    def repeated_words(self) -> np.ndarray:
+        """Words of each text inside three-word windows that the text has twice or more."""
+        x, n = self.number.astype(np.int64), len(self.number)
+        covered = np.zeros(n, bool)
+        if n > 3:
+            pair = x[:-1] * self.kinds + x[1:]
+            if self.kinds > 2_000_000:  # else the product of three would not fit
+                pair = np.unique(pair, return_inverse=True)[1]
+            window = np.where(self.owner[2:] == self.owner[:-2], pair[:-1] * self.kinds + x[2:], -1)
+            order = np.argsort(window, kind="stable")  # a text's equal windows are neighbours then
+            a, b = order[:-1], order[1:]
+            same = (window[a] == window[b]) & (window[a] >= 0) & (self.owner[a] == self.owner[b])
+            found = np.zeros(len(window), bool)
+            found[a[same]] = found[b[same]] = True
+            for k in range(3):
+                covered[k : k + len(window)] |= found
+        return np.bincount(self.owner[covered], minlength=len(self.data))
+
+
+class Judge:
+    """Distances of texts to the references of all languages at once."""
+
+    def __init__(self, known: dict[str | None, Reference], max_char: float = MAX_CHAR, max_word: float = MAX_WORD):
+        self.known, self.max_char, self.max_word = known, max_char, max_word
+        self.columns = pa.array(sorted({w for r in known.values() for w in r.words}), pa.string())
+        self.place = {w: k for k, w in enumerate(self.columns.to_pylist())}
+
+    def __call__(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Character and word distance of each text to its nearest language, and whether both are within their limits.
+        Nearness is the larger of the two, each as a part of its limit. Without references all fit."""
+        n = texts.n_words
         if not self.known:
-            return np.zeros(len(chars)), np.zeros(len(chars))
-        counts = np.zeros((len(short), len(self.column)))
-        for i, found in enumerate(short):
-            for w, n in found.items():
-                k = self.column.get(w)
-                if k is not None:
-                    counts[i, k] = n
-        allowed, parts, pairs = max_word + noise / np.sqrt(np.maximum(1, n_words)), [], []
-        for h, places, hist in self.known.values():
-            own = counts[:, [self.column[w] for w in places]]
-            own = np.concatenate([own, n_words[:, None] - own.sum(1, keepdims=True)], axis=1)
-            c, w = js_distances(chars, h), js_distances(own, hist)
-            parts.append(np.maximum(c / max_char, w / allowed))
+            return np.zeros(len(n)), np.zeros(len(n)), np.ones(len(n), bool)
+        counts, parts, pairs = texts.counts(self.columns), [], []
+        for r in self.known.values():
+            own = counts[:, [self.place[w] for w in r.words]]
+            c, w = js_distances(texts.chars, r.chars), js_distances(np.concatenate([own, n[:, None] - own.sum(1, keepdims=True)], axis=1), r.counts)
+            parts.append(np.maximum(c / self.max_char, w / r.allowed(n, self.max_word)))
             pairs.append((c, w))
-        best, rows = np.argmin(parts, axis=0), np.arange(len(chars))
-        return np.array([c for c, _ in pairs])[best, rows], np.array([w for _, w in pairs])[best, rows]
-
-
-def repeated_words(words: list[bytes]) -> int:
-    """Words inside three-word windows that the text has twice or more."""
-    if len(words) < 4:
-        return 0
-    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    x, base = np.fromiter(map(number.__getitem__, words), np.int64, len(words)), len(number)
-    pair = x[:-1] * base + x[1:]
-    if base > 2_000_000:  # else the product of three would not fit
-        pair = np.unique(pair, return_inverse=True)[1]
-    window = pair[:-1] * base + x[2:]
-    order = np.argsort(window, kind="stable")
-    same = window[order][1:] == window[order][:-1]
-    found = np.zeros(len(window), bool)
-    found[order[1:][same]] = True
-    found[order[:-1][same]] = True
-    covered = np.zeros(len(words), bool)
-    for k in range(3):
-        covered[k : k + len(window)] |= found
-    return int(covered.sum())
+        best, rows = np.argmin(parts, axis=0), np.arange(len(n))
+        return np.array([c for c, _ in pairs])[best, rows], np.array([w for _, w in pairs])[best, rows], np.min(parts, axis=0) <= 1
 
 
 def repeated_lines(data: bytes) -> int:
@@ -134,90 +169,107 @@ def repeated_lines(data: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def references(df: DataFrame, text: str = "text", lang: str = "lang", min_words: int = MIN_WORDS, common: int = COMMON, longest: int = LONGEST) -> dict:
-    """For each language: (histogram of character classes, {common word: place}, histogram of those words and the rest).
+def references(df: DataFrame, text: str = "text", lang: str = "lang", min_words: int = MIN_WORDS, common: int = COMMON, candidates: int = CANDIDATES) -> dict[str | None, Reference]:
+    """A Reference for each language: its character classes, its `common` most frequent words and the rest.
 
-    Sums over all texts of min_words words or more; a null language is a language of its own. A first
-    round sums all of them, a second those that the first one's references keep, so that the texts to
-    be found do not shape what they are held against. What comes to the driver is `common` words and the
-    classes for each language.
+    Sums over all texts of min_words words or more; a null language is a language of its own, equal counts are
+    ordered by word, repeated rows count as often as they occur, an empty table has no references. A first round counts all words of all texts, a second those
+    of the texts that the first one's references keep, so that the texts to be found do not shape what they are held against.
+    The second counts the first one's `candidates` only and is repeated with all words should another word possibly be
+    among the most frequent. What comes to the driver is `candidates` words and the classes for each language.
     """
     docs = df.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    return _sums(docs, _sums(docs, {}, min_words, common, longest), min_words, common, longest)
+    first, listed = _sums(docs, {}, None, min_words, common, candidates)
+    second, _ = _sums(docs, first, {l: [w for w, _ in found] for l, found in listed.items()}, min_words, common, candidates)
+    for l, r in second.items():
+        # a word beyond the candidates has at most the first round's count of the last of them
+        if len(listed[l]) == candidates and (len(r.words) < common or r.counts[common - 1] <= listed[l][-1][1]):
+            return _sums(docs, first, None, min_words, common, candidates)[0]
+    return second
 
 
-def _sums(docs: DataFrame, judges: dict, min_words: int, common: int, longest: int) -> dict:
+def _sums(docs: DataFrame, judges: dict, chosen: dict | None, min_words: int, common: int, candidates: int) -> tuple[dict, dict]:
+    """References from the texts that the judges keep, counting the chosen words of each language or all, and the most frequent words with their counts."""
+
     def count(batches):
-        chars, words, total = defaultdict(lambda: np.zeros(len(CLASSES), np.int64)), defaultdict(Counter), Counter()
-        histograms = Histograms(judges, longest)
+        judge, chars, total, held = Judge(judges), {}, {}, []
+        names = ["lang", "kind", "item", "n"]
+        sets = {l: pa.array(words, pa.string()) for l, words in (chosen or {}).items()}
+
+        def words() -> pa.RecordBatch:
+            summed = pa.Table.from_batches(held).group_by(["lang", "item"]).aggregate([("n", "sum")])
+            held.clear()
+            kind = pa.array(["word"] * len(summed), pa.string())
+            return pa.RecordBatch.from_arrays([summed["lang"].combine_chunks(), kind, summed["item"].combine_chunks(), summed["n_sum"].combine_chunks()], names=names)
+
         for batch in batches:
-            texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
-            for at in range(0, len(texts), ROWS):
-                some = [(l, data, found) for t, l in zip(texts[at : at + ROWS], langs[at : at + ROWS]) if len(found := (data := (t or "").encode()).split()) >= min_words]
-                if not some:
-                    continue
-                own = np.stack([char_histogram(data) for _, data, _ in some])
-                short = [histograms.short_words(found) for _, _, found in some]
-                n = np.array([len(found) for _, _, found in some])
-                good = fits(*histograms.distances(own, short, n, MAX_CHAR, MAX_WORD, NOISE), n) if judges else np.ones(len(some), bool)
-                for i in np.flatnonzero(good).tolist():
-                    l = some[i][0]
-                    chars[l] += own[i]
-                    total[l] += int(n[i])
-                    words[l].update(short[i])
-        rows = [(l, "char", CLASSES[k], int(n)) for l, h in chars.items() for k, n in enumerate(h)]
-        rows += [(l, "all", "", n) for l, n in total.items()] + [(l, "word", w.decode("utf-8", "replace"), n) for l, c in words.items() for w, n in c.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], names=["lang", "kind", "item", "n"])
-
-    sums = map_arrow(docs, count, "lang string, kind string, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    first = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")
-    kept = sums.withColumn("place", F.row_number().over(first)).filter((F.col("kind") != "word") | (F.col("place") <= common)).orderBy("lang", "kind", "place").collect()
-    out = {}
-    for l in {r["lang"] for r in kept}:
-        mine = [r for r in kept if r["lang"] == l]
-        chars = {r["item"]: r["n"] for r in mine if r["kind"] == "char"}
-        words = {r["item"].encode(): r["n"] for r in mine if r["kind"] == "word"}
-        n = sum(r["n"] for r in mine if r["kind"] == "all")
-        out[l] = (np.array([chars.get(c, 0) for c in CLASSES]), {w: k for k, w in enumerate(words)}, np.array([*words.values(), n - sum(words.values())]))
-    return out
-
-
-def fits(char_distance: np.ndarray, word_distance: np.ndarray, n_words: np.ndarray, max_char: float = MAX_CHAR, max_word: float = MAX_WORD, noise: float = NOISE) -> np.ndarray:
-    """Few common words are expected in a short text, so what a word distance may be shrinks with the root of the length."""
-    return (char_distance <= max_char) & (word_distance <= max_word + noise / np.sqrt(np.maximum(1, n_words)))
-
-
-def quality(df: DataFrame, known: dict, text: str = "text", min_words: int = MIN_WORDS, repeated_percent: int = REPEATED_PERCENT, max_char: float = MAX_CHAR, max_word: float = MAX_WORD, noise: float = NOISE) -> DataFrame:
+            langs = np.array(batch.column("lang").to_pylist(), dtype=object)
+            for at, some in in_slices(batch.column("text").to_pylist()):
+                texts, of = Texts(some), langs[at : at + len(some)]
+                good = (texts.n_words >= min_words) & judge(texts)[2]
+                present = list(dict.fromkeys(of[good].tolist()))
+                group = np.full(len(some), -1)
+                for k, l in enumerate(present):
+                    rows = good & np.array([x == l for x in of])
+                    group[rows] = k
+                    chars[l] = chars.get(l, 0) + texts.chars[rows].sum(0)
+                    total[l] = total.get(l, 0) + int(texts.n_words[rows].sum())
+                if chosen is None:
+                    g, w, n = texts.sums(group, len(present))
+                    held.append(pa.RecordBatch.from_arrays([pa.array(present, pa.string()).take(pa.array(g)), texts.bare.take(pa.array(w)), pa.array(n, pa.int64())], names=["lang", "item", "n"]))
+                else:
+                    for k, l in enumerate(present):
+                        n = texts.counts(sets[l])[group == k].sum(0)
+                        held.append(pa.RecordBatch.from_arrays([pa.array([l] * len(n), pa.string()), sets[l], pa.array(n, pa.int64())], names=["lang", "item", "n"]))
+                if sum(b.num_rows for b in held) > ROWS_HELD:
+                    yield words()
+        if held:
+            yield words()
+        rows = [(l, "char", CLASSES[k], int(n)) for l, h in chars.items() for k, n in enumerate(h)] + [(l, "all", "", n) for l, n in total.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], names=names)
+
+    sums = map_arrow(docs, count, "lang string, kind string, item string, n long").filter("n > 0 AND (kind != 'word' OR item != '')").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+    # the limit holds for all kinds, so that Spark applies it before a language's rows meet in a task
+    place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))
+    kept = sums.withColumn("place", place).filter(F.col("place") <= max(candidates, common, len(CLASSES))).collect()
+    out, listed = {}, {}
+    for r in sorted(kept, key=lambda r: r["place"]):
+        chars, words, total = out.setdefault(r["lang"], ({}, [], []))
+        if r["kind"] == "word":
+            words.append((r["item"], r["n"]))
+        else:
+            (total.append(r["n"]) if r["kind"] == "all" else chars.__setitem__(r["item"], r["n"]))
+    for l, (chars, words, total) in out.items():
+        listed[l], top = words[:candidates], words[:common]
+        out[l] = Reference(np.array([chars.get(c, 0) for c in CLASSES]), [w for w, _ in top], np.array([*(n for _, n in top), sum(total) - sum(n for _, n in top)]))
+    return out, listed
+
+
+def quality(df: DataFrame, known: dict[str | None, Reference], text: str = "text", min_words: int = MIN_WORDS, repeated_percent: int = REPEATED_PERCENT, max_char: float = MAX_CHAR, max_word: float = MAX_WORD) -> DataFrame:
     """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, char_distance, word_distance, base_failed, kept.
 
     Base rules: fewer than min_words words, or more than repeated_percent % of the words in repeated
     three-word windows. Beyond these a document is kept unless a distance to its nearest language
-    exceeds its limit, for words plus noise / sqrt(n_words). A null text has no words; without references only the
-    base rules decide. Rows are independent; columns of df with the names of results are replaced.
+    exceeds its limit, for words beyond what chance brings at its length. A null text has no words; without references only the
+    base rules decide. Rows are independent, so repeated rows and ties are judged alike; an empty table gives an empty result;
+    columns of df with the names of results are replaced.
     """
     kinds = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "char_distance": "double", "word_distance": "double", "base_failed": "boolean", "kept": "boolean"}
     space = [CLASSES.index("space"), CLASSES.index("line")]
 
     def make():
-        histograms = Histograms(known)
-
-        def some(texts: list[str | None]) -> list[np.ndarray]:
-            chars, short, base = [], [], []
-            for t in texts:
-                data = (t or "").encode()
-                words = data.split()
-                chars.append(char_histogram(data))
-                short.append(histograms.short_words(words))
-                base.append((len(words), repeated_lines(data), repeated_words(words)))
-            chars, base = np.stack(chars), np.array(base, np.int64)
-            n, lines, repeated = base.T
-            c, w = histograms.distances(chars, short, n, max_char, max_word, noise)
+        judge = Judge(known, max_char, max_word)
+
+        def some(part: list[str | None]) -> list[np.ndarray]:
+            texts = Texts(part)
+            n, repeated = texts.n_words, texts.repeated_words()
+            c, w, fits = judge(texts)
             failed = (n < min_words) | (100 * repeated > repeated_percent * n)
-            return [n, chars.sum(1) - chars[:, space].sum(1), chars[:, CLASSES.index("symbol")], lines, repeated, c, w, failed, ~failed & fits(c, w, n, max_char, max_word, noise)]
+            lines = np.array([repeated_lines(d) for d in texts.data], np.int64)
+            return [n, texts.chars.sum(1) - texts.chars[:, space].sum(1), texts.chars[:, CLASSES.index("symbol")], lines, repeated, c, w, failed, ~failed & fits]
 
         def compute(batch: pa.RecordBatch) -> list:
-            texts = batch.column(text).to_pylist()
-            found = [some(texts[at : at + ROWS]) for at in range(0, len(texts), ROWS)]
+            found = [some(part) for _, part in in_slices(batch.column(text).to_pylist())]
             types = [{"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[k] for k in kinds.values()]
             return [pa.array(np.concatenate([f[k] for f in found]) if found else [], kind) for k, kind in enumerate(types)]
 
