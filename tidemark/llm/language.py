@@ -13,18 +13,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import append_columns, map_arrow, table
 
 BINS, ORDERS = 4096, (2, 3, 4)
-#: Bounds of the training sample: documents in all, documents of a language, and languages.
-SAMPLE, PER_LANGUAGE, LANGUAGES = 6000, 1000, 200
+#: Bounds of the training sample: documents in all (but one of each language at least), and documents of a language.
+SAMPLE, PER_LANGUAGE = 6000, 1000
 STEEPNESS, CHUNK = 4.0, 1 << 20
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]+")  # and numbers that are no digits, such as fractions
 _TO_SPACE = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -47,7 +47,8 @@ def profile(text: str) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether any character is a letter of Unicode's category L."""
+    return bool(text) and any(any(map(str.isalpha, m[0])) for m in _LETTER.finditer(text))
 
 
 def train_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 20, seed: int = 7) -> np.ndarray:
@@ -143,30 +144,40 @@ def held_out(id: Column) -> Column:
 
 
 def fit(df: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, per_language: int = PER_LANGUAGE) -> LanguageModel:
-    """Learn from rows of df that are not held out and have a language and a letter. Rows are taken by a hash
-    of their id, about as many of each language: at most `sample` in all and `per_language` each in
-    expectation. With more than LANGUAGES languages the most frequent ones are learned."""
+    """Learn from rows of df that are not held out and have a language and a letter.
+
+    Of each language the documents with the smallest hashes of id and text are taken, about as many of each: at most
+    per_language each and at most max(sample, number of languages) in all. Rows that repeat an id and its text
+    are one document. A null id is an id like any other. Without such rows nothing is learned and every text is `und`.
+    """
     rows = df.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
     if not counts:
         return LanguageModel()
-    each = min(per_language, sample // len(counts))
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, each / n))])
-    chance = F.pmod(F.xxhash64("id", F.lit("language sample")), F.lit(1_000_003)) / 1_000_003.0
-    taken = rows.filter(chance < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
+    each = max(1, min(per_language, sample // len(counts)))
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.3 * each / n))])
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("id", "text", F.lit("language sample")), F.lit(1 << 53)))
+    taken = rows.filter(F.col("h") < F.try_element_at(share, F.col("lang")) * float(1 << 53))
 
     def profiles(batches):
+        seen = set()
         for batch in batches:
-            found = [(l, profile(t).astype(np.float16).tobytes()) for t, l in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()) if has_letter(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.binary())], names=["lang", "profile"])
-
-    got = sorted(map_arrow(taken.select("text", "lang"), profiles, "lang string, profile binary").collect(), key=lambda r: (r["lang"], r["profile"]))
+            found = []
+            for t, l, h in zip(*(c.to_pylist() for c in batch.columns)):
+                if (l, h) not in seen and has_letter(t):
+                    seen.add((l, h))
+                    found.append((l, h, profile(t).astype(np.float16).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.binary()))], names=["lang", "h", "profile"])
+
+    drawn = map_arrow(taken.select("text", "lang", "h"), profiles, "lang string, h long, profile binary").groupBy("lang", "h").agg(F.min("profile").alias("profile"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    got = sorted(drawn.withColumn("place", place).filter(F.col("place") <= each).collect(), key=lambda r: (r["lang"], r["profile"]))
     x = np.stack([np.frombuffer(r["profile"], np.float16) for r in got]).astype(np.float32) if got else np.zeros((0, BINS), np.float32)
     return LanguageModel.fit(x, [r["lang"] for r in got])
 
 
-def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """df with lang_pred and score (0 to 1) of the whole text. A text that is null or has no letter is `und`, score 0.
+def identify(df: DataFrame, model: LanguageModel, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """df with columns `pred` and `score` (0 to 1) of the whole text. A text that is null or has no letter is `und`, score 0.
 
     Rows are independent; other columns pass through and are never looked at, except that columns with
     the names of the results are replaced.
@@ -175,19 +186,19 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFra
     def make():
         def compute(batch: pa.RecordBatch) -> list:
             texts = batch.column(text).to_pylist()
-            lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            lang, sure = [UNKNOWN] * len(texts), np.zeros(len(texts))
             for at in range(0, len(texts), 512):
                 rows = [i for i in range(at, min(at + 512, len(texts))) if has_letter(texts[i])]
                 if rows:
                     found, scores = model.predict(np.stack([profile(texts[i]) for i in rows]))
-                    score[rows] = scores
+                    sure[rows] = scores
                     for i, l in zip(rows, found):
                         lang[i] = l
-            return [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
+            return [pa.array(lang, pa.string()), pa.array(sure, pa.float64())]
 
         return compute
 
-    return append_columns(df, {"lang_pred": "string", "score": "double"}, make)
+    return append_columns(df, {pred: "string", score: "double"}, make)
 
 
 def op10_language(spark, sf_dir: str) -> DataFrame:
