@@ -110,7 +110,9 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 400, rate: float = 4.0, de
 
 def fit(df: DataFrame, id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> np.ndarray:
     """Weights of the scorer. Every document is voted on; the driver gets the counts of vote patterns (at
-    most 3 ** labelers) and the features of about `sample` documents with the smallest hashes of their id."""
+    most 3 ** labelers) and the features of at most `sample` documents, those with the smallest hashes of id and
+    text. Rows that repeat an id and its text count as often as they occur among the votes, but are one document of the sample.
+    Null texts are empty ones, a null id is an id like any other; from an empty table come weights of zero."""
     docs = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
 
     def count(batches):
@@ -123,18 +125,23 @@ def fit(df: DataFrame, id: str = "doc_id", text: str = "text", sample: int = SAM
     counts = {tuple(r["pattern"]): r["n"] for r in map_arrow(docs.select("text"), count, "pattern array<int>, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
     _, _, posterior = estimate(counts, len(LABELERS), in_favour=IN_FAVOUR, against=AGAINST, balance=0.5)
     share = min(1.0, sample / max(1, sum(counts.values())))
-    drawn = docs.filter(F.pmod(F.xxhash64("id", F.lit("quality sample")), F.lit(1_000_003)) < F.lit(share * 1_000_003))
+    h = F.pmod(F.xxhash64("id", "text", F.lit("quality sample")), F.lit(1 << 53))
+    drawn = docs.withColumn("h", h).filter(F.col("h") < F.lit(min(1.0, 1.2 * share) * (1 << 53)))
 
     def describe(batches):
+        seen = set()
         for batch in batches:
             rows = []
-            for t in batch.column("text").to_pylist():
-                data = (t or "").encode()
-                m = measures(data)
-                rows.append((list(votes(m)), hashed(data, m).astype(np.float16).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.binary())], names=["pattern", "x"])
-
-    got = sorted(map_arrow(drawn.select("text"), describe, "pattern array<int>, x binary").collect(), key=lambda r: (r["x"], r["pattern"]))
+            for t, h in zip(batch.column("text").to_pylist(), batch.column("h").to_pylist()):
+                if h not in seen:
+                    seen.add(h)
+                    data = (t or "").encode()
+                    m = measures(data)
+                    rows.append((h, list(votes(m)), hashed(data, m).astype(np.float16).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.list_(pa.int32()), pa.binary()))], names=["h", "pattern", "x"])
+
+    found = map_arrow(drawn.select("text", "h"), describe, "h long, pattern array<int>, x binary").groupBy("h").agg(F.min(F.struct("pattern", "x")).alias("r"))
+    got = sorted((r["r"] for r in found.orderBy("h").limit(sample).collect()), key=lambda r: (r["x"], r["pattern"]))
     if not got:
         return train(np.zeros((0, BINS + 4)), np.zeros(0))
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32)
