@@ -268,15 +268,15 @@ def _large_links(rows: DataFrame, bits: int, n: int) -> DataFrame:
     return map_arrow(met, search, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges(a, b): the smallest node reachable.
 
-    Large-star and small-star steps turn every component into a star around its smallest node; each
-    step is written to the shared folder, and only counts come to the driver.
+    Large-star and small-star steps turn every component into a star around its smallest node, until a step
+    changes nothing; their number grows with the square of the logarithm of the nodes at most. Each step is written to the shared folder, and only counts come to the driver.
     """
     now = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
     now, size = materialize(now, "edges"), None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # larger neighbours of each node move to its smallest neighbour
