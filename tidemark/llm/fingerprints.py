@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import append_columns, map_arrow, materialize, partitions, table
 from tidemark.llm.ranges import ranges_of
 
-#: Bits of a digest by which rows are told that can't have an equal; the table of them has 2 ** PREFIX_BITS bits at most.
-PREFIX_BITS = 20
+#: Hexadecimal digits of a digest by which rows are told that can't have an equal: the fewest, within these bounds, that give 32 or
+#: more prefixes to a repeated digest. The table of prefixes has 16 ** digits bits, 2 MB at most.
+PREFIX_DIGITS = (4, 6)
 
 
 def canonical(text: str | None) -> str:
@@ -46,12 +47,15 @@ def split_classes(digests: DataFrame, texts: DataFrame, digest_of: Callable[[str
     """The classes (digest, folded bytes, class number) of buckets in which different texts share a digest.
 
     digests has a row per document with its digest; texts has the texts. Only documents whose
-    digest's leading bits belong to a digest found more than once are compared.
+    digest's leading digits belong to a digest found more than once are compared. With some millions of repeated digests
+    most documents are, and their texts cross the network again.
     """
-    repeated = digests.groupBy("digest").count().filter("count > 1")
-    prefix = F.conv(F.substring("digest", 1, PREFIX_BITS // 4), 16, 10).cast("int")
-    marks = np.zeros(1 << PREFIX_BITS, bool)
-    marks[repeated.select(prefix.alias("p")).distinct().toPandas()["p"].to_numpy(np.int64)] = True  # 2 ** PREFIX_BITS rows at most
+    repeated = materialize(digests.groupBy("digest").count().filter("count > 1").select("digest"), "repeated")
+    n, (least, most) = repeated.count(), PREFIX_DIGITS
+    digits = next((d for d in range(least, most) if 16**d >= 32 * n), most)
+    prefix = F.conv(F.substring("digest", 1, digits), 16, 10).cast("int")
+    marks = np.zeros(16**digits, bool)
+    marks[repeated.select(prefix.alias("p")).distinct().toPandas()["p"].to_numpy(np.int64)] = True  # 16 ** digits rows at most
     packed = np.packbits(marks).tobytes()
 
     def fold(batches):
@@ -60,7 +64,7 @@ def split_classes(digests: DataFrame, texts: DataFrame, digest_of: Callable[[str
             rows = []
             for text in batch.column("text").to_pylist():
                 digest = digest_of(folded := canonical(text))
-                if marked[int(digest[: PREFIX_BITS // 4], 16)]:
+                if marked[int(digest[:digits], 16)]:
                     rows.append((digest, pack.compress(folded.encode("utf-8", "surrogatepass")), sha256(folded)))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.binary(), pa.binary()))], names=["digest", "bytes", "folded"])
 
