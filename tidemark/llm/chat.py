@@ -173,9 +173,9 @@ WITH t AS (
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), g AS (
   SELECT conv_id, count(*) AS n_turns,
-    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
-    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss_text,
-    string_agg(role, ',' ORDER BY turn, role, text) AS roles,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss_text,
+    string_agg(role, ',' ORDER BY turn NULLS FIRST, role, text) AS roles,
     sum({len(Template().turn_open) + len(Template().turn_close) + 1} + length(role) + {_sql_escaped_length()}) AS formatted_chars
   FROM t GROUP BY conv_id
 )
