@@ -245,8 +245,8 @@ def _sums(docs: DataFrame, judges: dict, chosen: dict | None, min_words: int, co
     return out, listed
 
 
-def quality(df: DataFrame, known: dict[str | None, Reference], text: str = "text", min_words: int = MIN_WORDS, repeated_percent: int = REPEATED_PERCENT, max_char: float = MAX_CHAR, max_word: float = MAX_WORD) -> DataFrame:
-    """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, char_distance, word_distance, base_failed, kept.
+def quality(df: DataFrame, known: dict[str | None, Reference], text: str = "text", min_words: int = MIN_WORDS, repeated_percent: int = REPEATED_PERCENT, max_char: float = MAX_CHAR, max_word: float = MAX_WORD, prefix: str = "") -> DataFrame:
+    """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, char_distance, word_distance, base_failed, kept, their names after `prefix`.
 
     Base rules: fewer than min_words words, or more than repeated_percent % of the words in repeated
     three-word windows. Beyond these a document is kept unless a distance to its nearest language
@@ -275,7 +275,7 @@ def quality(df: DataFrame, known: dict[str | None, Reference], text: str = "text
 
         return compute
 
-    return append_columns(df, kinds, make)
+    return append_columns(df, {prefix + k: kind for k, kind in kinds.items()}, make)
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
