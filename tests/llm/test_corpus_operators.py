@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidemark.llm import language, packing, quality_classifier, quality_rules, simhash, weak
+from tidemark.llm import language, packing, pii, quality_classifier, quality_rules, simhash, weak
 from tidemark.llm.common import table
 from tests.llm.test_text_operators import docs
 
@@ -257,22 +257,127 @@ def test_lengths_are_those_of_the_library(spark):
 
 
 def test_pipeline_stages_take_effect(spark):
-    kept = table(spark, SF, "documents")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    kept, ids = table(spark, SF, "documents"), []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
         before, kept = kept, stage(spark, kept, SF).persist()
         assert kept.columns == before.columns
         assert kept.count() <= before.count()
-    ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
+        ids.append({r["doc_id"] for r in kept.select("doc_id").collect()})
+    assert ids[0] > ids[1] > ids[2] == ids[3]  # test_jaccard.py holds the third stage against brute force
     labels = {r["doc_id"]: r["quality"] for r in table(spark, SF, "labels").collect()}
-    assert not any(labels.get(i) == 0 for i in ids)
+    assert not any(labels.get(i) == 0 for i in ids[-1])
     text = " ".join(r["text"] for r in kept.collect())
     assert not re.search(r"[a-z0-9.]+@mail\d\.example\.com", text) and "password=1" not in text
-    # brute force of the third stage: what the first two keep, one document of each group
-    two = table(spark, SF, "documents")
-    for _, stage in corpus_pipeline.STAGES[:2]:
-        two = stage(spark, two, SF)
-    rows = sorted((r["doc_id"], r["text"]) for r in two.collect())
-    _, top = brute_components(rows)
-    assert ids == {rows[g][0] for g in set(top)}
     got = corpus_pipeline.run(spark, SF)
-    assert {r["doc_id"] for r in got.select("doc_id").collect()} == ids
+    assert {r["doc_id"] for r in got.select("doc_id").collect()} == ids[-1]
+
+
+def test_stages_hand_on_columns_of_any_name(spark):
+    own = {c: F.lit("mine") for c in ("score", "lang_pred", "Score_", "kept", "rule_kept", "n_words", "spans", "keep", "redacted", "component_id", "a.b", "c`d")}
+    rows = table(spark, SF, "documents").where("doc_id < 200")
+    frame = rows.select("*", *[v.alias(k) for k, v in own.items()])
+    plain = rows
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        plain, frame = stage(spark, plain, SF), stage(spark, frame, SF)
+        assert frame.columns == [*plain.columns, *own]
+        got = frame.collect()
+        assert {r["doc_id"] for r in got} == {r["doc_id"] for r in plain.select("doc_id").collect()} and got
+        assert all(r[k] == "mine" for r in got for k in own)
+
+
+def test_odd_tables_pass_all_stages(spark):
+    rows = [(i, t, "en", "s", 1) for i, t in ODD] + [(k, "the cat of the house and the dog " * 20, None, None, None) for k in (50, 50, 51)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for table_ in (frame, frame.limit(0)):
+        kept = table_
+        for _, stage in corpus_pipeline.STAGES:
+            kept = stage(spark, kept, SF)
+            kept.count()
+
+
+def test_letters_are_those_of_category_l():
+    assert not any(language.has_letter(t) for t in ("½ ² ① Ⅷ 3_4", "", None, "\u0301"))
+    assert all(language.has_letter(t) for t in ("½a", "ª", "漢", "ǅ", "12 é"))
+
+
+def test_training_draws_are_bounded(spark):
+    """Nine rows in ten share an id, a text or both."""
+    rows = [(7 if k % 10 else k, "the same line of text" if k % 10 < 5 else f"text number {k} of the lot with mail a{k}@b.com") for k in range(4000)] + [(None, f"null {k}") for k in range(500)]
+    frame = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    brought = []
+    real = language.LanguageModel.fit, quality_classifier.train, pii.train
+    try:
+        language.LanguageModel.fit = classmethod(lambda cls, x, l: brought.append(len(x)) or cls())
+        language.fit(frame, sample=100, per_language=60)
+        quality_classifier.train = lambda x, y: brought.append(len(x)) or real[1](x[:0], y[:0])
+        quality_classifier.fit(frame, sample=50)
+        pii.train = lambda r: brought.append(len(r)) or real[2](r)
+        pii.fit(frame, sample=40)
+    finally:
+        language.LanguageModel.fit, quality_classifier.train, pii.train = classmethod(real[0].__func__), real[1], real[2]
+    assert 0 < brought[0] <= 60 and 0 < brought[1] <= 50 and 0 < brought[2] <= 40
+
+
+def test_predictions_never_see_other_columns(spark):
+    frame = table(spark, SF, "documents").where("doc_id < 300")
+    model = language.fit(frame)
+    mixed = frame.select("text", (F.col("doc_id") + 1000).alias("doc_id"), F.lit("fr").alias("lang"), F.lit("x").alias("source"))
+    score = lambda f: sorted((r["text"] or "", r["lang_pred"], r["score"]) for r in language.identify(f, model).collect())
+    assert score(frame) == score(mixed)
+    learned = language.fit(frame.withColumn("text", F.when(language.held_out(F.col("doc_id")), "a b c").otherwise(F.col("text"))))
+    assert all((learned.pair_weights[k] == v).all() for k, v in model.pair_weights.items())  # held-out texts teach nothing
+
+
+def test_svm_reaches_the_least_objective():
+    """Against projected gradient ascent on the dual over a small problem."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 5)).astype(np.float32)
+    y = np.where(x[:, 0] + 0.5 * rng.normal(size=60) > 0, 1, -1)
+    cost = np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum()))
+    objective = lambda w: w @ w / 2 + (cost * np.maximum(0, 1 - y * (x @ w))).sum()
+    q, a = (x * y[:, None]) @ (x * y[:, None]).T, np.zeros(60)
+    for _ in range(20_000):
+        a = np.clip(a + (1 - q @ a) / np.linalg.norm(q, 2), 0, cost)
+    best, got = objective((a * y) @ x), objective(language.train_svm(x, y, c=1.0, epochs=300))
+    assert got <= best * 1.01 + 1e-3
+
+
+def test_weak_labels_are_those_of_plain_em():
+    """The same model over single items instead of counts of patterns, written out."""
+    rng, items = random.Random(2), []
+    for _ in range(300):
+        truth = rng.random() < 0.5
+        items.append(tuple(0 if rng.random() < 0.3 else (1 if (rng.random() < r) == truth else -1) for r in (0.9, 0.8, 0.7)))
+    post = [1 / (1 + np.exp(-2.0 * sum(v))) for v in items]
+    for _ in range(200):
+        rates = {}
+        for k in range(3):
+            cast = sum(v[k] != 0 for v in items)
+            for c in (0, 1):
+                n = [sum((p if c else 1 - p) for v, p in zip(items, post) if v[k] == s) for s in (-1, 1)]
+                n = [x + weak.PRIOR * cast * (0.8 if (s == 1) == (c == 1) else 0.2) + 0.1 for x, s in zip(n, (-1, 1))]
+                rates[k, c] = {-1: n[0] / sum(n), 1: n[1] / sum(n)}
+        new = [1 / (1 + np.exp(-sum(np.log(rates[k, 1][x] / rates[k, 0][x]) for k, x in enumerate(v) if x))) for v in items]
+        rested, post = max(abs(a - b) for a, b in zip(new, post)) < 1e-6, new
+        if rested:
+            break
+    _, _, got = weak.estimate(Counter(items), 3, balance=0.5)
+    assert all(abs(got[v] - p) < 1e-4 for v, p in zip(items, post))
+
+
+def test_votes_and_measures_by_hand():
+    text = "The cat sat. The cat sat.\nThe cat sat. The cat sat.\n" + "word!! " * 4 + "A|B #x"
+    m, w = quality_classifier.measures(text.encode()), text.split()
+    assert m["words"] == len(w) and abs(m["lines"] - 1 / 3) < 1e-12 and m["runs"] == 4 / len(w)
+    assert m["adjacent"] == sum(a == b for a, b in zip(w, w[1:])) / len(w)
+    windows = list(zip(w, w[1:], w[2:]))
+    assert abs(m["windows"] - (1 - len(set(windows)) / len(windows))) < 1e-12
+    assert m["symbols"] == 1 / len(text) and m["bars"] == 1 / len(w)
+    assert m["ends"] == sum(x.endswith((".", "?", "!", '."')) for x in w) / len(w)
+    assert quality_classifier.votes(quality_classifier.measures(b""))[:2] == (1, 1)
+
+
+def test_components_of_a_long_chain(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(600)] + [(1000, 1001)], "a long, b long")
+    got = {r["node"]: r["component"] for r in simhash.components(chain).collect()}
+    assert got == {k: 0 for k in range(601)} | {1000: 1000, 1001: 1000}

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -60,6 +61,16 @@ def test_any_text_round_trips(text):
 _ANY: dict = {}
 
 
+def test_round_trip_digests_are_the_librarys(spark):
+    library, rows = Tokenizer.from_file(BYTE), ROWS + [(30 + k, "".join(random.Random(k).choice(PIECES) for _ in range(40))) for k in range(60)]
+    got = bpe.roundtrip_digests(docs(spark, rows), BYTE).collect()
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for (_, t), r in zip(rows, got, strict=True):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), sha(",".join(map(str, ids))))
+        assert r["decoded_sha256"] == sha(library.decode(ids, skip_special_tokens=False))
+
+
 def test_decoder_is_the_library_on_random_ids():
     library, rng = Tokenizer.from_file(BYTE), np.random.default_rng(1)
     mine = bpe.ByteDecoder(library)
@@ -132,6 +143,14 @@ def test_fingerprints_mean_equal_folded_texts(spark, digest):
             assert (got[i]["fingerprint"] == got[j]["fingerprint"]) == (fingerprints.canonical(a) == fingerprints.canonical(b))
 
 
+def test_repeated_and_null_ids_have_a_next_document(spark):
+    rows = [(5, f"text {k}") for k in range(40)] + [(None, f"none {k}") for k in range(20)] + [(9, "same"), (9, "same")]
+    got = fingerprints.with_next(docs(spark, rows).select("doc_id", "text"), n=4).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows)
+    following = Counter(r["next_folded"] for r in got)
+    assert following == Counter(fingerprints.sha256(t) for _, t in rows)  # one circle over all rows
+
+
 @pytest.mark.parametrize("digest", [fingerprints.wide_digest, weak_digest])
 def test_edited_texts(spark, digest):
     rows = [(i * 3, "w%d " % (i % 5) * (i % 7)) for i in range(60)] + [(500, None), (501, "é" * 9)]
@@ -162,6 +181,18 @@ def test_chat_reads_back_exactly(spark):
     assert chat.format_conversations(frame.limit(0)).count() == 0
 
 
+def test_chat_query_and_its_sql_agree(spark, tmp_path):
+    rows = [(1, 0, "user", "hi <|im_end|>"), (1, 1, "assistant", "␛a"), (2, None, "user", "null turn"), (2, 0, "assistant", None), (3, 1, None, ""), (3, 1, None, "")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    for folder in (str(tmp_path), "/root/testdata/sf0.01"):
+        con = duckdb.connect()
+        pattern = "/*.parquet" if folder == str(tmp_path) else ""
+        con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{folder}/conversations.parquet{pattern}')")
+        got = chat.op3_chat(spark, folder)
+        want = con.execute(chat.OP3_SQL).fetchdf()[got.columns]
+        assert sorted(map(tuple, got.toPandas().to_numpy().tolist())) == sorted(map(tuple, want.to_numpy().tolist()))
+
+
 def test_a_template_that_could_not_be_read_back_is_refused():
     with pytest.raises(ValueError):
         chat.Template(controls=("<|im_start|>", "<|im_end|>", "x<")).codes()
@@ -198,3 +229,36 @@ def test_personal_data_is_found_and_redacted(spark):
     clean = {r["doc_id"]: r["text"] for r in pii.redact(frame, pii.fit(frame)).collect()}
     assert clean[0] == 'token = "[SECRET]" mail [EMAIL]' and clean[300] == "plain words only" and clean[301] is None
     assert pii.find(frame.limit(0), pii.fit(frame.limit(0))).count() == 0
+
+
+def test_further_personal_data_is_found(spark):
+    """Names, addresses, grouped numbers, accounts and plain passwords beside secrets that teach the classifier."""
+    rows = [(i, f'token = "{hashlib.sha256(str(i).encode()).hexdigest()[:40]}" and mail bob.{i}@mail.example.com, version 2.{i}.0, from 2019-{1 + i % 12}-28 on') for i in range(60)]
+    asked = {
+        "account": "IBAN DE89 3704 0044 0532 0130 00 here", "number": "call (555) 123-4567 now", "secret": "password: hunterx is it",
+        "name": "ask Dr. Jane Smith about it", "place": "lives at 12 Oak Tree Lane since",
+    }
+    rows += [(100 + k, t) for k, t in enumerate(asked.values())] + [(200, "the years 2019-2020, on 2019-12-31, page 1234567 of it")]
+    frame = docs(spark, rows)
+    got = {r["doc_id"]: [(s["kind"], r["text"][s["start"] : s["end"]]) for s in r["spans"]] for r in pii.find(frame, pii.fit(frame)).collect()}
+    wanted = ["DE89 3704 0044 0532 0130 00", "(555) 123-4567", "hunterx", "Dr. Jane Smith", "12 Oak Tree Lane"]
+    assert [got[100 + k] for k in range(5)] == [[(kind, w)] for kind, w in zip(asked, wanted)]
+    assert got[200] == []
+
+
+def test_candidates_by_brute_force():
+    """No two candidates overlap, none touches a base span, and every digit or at sign of a long enough token is in a span."""
+    rng = random.Random(8)
+    parts = ["a1b2c3d4", "bob@x.com", "x@", "12", "555 123 4567", "(030) 12-345", "password=", "token: abcd", "Mr. John Smith", "DE89 3704 0044 0532 0130 00", " ", " ", ",", "4111111111111111", "Hauptstraße 5", "é"]
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        base = pii.base_spans(t)
+        found = pii.candidates(t, base)
+        spans = sorted((a, b) for _, a, b in found)
+        assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:])), t
+        assert not any(a < d and c < b for a, b in spans for _, c, d in base), t
+        for m in re.finditer(r"[^ \t\n\r\x0b\x0c\"'<>(),;|=]+", t):
+            token = m[0].strip(pii._EDGE)
+            start = m.start() + m[0].index(token) if token else 0
+            if len(token) >= 6 and re.search("[0-9@]", token):
+                assert any(a < start + len(token) and start < b for a, b in [*spans, *((c, d) for _, c, d in base)]), (t, token)
