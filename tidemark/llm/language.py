@@ -90,6 +90,7 @@ class LanguageModel:
     families: list[list[str]] = field(default_factory=list)
     family_weights: np.ndarray | None = None
     pair_weights: dict = field(default_factory=dict)
+    means: np.ndarray | None = None
 
     @classmethod
     def fit(cls, x: np.ndarray, lang: list[str]) -> "LanguageModel":
@@ -97,7 +98,8 @@ class LanguageModel:
         names = sorted(set(lang))
         if not names:
             return cls()
-        families = families_of({k: x[lang == k].mean(0) for k in names})
+        means = np.stack([x[lang == k].mean(0) for k in names])
+        families = families_of(dict(zip(names, means)))
         of = {k: f for f, group in enumerate(families) for k in group}
         which = np.array([of[k] for k in lang])
         family = np.stack([train_svm(x, np.where(which == f, 1, -1)) for f in range(len(families))]) if len(families) > 1 else None
@@ -106,7 +108,11 @@ class LanguageModel:
             for a, b in combinations(group, 2):
                 rows = (lang == a) | (lang == b)
                 pairs[a, b] = train_svm(x[rows], np.where(lang[rows] == a, 1, -1))
-        return cls(families, family, pairs)
+        return cls(families, family, pairs, means / np.maximum(1e-12, np.linalg.norm(means, axis=1, keepdims=True)))
+
+    def likeness(self, x: np.ndarray) -> np.ndarray:
+        """Cosine of each profile and the mean profile of the language that it is most like."""
+        return (x @ self.means.T).max(1) if self.means is not None else np.zeros(len(x))
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Languages and scores: the weakest of the margins that decided, as a logistic value (0.5: undecided)."""
@@ -176,8 +182,8 @@ def fit(df: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang
     return LanguageModel.fit(x, [r["lang"] for r in got])
 
 
-def identify(df: DataFrame, model: LanguageModel, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """df with columns `pred` and `score` (0 to 1) of the whole text. A text that is null or has no letter is `und`, score 0.
+def identify(df: DataFrame, model: LanguageModel, text: str = "text", pred: str = "lang_pred", score: str = "score", likeness: str | None = None) -> DataFrame:
+    """df with columns `pred` and `score` (0 to 1) of the whole text, and `likeness` to the nearest learned language (0 to 1) where it is named. A text that is null or has no letter is `und`, score 0.
 
     Rows are independent; other columns pass through and are never looked at, except that columns with
     the names of the results are replaced.
@@ -186,19 +192,21 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", pred: str
     def make():
         def compute(batch: pa.RecordBatch) -> list:
             texts = batch.column(text).to_pylist()
-            lang, sure = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            lang, sure, like = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
             for at in range(0, len(texts), 512):
                 rows = [i for i in range(at, min(at + 512, len(texts))) if has_letter(texts[i])]
                 if rows:
-                    found, scores = model.predict(np.stack([profile(texts[i]) for i in rows]))
+                    x = np.stack([profile(texts[i]) for i in rows])
+                    found, scores = model.predict(x)
+                    like[rows] = model.likeness(x)
                     sure[rows] = scores
                     for i, l in zip(rows, found):
                         lang[i] = l
-            return [pa.array(lang, pa.string()), pa.array(sure, pa.float64())]
+            return [pa.array(lang, pa.string()), pa.array(sure, pa.float64()), *([pa.array(like, pa.float64())] if likeness else [])]
 
         return compute
 
-    return append_columns(df, {pred: "string", score: "double"}, make)
+    return append_columns(df, {pred: "string", score: "double"} | ({likeness: "double"} if likeness else {}), make)
 
 
 def op10_language(spark, sf_dir: str) -> DataFrame:
