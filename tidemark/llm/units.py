@@ -315,7 +315,7 @@ def _plain_form(described: dict) -> tuple[Callable[[str], str] | None, bool]:
     return None, False
 
 
-def in_slices(texts: list[str | None], chars: int = 4_000_000):
+def in_slices(texts: list[str | None], chars: int = 2_000_000):
     """Slices of a batch by characters, so that a task holds little beside one batch, whatever the texts' lengths."""
     start, held = 0, 0
     for i, text in enumerate(texts):
