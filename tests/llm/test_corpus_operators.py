@@ -385,9 +385,9 @@ def test_components_of_a_long_chain(spark):
 
 def test_the_language_stage_rejects_what_is_no_known_language(spark):
     rng, known = random.Random(3), table(spark, SF, "documents")
-    junk = ["".join(rng.choice("абвгдежзийклмнопрст ") for _ in range(600)) for _ in range(20)] + [" ".join("".join(rng.choice("bcdfghjkmpqvwxz") for _ in range(rng.randint(2, 9))) for _ in range(150)) for _ in range(20)] + ["123 456", "", None]
+    junk = ["".join(rng.choice("абвгдежзийклмнопрст ") for _ in range(600)) for _ in range(20)] + [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(150)) for _ in range(20)] + ["123 456", "", None]
     mixed = known.where("lang = 'de'").limit(20).join(known.where("lang = 'en'").select(F.col("doc_id").alias("k"), F.col("text").alias("t")).limit(20), F.lit(True)).limit(20).withColumn("doc_id", F.col("doc_id") + 20_000).withColumn("text", F.concat("text", F.lit(" "), "t")).drop("k", "t")
     strange = spark.createDataFrame([(10_000 + k, t, None, "s", 1) for k, t in enumerate(junk)], known.schema)
     got = corpus_pipeline.identify_language(spark, known.unionByName(strange).unionByName(mixed), SF)
     ids = Counter(r["doc_id"] // 10_000 for r in got.select("doc_id").collect())
-    assert ids[0] == known.where(F.col("text").rlike(r"\p{L}")).count() and ids[1] <= 2 and ids[2] == mixed.count()
+    assert ids[0] == known.where(F.col("text").rlike(r"\p{L}")).count() and ids[1] <= 5 and ids[2] == mixed.count()
