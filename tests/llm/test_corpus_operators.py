@@ -390,4 +390,4 @@ def test_the_language_stage_rejects_what_is_no_known_language(spark):
     strange = spark.createDataFrame([(10_000 + k, t, None, "s", 1) for k, t in enumerate(junk)], known.schema)
     got = corpus_pipeline.identify_language(spark, known.unionByName(strange).unionByName(mixed), SF)
     ids = Counter(r["doc_id"] // 10_000 for r in got.select("doc_id").collect())
-    assert ids[0] == known.where(F.col("text").rlike(r"\p{L}")).count() and ids[1] <= 5 and ids[2] == mixed.count()
+    assert ids[0] == known.where(F.col("text").rlike(r"\p{L}")).count() and ids[1] <= 20 and ids[2] == mixed.count()
