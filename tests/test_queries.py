@@ -40,6 +40,47 @@ def test_every_document_gets_one_cluster(spark):
     assert all(0 <= r["cluster"] < 10 for r in rows)
 
 
+def test_chain_from_texts_to_flags(spark):
+    rows = catalog.QUERIES["found_flags"](spark, "/root/testdata/sf0.01").collect()
+    assert rows and len({(r["grp"], r["cluster"]) for r in rows}) == len(rows)
+    assert any(r["flagged"] for r in rows) and all(0 < r["cohesion"] <= 1 + 1e-9 for r in rows)
+    assert all(r["size"] >= 5 for r in rows if r["flagged"]) and all(r["top_terms"] for r in rows)
+
+
+def test_chain_from_centrality_to_the_forecast(spark, monkeypatch):
+    from tidemark.operators import forecast
+
+    fit = forecast.fit_change_model
+    monkeypatch.setattr(forecast, "fit_change_model", lambda examples, **k: fit(examples, **(k | {"trees": 3})))
+    rows = catalog.QUERIES["centrality_backtest"](spark, "/root/testdata/sf0.01").collect()
+    assert rows and all(r["model_mae"] > 0 and 0 <= r["model_direction_acc"] <= 1 and r["n_train"] >= 50 for r in rows)
+
+
+def test_centrality_is_that_of_a_dense_solver(spark):
+    row = catalog.QUERIES["verify_centrality"](spark, SF).collect()
+    assert [r["agrees"] for r in row] == [True]
+
+
+def test_no_window_sorts_all_rows_of_a_year(spark):
+    """Windows by year alone run over aggregated counts."""
+    for name in ("entity_rank_by_year", "item_year_trend"):
+        plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        at = [line for line in plan.splitlines() if "Window" in line and "[year#" in line.split("], [")[1]]
+        assert at and all("__rows" in line for line in at)
+
+
+def test_a_model_is_saved_and_read_back(spark, tmp_path):
+    from tidemark.operators import profiles
+    from tidemark.sources import tables
+
+    df = spark.createDataFrame([(float(k % 5), float(k * k % 7)) for k in range(50)], "a double, b double")
+    model = profiles.fit_pca(df, ["a", "b"])
+    tables.save_model(model, str(tmp_path / "m"))
+    again = tables.load_model(str(tmp_path / "m"))
+    assert again.transform(df).select("pca").collect() == model.transform(df).select("pca").collect()
+    assert abs(sum(v for _, v in profiles.explained_variance(again)) - 1) < 1e-9
+
+
 def test_classifier_learns_languages(spark):
     rows = catalog.QUERIES["classify_lang"](spark, "/root/testdata/sf0.01").collect()
     known = [r for r in rows if r["label"] != "Other"]

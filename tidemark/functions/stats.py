@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.shared import cut
+
 
 def rounded(x: Column, digits: int) -> Column:
     """Half-up rounding by floor; Spark's round() and other engines' differ on values such as 1.005."""
@@ -32,14 +34,21 @@ def average_rank(df: DataFrame, column: str, name: str, *, by: list[str] | None
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: n, rho (Pearson on average-tie ranks) and t = rho * sqrt((n - 2) / (1 - rho^2)).
 
-    Ranks come from counts per distinct value, so no task has to sort all rows.
+    Ranks come from counts per distinct value, in ranges between approximate quantiles: a task sorts a range, and
+    the ranges' totals (a row each) shift its ranks.
     """
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    both = cut(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), "pairs")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def ranks(c: str) -> DataFrame:
         per_value = both.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        below = F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1))
-        return per_value.select(c, (F.coalesce(below, F.lit(0)) + (F.col("n") + 1) / 2.0).alias(f"r{c}"))
+        edges = sorted(set(per_value.approxQuantile(c, [k / parts for k in range(1, parts)], 0.5 / parts))) if parts > 1 else []
+        part = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(c))) if edges else F.lit(0)
+        placed = per_value.withColumn("part", part)
+        totals = placed.groupBy("part").agg(F.sum("n").alias("all"))
+        before = totals.select("part", F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row per range
+        below = F.sum("n").over(Window.partitionBy("part").orderBy(c).rowsBetween(Window.unboundedPreceding, -1))
+        return placed.join(before, "part").select(c, (F.col("before") + F.coalesce(below, F.lit(0)) + (F.col("n") + 1) / 2.0).alias(f"r{c}"))
 
     joined = both.join(ranks("x"), "x").join(ranks("y"), "y")
     out = joined.agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, NGram, Normalizer, SQLTransformer, StopWordsRemover, StringIndexer, Tokenizer
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, IndexToString, NGram, Normalizer, SQLTransformer, StopWordsRemover, StringIndexer, Tokenizer
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +38,8 @@ def tfidf_train_only(train: DataFrame, other: DataFrame, min_df: int = 3, max_df
     return weigh(a, vocab).drop("grp"), weigh(b, vocab).drop("grp")
 
 
-def fit_classifier(train: DataFrame, min_df: float = 3.0, max_df: float = 0.5, max_iter: int = 100) -> PipelineModel:
-    """H5: multinomial logistic regression on scaled TF-IDF with balanced class weights; regParam 1 / n stands for C = 1.
+def fit_classifier(train: DataFrame, min_df: float = 3.0, max_df: float = 0.5, max_iter: int = 1000) -> PipelineModel:
+    """H5: multinomial logistic regression on H4's weights with balanced class weights; regParam 1 / n stands for C = 1.
 
     Columns used: cleaned, label. The result adds predicted.
     """
@@ -48,16 +49,22 @@ def fit_classifier(train: DataFrame, min_df: float = 3.0, max_df: float = 0.5, m
     index = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc", handleInvalid="keep").fit(train)
     stages = [
         Tokenizer(inputCol="cleaned", outputCol="words"),
-        StopWordsRemover(inputCol="words", outputCol="kept", stopWords=list(STOP_WORDS)),
+        SQLTransformer(statement="SELECT *, filter(words, w -> length(w) >= 2) AS long FROM __THIS__"),
+        StopWordsRemover(inputCol="long", outputCol="kept", stopWords=list(STOP_WORDS)),
         NGram(n=2, inputCol="kept", outputCol="pairs"),
         SQLTransformer(statement="SELECT *, concat(kept, pairs) AS terms FROM __THIS__"),
         CountVectorizer(inputCol="terms", outputCol="tf", minDF=min_df, maxDF=max_df),
-        IDF(inputCol="tf", outputCol="weighted"),
+    ]
+    counted = Pipeline(stages=stages).fit(index.transform(weighted))
+    seen = counted.transform(index.transform(weighted))
+    idf = 1 + IDF(inputCol="tf", outputCol="idf").fit(seen).idf.toArray()  # Spark's lacks the 1
+    stages = [
+        ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="tf", outputCol="weighted"),
         Normalizer(inputCol="weighted", outputCol="features"),
         LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", family="multinomial", regParam=1 / total["n"], standardization=False, maxIter=max_iter),
     ]
-    fitted = Pipeline(stages=stages).fit(index.transform(weighted))
-    return PipelineModel(stages=[*fitted.stages, IndexToString(inputCol="prediction", outputCol="predicted", labels=index.labels)])
+    fitted = Pipeline(stages=stages).fit(seen)
+    return PipelineModel(stages=[*counted.stages, *fitted.stages, IndexToString(inputCol="prediction", outputCol="predicted", labels=index.labels)])
 
 
 def _cells(predicted: DataFrame, by: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.stats import percent
 from tidemark.operators import trends as D
 from tidemark.operators.labels import label_family
+from tidemark.operators.search import entity_groups, record_detail
 
 
 def entity_dictionary(affected: DataFrame, min_records: int = 20, min_chars: int = 3) -> DataFrame:
@@ -52,7 +53,7 @@ def entity_facts(records: DataFrame, affected: DataFrame, canonical: DataFrame,
     return out.select("entity", "total", "place", "label", "n", percent(F.col("n"), F.col("top_sum")).alias("pct_of_top"), percent(F.col("n"), F.col("total")).alias("pct_of_all"))
 
 
-def entity_family_facts(facts: DataFrame, families: dict[str, list[str]]) -> DataFrame:
+def entity_family_facts(facts: DataFrame, families: dict[str, list[str]] | None = None) -> DataFrame:
     """Per entity and family the part of its top labels, in percent."""
     return label_family(facts, families).where(F.col("family").isNotNull()).groupBy("entity", "family").agg(F.sum("pct_of_top").alias("pct_of_top"))
 
@@ -62,6 +63,22 @@ def entity_items(affected: DataFrame, n: int = 5) -> DataFrame:
     return _top(affected.select("id", "entity", "item").distinct(), "entity", "item", n)
 
 
+def _last_years(df: DataFrame, key: str, n: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("year"))).cast("long")
+    return df.withColumn("place", place).where(F.col("place") <= n)
+
+
+def entity_years(records: DataFrame, affected: DataFrame, n: int = 8) -> DataFrame:
+    """An entity's records in each of its last n years that have any; place 1 is the newest."""
+    pairs = affected.select("id", "entity").distinct().join(records.select("id", "year"), "id")
+    return _last_years(pairs.groupBy("entity", "year").agg(F.count(F.lit(1)).alias("n")), "entity", n)
+
+
+def label_years(trend: DataFrame, n: int = 8) -> DataFrame:
+    """I4: of D4's rows those of each label's last n years; place 1 is the newest."""
+    return _last_years(trend.select("label", "year", "n", "pct_of_year", "yoy_pct"), "label", n)
+
+
 def label_facts(records: DataFrame, affected: DataFrame, canonical: DataFrame, n: int = 8) -> DataFrame:
     """I4: for every label its records and its top entities."""
     totals = canonical.groupBy("label").agg(F.count(F.lit(1)).alias("total"))
@@ -82,32 +99,43 @@ def year_facts(records: DataFrame, affected: DataFrame, canonical: DataFrame, as
 
 
 def record_facts(records: DataFrame, affected: DataFrame, text: str = "text", chars: int = 1500) -> DataFrame:
-    """Per record distinct items and entities, and its text cut at a word after `chars` characters."""
-    counts = affected.groupBy("id").agg(F.count_distinct("item").alias("items"), F.count_distinct("entity").alias("entities"))
+    """Per record its distinct items (of one entity each) and entities, and its text cut at a word after `chars` characters."""
+    counts = affected.groupBy("id").agg(F.count_distinct(F.struct("entity", "item")).alias("items"), F.count_distinct("entity").alias("entities"))
     short = F.when(F.char_length(text) <= chars, F.col(text)).otherwise(F.regexp_replace(F.substring(text, 1, chars), r"\s\S*\z", ""))
     return records.select("id", short.alias("excerpt")).join(counts, "id", "left").fillna(0, ["items", "entities"])
 
 
+def record_briefing(records: DataFrame, assignments: DataFrame, affected: DataFrame, canonical: DataFrame, archetypes: DataFrame, text: str = "text", chars: int = 1500) -> DataFrame:
+    """C4's nested records with record_facts() and, as groups, C7's (archetype, entities) of the profiled entities."""
+    groups = entity_groups(affected, archetypes).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("archetype", "entities"))).alias("groups"))
+    return record_detail(records, assignments, affected, canonical).join(record_facts(records, affected, text, chars), "id").join(groups, "id", "left")
+
+
 def overview_facts(records: DataFrame, affected: DataFrame, canonical: DataFrame, assignments: DataFrame, years: int = 10) -> DataFrame:
-    """One long table (section, place, key, value) of the whole collection: span, last years, coverage, top entities and labels, severities."""
+    """One long table (section, place, key, value, pct) of the whole collection: span, last years, coverage, top entities of
+    the latest year and of all, and the latest year's top labels and severities with their percent of the year."""
 
-    def ranked(df: DataFrame, section: str, key: str, value: str, n: int, *order) -> DataFrame:
+    def ranked(df: DataFrame, section: str, key: str, value: str, n: int, *order, pct: str | None = None) -> DataFrame:
         first = df.orderBy(*order).limit(n)
         place = F.row_number().over(Window.orderBy(*order)).cast("long")  # n rows
-        return first.select(F.lit(section).alias("section"), place.alias("place"), F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("value"))
+        share = F.col(pct) if pct else F.lit(None).cast("double")
+        return first.select(F.lit(section).alias("section"), place.alias("place"), F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("value"), share.alias("pct"))
+
+    def latest(df: DataFrame) -> DataFrame:
+        return df.join(records.agg(F.max("year").alias("year")), "year", "left_semi")
 
     span = records.agg(F.min("year").alias("first"), F.max("year").alias("last")).unpivot([], ["first", "last"], "key", "value")
     totals, cover = D.year_totals(records), D.coverage_by_year(records, affected, assignments)
-    entities = affected.select("id", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
-    labels = canonical.where(~F.col("generic")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    severities = records.groupBy(F.coalesce("severity", F.lit(D.UNSCORED)).alias("severity")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = affected.select("id", "entity").distinct()
+    count = lambda df: df.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
     parts = [
         ranked(span, "span", "key", "value", 2, "key"),
         ranked(totals, "year", "year", "total", years, F.desc("year")),
         ranked(cover, "coverage", "year", "item_pct", 6, F.desc("year")),
-        ranked(entities, "entity", "entity", "n", 10, F.desc("n"), "entity"),
-        ranked(labels, "label", "label", "n", 10, F.desc("n"), "label"),
-        ranked(severities, "severity", "severity", "n", 10, F.desc("n"), "severity"),
+        ranked(count(pairs.join(latest(records).select("id"), "id", "left_semi")), "entity_latest", "entity", "n", 10, F.desc("n"), "entity"),
+        ranked(count(pairs), "entity", "entity", "n", 10, F.desc("n"), "entity"),
+        ranked(latest(D.label_year_trend(records, canonical)), "label_latest", "label", "n", 10, F.desc("n"), "label", pct="pct_of_year"),
+        ranked(latest(D.severity_year_trend(records)), "severity_latest", "severity", "n", 10, F.desc("n"), "severity", pct="pct_of_year"),
     ]
     out = parts[0]
     for p in parts[1:]:

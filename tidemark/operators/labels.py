@@ -10,7 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: labels whose names the catalogue lacks
-SPECIAL_NAMES = {"NVD-CWE-Other": "Other", "NVD-CWE-noinfo": "Insufficient Information"}
+SPECIAL_NAMES = {"NVD-CWE-Other": "Other / not mapped to a specific weakness", "NVD-CWE-noinfo": "No weakness information provided"}
+# fixed values: families of labels by which an entity is characterised
+LABEL_FAMILIES = {
+    "memory safety": ["CWE-119", "CWE-120", "CWE-121", "CWE-122", "CWE-125", "CWE-129", "CWE-134", "CWE-190", "CWE-401", "CWE-415", "CWE-416", "CWE-476", "CWE-787", "CWE-824", "CWE-843", "CWE-908"],
+    "web and injection": ["CWE-22", "CWE-74", "CWE-77", "CWE-78", "CWE-79", "CWE-80", "CWE-89", "CWE-90", "CWE-94", "CWE-98", "CWE-113", "CWE-352", "CWE-434", "CWE-611", "CWE-918", "CWE-1321"],
+}
 
 
 def canonical_label(assignments: DataFrame, authority: str, primary: str) -> DataFrame:
@@ -50,8 +55,9 @@ def label_names(df: DataFrame, catalog: DataFrame, label: str = "label") -> Data
     return out.withColumn("display", F.when(F.col("name").isNull(), F.col(label)).otherwise(F.concat(label, F.lit(" ("), "name", F.lit(")"))))
 
 
-def label_family(df: DataFrame, families: dict[str, list[str]], label: str = "label") -> DataFrame:
-    """df with family, the first of the given families that lists the label."""
+def label_family(df: DataFrame, families: dict[str, list[str]] | None = None, label: str = "label") -> DataFrame:
+    """df with family, the first of the families (LABEL_FAMILIES) that lists the label."""
+    families = families or LABEL_FAMILIES
     family = F.lit(None).cast("string")
     for name, members in reversed(families.items()):
         family = F.when(F.col(label).isin(*members), name).otherwise(family)

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, PCAModel, StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# fixed values: two families of labels by which clusters are named
+# fixed values: two families of labels by which clusters are named, and the name of clusters that neither marks
 FAMILIES = {
-    "Memory safety": ["CWE-787", "CWE-125", "CWE-119", "CWE-416", "CWE-120", "CWE-121", "CWE-122", "CWE-190", "CWE-476", "CWE-362"],
-    "Web application": ["CWE-79", "CWE-89", "CWE-352", "CWE-22", "CWE-434", "CWE-862", "CWE-863", "CWE-918", "CWE-94", "CWE-601"],
+    "Memory-safety-heavy": ["CWE-119", "CWE-120", "CWE-122", "CWE-125", "CWE-190", "CWE-415", "CWE-416", "CWE-476", "CWE-787", "CWE-908"],
+    "Web-injection-heavy": ["CWE-22", "CWE-74", "CWE-77", "CWE-78", "CWE-79", "CWE-89", "CWE-94", "CWE-98", "CWE-352", "CWE-434"],
 }
+DIFFUSE = "Diffuse (no dominant category)"
 
 
 def entity_shares(affected: DataFrame, canonical_top: DataFrame, min_total: int = 20, by: list[str] | None = None) -> DataFrame:
@@ -87,14 +88,14 @@ def cluster_profile(df: DataFrame, columns: list[str], cluster: str = "cluster",
 
 
 def name_clusters(profile: DataFrame, families: dict[str, list[str]] | None = None, other: str = "Other", cluster: str = "cluster") -> DataFrame:
-    """F8: the family with the larger summed share (the first wins ties), or `Diffuse` where `other` exceeds all."""
+    """F8: the family with the larger summed share (the first wins ties), or DIFFUSE where `other` exceeds all."""
     families = families or FAMILIES
     sums = profile.groupBy(cluster).agg(*[F.coalesce(F.sum(F.when(F.col("label").isin(*m), F.col("mean_share"))), F.lit(0.0)).alias(n) for n, m in families.items()], F.coalesce(F.sum(F.when(F.col("label") == other, F.col("mean_share"))), F.lit(0.0)).alias("__other"))
     most = F.greatest(*[F.col(n) for n in families])
     name = F.lit(None).cast("string")
     for n in reversed(list(families)):
         name = F.when(F.col(n) == most, n).otherwise(name)
-    return sums.withColumn("name", F.when(F.col("__other") > most, "Diffuse").otherwise(name)).drop("__other")
+    return sums.withColumn("name", F.when(F.col("__other") > most, DIFFUSE).otherwise(name)).drop("__other")
 
 
 def entity_map(model: Transformer, wide: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -138,5 +139,11 @@ def top_shares(shares: DataFrame, entity, n: int = 10) -> DataFrame:
 
 def archetype_counts(assigned: DataFrame, examples: int = 6) -> DataFrame:
     """entities per archetype, and the first few by name."""
-    ranked = assigned.withColumn("place", F.row_number().over(Window.partitionBy("cluster").orderBy("entity")))
-    return ranked.groupBy("cluster").agg(F.count(F.lit(1)).alias("entities"), F.array_sort(F.collect_list(F.when(F.col("place") <= examples, F.col("entity")))).alias("examples"))
+    first = F.row_number().over(Window.partitionBy("cluster").orderBy("entity"))
+    named = assigned.withColumn("place", first).where(F.col("place") <= examples).groupBy("cluster").agg(F.array_sort(F.collect_list("entity")).alias("examples"))
+    return assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("entities")).join(named, "cluster")
+
+
+def explained_variance(model: PipelineModel) -> list[tuple[int, float]]:
+    """(component, part of the variance), of the PCA in a fitted pipeline."""
+    return [(k + 1, float(v)) for stage in model.stages if isinstance(stage, PCAModel) for k, v in enumerate(stage.explainedVariance)]

@@ -54,8 +54,8 @@ def page_with_total(found: DataFrame, order: str = "newest", limit: int = 200) -
 def enriched(rows: DataFrame, canonical: DataFrame, affected: DataFrame, unscored: str = "UNSCORED") -> DataFrame:
     """C3i: a page with the canonical label, a severity in words, and the distinct entities joined to a string."""
     ids = rows.select("id").distinct()
-    label = canonical.join(F.broadcast(ids), "id", "left_semi").select("id", "label")
-    names = affected.join(F.broadcast(ids), "id", "left_semi").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_set("entity")), lambda e: e.cast("string")), ", ").alias("entities"))
+    label = canonical.join(ids, "id", "left_semi").select("id", "label")
+    names = affected.join(ids, "id", "left_semi").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_set("entity")), lambda e: e.cast("string")), ", ").alias("entities"))
     return rows.withColumn("severity", F.coalesce("severity", F.lit(unscored))).join(label, "id", "left").join(names, "id", "left")
 
 

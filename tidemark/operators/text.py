@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.shared import cut
+
 # fixed values: function words of English, French, German and Spanish
 STOP_WORDS = tuple("a an and are as at be by for from in is it of on or that the this to was with au aux avec de des du elle en est et il la le les par pas pour que qui sur un une als auf das dem den der die ein eine im ist mit nicht sich und von zu al con del el ella lo los las para por se su y".split())
 
@@ -29,12 +31,16 @@ def prepare_docs(records: DataFrame, canonical: DataFrame, group: Column, text:
 
 
 def terms(docs: DataFrame, text: str = "cleaned", stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """(grp, id, term, tf): words of two characters or more without stop words, and pairs of neighbours among these."""
+    """(grp, id, term, tf): words of two characters or more without stop words, and pairs of neighbours among these. docs has a row per
+    document, whose sorted terms are counted by their runs within the row, so that no token is shuffled."""
     words = F.filter(F.split(F.col(text), " "), lambda t: (F.char_length(t) >= 2) & ~t.isin(*stop_words))
     listed = docs.select("grp", "id", words.alias("w"))
     pairs = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat(F.get("w", i), F.lit(" "), F.get("w", i + 1)))
     both = F.when(F.size("w") >= 2, F.concat("w", pairs)).otherwise(F.col("w"))
-    return listed.select("grp", "id", F.explode(both).alias("term")).groupBy("grp", "id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    runs = listed.select("grp", "id", F.sort_array(both).alias("t")).where(F.size("t") > 0).select("grp", "id", "t", starts.alias("s"))
+    counted = F.transform("s", lambda p, k: F.struct(F.get("t", p).alias("term"), (F.coalesce(F.get("s", k + 1), F.size("t")) - p).cast("long").alias("tf")))
+    return runs.select("grp", "id", F.inline(counted))
 
 
 def vocabulary(counts: DataFrame, sizes: DataFrame, min_df: int = 3, max_df: float = 0.5) -> DataFrame:
@@ -52,7 +58,7 @@ def weigh(counts: DataFrame, vocab: DataFrame) -> DataFrame:
 def tfidf(docs: DataFrame, min_df: int = 3, max_df: float = 0.5, min_docs: int = 100, text: str = "cleaned") -> DataFrame:
     """Weights with a vocabulary of its own for every group of min_docs documents or more, all in one job."""
     sizes = docs.groupBy("grp").agg(F.count_distinct("id").alias("n_docs")).where(F.col("n_docs") >= min_docs)
-    counts = terms(docs.join(sizes.select("grp"), "grp", "left_semi"), text)
+    counts = cut(terms(docs.join(sizes.select("grp"), "grp", "left_semi"), text), "terms")  # read twice, counted once
     return weigh(counts, vocabulary(counts, sizes, min_df, max_df))
 
 
@@ -62,8 +68,8 @@ def vocab_summary(weights: DataFrame) -> DataFrame:
 
 
 def top_terms(weights: DataFrame, n: int = 15) -> DataFrame:
-    """Per group the terms with the greatest summed weight (in millionths, so that sums are exact)."""
-    total = weights.groupBy("grp", "term").agg(F.sum(F.floor(F.col("w") * 1_000_000)).alias("weight"))
+    """Per group the terms with the greatest summed weight (in rounded millionths, so that sums are exact)."""
+    total = weights.groupBy("grp", "term").agg(F.sum(F.floor(F.col("w") * 1_000_000 + 0.5)).alias("weight"))
     return total.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("weight"), "term")).cast("long")).where(F.col("place") <= n)
 
 

@@ -45,8 +45,11 @@ def entity_year_trend(records: DataFrame, affected: DataFrame) -> DataFrame:
 
 
 def rank_by_year(trend: DataFrame, name: str = "rank_in_year") -> DataFrame:
-    """Rank by count within the year; ties share."""
-    return trend.withColumn(name, F.rank().over(Window.partitionBy("year").orderBy(F.desc("n"))).cast("long"))
+    """Rank by count within the year; ties share. Only a row per year and distinct count is sorted, never the rows of a year."""
+    per_count = trend.groupBy("year", "n").agg(F.count(F.lit(1)).alias("__rows"))
+    above = F.sum("__rows").over(Window.partitionBy("year").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
+    ranks = per_count.select("year", "n", (1 + F.coalesce(above, F.lit(0))).cast("long").alias(name))
+    return trend.join(ranks, ["year", "n"]).select(*trend.columns, name)
 
 
 def item_year_trend(records: DataFrame, affected: DataFrame) -> DataFrame:

@@ -11,11 +11,14 @@ from tidemark.operators import forecast as K
 from tidemark.operators import labels as L
 from tidemark.operators import network as E
 from tidemark.operators import profiles as P
+from tidemark.operators import search as S
 from tidemark.operators import text as G
 from tidemark.operators import textclusters as T
+from tidemark.operators import trends as D
 from tidemark.plans import text_queries as _text
 from tidemark.plans.network_queries import dense
-from tidemark.plans.roles import ROLE_SQL, Roles, r
+from tidemark.plans.roles import ROLE_SQL, WEAKNESS_SQL, Roles, r
+from tidemark.plans.trend_queries import ORACLE_SQL as _trends
 
 DIMS = 64
 FAMILIES = {"Large goods": [f"Brand#{b}/{t}" for b in (11, 12, 13, 21, 22) for t in ("LARGE", "MEDIUM")], "Small goods": [f"Brand#{b}/{t}" for b in (11, 12, 13, 21, 22) for t in ("SMALL", "ECONOMY")]}
@@ -102,7 +105,7 @@ def _predicted(x):
 
 def _classified(x):
     data = _labelled(x)
-    return H.fit_classifier(data.where("split = 'train'"), max_iter=30).transform(data.where("split = 'test'")).select("id", "label", "predicted", "year")
+    return H.fit_classifier(data.where("split = 'train'")).transform(data.where("split = 'test'")).select("id", "label", "predicted", "year")
 
 
 def _confused(x, n):
@@ -157,16 +160,61 @@ def _report(df):
     return df.select(*[rounded(F.col(c), 9).alias(c) if c in ("precision", "recall", "f1", "accuracy", "macro_f1") else F.col(c) for c in df.columns])
 
 
+def _weakness_profile(x):
+    """Mean shares of labels over the suppliers of a nation, as clusters."""
+    shares = P.entity_shares(x.affected(), L.with_top_label(x.weaknesses(), 20))
+    of = x.table("supplier").select(F.col("s_suppkey").alias("entity"), F.col("s_nationkey").alias("cluster"))
+    shares = shares.join(of, "entity")
+    size = shares.groupBy("cluster").agg(F.count_distinct("entity").alias("size"))
+    return shares.groupBy("cluster", "label").agg(F.sum("share").alias("s")).join(size, "cluster").select("cluster", "label", (F.col("s") / F.col("size")).alias("mean_share"))
+
+
+def _briefing(x):
+    records = x.records().withColumn("text", F.concat_ws(" ", "severity", "status"))
+    out = I.record_briefing(records, x.assignments(), x.affected(), x.canonical(), x.archetypes())
+    groups = F.transform("groups", lambda g: F.concat(g["archetype"], F.lit("="), F.array_join(F.transform(g["entities"], lambda e: e.cast("string")), "|")))
+    return out.select("id", "excerpt", "items", "entities", "canonical", F.size("assignments").cast("long").alias("n_assignments"), F.size("products").cast("long").alias("n_products"), F.array_join(groups, ";").alias("groups"))
+
+
+def _variance(x):
+    return x.spark.createDataFrame(P.explained_variance(P.fit_pca(_vectors(x), _dims())), "component long, ratio double")
+
+
+def _importance(x):
+    return x.spark.createDataFrame(K.feature_importance(K.fit_change_model(_examples(x))), "feature string, importance double")
+
+
+def _central_examples(x):
+    """E9's centralities as the series to forecast, with K1's drift."""
+    grid = _text._by_year(x)
+    return K.forecast_examples(grid.select("label", "year", F.col("centrality").alias("value"), "degree", "frequency", F.lit(None).cast("double").alias("drift")), 5)
+
+
+def _central_backtest(x):
+    return K.rolling_backtest(_central_examples(x))
+
+
 QUERIES = {
+    "weakness_names": _q(lambda x: L.label_names(x.weaknesses().groupBy("label").agg(F.count(F.lit(1)).alias("n")), x.catalog())),
+    "weakness_clusters": _q(lambda x: P.name_clusters(_weakness_profile(x)).select("cluster", "name")),
+    "weakness_family_facts": _q(lambda x: I.entity_family_facts(I.entity_facts(x.records(), x.affected(), x.weaknesses())).withColumn("pct_of_top", rounded(F.col("pct_of_top"), 1))),
+    "entity_years": _q(lambda x: I.entity_years(x.records(), x.affected())),
+    "label_years": _q(lambda x: I.label_years(D.label_year_trend(x.records(), x.canonical()))),
+    "entity_groups": _q(lambda x: S.entity_groups(x.affected(), x.archetypes()).withColumn("entities", F.array_join(F.transform("entities", lambda e: e.cast("string")), "|"))),
+    "record_briefing": _q(_briefing),
+    "pca_variance": _q(_variance),
+    "rolling_backtest": _q(lambda x: K.rolling_backtest(_examples(x))),
+    "centrality_backtest": _q(_central_backtest),
+    "feature_importance": _q(_importance),
     "entity_shares": _q(lambda x: _shares(x).withColumn("share", rounded(F.col("share"), 9))),
-    "standardize": _q(lambda x: P.standardize(_vectors(x), ["d0", "d1", "d2"]).select("vec_id", *[rounded(F.col(c), 6).alias(c) for c in ("d0", "d1", "d2")])),
+    "standardize": _q(lambda x: P.standardize(_vectors(x), _dims()).select("vec_id", *[rounded(F.col(c), 6).alias(c) for c in _dims()])),
     "pca_embeddings": _q(_pca),
     "kmeans_scan": _q(_scan),
     "archetypes": _q(lambda x: P.archetype_counts(_map(x))),
     "entity_map": _q(_map),
     "archetype_by_year": _q(_archetype_by_year),
-    "cluster_profile": _q(lambda x: P.cluster_profile(_vectors(x).withColumnRenamed("label", "cluster"), _dims(8)).select("cluster", "label", rounded(F.col("mean_share"), 6).alias("mean_share"), "size", "place")),
-    "name_clusters": _q(lambda x: P.name_clusters(P.cluster_profile(_vectors(x).withColumnRenamed("label", "cluster"), _dims(8)), {"A": ["d0", "d1"], "B": ["d2", "d3"]}, "d4").select("cluster", "name")),
+    "cluster_profile": _q(lambda x: P.cluster_profile(_vectors(x).withColumnRenamed("label", "cluster"), _dims()).select("cluster", "label", rounded(F.col("mean_share"), 6).alias("mean_share"), "size", "place")),
+    "name_clusters": _q(lambda x: P.name_clusters(P.cluster_profile(_vectors(x).withColumnRenamed("label", "cluster"), _dims()), {"A": _dims()[:20], "B": _dims()[20:40]}, "d63").select("cluster", "name")),
     "stability": _q(lambda x: P.stability(_assigned(x))),
     "latest_agreement": _q(lambda x: P.latest_agreement(_assigned(x), _pooled(x))),
     "drift_paths": _q(lambda x: P.drift_paths(_assigned(x))),
@@ -187,7 +235,7 @@ QUERIES = {
     "forecast_model": _q(_forecast),
     "reversion_fit": _q(lambda x: K.fit_reversion(_examples(x)).select(rounded(F.col("c"), 3).alias("c"))),
     "backtest_baselines": _q(_backtest),
-    "pooled_metrics": _q(lambda x: K.pooled_metrics(_backtest(x), ["naive_mae", "reversion_mae"]).select("scope", "years", rounded(F.col("naive_mae"), 4).alias("naive_mae"), rounded(F.col("reversion_mae"), 4).alias("reversion_mae"))),
+    "pooled_metrics": _q(lambda x: K.pooled_metrics(_backtest(x), ["naive_mae", "reversion_mae"], "reversion_mae").select("scope", "years", "wins", rounded(F.col("naive_mae"), 4).alias("naive_mae"), rounded(F.col("reversion_mae"), 4).alias("reversion_mae"))),
     "entity_dictionary": _q(lambda x: I.entity_dictionary(x.affected(), 20, 2)),
     "extract_entities": _q(_extract),
     "entity_facts": _q(lambda x: I.entity_facts(x.records(), x.affected(), x.canonical())),
@@ -217,8 +265,8 @@ ex AS (SELECT s.label, s.year, CAST(s.value AS DOUBLE) AS value, CAST(s.value %
 cg AS (SELECT 0.80 + i / 1000.0 AS c FROM range(251) t(i)),
 yr AS (SELECT DISTINCT year AS target_year FROM ex), pa AS (SELECT * FROM ex JOIN yr ON year < target_year),
 fc AS (SELECT target_year, min_by(c, (e, c)) AS c FROM (SELECT target_year, CAST(c AS DOUBLE) AS c, sum(floor(abs(next - CAST(c AS DOUBLE) * value) * 1000000 + 0.5)) AS e FROM pa, cg GROUP BY ALL) GROUP BY ALL),
-tr AS (SELECT target_year, count(*) AS n_train, sum(sign(next - value)) AS up FROM pa GROUP BY ALL HAVING count(*) >= 50),
-bt AS (SELECT target_year, n_train, count(*) AS n_labels, {r('avg(abs(next - value))', 6)} AS naive_mae, {r('avg(abs(next - c * value))', 6)} AS reversion_mae, {r('avg(CAST(sign(next - value) = CASE WHEN up >= 0 THEN 1 ELSE -1 END AS DOUBLE))', 6)} AS majority_direction_acc, count(*) >= 100 AS data_rich
+tr AS (SELECT target_year, count(*) AS n_train, avg(CAST(next > value AS DOUBLE)) AS up FROM pa GROUP BY ALL HAVING count(*) >= 50),
+bt AS (SELECT target_year, n_train, count(*) AS n_labels, {r('avg(abs(next - value))', 6)} AS naive_mae, {r('avg(abs(next - c * value))', 6)} AS reversion_mae, {r('avg(CAST((next > value) = (up > 0.5) AS DOUBLE))', 6)} AS majority_direction_acc, count(*) >= 100 AS data_rich
   FROM ex JOIN tr ON year = target_year JOIN fc USING (target_year) GROUP BY ALL) """
 
 
@@ -241,6 +289,13 @@ def _macro(by):
 
 
 
+_LABELS = {k: ", ".join(map(repr, v)) for k, v in L.LABEL_FAMILIES.items()}
+
+
+def _listed(family):
+    return ", ".join(repr(v) for k, m in P.FAMILIES.items() if k.startswith(family) for v in m)
+
+
 _TRAIN = ROLE_SQL + f""", cl AS (SELECT id, 2015 + id % 10 < 2021 AS train, list_filter(string_split(array_to_string(list_filter(string_split(trim({_text._CLEAN}), ' '), lambda t: NOT regexp_full_match(t, '[0-9]+')), ' '), ' '), lambda t: length(t) >= 2 AND t NOT IN {_text._STOP}) AS w FROM docs WHERE lang IS NOT NULL),
 tf AS (SELECT id, train, term, count(*) AS tf FROM (SELECT id, train, unnest(w) AS term FROM cl UNION ALL SELECT id, train, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM cl) GROUP BY ALL),
 nd AS (SELECT count(*) AS n_docs FROM cl WHERE train), vo AS (SELECT term, ln((1.0 + n_docs) / (1.0 + count(*))) + 1.0 AS idf FROM tf, nd WHERE train GROUP BY term, n_docs HAVING count(*) >= 3 AND count(*) <= 0.5 * n_docs),
@@ -253,10 +308,23 @@ cp AS (SELECT pr.*, CASE WHEN src IN (FROM ix) AND dst IN (FROM ix) THEN coalesc
 _TOP = "SELECT * FROM (SELECT {k}, {v}, count(*) AS n, row_number() OVER (PARTITION BY {k} ORDER BY count(*) DESC, {v}) AS place FROM {f} GROUP BY {k}, {v}) WHERE place <= {n}"
 
 ORACLE_SQL = {
+    "weakness_names": WEAKNESS_SQL + " SELECT label, n, name, description, CASE WHEN name IS NULL THEN label ELSE label || ' (' || name || ')' END AS display FROM (SELECT label, n, CASE label WHEN 'NVD-CWE-noinfo' THEN 'No weakness information provided' WHEN 'NVD-CWE-Other' THEN 'Other / not mapped to a specific weakness' ELSE p_name END AS name, p_type AS description FROM (SELECT label, count(*) AS n FROM wk GROUP BY label) LEFT JOIN part ON label = 'CWE-' || p_partkey)",
+    "weakness_clusters": WEAKNESS_SQL + f""", tl AS (SELECT label FROM wk WHERE NOT generic GROUP BY label ORDER BY count(*) DESC, label LIMIT 20), tc AS (SELECT id, CASE WHEN generic THEN NULL WHEN label IN (FROM tl) THEN label ELSE 'Other' END AS top FROM wk),
+      t AS (SELECT entity, count(top) AS labelled FROM pe JOIN tc USING (id) GROUP BY entity HAVING count(*) >= 20), c AS (SELECT entity, top, count(*) AS n FROM pe JOIN tc USING (id) WHERE top IS NOT NULL GROUP BY ALL),
+      p AS (SELECT s_nationkey AS cluster, sum(n / labelled) FILTER (top IN ({_listed('Memory')})) AS m, sum(n / labelled) FILTER (top IN ({_listed('Web')})) AS w, sum(n / labelled) FILTER (top = 'Other') AS o FROM t LEFT JOIN c USING (entity) JOIN supplier ON entity = s_suppkey GROUP BY ALL)
+      SELECT cluster, CASE WHEN coalesce(o, 0) > greatest(coalesce(m, 0), coalesce(w, 0)) THEN 'Diffuse (no dominant category)' WHEN coalesce(m, 0) >= coalesce(w, 0) THEN 'Memory-safety-heavy' ELSE 'Web-injection-heavy' END AS name FROM p""",
+    "weakness_family_facts": WEAKNESS_SQL + f", t AS ({_TOP.format(k='entity', v='label', f='(SELECT entity, label FROM pe JOIN wk USING (id) WHERE NOT generic)', n=10)}), p AS (SELECT entity, label, {r('100.0 * n / sum(n) OVER (PARTITION BY entity)', 1)} AS pct FROM t), f AS (SELECT entity, pct, CASE WHEN label IN ({_LABELS['memory safety']}) THEN 'memory safety' WHEN label IN ({_LABELS['web and injection']}) THEN 'web and injection' END AS family FROM p) SELECT entity, family, {r('sum(pct)', 1)} AS pct_of_top FROM f WHERE family IS NOT NULL GROUP BY ALL",
+    "entity_years": _FACT + "SELECT * FROM (SELECT entity, year, count(*) AS n, row_number() OVER (PARTITION BY entity ORDER BY year DESC) AS place FROM pe JOIN rec USING (id) GROUP BY entity, year) WHERE place <= 8",
+    "label_years": f"SELECT * FROM (SELECT label, year, n, pct_of_year, yoy_pct, row_number() OVER (PARTITION BY label ORDER BY year DESC) AS place FROM ({_trends['label_year_trend']})) WHERE place <= 8",
+    "entity_groups": _FACT + "SELECT id, 'G' || s_nationkey % 4 AS archetype, string_agg(entity, '|' ORDER BY entity) AS entities FROM pe JOIN supplier ON entity = s_suppkey GROUP BY ALL",
+    "record_briefing": _FACT + """, g AS (SELECT id, 'G' || s_nationkey % 4 AS archetype, string_agg(entity, '|' ORDER BY entity) AS entities FROM pe JOIN supplier ON entity = s_suppkey GROUP BY ALL)
+      SELECT rec.id, concat_ws(' ', severity, status) AS excerpt, (SELECT count(*) FROM pt WHERE pt.id = rec.id) AS items, (SELECT count(*) FROM pe WHERE pe.id = rec.id) AS entities, canon.label AS canonical,
+        (SELECT CASE WHEN count(*) > 0 THEN count(*) END FROM asg WHERE asg.id = rec.id) AS n_assignments, (SELECT CASE WHEN count(*) > 0 THEN count(*) END FROM aff WHERE aff.id = rec.id) AS n_products, (SELECT string_agg(archetype || '=' || entities, ';' ORDER BY archetype) FROM g WHERE g.id = rec.id) AS groups
+      FROM rec LEFT JOIN canon USING (id)""",
     "entity_shares": _FACT + "SELECT * FROM sh",
-    "standardize": "SELECT vec_id, " + ", ".join(r(f"(CAST(embedding[{i}] AS DOUBLE) - avg(CAST(embedding[{i}] AS DOUBLE)) OVER ()) / stddev_pop(CAST(embedding[{i}] AS DOUBLE)) OVER ()", 6) + f" AS d{i - 1}" for i in (1, 2, 3)) + " FROM embeddings",
-    "cluster_profile": f"SELECT cluster, label, {r('avg(share)', 6)} AS mean_share, count(*) AS size, row_number() OVER (PARTITION BY cluster ORDER BY avg(share) DESC, label) AS place FROM ({_long(8)}) GROUP BY cluster, label",
-    "name_clusters": f"SELECT cluster, CASE WHEN o > greatest(a, b) THEN 'Diffuse' WHEN a = greatest(a, b) THEN 'A' ELSE 'B' END AS name FROM (SELECT cluster, avg(share) FILTER (label = 'd0') + avg(share) FILTER (label = 'd1') AS a, avg(share) FILTER (label = 'd2') + avg(share) FILTER (label = 'd3') AS b, avg(share) FILTER (label = 'd4') AS o FROM ({_long(8)}) GROUP BY cluster)",
+    "standardize": "SELECT vec_id, " + ", ".join(r(f"(CAST(embedding[{i}] AS DOUBLE) - avg(CAST(embedding[{i}] AS DOUBLE)) OVER ()) / stddev_pop(CAST(embedding[{i}] AS DOUBLE)) OVER ()", 6) + f" AS d{i - 1}" for i in range(1, DIMS + 1)) + " FROM embeddings",
+    "cluster_profile": f"SELECT cluster, label, {r('avg(share)', 6)} AS mean_share, count(*) AS size, row_number() OVER (PARTITION BY cluster ORDER BY avg(share) DESC, label) AS place FROM ({_long(DIMS)}) GROUP BY cluster, label",
+    "name_clusters": f"SELECT cluster, CASE WHEN o > greatest(a, b) THEN 'Diffuse (no dominant category)' WHEN a = greatest(a, b) THEN 'A' ELSE 'B' END AS name FROM (SELECT cluster, sum(m) FILTER (d < 20) AS a, sum(m) FILTER (d BETWEEN 20 AND 39) AS b, sum(m) FILTER (d = 63) AS o FROM (SELECT cluster, CAST(label[2:] AS INT) AS d, avg(share) AS m FROM ({_long(DIMS)}) GROUP BY ALL) GROUP BY cluster)",
     "stability": _FACT + "SELECT count(*) AS entities, count(*) FILTER (c = 1) AS stable, count(*) FILTER (c > 1) AS drifted FROM (SELECT count(DISTINCT cluster) AS c FROM sy GROUP BY entity HAVING count(DISTINCT year) >= 2)",
     "latest_agreement": _FACT + "SELECT count(*) AS entities, count(*) FILTER (latest = pooled) AS agree FROM (SELECT entity, max_by(cluster, year) AS latest FROM sy GROUP BY entity) JOIN (SELECT entity, CAST(floor(max(share) * 20) AS BIGINT) AS pooled FROM sh GROUP BY entity) USING (entity)",
     "drift_paths": _FACT + "SELECT entity, count(DISTINCT year) AS years, string_agg(year || '->' || cluster, ', ' ORDER BY year) AS path FROM sy GROUP BY entity HAVING count(DISTINCT cluster) > 1 ORDER BY years DESC, entity LIMIT 10",
@@ -275,7 +343,7 @@ ORACLE_SQL = {
     "forecast_examples": _FACT + f"SELECT label, year, value, degree, {r('growth', 6)} AS growth_pct, momentum_1, momentum_2, degree_change, next FROM ex",
     "reversion_fit": _FACT + f"SELECT {r('min_by(c, (e, c))', 3)} AS c FROM (SELECT CAST(c AS DOUBLE) AS c, sum(floor(abs(next - CAST(c AS DOUBLE) * value) * 1000000 + 0.5)) AS e FROM ex, cg GROUP BY ALL)",
     "backtest_baselines": _FACT + "SELECT * FROM bt",
-    "pooled_metrics": _FACT + " UNION ALL ".join(f"SELECT '{name}' AS scope, count(*) AS years, {r('sum(naive_mae * n_labels) / sum(n_labels)', 4)} AS naive_mae, {r('sum(reversion_mae * n_labels) / sum(n_labels)', 4)} AS reversion_mae FROM bt {where}" for name, where in (("all", ""), ("data_rich", "WHERE data_rich"))),
+    "pooled_metrics": _FACT + " UNION ALL ".join(f"SELECT '{name}' AS scope, count(*) AS years, count(*) FILTER (reversion_mae < naive_mae) AS wins, {r('sum(naive_mae * n_labels) / sum(n_labels)', 4)} AS naive_mae, {r('sum(reversion_mae * n_labels) / sum(n_labels)', 4)} AS reversion_mae FROM bt {where}" for name, where in (("all", ""), ("data_rich", "WHERE data_rich"))),
     "entity_dictionary": _FACT + "SELECT entity, count(*) AS n FROM pe GROUP BY entity HAVING count(*) >= 20 AND length(CAST(entity AS VARCHAR)) >= 2",
     "entity_facts": _FACT + f", t AS ({_TOP.format(k='entity', v='label', f='(SELECT entity, label FROM pe JOIN canon USING (id) WHERE NOT generic)', n=10)}) SELECT t.entity, total, place, label, n, {r('100.0 * n / sum(n) OVER (PARTITION BY t.entity)', 1)} AS pct_of_top, {r('100.0 * n / total', 1)} AS pct_of_all FROM t JOIN (SELECT entity, count(*) AS total FROM pe GROUP BY entity) USING (entity)",
     "entity_family_facts": _FACT + f", t AS ({_TOP.format(k='entity', v='label', f='(SELECT entity, label FROM pe JOIN canon USING (id) WHERE NOT generic)', n=10)}), p AS (SELECT entity, label, {r('100.0 * n / sum(n) OVER (PARTITION BY entity)', 1)} AS pct FROM t), f AS (SELECT entity, pct, CASE " + " ".join(f"WHEN label IN ({', '.join(repr(v) for v in m)}) THEN '{k}'" for k, m in FAMILIES.items()) + f" END AS family FROM p) SELECT entity, family, {r('sum(pct)', 1)} AS pct_of_top FROM f WHERE family IS NOT NULL GROUP BY ALL",
@@ -284,14 +352,16 @@ ORACLE_SQL = {
     "year_facts": _FACT + f""", cv AS (SELECT year, count(*) AS total, count(i.id) AS w FROM rec LEFT JOIN (SELECT DISTINCT id FROM aff) i USING (id) GROUP BY year)
       SELECT year, 'published' AS section, CAST(1 AS BIGINT) AS place, 'records' AS key, CAST(total AS DOUBLE) AS value FROM cv UNION ALL SELECT year, 'affected_pct', 1, 'pct', {r('100.0 * w / total', 1)} FROM cv
       UNION ALL SELECT year, 'label', place, label, n FROM ({_TOP.format(k='year', v='label', f='(SELECT year, label FROM rec JOIN canon USING (id) WHERE NOT generic)', n=8)}) UNION ALL SELECT year, 'entity', place, CAST(entity AS VARCHAR), n FROM ({_TOP.format(k='year', v='entity', f='(SELECT year, entity FROM rec JOIN pe USING (id))', n=8)})""",
-    "record_facts": _FACT + r"SELECT docs.id, CASE WHEN length(text) <= 1500 THEN text ELSE regexp_replace(substring(text, 1, 1500), '\s\S*\z', '') END AS excerpt, count(DISTINCT item) AS items, count(DISTINCT entity) AS entities FROM docs LEFT JOIN aff USING (id) GROUP BY ALL",
+    "record_facts": _FACT + r"SELECT docs.id, CASE WHEN length(text) <= 1500 THEN text ELSE regexp_replace(substring(text, 1, 1500), '\s\S*\z', '') END AS excerpt, count(DISTINCT CASE WHEN item IS NOT NULL THEN (entity, item) END) AS items, count(DISTINCT entity) AS entities FROM docs LEFT JOIN aff USING (id) GROUP BY ALL",
     "overview_facts": _FACT + f""", cv AS (SELECT year, count(*) AS total, {r('100.0 * count(i.id) / count(*)', 1)} AS pct FROM rec LEFT JOIN (SELECT DISTINCT id FROM aff) i USING (id) GROUP BY year),
-      o AS (SELECT 'span' AS section, 1 AS place, 'first' AS key, min(year) AS value FROM rec UNION ALL SELECT 'span', 2, 'last', max(year) FROM rec
-      UNION ALL SELECT 'year', row_number() OVER (ORDER BY year DESC), CAST(year AS VARCHAR), total FROM cv
-      UNION ALL (SELECT 'coverage', row_number() OVER (ORDER BY year DESC), CAST(year AS VARCHAR), pct FROM cv ORDER BY year DESC LIMIT 6)
-      UNION ALL (SELECT 'entity', row_number() OVER (ORDER BY count(*) DESC, entity), CAST(entity AS VARCHAR), count(*) FROM pe GROUP BY entity ORDER BY 2 LIMIT 10)
-      UNION ALL (SELECT 'label', row_number() OVER (ORDER BY count(*) DESC, label), label, count(*) FROM canon WHERE NOT generic GROUP BY label ORDER BY 2 LIMIT 10)
-      UNION ALL SELECT 'severity', row_number() OVER (ORDER BY count(*) DESC, coalesce(severity, 'UNSCORED')), coalesce(severity, 'UNSCORED'), count(*) FROM rec GROUP BY severity)
-      SELECT section, CAST(place AS BIGINT) AS place, key, CAST(value AS DOUBLE) AS value FROM o""",
+      ly AS (SELECT max(year) AS year FROM rec),
+      o AS (SELECT 'span' AS section, 1 AS place, 'first' AS key, min(year) AS value, CAST(NULL AS DOUBLE) AS pct FROM rec UNION ALL SELECT 'span', 2, 'last', max(year), NULL FROM rec
+      UNION ALL SELECT 'year', row_number() OVER (ORDER BY year DESC), CAST(year AS VARCHAR), total, NULL FROM cv
+      UNION ALL (SELECT 'coverage', row_number() OVER (ORDER BY year DESC), CAST(year AS VARCHAR), pct, NULL FROM cv ORDER BY year DESC LIMIT 6)
+      UNION ALL (SELECT 'entity', row_number() OVER (ORDER BY count(*) DESC, entity), CAST(entity AS VARCHAR), count(*), NULL FROM pe GROUP BY entity ORDER BY 2 LIMIT 10)
+      UNION ALL (SELECT 'entity_latest', row_number() OVER (ORDER BY count(*) DESC, entity), CAST(entity AS VARCHAR), count(*), NULL FROM pe JOIN rec USING (id) JOIN ly USING (year) GROUP BY entity ORDER BY 2 LIMIT 10)
+      UNION ALL (SELECT 'label_latest', row_number() OVER (ORDER BY count(*) DESC, label), label, count(*), {r('100.0 * count(*) / (SELECT count(*) FROM rec JOIN ly USING (year))', 2)} FROM canon JOIN rec USING (id) JOIN ly USING (year) GROUP BY label ORDER BY 2 LIMIT 10)
+      UNION ALL SELECT 'severity_latest', row_number() OVER (ORDER BY count(*) DESC, coalesce(severity, 'UNSCORED')), coalesce(severity, 'UNSCORED'), count(*), {r('100.0 * count(*) / sum(count(*)) OVER ()', 2)} FROM rec JOIN ly USING (year) GROUP BY severity)
+      SELECT section, CAST(place AS BIGINT) AS place, key, CAST(value AS DOUBLE) AS value, pct FROM o""",
     "label_names": _FACT + ", ca AS (SELECT p_brand || '/' || p_type AS label, min(p_name) AS name, max(p_name) AS description FROM part GROUP BY ALL HAVING label LIKE 'Brand#1%') SELECT id AS record, label, name, description, CASE WHEN name IS NULL THEN label ELSE label || ' (' || name || ')' END AS display FROM canon LEFT JOIN ca USING (label)",
 }

@@ -9,6 +9,8 @@ from tidemark.operators.labels import canonical_label
 from tidemark.sources.tables import read_table
 
 AUTHORITY, PRIMARY, GENERIC = "N", "O", "PROMO"
+#: Numbers of labels, in and out of the families.
+WEAKNESSES = [20, 22, 74, 77, 78, 79, 80, 89, 90, 94, 98, 113, 119, 120, 121, 122, 125, 129, 134, 190, 200, 287, 352, 362, 401, 415, 416, 434, 476, 611, 787, 824, 843, 862, 908, 918, 1321]
 
 
 class Roles:
@@ -35,6 +37,21 @@ class Roles:
     def canonical(self) -> DataFrame:
         return canonical_label(self.assignments(), AUTHORITY, PRIMARY)
 
+    def weaknesses(self) -> DataFrame:
+        """Canonical labels of another sort: line items with labels of the families, by their part."""
+        number = F.element_at(F.array(*map(F.lit, WEAKNESSES)), (F.col("l_partkey") % len(WEAKNESSES) + 1).cast("int")).cast("string")
+        label = F.when(F.col("l_partkey") % 37 == 0, "NVD-CWE-noinfo").when(F.col("l_partkey") % 41 == 0, "NVD-CWE-Other").otherwise(F.concat(F.lit("CWE-"), number))
+        rows = self.table("lineitem").select(F.col("l_orderkey").alias("id"), label.alias("label"), F.col("l_returnflag").alias("source"), F.col("l_linestatus").alias("type"))
+        return canonical_label(rows.withColumn("generic", F.col("label").startswith("NVD")), AUTHORITY, PRIMARY)
+
+    def catalog(self) -> DataFrame:
+        """Names of labels: those of the parts with their numbers."""
+        return self.table("part").select(F.concat(F.lit("CWE-"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("description"))
+
+    def archetypes(self) -> DataFrame:
+        """A given archetype of every supplier, by nation."""
+        return self.table("supplier").select(F.col("s_suppkey").alias("entity"), F.concat(F.lit("G"), (F.col("s_nationkey") % 4).cast("string")).alias("archetype"))
+
     def documents(self) -> DataFrame:
         """Documents with groups (source), label (quality, 'generic' where toxic) and no label for most."""
         labels = self.table("labels").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("label"), (F.col("toxic") == 1).alias("generic"))
@@ -58,6 +75,14 @@ WITH rec AS (
 )"""
 
 
+WEAKNESS_SQL = f"""{ROLE_SQL}, wk AS (
+  SELECT id, label, label LIKE 'NVD%' AS generic FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY
+    CASE WHEN source = '{AUTHORITY}' AND type = '{PRIMARY}' THEN 0 WHEN source = '{AUTHORITY}' THEN 1 ELSE 2 END, type, label) AS rn FROM (
+    SELECT l_orderkey AS id, CASE WHEN l_partkey % 37 = 0 THEN 'NVD-CWE-noinfo' WHEN l_partkey % 41 = 0 THEN 'NVD-CWE-Other' ELSE 'CWE-' || {WEAKNESSES}[l_partkey % {len(WEAKNESSES)} + 1] END AS label,
+      l_returnflag AS source, l_linestatus AS type FROM lineitem)) WHERE rn = 1
+), pe AS (SELECT DISTINCT id, entity FROM aff)"""
+
+
 def r(x: str, digits: int) -> str:
     """Half-up rounding in SQL, as functions.stats.rounded."""
     return f"(floor(({x}) * {10**digits} + 0.5) / {10**digits}.0)"

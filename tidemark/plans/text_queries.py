@@ -51,14 +51,14 @@ def _flagged(x):
 
 def _centrality(x):
     edges = E.cooccurrence(dense(x)).withColumn("key", F.lit(0))
-    return C.power_iteration(edges, E.label_index(x.canonical()).select(F.lit(0).alias("key"), "label"), max_iter=60)
+    return C.power_iteration(edges, E.label_index(x.canonical()).select(F.lit(0).alias("key"), "label"))
 
 
 def _by_year(x):
     b = dense(x)
     edges = _year_edges(b)
     frequency = x.canonical().where(~F.col("generic")).join(x.records().select("id", "year"), "id").groupBy("label", "year").agg(F.count(F.lit(1)).alias("n"))
-    return C.centrality_by_year(edges, E.label_index(x.canonical()), b.select("year").distinct(), frequency, max_iter=60, shift=1.0)
+    return C.centrality_by_year(edges, E.label_index(x.canonical()), b.select("year").distinct(), frequency, shift=1.0)
 
 
 def _year_edges(b):
@@ -82,6 +82,20 @@ def _most_central(x):
     return _centrality(x).orderBy(F.desc("centrality"), "label").limit(10).select("label", "centrality")
 
 
+def _found_flags(x):
+    """G7 to G14 in a chain: clusters found in the weights, measured, flagged and described."""
+    weights = _weights(x)
+    found = K.cluster_docs(weights)
+    stats = K.cluster_label_stats(found, _labels(x)).join(K.cohesion(weights, found), ["grp", "cluster"])
+    flagged = K.flag_clusters(stats, 5)
+    return flagged.join(K.cluster_terms(weights, found), ["grp", "cluster"]).select("grp", "cluster", "size", "cohesion", "uncategorized_rate", "entropy", "flagged", "top_terms")
+
+
+def _verified(x):
+    edges = E.cooccurrence(dense(x)).withColumn("key", F.lit(0))
+    return C.verify_centrality(edges, _centrality(x))
+
+
 QUERIES = {
     "centrality": _q(_centrality),
     "centrality_by_year": _q(_by_year),
@@ -93,13 +107,17 @@ QUERIES = {
     "prepare_docs": _q(lambda x: G.prepare_docs(x.documents().select("id", "text", "grp"), _labels(x), F.col("grp"))),
     "tfidf_weights": _q(lambda x: _weights(x).select("grp", "id", "term", rounded(F.col("w"), 6).alias("w"))),
     "vocab_summary": _q(lambda x: G.vocab_summary(_weights(x))),
-    "top_terms": _q(lambda x: G.top_terms(_weights(x).withColumn("w", F.col("w") + 1e-9)).select("grp", "term", "place")),
+    "top_terms": _q(lambda x: G.top_terms(_weights(x)).select("grp", "term", "place")),
     "choose_k": _q(lambda x: x.documents().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumn("k", G.choose_k(F.col("n")))),
     "cluster_docs": _q(lambda x: K.cluster_docs(_weights(x))),
     "cohesion": _q(lambda x: K.cohesion(_weights(x), _clustered(x)).select("grp", "cluster", rounded(F.col("cohesion"), 6).alias("cohesion"))),
     "cluster_label_stats": _q(lambda x: K.cluster_label_stats(_given(x), _labels(x)).withColumn("entropy", rounded(F.col("entropy"), 6))),
     "label_entropy": _q(lambda x: K.cluster_label_stats(_given(x), _labels(x)).select("grp", "cluster", rounded(F.col("entropy"), 6).alias("entropy"))),
     "flag_clusters": _q(lambda x: _flagged(x).select("grp", "cluster", "size", "flagged")),
+    "largest_flagged": _q(lambda x: K.largest_flagged(_flagged(x)).select("grp", "cluster", "size")),
+    "silhouette": _q(lambda x: K.silhouette(_weights(x), _clustered(x)).select("grp", rounded(F.col("silhouette"), 6).alias("silhouette"))),
+    "found_flags": _q(_found_flags),
+    "verify_centrality": _q(_verified),
     "flag_summary": _q(lambda x: K.flag_summary(_flagged(x))),
     "cluster_terms": _q(lambda x: K.cluster_terms(_weights(x), _clustered(x))),
     "trace_records": _q(lambda x: K.trace_records([1, 7, 100, 333], _given(x), _labels(x), _flagged(x), K.cluster_terms(_weights(x), _clustered(x))).select("id", "grp", "cluster", "label", "size", "flagged", "top_terms")),
@@ -135,12 +153,13 @@ ORACLE_SQL = {
     "prepare_docs": _W + "SELECT id, cl.grp, cleaned, label, generic FROM cl JOIN docs USING (id)",
     "tfidf_weights": _W + f"SELECT grp, id, term, {r('w', 6)} AS w FROM wt",
     "vocab_summary": _W + "SELECT grp, count(DISTINCT id) AS docs, count(DISTINCT term) AS terms FROM wt GROUP BY grp",
-    "top_terms": _W + "SELECT grp, term, place FROM (SELECT grp, term, row_number() OVER (PARTITION BY grp ORDER BY sum(floor((w + 1e-9) * 1000000)) DESC, term) AS place FROM wt GROUP BY grp, term) WHERE place <= 15",
+    "top_terms": _W + "SELECT grp, term, place FROM (SELECT grp, term, row_number() OVER (PARTITION BY grp ORDER BY sum(floor(w * 1000000 + 0.5)) DESC, term) AS place FROM wt GROUP BY grp, term) WHERE place <= 15",
     "choose_k": ROLE_SQL + " SELECT lang, count(*) AS n, greatest(10, CAST(round_even(count(*) / 50.0, 0) AS BIGINT)) AS k FROM docs GROUP BY lang",
     "cohesion": _W + "SELECT * FROM co",
     "cluster_label_stats": _W + "SELECT * FROM sx",
     "label_entropy": _W + "SELECT grp, cluster, entropy FROM sx",
     "flag_clusters": _W + "SELECT grp, cluster, size, flagged FROM fl",
+    "largest_flagged": _W + "SELECT grp, cluster, size FROM fl WHERE flagged ORDER BY size DESC, grp, cluster LIMIT 15",
     "flag_summary": _W + "SELECT grp, count(*) AS clusters, count(*) FILTER (flagged) AS flagged FROM fl GROUP BY grp",
     "cluster_terms": _W + "SELECT * FROM ct",
     "trace_records": _W + "SELECT id, gv.grp, gv.cluster, docs.label, fl.size, fl.flagged, top_terms FROM gv JOIN docs USING (id) LEFT JOIN fl ON fl.grp = gv.grp AND fl.cluster = gv.cluster LEFT JOIN ct ON ct.grp = gv.grp AND ct.cluster = gv.cluster WHERE id IN (1, 7, 100, 333)",

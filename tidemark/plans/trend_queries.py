@@ -32,6 +32,9 @@ QUERIES = {
     "implausible_years": _q(lambda x: D.implausible_years(x.records(), 1996, 2000)),
     "analysis_years": _q(lambda x: D.analysis_years(x.records(), 500)),
     "top_items_in_year": _q(lambda x: D.top_in_year(D.item_year_trend(x.records(), x.affected()))),
+    "top_entities_in_year": _q(lambda x: D.top_in_year(D.rank_by_year(D.entity_year_trend(x.records(), x.affected()).select("entity", "year", "n")))),
+    "top_overall_entities": _q(lambda x: D.top_overall(D.entity_year_trend(x.records(), x.affected()), "entity", 12)),
+    "entity_totals_in_year": _q(lambda x: D.entity_totals(x.affected(), 10, x.records(), 1997)),
     "fastest_growing": _q(lambda x: D.fastest_growing(D.label_year_trend(x.records(), x.canonical()), 1998, 5, 10)),
     "severity_ordered": _q(lambda x: x.records().groupBy(F.coalesce("severity", F.lit("UNSCORED")).alias("severity")).agg(F.count(F.lit(1)).alias("n")).withColumn("place", D.severity_order("severity", ORDER))),
     "year_totals": _q(lambda x: D.latest_years(D.year_totals(x.records()), 5)),
@@ -69,6 +72,9 @@ ORACLE_SQL = {
     "implausible_years": _W + "SELECT count(*) AS n, min(year) AS min_year, max(year) AS max_year FROM rec WHERE year NOT BETWEEN 1996 AND 2000",
     "analysis_years": _W + "SELECT year, count(*) AS total FROM rec GROUP BY year HAVING count(*) >= 500",
     "top_items_in_year": _W + "SELECT * FROM (SELECT *, rank() OVER (PARTITION BY year ORDER BY n DESC) AS rank_in_year FROM items) WHERE rank_in_year <= 5 AND year = (SELECT max(year) FROM items)",
+    "top_entities_in_year": _W + "SELECT * FROM (SELECT entity, year, n, rank() OVER (PARTITION BY year ORDER BY n DESC) AS rank_in_year FROM scored) WHERE rank_in_year <= 5 AND year = (SELECT max(year) FROM scored)",
+    "top_overall_entities": _W + "SELECT entity, CAST(sum(n) AS BIGINT) AS n FROM scored GROUP BY entity ORDER BY n DESC, entity LIMIT 12",
+    "entity_totals_in_year": _W + "SELECT entity, count(DISTINCT id) AS n FROM aff JOIN rec USING (id) WHERE year = 1997 GROUP BY entity ORDER BY n DESC, entity LIMIT 10",
     "fastest_growing": _W + "SELECT * FROM lab WHERE year = 1998 AND n >= 5 AND yoy_pct IS NOT NULL ORDER BY yoy_pct DESC, label LIMIT 10",
     "severity_ordered": _W + f"SELECT severity, count(*) AS n, CAST(coalesce(list_position({list(ORDER)!r}, severity) - 1, 6) AS BIGINT) AS place FROM sev GROUP BY severity",
     "year_totals": _W + "SELECT year, count(*) AS total FROM rec GROUP BY year ORDER BY year DESC LIMIT 5",

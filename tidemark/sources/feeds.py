@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,17 +25,29 @@ VERSIONS = (("cvssMetricV31", "v31"), ("cvssMetricV30", "v30"), ("cvssMetricV2",
 def read_feed(spark: SparkSession, paths: list[str], layout: str = "jsonl", items: str = "cve_items") -> DataFrame:
     """A1: feed items with feed_order, the place of their file in paths. `jsonl` has an item a line and splits;
     `wrapped` is one object per file with an array of items, so a file is a task."""
-    found = None
-    for order, path in enumerate(paths):
-        if layout == "wrapped":
-            one = spark.read.schema(T.StructType([T.StructField(items, T.ArrayType(T.StructType.fromDDL(ITEM)))])).option("multiLine", True).json(path).select(F.explode(items).alias("i")).select("i.*")
-        elif layout == "jsonl":
-            one = spark.read.schema(ITEM).json(path)
-        else:
-            raise ValueError(f"no such layout: {layout}")
-        one = one.withColumn("feed_order", F.lit(order))
-        found = one if found is None else found.unionByName(one)
-    return found
+    scheme = "^[a-z0-9]+:/+"  # listed and read files spell it differently
+    file = F.regexp_replace("_metadata.file_path", scheme, "/").alias("__file")
+    if layout == "wrapped":
+        schema = T.StructType([T.StructField(items, T.ArrayType(T.StructType.fromDDL(ITEM)))])
+        read = spark.read.schema(schema).option("multiLine", True).json(paths)
+        rows = read.select(file, F.explode(items).alias("i")).select("__file", "i.*")
+    elif layout == "jsonl":
+        read = spark.read.schema(ITEM).json(paths)
+        rows = read.select(file, "*")
+    else:
+        raise ValueError(f"no such layout: {layout}")
+    bare = lambda path: re.sub(scheme, "/", path).rstrip("/")
+    order = {bare(path): k for k, path in enumerate(paths)}
+
+    def place(file: str) -> int:
+        """Of the file itself, or of the folder in paths that it is in."""
+        at = bare(unquote(file))
+        while at not in order and "/" in at[1:]:
+            at = at.rsplit("/", 1)[0]
+        return order[at]
+
+    files = spark.createDataFrame([(bare(f), place(f)) for f in read.inputFiles()], "__file string, feed_order int")
+    return rows.join(files, "__file").drop("__file")
 
 
 def pick_score(metrics: Column) -> Column:

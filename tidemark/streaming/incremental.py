@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.shared import remove
+
 
 def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """One row per key, the last by order."""
@@ -29,38 +33,53 @@ def scope(records: DataFrame, start: int | None = None, end: int | None = None)
     return out if end is None else out.where(F.col("year") <= end)
 
 
-def stream_upsert(spark: SparkSession, landing: str, schema: T.StructType | str, target: str, key: str, order: list[str], checkpoint: str, trigger: dict | None = None):
-    """A file stream of deltas that keeps a table of the latest row per key under target.
+def stream_upsert(spark: SparkSession, landing: str, schema: T.StructType | str, target: str, key: str, order: list[str], checkpoint: str, trigger: dict | None = None, buckets: int = 64, after: Callable[[DataFrame], None] | None = None):
+    """A file stream of deltas that keeps a table of the latest row per key under target, in buckets by a hash of the key.
 
-    Every batch writes a new generation beside the old one and names it in target/_generations, so that readers
-    of the last named one are never disturbed, and a batch that runs again after a failure writes the same
-    generation again. current() reads it.
+    Every batch reads and writes the buckets that it touches, as a new generation beside the old one, and names them in
+    target/_generations, so that readers are not disturbed, and a batch that runs again after a failure writes the same
+    generation again. Of a bucket the last two generations stay. after(table) is called then, to recompute what depends on
+    the table, such as trends. current() reads it.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        old = _generation(session, target, before=number)
-        rows = latest(batch, key, order)
-        if old is not None:  # a late delta must not undo a newer row
-            rows = latest(session.read.parquet(f"{target}/g{old}").unionByName(rows), key, order)
-        rows.write.mode("overwrite").parquet(f"{target}/g{number}")
-        session.createDataFrame([(number,)], "generation long").coalesce(1).write.mode("overwrite").parquet(f"{target}/_generations/n{number}")
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        rows = latest(batch, key, order).withColumn("__bucket", bucket).persist()
+        touched = {r["__bucket"] for r in rows.select("__bucket").distinct().collect()}  # at most `buckets`
+        held = _generations(session, target, before=number)
+        old = [f"{target}/g{held[b][0]}/__bucket={b}" for b in sorted(touched) if b in held]
+        merged = rows
+        if old:  # a late delta must not undo a newer row
+            before = session.read.schema(batch.schema).parquet(*old).withColumn("__bucket", bucket)
+            merged = latest(before.unionByName(rows), key, order)
+        merged.repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{target}/g{number}")
+        rows.unpersist()
+        named = [(number, b) for b in sorted(touched)]
+        session.createDataFrame(named, "generation long, bucket int").coalesce(1).write.mode("overwrite").parquet(f"{target}/_generations/n{number}")
+        for b in touched:
+            for generation in held.get(b, [])[1:]:
+                remove(session, f"{target}/g{generation}/__bucket={b}")
+        if after:
+            after(current(session, target))
 
     reader = spark.readStream.schema(schema).parquet(landing)
     return reader.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _generation(spark: SparkSession, target: str, before: int | None = None) -> int | None:
+def _generations(spark: SparkSession, target: str, before: int | None = None) -> dict[int, list[int]]:
+    """The generations of each bucket, the newest first."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_generations")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
-    named = spark.read.schema("generation long").option("recursiveFileLookup", True).parquet(f"{target}/_generations")
-    return (named if before is None else named.where(F.col("generation") < before)).agg(F.max("generation")).first()[0]
+        return {}
+    named = spark.read.schema("generation long, bucket int").option("recursiveFileLookup", True).parquet(f"{target}/_generations")
+    named = named if before is None else named.where(F.col("generation") < before)
+    return {r["bucket"]: r["g"] for r in named.groupBy("bucket").agg(F.reverse(F.array_sort(F.collect_set("generation"))).alias("g")).collect()}
 
 
 def current(spark: SparkSession, target: str) -> DataFrame:
     """The table that stream_upsert() keeps."""
-    return spark.read.parquet(f"{target}/g{_generation(spark, target)}")
+    return spark.read.parquet(*[f"{target}/g{g[0]}/__bucket={b}" for b, g in sorted(_generations(spark, target).items())])
 
 
 def freshness(records: DataFrame, as_of: str, delta_days: int = 8) -> DataFrame:
