@@ -156,7 +156,7 @@ def brute_distance(p, q):
     return max(0.0, (half((p, q)) + half((q, p))) / 2) ** 0.5
 
 
-@pytest.mark.parametrize("candidates", [2000, 30])  # with 30 the second round counts all words
+@pytest.mark.parametrize("candidates", [200, 30])  # with 30 the second round counts all words
 def test_quality_verdict_is_that_of_brute_force(spark, candidates):
     rows = [(r["doc_id"], r["text"], r["lang"]) for r in table(spark, SF, "documents").where("doc_id < 250 AND lang != 'es'").collect()]
     rows += [(1000, None, None), (1001, "naïve Straße " * 60, None), (1002, "x" * 400 + " " + "internationalisation " * 99, "en")]

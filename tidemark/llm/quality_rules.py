@@ -22,7 +22,7 @@ from tidemark.llm.units import in_slices
 MIN_WORDS, REPEATED_PERCENT = 50, 50
 COMMON = 30
 #: Words of a language that the second round counts; it counts all where these turn out not to decide the common ones.
-CANDIDATES = 2_000
+CANDIDATES = 200
 MAX_CHAR, MAX_WORD = 0.16, 0.10
 ROWS_HELD = 1_000_000  # counts of words that a task holds before it hands them on
 SYMBOLS = b"#*$%&|<>"
