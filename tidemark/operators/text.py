@@ -32,13 +32,14 @@ def prepare_docs(records: DataFrame, canonical: DataFrame, group: Column, text:
 
 def terms(docs: DataFrame, text: str = "cleaned", stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """(grp, id, term, tf): words of two characters or more without stop words, and pairs of neighbours among these. docs has a row per
-    document, whose sorted terms are counted by their runs within the row, so that no token is shuffled."""
+    document, whose sorted terms are counted by their runs within the row, so that no token is shuffled. Nothing filters on the number of terms:
+    pushed below the projections, such a filter would clean a text anew for every token."""
     words = F.filter(F.split(F.col(text), " "), lambda t: (F.char_length(t) >= 2) & ~t.isin(*stop_words))
     listed = docs.select("grp", "id", words.alias("w"))
     pairs = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat(F.get("w", i), F.lit(" "), F.get("w", i + 1)))
     both = F.when(F.size("w") >= 2, F.concat("w", pairs)).otherwise(F.col("w"))
     starts = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
-    runs = listed.select("grp", "id", F.sort_array(both).alias("t")).where(F.size("t") > 0).select("grp", "id", "t", starts.alias("s"))
+    runs = listed.select("grp", "id", F.sort_array(both).alias("t")).select("grp", "id", "t", F.when(F.size("t") > 0, starts).alias("s"))
     counted = F.transform("s", lambda p, k: F.struct(F.get("t", p).alias("term"), (F.coalesce(F.get("s", k + 1), F.size("t")) - p).cast("long").alias("tf")))
     return runs.select("grp", "id", F.inline(counted))
 
