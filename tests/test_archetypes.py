@@ -22,3 +22,17 @@ def test_archetypes_take_the_best_k(spark, monkeypatch):
     model, wide, _, _ = model_queries._archetypes(None)
     assert len(model.stages[-1].clusterCenters()) == 6
     assert model.transform(wide).select("cluster").distinct().count() == 6
+
+
+def test_stability_follows_the_archetypes(spark, monkeypatch):
+    """F10 to F13 in a chain: entities that change their label in the second year drift."""
+    labels = list("abc")
+    rows = [(f"e{k}", labels[k % 3], 1.0, 20, None) for k in range(18)]
+    by_year = [(f"e{k}", y, labels[(k + (k < 6 and y == 2002)) % 3], 1.0, 20) for k in range(18) for y in (2001, 2002)]
+    pooled = spark.createDataFrame([r[:4] for r in rows], "entity string, label string, share double, total long")
+    yearly = spark.createDataFrame(by_year, "entity string, year long, label string, share double, total long")
+    monkeypatch.setattr(model_queries, "_shares", lambda x, by=None: yearly if by else pooled)
+    monkeypatch.setattr(model_queries, "_labels", lambda x: labels)
+    row = model_queries._archetype_stability(None).collect()
+    assert [tuple(r) for r in row] == [(18, 12, 6, 18, 12)]
+    assert {r["entity"] for r in profiles.drift_paths(model_queries._archetype_by_year(None)).collect()} == {f"e{k}" for k in range(6)}

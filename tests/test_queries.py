@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -47,6 +48,48 @@ def test_chain_from_texts_to_flags(spark):
     assert all(r["size"] >= 5 for r in rows if r["flagged"]) and all(r["top_terms"] for r in rows)
 
 
+def test_chains_over_found_values(spark):
+    """Ranks, drift and reports run over what the operators before them find."""
+    folder = "/root/testdata/sf0.01"
+    drift = catalog.QUERIES["found_drift"](spark, folder).collect()
+    assert any(r["drift"] > 0 for r in drift) and all(0 <= r["drift"] <= 1 for r in drift)
+    ranks = catalog.QUERIES["central_ranks"](spark, folder).collect()
+    assert sorted(r["centrality_rank"] for r in ranks) == list(range(1, len(ranks) + 1))
+    assert all(r["rank"] <= r["centrality_rank"] for r in ranks)
+    report = {r["label"]: r for r in catalog.QUERIES["classified_report"](spark, SF).collect()}
+    cells = catalog.QUERIES["classified_confusion"](spark, SF).collect()
+    assert sum(r["n"] for r in cells) == sum(r["support"] for r in report.values()) > 0
+    for label, r in report.items():
+        hit = sum(c["n"] for c in cells if c["label"] == c["predicted"] == label)
+        assert abs(r["recall"] * r["support"] - hit) < 1e-6
+
+
+def test_silhouette_is_that_of_all_distances(spark):
+    from tidemark.operators import textclusters
+
+    rng, rows, given = random.Random(4), [], []
+    for grp, n in (("g", 25), ("h", 6), ("one", 3)):
+        for i in range(n):
+            w = {t: rng.random() for t in rng.sample("abcdefgh", 3)}
+            scale = math.sqrt(sum(v * v for v in w.values()))
+            rows += [(grp, i, t, v / scale) for t, v in w.items()]
+            given.append((grp, i, 9 if grp == "h" and i == 5 else 0 if grp == "one" else i % 3))
+    given.append(("g", 99, 1))  # without weights
+    got = {r["grp"]: r for r in textclusters.silhouette(spark.createDataFrame(rows, "grp string, id long, term string, w double"), spark.createDataFrame(given, "grp string, id long, cluster long")).collect()}
+    for grp in ("g", "h"):
+        vectors = {i: {t: w for g, k, t, w in rows if (g, k) == (grp, i)} for g, i, _ in given if g == grp and i != 99}
+        of = {i: c for g, i, c in given if g == grp and i != 99}
+        away = lambda i, j: math.dist(*[[vectors[k].get(t, 0) for t in "abcdefgh"] for k in (i, j)])  # noqa: E731, B023
+        total = 0.0
+        for i in of:
+            mean = {c: [away(i, j) for j in of if of[j] == c and j != i] for c in set(of.values())}
+            if mean[of[i]]:
+                a, b = sum(mean[of[i]]) / len(mean[of[i]]), min(sum(v) / len(v) for c, v in mean.items() if c != of[i])
+                total += (b - a) / max(a, b)
+        assert got[grp]["documents"] == len(of) and abs(got[grp]["silhouette"] - total / len(of)) < 1e-9
+    assert got["one"]["silhouette"] is None
+
+
 def test_chain_from_centrality_to_the_forecast(spark, monkeypatch):
     from tidemark.operators import forecast
 

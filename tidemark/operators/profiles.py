@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -50,9 +53,12 @@ def fit_pca(df: DataFrame, columns: list[str], k: int = 2) -> PipelineModel:
     return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True), PCA(k=k, inputCol="scaled", outputCol="pca")]).fit(df)
 
 
-def _best_start(scaled: DataFrame, k: int, seeds: int, seed: int):
-    """The k-means model with the least cost of several starts, each until it rests or for 300 rounds."""
-    models = [KMeans(k=k, seed=seed + s, featuresCol="scaled", predictionCol="cluster", maxIter=300).fit(scaled) for s in range(seeds)]
+def _best_start(scaled: DataFrame, k: int, seeds: int, seed: int, at_once: int = 5):
+    """The k-means model with the least cost of several starts, each until it rests or for 300 rounds. Starts know nothing of each
+    other, so `at_once` of them run as jobs side by side over the same cached rows."""
+    fit = inheritable_thread_target(scaled.sparkSession)(lambda s: KMeans(k=k, seed=seed + s, featuresCol="scaled", predictionCol="cluster", maxIter=300).fit(scaled))
+    with ThreadPool(max(1, min(at_once, seeds))) as pool:
+        models = pool.map(fit, range(seeds), chunksize=1)
     return min(models, key=lambda m: m.summary.trainingCost)
 
 

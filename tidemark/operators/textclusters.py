@@ -5,6 +5,8 @@ weights are (grp, id, term, w) with unit rows; clusters are (grp, id, cluster).
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,10 @@ from tidemark.functions.shared import cut
 from tidemark.functions.stats import rounded
 from tidemark.operators.text import choose_k
 
+#: Documents of a group that silhouette() looks at.
+SILHOUETTE_SAMPLE = 1500
+TERMS_AT_ONCE = 2000
+
 
 def centroids(weights: DataFrame, clusters: DataFrame) -> DataFrame:
     """(grp, cluster, term, c): mean weight over all members."""
@@ -46,15 +52,48 @@ def cluster_docs(weights: DataFrame, rounds: int = 20) -> DataFrame:
     return clusters
 
 
-def silhouette(weights: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Mean simplified silhouette per group: distance to the own centroid against the nearest other one."""
-    c = centroids(weights, clusters)
-    norms = c.groupBy("grp", "cluster").agg(F.sum(F.col("c") * F.col("c")).alias("norm"))
-    dots = weights.join(c, ["grp", "term"]).groupBy("grp", "id", "cluster").agg(F.sum(F.col("w") * F.col("c")).alias("dot"))
-    d = dots.join(norms, ["grp", "cluster"]).withColumn("d", F.sqrt(F.greatest(F.lit(0.0), 1 + F.col("norm") - 2 * F.col("dot"))))
-    own = d.join(clusters.withColumnRenamed("cluster", "mine"), ["grp", "id"])
-    ab = own.groupBy("grp", "id").agg(F.min(F.when(F.col("cluster") == F.col("mine"), F.col("d"))).alias("a"), F.min(F.when(F.col("cluster") != F.col("mine"), F.col("d"))).alias("b"))
-    return ab.groupBy("grp").agg(F.avg((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))
+def silhouette(weights: DataFrame, clusters: DataFrame, sample: int = SILHOUETTE_SAMPLE) -> DataFrame:
+    """(grp, documents, silhouette): mean silhouette, by Euclidean distance, of at most `sample` documents a group, those with the smallest
+    hashes of their id.
+
+    A document alone in its cluster counts 0; a group with a single cluster has NULL. Documents without weights are left out. A task
+    holds the weights of `sample` documents and their distances.
+    """
+    place = F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("id"), "id"))
+    having = weights.select("grp", "id").distinct()
+    drawn = clusters.join(having, ["grp", "id"], "left_semi").withColumn("place", place).where(F.col("place") <= sample).select("grp", "id", "place", F.col("cluster").cast("string").alias("cluster"))
+    rows = weights.join(drawn, ["grp", "id"]).select("grp", "place", "cluster", "term", "w")
+    kind = weights.schema["grp"].dataType.simpleString()
+    return rows.groupBy("grp").applyInPandas(_silhouette_of_group, f"grp {kind}, documents long, silhouette double")
+
+
+def _silhouette_of_group(key: tuple, data: pd.DataFrame) -> pd.DataFrame:
+    """The mean silhouette of a group's documents, from their terms in blocks."""
+    doc, _ = pd.factorize(data["place"])
+    term, terms = pd.factorize(data["term"])
+    n, w = doc.max() + 1, data["w"].to_numpy()
+    dots, order = np.zeros((n, n)), np.argsort(term, kind="stable")
+    for low in range(0, len(terms), TERMS_AT_ONCE):
+        at = order[slice(*np.searchsorted(term[order], [low, low + TERMS_AT_ONCE]))]
+        block = np.zeros((n, TERMS_AT_ONCE))
+        block[doc[at], term[at] - low] = w[at]
+        dots += block @ block.T
+    square = np.diag(dots)
+    away = np.sqrt(np.maximum(0, square[:, None] + square[None, :] - 2 * dots))
+    np.fill_diagonal(away, 0)
+    names = data.groupby(doc)["cluster"].first()
+    mine, clusters = pd.factorize(names.sort_index())
+    if len(clusters) < 2:
+        return pd.DataFrame([(*key, n, None)])
+    member = np.eye(len(clusters))[mine]
+    size = member.sum(0)
+    mean = away @ member / size
+    row = np.arange(n)
+    a = mean[row, mine] * size[mine] / np.maximum(1, size[mine] - 1)
+    mean[row, mine] = np.inf
+    b = mean.min(1)
+    s = np.where(size[mine] > 1, (b - a) / np.maximum(1e-300, np.maximum(a, b)), 0.0)
+    return pd.DataFrame([(*key, n, float(s.mean()))])
 
 
 def cohesion(weights: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -110,7 +149,13 @@ def largest_flagged(flagged: DataFrame, n: int = 15) -> DataFrame:
     return flagged.where("flagged").orderBy(F.desc("size"), "grp", "cluster").limit(n)
 
 
-def trace_records(ids: list, clusters: DataFrame, labels: DataFrame, flagged: DataFrame, described: DataFrame) -> DataFrame:
-    """For given records their label, group, cluster, and the host cluster's flag, size, cohesion and terms."""
-    found = clusters.where(F.col("id").isin(ids)).join(labels, "id", "left")
-    return found.join(flagged.select("grp", "cluster", "size", "cohesion", "flagged"), ["grp", "cluster"], "left").join(described, ["grp", "cluster"], "left").withColumn("other_members", F.col("size") - 1)
+def trace_records(ids: list, clusters: DataFrame, labels: DataFrame, flagged: DataFrame, described: DataFrame, members: int = 5) -> DataFrame:
+    """For given records their label, group, cluster, and the host cluster's flag, size, cohesion, terms and its first `members` other records by id."""
+    found = clusters.where(F.col("id").isin(ids))
+    place = F.row_number().over(Window.partitionBy("grp", "cluster").orderBy("id"))
+    others = clusters.join(found.select("grp", "cluster").distinct(), ["grp", "cluster"], "left_semi").where(~F.col("id").isin(ids))
+    named = others.withColumn("place", place).where(F.col("place") <= members).groupBy("grp", "cluster").agg(F.array_sort(F.collect_list("id")).alias("members"))
+    host = flagged.select("grp", "cluster", "size", "cohesion", "flagged")
+    for more in (host, described, named):
+        found = found.join(more, ["grp", "cluster"], "left")
+    return found.join(labels, "id", "left").withColumn("other_members", F.col("size") - 1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.shared import cut
 from tidemark.functions.stats import rounded
 from tidemark.operators import classify as H
 from tidemark.operators import facts as I
@@ -108,6 +109,20 @@ def _classified(x):
     return H.fit_classifier(data.where("split = 'train'")).transform(data.where("split = 'test'")).select("id", "label", "predicted", "year")
 
 
+def _classified_confusion(x):
+    """H9 over what H5's classifier predicts."""
+    found = cut(_classified(x), "predictions")
+    return H.confusion(found, _labelled(x))
+
+
+def _archetype_stability(x):
+    """F11 and F12 over the archetypes that F10 scores by year, in one row."""
+    model, wide, labels, _ = _archetypes(x)
+    assigned = cut(P.score_by_year(model, P.wide_shares(_shares(x, ["year"]), labels, ["year"]), wide), "assigned")
+    agreement = P.latest_agreement(assigned, model.transform(wide)).select(F.col("entities").alias("latest_entities"), "agree")
+    return P.stability(assigned).crossJoin(agreement)  # a row each
+
+
 def _confused(x, n):
     """Labels as classes: the canonical label against the label of the record's first line."""
     first = x.assignments().groupBy("id").agg(F.min("label").alias("predicted"))
@@ -213,6 +228,8 @@ QUERIES = {
     "archetypes": _q(lambda x: P.archetype_counts(_map(x))),
     "entity_map": _q(_map),
     "archetype_by_year": _q(_archetype_by_year),
+    "archetype_stability": _q(_archetype_stability),
+    "archetype_paths": _q(lambda x: P.drift_paths(_archetype_by_year(x))),
     "cluster_profile": _q(lambda x: P.cluster_profile(_vectors(x).withColumnRenamed("label", "cluster"), _dims()).select("cluster", "label", rounded(F.col("mean_share"), 6).alias("mean_share"), "size", "place")),
     "name_clusters": _q(lambda x: P.name_clusters(P.cluster_profile(_vectors(x).withColumnRenamed("label", "cluster"), _dims()), {"A": _dims()[:20], "B": _dims()[20:40]}, "d63").select("cluster", "name")),
     "stability": _q(lambda x: P.stability(_assigned(x))),
@@ -224,6 +241,9 @@ QUERIES = {
     "unseen_classes": _q(lambda x: H.unseen_classes(_docs(x).withColumn("split", F.when(F.col("label") == "es", "test").otherwise("train")))),
     "tfidf_train_only": _q(_tfidf_train),
     "classify_lang": _q(_classified),
+    "classified_report": _q(lambda x: H.per_class_report(cut(_classified(x), "predictions"))),
+    "classified_by_year": _q(lambda x: H.scores(cut(_classified(x), "predictions"), ["year"])),
+    "classified_confusion": _q(_classified_confusion),
     "macro_f1": _q(lambda x: _report(H.scores(_predicted(x)))),
     "per_class_report": _q(lambda x: _report(H.per_class_report(_predicted(x)))),
     "drift_by_year": _q(lambda x: _report(H.scores(_predicted(x), ["year"]))),

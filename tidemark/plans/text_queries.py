@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import stats
+from tidemark.functions.shared import cut
 from tidemark.functions.stats import rounded
 from tidemark.operators import centrality as C
+from tidemark.operators import forecast as P
 from tidemark.operators import network as E
 from tidemark.operators import text as G
 from tidemark.operators import textclusters as K
@@ -91,6 +94,25 @@ def _found_flags(x):
     return flagged.join(K.cluster_terms(weights, found), ["grp", "cluster"]).select("grp", "cluster", "size", "cohesion", "uncategorized_rate", "entropy", "flagged", "top_terms")
 
 
+def _found_silhouette(x):
+    weights = _weights(x)
+    return K.silhouette(weights, K.cluster_docs(weights))
+
+
+def _found_drift(x):
+    """K1 over the clusters that G7 finds and G12 flags; a document's year follows from its id."""
+    weights = _weights(x)
+    found = K.cluster_docs(weights)
+    stats_ = K.cluster_label_stats(found, _labels(x)).join(K.cohesion(weights, found), ["grp", "cluster"])
+    docs = x.documents().select("id", "grp", "label", (F.lit(2015) + F.pmod("id", F.lit(10))).cast("long").alias("year"))
+    return P.drift_score(docs, found, K.flag_clusters(stats_, 5))
+
+
+def _central_measures(x):
+    """Frequency beside the centrality that E6 finds, written once: measures are read several times."""
+    return cut(E.label_index(x.canonical()).join(_centrality(x).select("label", "centrality"), "label").select("label", "frequency", "centrality"), "measures")
+
+
 def _verified(x):
     edges = E.cooccurrence(dense(x)).withColumn("key", F.lit(0))
     return C.verify_centrality(edges, _centrality(x))
@@ -115,12 +137,17 @@ QUERIES = {
     "label_entropy": _q(lambda x: K.cluster_label_stats(_given(x), _labels(x)).select("grp", "cluster", rounded(F.col("entropy"), 6).alias("entropy"))),
     "flag_clusters": _q(lambda x: _flagged(x).select("grp", "cluster", "size", "flagged")),
     "largest_flagged": _q(lambda x: K.largest_flagged(_flagged(x)).select("grp", "cluster", "size")),
-    "silhouette": _q(lambda x: K.silhouette(_weights(x), _clustered(x)).select("grp", rounded(F.col("silhouette"), 6).alias("silhouette"))),
+    "silhouette": _q(lambda x: K.silhouette(_weights(x), _given(x)).select("grp", "documents", rounded(F.col("silhouette"), 6).alias("silhouette"))),
+    "found_silhouette": _q(_found_silhouette),
+    "found_drift": _q(_found_drift),
+    "central_ranks": _q(lambda x: E.value_rank(E.rank_compare(_central_measures(x), "frequency", "centrality"), "centrality")),
+    "central_spearman": _q(lambda x: stats.spearman(_central_measures(x), "frequency", "centrality")),
+    "central_divergence": _q(lambda x: E.divergence(_central_measures(x), "frequency", "centrality")),
     "found_flags": _q(_found_flags),
     "verify_centrality": _q(_verified),
     "flag_summary": _q(lambda x: K.flag_summary(_flagged(x))),
     "cluster_terms": _q(lambda x: K.cluster_terms(_weights(x), _clustered(x))),
-    "trace_records": _q(lambda x: K.trace_records([1, 7, 100, 333], _given(x), _labels(x), _flagged(x), K.cluster_terms(_weights(x), _clustered(x))).select("id", "grp", "cluster", "label", "size", "flagged", "top_terms")),
+    "trace_records": _q(lambda x: K.trace_records([1, 7, 100, 333], _given(x), _labels(x), _flagged(x), K.cluster_terms(_weights(x), _clustered(x))).select("id", "grp", "cluster", "label", "size", "flagged", "top_terms", F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"))),
 }
 
 _STOP = "(" + ", ".join(f"'{w}'" for w in G.STOP_WORDS) + ")"
@@ -162,5 +189,5 @@ ORACLE_SQL = {
     "largest_flagged": _W + "SELECT grp, cluster, size FROM fl WHERE flagged ORDER BY size DESC, grp, cluster LIMIT 15",
     "flag_summary": _W + "SELECT grp, count(*) AS clusters, count(*) FILTER (flagged) AS flagged FROM fl GROUP BY grp",
     "cluster_terms": _W + "SELECT * FROM ct",
-    "trace_records": _W + "SELECT id, gv.grp, gv.cluster, docs.label, fl.size, fl.flagged, top_terms FROM gv JOIN docs USING (id) LEFT JOIN fl ON fl.grp = gv.grp AND fl.cluster = gv.cluster LEFT JOIN ct ON ct.grp = gv.grp AND ct.cluster = gv.cluster WHERE id IN (1, 7, 100, 333)",
+    "trace_records": _W + ", mb AS (SELECT grp, cluster, string_agg(id, ',' ORDER BY id) AS members FROM (SELECT grp, cluster, id, row_number() OVER (PARTITION BY grp, cluster ORDER BY id) AS k FROM gv WHERE id NOT IN (1, 7, 100, 333)) WHERE k <= 5 GROUP BY ALL) SELECT id, gv.grp, gv.cluster, docs.label, fl.size, fl.flagged, top_terms, members FROM gv JOIN docs USING (id) LEFT JOIN fl ON fl.grp = gv.grp AND fl.cluster = gv.cluster LEFT JOIN ct ON ct.grp = gv.grp AND ct.cluster = gv.cluster LEFT JOIN mb ON mb.grp = gv.grp AND mb.cluster = gv.cluster WHERE id IN (1, 7, 100, 333)",
 }
