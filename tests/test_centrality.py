@@ -31,3 +31,18 @@ def test_two_networks_at_once_match_dense_eigenvectors(spark):
     got = C.power_iteration(spark.createDataFrame(edges, "key long, src string, dst string, weight long"), nodes, max_iter=200).collect()
     assert max(abs(r["centrality"] - want[r["key"], r["label"]]) for r in got) < 1e-4
     assert all(r["residual"] < 1e-4 for r in got)
+
+
+def test_tasks_and_joins_give_the_same_vectors(spark):
+    rng = np.random.default_rng(9)
+    edges = [(key, f"n{i}", f"n{j}", int(rng.integers(1, 9))) for key in (1, 2, 3) for i in range(12) for j in range(i + 1, 12) if rng.random() < 0.2 * key]
+    edges += [(1, "n0", "stranger", 5), (1, "n1", "n2", None), (4, "n0", "n1", 1)]
+    nodes = [(key, f"n{i}") for key in (1, 2, 3, 5) for i in range(14)]
+    tables = spark.createDataFrame(edges, "key long, src string, dst string, weight long"), spark.createDataFrame(nodes + nodes[:3], "key long, label string")
+    most = sorted(sum(e[0] == key for e in edges) for key in (1, 2, 3))[1]
+    want = {(r["key"], r["label"]): r for r in C.power_iteration(*tables, max_iter=30, shift=1.0).collect()}
+    got = C.power_iteration(*tables, max_iter=30, shift=1.0, small_edges=most).collect()  # the network with the most edges by joins
+    assert sorted(want) == sorted((r["key"], r["label"]) for r in got) == sorted(nodes)
+    for r in got:
+        assert all(abs(r[c] - want[r["key"], r["label"]][c]) < 1e-6 for c in ("centrality", "eigenvalue", "residual"))
+        assert r["converged"] == want[r["key"], r["label"]]["converged"]

@@ -10,18 +10,73 @@ from pyspark.sql import functions as F
 from tidemark.functions.shared import cut
 
 
-def power_iteration(edges: DataFrame, nodes: DataFrame, tol: float = 1e-8, max_iter: int = 100, shift: float = 0.0, chunk: int = 5) -> DataFrame:
+#: Networks of at most this many edges and nodes are iterated within a task each (some 100 MB of memory), larger ones by joins.
+SMALL_EDGES, SMALL_NODES = 1_000_000, 200_000
+
+
+def power_iteration(edges: DataFrame, nodes: DataFrame, tol: float = 1e-8, max_iter: int = 100, shift: float = 0.0, chunk: int = 5, small_edges: int = SMALL_EDGES, small_nodes: int = SMALL_NODES) -> DataFrame:
     """Dominant eigenvectors of the networks edges(key, src, dst, weight) over nodes(key, label).
 
     Starts from equal parts, multiplies by A + shift * I (a shift keeps bipartite networks from swinging),
-    and stops when no network's vector moves by tol. Vectors are scaled and written out every `chunk` steps, so
-    that lineage and driver traffic stay small. Returns key, label, centrality (unit length), eigenvalue
+    and stops when the vector moves by less than tol. A network of at most small_edges and small_nodes is iterated in the task of
+    its key, larger ones together by joins. Returns key, label, centrality (unit length), eigenvalue
     (Rayleigh quotient of A), residual |Av - lv|, converged. Nodes without edges go to 0; a network
-    without edges has zeros, eigenvalue 0. Not converging is reported, not an error.
+    without edges has zeros, eigenvalue 0. Edges to labels that are no nodes count for nothing. Not converging is reported, not an error.
     """
-    sym = edges.select("key", "src", "dst", F.col("weight").cast("double").alias("w"))
-    sym = cut(sym.unionByName(sym.select("key", F.col("dst").alias("src"), F.col("src").alias("dst"), "w")), "edges")
-    start = nodes.select("key", "label").distinct()
+    links = cut(edges.select("key", "src", "dst", F.coalesce(F.col("weight").cast("double"), F.lit(0.0)).alias("w")), "edges")
+    start = cut(nodes.select("key", "label").distinct(), "nodes")
+    many_nodes = start.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small_nodes).select("key")
+    many_edges = links.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small_edges).select("key")
+    large = cut(many_nodes.unionByName(many_edges).distinct(), "large")
+    if large.isEmpty():
+        return _in_tasks(links, start, tol, max_iter, shift)
+    joined = _by_joins(links.join(large, "key", "left_semi"), start.join(large, "key", "left_semi"), tol, max_iter, shift, chunk)
+    return joined.unionByName(_in_tasks(links.join(large, "key", "left_anti"), start.join(large, "key", "left_anti"), tol, max_iter, shift))
+
+
+def _rows(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Nodes (other is NULL) and links(key, src, dst, w) as rows of one table."""
+    return nodes.withColumns({"other": F.lit(None).cast("string"), "w": F.lit(None).cast("double")}).unionByName(links.select("key", F.col("src").alias("label"), F.col("dst").alias("other"), "w"), allowMissingColumns=True)
+
+
+def _ends(data: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """A network's nodes, and the places of both ends and the weights of its links between nodes."""
+    at_node = data["other"].isna()
+    nodes, links = data[at_node], data[~at_node]
+    index = pd.Index(nodes["label"])
+    src, dst = index.get_indexer(links["label"]), index.get_indexer(links["other"])
+    known = (src >= 0) & (dst >= 0)
+    return nodes, src[known], dst[known], links["w"].to_numpy()[known]
+
+
+def _in_tasks(links: DataFrame, start: DataFrame, tol: float, max_iter: int, shift: float) -> DataFrame:
+    def iterate(key, data):
+        nodes, src, dst, w = _ends(data)
+        n = len(nodes)
+        rows, columns, both = np.concatenate([src, dst]), np.concatenate([dst, src]), np.concatenate([w, w])
+
+        def times(x):
+            return np.bincount(rows, both * x[columns], n)
+
+        x, moved = np.full(n, 1 / np.sqrt(n)), np.inf
+        for _ in range(max_iter):
+            y = times(x) + shift * x
+            y /= np.linalg.norm(y) or 1.0
+            moved, x = np.linalg.norm(y - x), y
+            if moved < tol:
+                break
+        y = times(x)
+        value = float(x @ y / (x @ x or 1.0))
+        return pd.DataFrame({"key": [key[0]] * n, "label": nodes["label"].to_numpy(), "centrality": x, "eigenvalue": value, "residual": float(np.linalg.norm(y - value * x)), "converged": bool(moved < tol)})
+
+    links = links.join(start.select("key").distinct(), "key", "left_semi")
+    kinds = ", ".join(f"{c} {start.schema[c].dataType.simpleString()}" for c in ("key", "label"))
+    return _rows(start.where("key IS NOT NULL"), links).groupBy("key").applyInPandas(iterate, f"{kinds}, centrality double, eigenvalue double, residual double, converged boolean")
+
+
+def _by_joins(links: DataFrame, start: DataFrame, tol: float, max_iter: int, shift: float, chunk: int) -> DataFrame:
+    """Vectors are scaled and written out every `chunk` steps, so that lineage and driver traffic stay small."""
+    sym = cut(links.unionByName(links.select("key", F.col("dst").alias("src"), F.col("src").alias("dst"), "w")), "links")
     size = start.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     v = cut(start.join(size, "key").select("key", "label", (1 / F.sqrt("n")).alias("x")), "vector")
 
@@ -70,16 +125,14 @@ def verify_centrality(edges: DataFrame, found: DataFrame, most: int = 2_000) ->
     solved, its row has NULLs; there the residual of power_iteration() speaks."""
     size = found.groupBy("key").agg(F.count(F.lit(1)).alias("nodes"))
     small = size.where(F.col("nodes") <= most).select("key")
-    rows = found.join(small, "key").select("key", "label", "centrality", F.lit(None).cast("string").alias("other"), F.lit(None).cast("double").alias("w"))
-    links = edges.join(small, "key").select("key", F.col("src").alias("label"), F.lit(None).cast("double").alias("centrality"), F.col("dst").alias("other"), F.col("weight").cast("double").alias("w"))
+    links = edges.join(small, "key", "left_semi").select("key", "src", "dst", F.col("weight").cast("double").alias("w"))
+    rows = _rows(found.join(small, "key", "left_semi").select("key", "label", "centrality"), links)
 
     def solve(key, data):
-        nodes = data[data["other"].isna()]
-        at = {label: k for k, label in enumerate(nodes["label"])}
-        a = np.zeros((len(at), len(at)))
-        for src, dst, w in data[~data["other"].isna()][["label", "other", "w"]].itertuples(index=False):
-            a[at[src], at[dst]] += w
-            a[at[dst], at[src]] += w
+        nodes, src, dst, w = _ends(data)
+        a = np.zeros((len(nodes), len(nodes)))
+        np.add.at(a, (src, dst), w)
+        np.add.at(a, (dst, src), w)
         value, vectors = np.linalg.eigh(a)
         want, got = vectors[:, -1], nodes["centrality"].to_numpy()
         want = want * (np.sign(want @ got) or 1.0)
@@ -88,5 +141,5 @@ def verify_centrality(edges: DataFrame, found: DataFrame, most: int = 2_000) ->
         return pd.DataFrame([(*key, difference, cosine, difference < 1e-4 and cosine > 0.9999)])
 
     kind = found.schema["key"].dataType.simpleString()
-    solved = rows.unionByName(links).groupBy("key").applyInPandas(solve, f"key {kind}, max_difference double, cosine double, agrees boolean")
+    solved = rows.groupBy("key").applyInPandas(solve, f"key {kind}, max_difference double, cosine double, agrees boolean")
     return size.join(solved, "key", "left")
