@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.shared import cut
 
 
-#: Networks of at most this many edges and nodes are iterated within a task each (some 100 MB of memory), larger ones by joins.
+#: Networks of at most this many edges and nodes are iterated within a task each, larger ones by joins.
 SMALL_EDGES, SMALL_NODES = 1_000_000, 200_000
 
 
