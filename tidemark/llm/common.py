@@ -87,25 +87,26 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def append_columns(df: DataFrame, fields: dict[str, str], make: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
-    """df with columns computed from Arrow batches. make() runs once per task and returns a function from
+def append_columns(df: DataFrame, fields: dict[str, str], make: Callable[[], Callable[[pa.RecordBatch], list]], without: tuple[str, ...] = ()) -> DataFrame:
+    """df without some of its columns and with others computed from Arrow batches. make() runs once per task and returns a function from
     a batch to one array per field. A column of df with the name of a field, in any case, is replaced."""
     replaced = {k.lower() for k in fields}
     kept = [c for c in df.columns if c.lower() not in replaced]
     safe = [f"__column {k}" if "." in c or "`" in c else c for k, c in enumerate(kept)]  # mapInArrow takes dots for fields
     base = df.select([F.col(q).alias(c) for q, c in zip(quoted(kept), safe)])
     added = T.StructType().fromDDL(", ".join(f"`{k}` {v}" for k, v in fields.items()))
-    schema = T.StructType(list(base.schema.fields) + list(added.fields))
-    names = safe + list(fields)
+    at = [k for k, c in enumerate(kept) if c not in without]
+    schema = T.StructType([base.schema.fields[k] for k in at] + list(added.fields))
+    names = [safe[k] for k in at] + list(fields)
 
     def run(batches):
         compute = make()
         for batch in batches:
             new = compute(batch)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(x if isinstance(x, pa.Array) else pa.array(x) for x in new)], names=names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in at), *(x if isinstance(x, pa.Array) else pa.array(x) for x in new)], names=names)
 
     done = map_arrow(base, run, schema)
-    return done if safe == kept else done.toDF(*kept, *fields)
+    return done if safe == kept else done.toDF(*(kept[k] for k in at), *fields)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from tidemark.llm.bpe import op4_bpe
 from tidemark.llm.chat import OP3_SQL, op3_chat
+from tidemark.llm.filter_audit import OP12_SQL, op12_filter_audit
 from tidemark.llm.fingerprints import op2_fingerprints
 from tidemark.llm.language import op10_language
+from tidemark.llm.language_model import op13_language_model
 from tidemark.llm.packing import op8_packing
 from tidemark.llm.pii import op9_pii
 from tidemark.llm.quality_classifier import op1_quality
 from tidemark.llm.quality_rules import op7_quality_rules
+from tidemark.llm.resampling import OP11_SQL, op11_resampling
 from tidemark.llm.simhash import op5_simhash
 from tidemark.llm.tokenfiles import op6_token_files
 
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_pii": op9_pii,
     "op10_language": op10_language,
+    "op11_resampling": op11_resampling,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_language_model": op13_language_model,
 }
 
-ORACLE_SQL = {"op3_chat": OP3_SQL}
+ORACLE_SQL = {"op3_chat": OP3_SQL, "op11_resampling": OP11_SQL, "op12_filter_audit": OP12_SQL}
