@@ -1,7 +1,7 @@
 """Language-model scoring (operator 13): a log-bilinear neural model, trained in numpy by noise-contrastive estimation.
 
 Words of the training documents are counted in full. The model predicts a symbol (one of the most frequent words, the end, or
-one of the buckets that all other words fall into by their last two characters) from the four symbols before it: the context's
+one of the buckets that all other words fall into by their last two characters) from the three symbols before it: the context's
 vectors, each times a vector of its place, add up to the predicted vector, and its products with all symbols' vectors are their
 scores. A word of a bucket then has its share of the bucket's count, so the probabilities of all words, seen or not, add up to 1.
 
@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import map_arrow, materialize, table
 from tidemark.llm.units import in_slices
 
-WORDS, TAILS, WIDTH, CONTEXT = 383, 128, 16, 4
-NOISE, BATCH, RATE, ROUNDS = 64, 2048, 0.02, 2
+WORDS, TAILS, WIDTH, CONTEXT = 95, 160, 16, 3
+NOISE, BATCH, RATE, ROUNDS = 32, 2048, 0.02, 2
+SCORED = 256  # places whose scores fit a processor's cache
 #: A word with a SHARED-th of all tokens or more is broadcast unless it is longer than LONGEST bytes; there can be SHARED such words.
 SHARED, LONGEST = 1 << 20, 64
 FOLDS, HELD_FOLD = 5, 1
@@ -110,17 +111,33 @@ class Model:
         return vectors, sum(self.place[j] * vectors[CONTEXT - 1 - j : CONTEXT - 1 - j + n] for j in range(CONTEXT))
 
     def log_probabilities(self, row: np.ndarray) -> np.ndarray:
-        """Natural log probability of each symbol of a row from the CONTEXT-th on, normalised over all symbols; 0 for starts."""
-        out, high = [], float(np.abs(self.bias).max())
-        for a in range(0, len(row) - CONTEXT, BATCH):
-            some = row[a : a + BATCH + CONTEXT]
-            _, predicted = self.predict(some)
-            scores, to = predicted @ self.target.T + self.bias, some[CONTEXT:]
-            top = scores.max(1) if high + float(np.abs(predicted).max()) * WIDTH * float(np.abs(self.target).max()) > 80 else np.zeros(len(to), "f4")
-            got = scores[np.arange(len(to)), np.where(to == START, 0, to)]
-            scores -= top[:, None]
-            np.exp(scores, out=scores)
-            out.append(np.where(to == START, 0.0, got - top - np.log(scores.sum(1, dtype="f8"))))
+        """Natural log probability of each symbol of a row from the CONTEXT-th on, normalised over all symbols; 0 for starts.
+
+        A score is a sum over the context's places, each of a product of two symbols' vectors. These come from one matrix product per
+        place, and so do their exponentials: a token's are the products of its context's rows.
+        """
+        scores = np.stack([(self.context * p) @ self.target.T for p in self.place])
+        scores[0] += self.bias
+        low = scores.max(2, keepdims=True)
+        factors = np.exp(scores - low)  # at most 1; a factor too small for a float adds nothing to a sum that holds larger ones
+        out = []
+        for a in range(0, len(row) - CONTEXT, SCORED):
+            some = row[a : a + SCORED + CONTEXT]
+            n = len(some) - CONTEXT
+            places = [some[CONTEXT - 1 - j : CONTEXT - 1 - j + n] for j in range(CONTEXT)]
+            product = factors[0].take(places[0], axis=0)
+            for j in range(1, CONTEXT):
+                product *= factors[j].take(places[j], axis=0)
+            sums, to = product @ np.ones(SYMBOLS, "f4"), some[CONTEXT:]
+            real = to != START
+            at = np.where(real, to, 0)
+            got = sum(scores[j][places[j], at].astype("f8") for j in range(CONTEXT))
+            with np.errstate(divide="ignore"):
+                whole = np.log(sums.astype("f8")) + sum(low[j][places[j], 0] for j in range(CONTEXT))
+            for i in np.flatnonzero(sums < 1e-30):  # so far apart that floats lose them
+                x = sum(scores[j][places[j][i]].astype("f8") for j in range(CONTEXT))
+                whole[i] = x.max() + np.log(np.exp(x - x.max()).sum())
+            out.append(np.where(real, got - whole, 0.0))
         return np.concatenate(out) if out else np.zeros(0)
 
 
@@ -142,13 +159,17 @@ class Learner:
         count = int(real.sum())
         if not count:
             return
-        to = np.where(real, to, 0)
+        to, part = np.where(real, to, 0), (real / count).astype("f4")
         noise = np.minimum(np.searchsorted(self.cumulated, self.rng.random(NOISE)), SYMBOLS - 1)
         vectors, predicted = m.predict(row)
-        sure = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
         # the odds that a word is a context's next one and not one of NOISE words drawn by their shares
-        up = (1 - sure((predicted * m.target[to]).sum(1) + m.bias[to] - self.chance[to])) * real / count
-        down = -sure(predicted @ m.target[noise].T + m.bias[noise] - self.chance[noise]) * real[:, None] / count
+        with np.errstate(over="ignore"):
+            up = part - part / (1 + np.exp(self.chance[to] - m.bias[to] - np.einsum("ij,ij->i", predicted, m.target[to])))
+            down = predicted @ -m.target[noise].T
+            down += self.chance[noise] - m.bias[noise]
+            np.exp(down, out=down)
+        down += 1
+        np.divide(-part[:, None], down, out=down)
         back = up[:, None] * m.target[to] + down @ m.target[noise]
         target = _sums(to, up[:, None] * predicted, SYMBOLS)
         np.add.at(target, noise, down.T @ predicted)
@@ -158,7 +179,7 @@ class Learner:
         for j in range(CONTEXT):
             at = slice(CONTEXT - 1 - j, CONTEXT - 1 - j + len(back))
             into[at] += m.place[j] * back
-            place[j] = (vectors[at] * back).sum(0)
+            place[j] = np.einsum("ij,ij->j", vectors[at], back)
         self.step += 1
         self.tokens += count
         rate = self.rate / (1 + self.step / 500)
