@@ -29,6 +29,7 @@ from tidemark.llm.units import in_slices
 
 WORDS, TAILS, WIDTH, CONTEXT = 95, 160, 16, 3
 NOISE, BATCH, RATE, ROUNDS = 32, 2048, 0.02, 2
+STEPS = 300  # steps of a task in a round at least: one with few texts reads them again
 SCORED = 256  # places whose scores fit a processor's cache
 #: A word with a SHARED-th of all tokens or more is broadcast unless it is longer than LONGEST bytes; there can be SHARED such words.
 SHARED, LONGEST = 1 << 20, 64
@@ -91,7 +92,9 @@ class Model:
     def fresh(cls, share: np.ndarray) -> "Model":
         """A small random model whose biases are the symbols' log shares."""
         rng = np.random.default_rng(13)
-        return cls(rng.normal(0, 0.3, (SYMBOLS + 1, WIDTH)).astype("f4"), rng.normal(0, 0.3, (SYMBOLS, WIDTH)).astype("f4"), np.full((CONTEXT, WIDTH), 1 / CONTEXT, "f4"), np.log(share).astype("f4"))
+        with np.errstate(divide="ignore"):
+            bias = np.log(share).astype("f4")
+        return cls(rng.normal(0, 0.3, (SYMBOLS + 1, WIDTH)).astype("f4"), rng.normal(0, 0.3, (SYMBOLS, WIDTH)).astype("f4"), np.full((CONTEXT, WIDTH), 1 / CONTEXT, "f4"), bias)
 
     def parts(self) -> list[np.ndarray]:
         return [self.context, self.target, self.place, self.bias]
@@ -146,7 +149,7 @@ class Learner:
 
     def __init__(self, model: Model, share: np.ndarray, seed: int, rate: float = RATE):
         self.model, self.rng, self.rate, self.step, self.tokens = model, np.random.default_rng(seed), rate, 0, 0
-        self.cumulated, self.chance = np.cumsum(share), np.log(NOISE * share).astype("f4")
+        self.cumulated, self.chance = np.cumsum(share), np.where(share > 0, np.log(np.maximum(NOISE * share, 1e-30)), 0).astype("f4")
         self.first, self.second = ([np.zeros_like(p) for p in model.parts()] for _ in range(2))
 
     def learn(self, row: np.ndarray) -> None:
@@ -241,8 +244,8 @@ class Counts:
     tail_kinds: np.ndarray
 
     def share(self) -> np.ndarray:
-        """The symbols' shares of training tokens, smoothed."""
-        n = np.concatenate([self.of_frequent, np.zeros(WORDS - len(self.of_frequent)), [self.ends], self.tail_tokens]) + 0.5
+        """The symbols' shares of training tokens, smoothed; symbols for more words than there are have none."""
+        n = np.concatenate([self.of_frequent + 0.5, np.zeros(WORDS - len(self.of_frequent)), [self.ends + 0.5], self.tail_tokens + 0.5])
         return n / n.sum()
 
 
@@ -270,11 +273,18 @@ def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
         def learn(batches, flat=flat, k=k):
             pid = TaskContext.get().partitionId()
             learner = Learner(Model.of(flat), share, pid, RATE / (1 + 2 * k))
+            few = []
             for words, _ in _slices(batches, ()):
-                learner.learn(words.sequence(words.symbols(frequent))[0])
-            if learner.tokens:
-                moved = learner.model.flat().astype("f8") * learner.tokens
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(moved)), pa.int32()), pa.array(np.concatenate([[learner.tokens], moved]))], names=["at", "x"])
+                row = words.sequence(words.symbols(frequent))[0]
+                learner.learn(row)
+                if learner.step < STEPS:
+                    few.append(row)
+            tokens = learner.tokens
+            while 0 < learner.step < STEPS:
+                learner.learn(few[learner.step % len(few)])
+            if tokens:
+                moved = learner.model.flat().astype("f8") * tokens
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(moved)), pa.int32()), pa.array(np.concatenate([[tokens], moved]))], names=["at", "x"])
 
         read = docs.where(~F.col("held") & (F.pmod(F.col("part"), F.lit(rounds)) == k)).select("text")
         sums = {r["at"]: r["x"] for r in map_arrow(read, learn, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()}  # a number per parameter

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import append_columns, map_arrow, materialize, partitions, table, unused
+from tidemark.llm.common import append_columns, map_arrow, materialize, partitions, quoted, table, unused
 from tidemark.llm.units import in_slices
 
 N_GRAM, BUCKETS, MIN_WORDS, PERCENT, SEED = 1, 10_000, 20, 10, 2024
@@ -168,7 +168,7 @@ def resample(source: DataFrame, target: DataFrame, percent: int = PERCENT, id: s
     all buckets are alike in it; an empty source gives an empty result."""
     gain = gains(bucket_counts(source, text, n_gram, buckets), bucket_counts(target, text, n_gram, buckets))
     kept = [c for c in source.columns if c.lower() != "rank"]
-    return draw(weigh(source.select(kept), gain, id, text, n_gram, seed), id, percent, min_words)
+    return draw(weigh(source.select(quoted(kept)), gain, id, text, n_gram, seed), id, percent, min_words)
 
 
 def op11_resampling(spark, sf_dir: str) -> DataFrame:
