@@ -102,10 +102,19 @@ def test_centrality_is_that_of_a_dense_solver(spark):
 
 def test_no_window_sorts_all_rows_of_a_year(spark):
     """Windows by year alone run over aggregated counts."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    def by_year(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        return [line for line in plan.splitlines() if "Window [" in line and line.split("], [")[1].startswith("year#")]
+
     for name in ("entity_rank_by_year", "item_year_trend"):
-        plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
-        at = [line for line in plan.splitlines() if "Window" in line and "[year#" in line.split("], [")[1]]
+        at = by_year(catalog.QUERIES[name](spark, SF))
         assert at and all("__rows" in line for line in at)
+    rows = spark.range(10).select(F.col("id").alias("n"), (F.col("id") % 3).alias("year"))
+    at = by_year(rows.withColumn("place", F.rank().over(Window.partitionBy("year").orderBy("n"))))
+    assert at and not any("__rows" in line for line in at)
 
 
 def test_a_model_is_saved_and_read_back(spark, tmp_path):

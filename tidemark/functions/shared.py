@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 _WRITTEN: list[str] = []
 
 
-def _new_path(spark: SparkSession, name: str) -> str:
+def new_path(spark: SparkSession, name: str) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tidemark.shared.dir", None)
     if not folder:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
@@ -22,10 +22,16 @@ def _new_path(spark: SparkSession, name: str) -> str:
     return _WRITTEN[-1]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, which reads a table, over as many partitions as there are cores at least: a table in few files would keep most of them idle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the folder in spark.checkpoint.dir (one of this machine's only where tasks run in this very machine and none is set)
     and read it back, which ends its lineage."""
-    path = _new_path(df.sparkSession, name)
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, IndexToString, NGram, Normalizer, SQLTransformer, StopWordsRemover, StringIndexer, Tokenizer
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.shared import cut
 from tidemark.functions.stats import spearman
-from tidemark.operators.text import STOP_WORDS, terms, vocabulary, weigh
+from tidemark.operators.regression import Fitted, balanced, fit, predict
+from tidemark.operators.text import terms, vocabulary, weigh
 
 
 def build_labelled(docs: DataFrame, top: DataFrame, split_year: int = 2021, other: str = "Other") -> DataFrame:
@@ -33,38 +31,24 @@ def unseen_classes(labelled: DataFrame) -> DataFrame:
 def tfidf_train_only(train: DataFrame, other: DataFrame, min_df: int = 3, max_df: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """H4: weights of train and of other documents, with the vocabulary and idf of train alone."""
     a, b = (terms(d.withColumn("grp", F.lit(0)).select("grp", "id", "cleaned")) for d in (train, other))
+    a = cut(a, "terms")  # read twice, counted once
     sizes = train.agg(F.count_distinct("id").alias("n_docs")).withColumn("grp", F.lit(0))
     vocab = vocabulary(a, sizes, min_df, max_df)
     return weigh(a, vocab).drop("grp"), weigh(b, vocab).drop("grp")
 
 
-def fit_classifier(train: DataFrame, min_df: float = 3.0, max_df: float = 0.5, max_iter: int = 1000) -> PipelineModel:
-    """H5: multinomial logistic regression on H4's weights with balanced class weights; regParam 1 / n stands for C = 1.
+def fit_classifier(weights: DataFrame, train: DataFrame, tolerance: float = 1e-4, max_steps: int = 200) -> Fitted:
+    """H5: multinomial logistic regression on H4's weights of train, with balanced label weights and C = 1; see regression.fit().
 
-    Columns used: cleaned, label. The result adds predicted.
+    Columns used of train: id, label. No term of the weights is left out.
     """
-    counts = train.groupBy("label").agg(F.count(F.lit(1)).alias("n_c"))
-    total = counts.agg(F.sum("n_c").alias("n"), F.count(F.lit(1)).alias("k")).first()
-    weighted = train.join(F.broadcast(counts), "label").withColumn("weight", total["n"] / (total["k"] * F.col("n_c")))
-    index = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc", handleInvalid="keep").fit(train)
-    stages = [
-        Tokenizer(inputCol="cleaned", outputCol="words"),
-        SQLTransformer(statement="SELECT *, filter(words, w -> length(w) >= 2) AS long FROM __THIS__"),
-        StopWordsRemover(inputCol="long", outputCol="kept", stopWords=list(STOP_WORDS)),
-        NGram(n=2, inputCol="kept", outputCol="pairs"),
-        SQLTransformer(statement="SELECT *, concat(kept, pairs) AS terms FROM __THIS__"),
-        CountVectorizer(inputCol="terms", outputCol="tf", minDF=min_df, maxDF=max_df),
-    ]
-    counted = Pipeline(stages=stages).fit(index.transform(weighted))
-    seen = counted.transform(index.transform(weighted))
-    idf = 1 + IDF(inputCol="tf", outputCol="idf").fit(seen).idf.toArray()  # Spark's lacks the 1
-    stages = [
-        ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="tf", outputCol="weighted"),
-        Normalizer(inputCol="weighted", outputCol="features"),
-        LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", family="multinomial", regParam=1 / total["n"], standardization=False, maxIter=max_iter),
-    ]
-    fitted = Pipeline(stages=stages).fit(seen)
-    return PipelineModel(stages=[*counted.stages, *fitted.stages, IndexToString(inputCol="prediction", outputCol="predicted", labels=index.labels)])
+    return fit(weights, balanced(train.select("id", "label")), 1.0, tolerance, max_steps)
+
+
+def classify(train: DataFrame, other: DataFrame, min_df: int = 3, max_df: float = 0.5) -> DataFrame:
+    """other (id, cleaned and more) with predicted: H4's weights of both, H5's model of train (id, cleaned, label)."""
+    known, weights = (cut(w, "weights") for w in tfidf_train_only(train, other, min_df, max_df))
+    return predict(weights, other, fit_classifier(known, train))
 
 
 def _cells(predicted: DataFrame, by: list[str]) -> DataFrame:

@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.shared import cut
 from tidemark.functions.stats import rounded
+from tidemark.operators.lloyd import cluster
 from tidemark.operators.text import choose_k
 
 #: Documents of a group that silhouette() looks at.
@@ -26,30 +26,9 @@ def centroids(weights: DataFrame, clusters: DataFrame) -> DataFrame:
     return sums.join(sizes, ["grp", "cluster"]).select("grp", "cluster", "term", (F.col("s") / F.col("size")).alias("c"))
 
 
-def cluster_docs(weights: DataFrame, rounds: int = 20) -> DataFrame:
-    """Lloyd's k-means in all groups together, k by choose_k(); every document gets one cluster.
-
-    Seeds are the documents with the smallest hashes of their id; rounds end when no document moves. Distances come from dot products over shared
-    terms; a document that shares no term with any centroid joins the cluster of the smallest norm.
-    """
-    docs = weights.select("grp", "id").distinct()
-    k = docs.groupBy("grp").agg(choose_k(F.count(F.lit(1))).alias("k"))
-    order = F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("id"), "id"))
-    most = k.agg(F.max("k")).first()[0] or 0  # applied before a group's documents meet in a task
-    seeds = docs.withColumn("cluster", (order - 1).cast("long")).where(F.col("cluster") < most).join(k, "grp").where(F.col("cluster") < F.col("k")).select("grp", "id", "cluster")
-    centers = cut(weights.join(seeds, ["grp", "id"]).select("grp", "cluster", "term", F.col("w").alias("c")), "centers")
-    clusters = None
-    for _ in range(rounds):
-        norms = centers.groupBy("grp", "cluster").agg(F.sum(F.col("c") * F.col("c")).alias("norm"))
-        nearest_empty = norms.groupBy("grp").agg(F.min_by("cluster", F.struct("norm", "cluster")).alias("cluster0"), F.min("norm").alias("norm0"))
-        dots = weights.join(centers, ["grp", "term"]).groupBy("grp", "id", "cluster").agg(F.sum(F.col("w") * F.col("c")).alias("dot"))
-        near = dots.join(norms, ["grp", "cluster"]).groupBy("grp", "id").agg(F.min_by(F.struct("cluster", (F.col("norm") - 2 * F.col("dot")).alias("d")), F.struct((F.col("norm") - 2 * F.col("dot")).alias("d"), "cluster")).alias("best"))
-        picked = docs.join(near, ["grp", "id"], "left").join(nearest_empty, "grp")
-        before, clusters = clusters, cut(picked.select("grp", "id", F.when(F.col("best").isNull() | (F.col("norm0") < F.col("best.d")), F.col("cluster0")).otherwise(F.col("best.cluster")).alias("cluster")), "clusters")
-        if before is not None and clusters.join(before, ["grp", "id", "cluster"], "left_anti").isEmpty():
-            break
-        centers = cut(centroids(weights, clusters), "centers")
-    return clusters
+def cluster_docs(weights: DataFrame, starts: int = 5, rounds: int = 100) -> DataFrame:
+    """(grp, id, cluster) by k-means in all groups together, k by choose_k(); the start with the least squared distances; see lloyd.cluster()."""
+    return cluster(weights, choose_k, starts, rounds)
 
 
 def silhouette(weights: DataFrame, clusters: DataFrame, sample: int = SILHOUETTE_SAMPLE) -> DataFrame:

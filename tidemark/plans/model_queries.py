@@ -105,8 +105,8 @@ def _predicted(x):
 
 
 def _classified(x):
-    data = _labelled(x)
-    return H.fit_classifier(data.where("split = 'train'")).transform(data.where("split = 'test'")).select("id", "label", "predicted", "year")
+    data = cut(_labelled(x), "labelled")
+    return H.classify(data.where("split = 'train'"), data.where("split = 'test'")).select("id", "label", "predicted", "year")
 
 
 def _classified_confusion(x):

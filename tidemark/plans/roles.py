@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.shared import spread
 from tidemark.operators.labels import canonical_label
 from tidemark.sources.tables import read_table
 
@@ -55,7 +56,7 @@ class Roles:
     def documents(self) -> DataFrame:
         """Documents with groups (source), label (quality, 'generic' where toxic) and no label for most."""
         labels = self.table("labels").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("label"), (F.col("toxic") == 1).alias("generic"))
-        return self.table("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("grp"), "text", "lang").join(labels.withColumnRenamed("doc_id", "id"), "id", "left")
+        return spread(self.table("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("grp"), "text", "lang")).join(labels.withColumnRenamed("doc_id", "id"), "id", "left")
 
 
 ROLE_SQL = f"""

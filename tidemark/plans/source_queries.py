@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.shared import _new_path
+from tidemark.functions.shared import new_path
 from tidemark.operators import trends as D
 from tidemark.plans.roles import ROLE_SQL, Roles
 from tidemark.sources import feeds, tables
@@ -34,26 +34,26 @@ def _feed(x):
         "weaknesses",
         "configurations",
     )
-    path = _new_path(x.spark, "feed")
+    path = new_path(x.spark, "feed")
     rows.select(F.to_json(F.struct("*"))).write.text(path)
     return feeds.read_feed(x.spark, [path])
 
 
 def _csv(x):
-    path = _new_path(x.spark, "csv")
+    path = new_path(x.spark, "csv")
     tables.export_csv(D.year_totals(x.records()), path, ["year"])
     return tables.read_csv_table(x.spark, path, "year long, total long")
 
 
 def _stored(x):
     """Records stored by year; one year is read back."""
-    return tables.materialize(x.records(), _new_path(x.spark, "records"), ["year"]).where("year = 1997").select("id", "score", F.col("year").cast("long").alias("year"))
+    return tables.materialize(x.records(), new_path(x.spark, "records"), ["year"]).where("year = 1997").select("id", "score", F.col("year").cast("long").alias("year"))
 
 
 def _streamed(x):
     """Events as a stream of three deltas, upserted by user."""
     events = x.table("events").select("event_id", "ts", "user_id", "value")
-    landing, target, state = (_new_path(x.spark, n) for n in ("landing", "table", "state"))
+    landing, target, state = (new_path(x.spark, n) for n in ("landing", "table", "state"))
     for k in range(3):
         events.where(F.col("event_id") % 3 == k).write.mode("append").parquet(landing)
         incremental.stream_upsert(x.spark, landing, events.schema, target, "user_id", ["ts", "event_id"], state, buckets=8).awaitTermination()
