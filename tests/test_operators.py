@@ -64,3 +64,14 @@ def test_scores_with_an_unseen_class(spark):
 def test_reversion_finds_the_factor(spark):
     rows = spark.createDataFrame([("a", 1, 100.0, 90.0), ("b", 1, 200.0, 180.0)], "label string, year long, value double, next double")
     assert abs(forecast.fit_reversion(rows).first()["c"] - 0.9) < 1e-9
+
+
+def test_questions_name_ids_however_written(spark):
+    from tidemark.operators import facts
+
+    texts = spark.createDataFrame([(1, "Is CWE 79 or cwe89 worse than CWE-22 at -acme and c++ in CVE-2024-12345?"), (2, None), (3, "trend micro, cve 2020 11111 cve2021-22222 CVE-2020-11111 acme in 2019 or 1979 cwe-1 CWE-1")], "id long, text string")
+    known = spark.createDataFrame([("acme",), ("c",), ("trend_micro",)], "entity string")
+    got = {r["id"]: (r["records"], r["entities"], r["labels"], r["years"]) for r in facts.extract_entities(texts, known).collect()}
+    assert got[1] == (["CVE-2024-12345"], ["acme", "c"], ["CWE-79", "CWE-89", "CWE-22"], [])
+    assert got[2] == ([], [], [], [])
+    assert got[3] == (["CVE-2020-11111", "CVE-2021-22222"], ["acme", "trend_micro"], ["CWE-1"], ["2019"])

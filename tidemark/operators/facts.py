@@ -17,18 +17,24 @@ def entity_dictionary(affected: DataFrame, min_records: int = 20, min_chars: int
     return counts.where((F.col("n") >= min_records) & (F.char_length(F.col("entity").cast("string")) >= min_chars))
 
 
-def extract_entities(texts: DataFrame, dictionary: DataFrame, *, id: str = "id", text: str = "text", record_pattern: str = r"cve-\d{4}-\d{4,}", label_pattern: str = r"cwe-\d+", most: int = 3) -> DataFrame:
-    """Per text the first `most` distinct record ids (cut out before the rest is looked at), dictionary entities (by
-    word, then by pairs of words joined by a space or `_`), label ids and years 1980-2049, each in order of appearance."""
-    low = texts.select(F.col(id).alias("id"), F.lower(F.col(text)).alias("t"))
-    rest = F.regexp_replace("t", record_pattern, " ")
+# fixed values: how ids of records and labels are written in questions, as regular expressions of their parts
+RECORD_PATTERN, LABEL_PATTERN, YEAR_PATTERN, WORD_PATTERN = r"\bcve[-\s]?(\d{4})[-\s](\d{4,})\b", r"cwe[-\s]?(\d+)", r"\b(19[89]\d|20[0-4]\d)\b", r"[a-z0-9][a-z0-9._-]*"
+
+
+def extract_entities(texts: DataFrame, dictionary: DataFrame, *, id: str = "id", text: str = "text", most: int = 3) -> DataFrame:
+    """Per text the first `most` distinct record ids (cut out before the rest is looked at), dictionary entities (by word, then by pairs of
+    words joined by a space or `_`), label ids and years 1980-2049, each in order of appearance. Ids however written come as CVE-year-number and
+    CWE-number. A null text has none; ids are unique."""
+    low = texts.select(F.col(id).alias("id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    rest = F.regexp_replace("t", RECORD_PATTERN, " ")
     first = lambda found: F.slice(F.array_distinct(found), 1, most)
+    found = lambda x, pattern, part: F.regexp_extract_all(x, F.lit(pattern), F.lit(part))
     parts = low.select(
         "id",
-        first(F.regexp_extract_all("t", F.lit(f"({record_pattern})"))).alias("records"),
-        first(F.regexp_extract_all(rest, F.lit(f"({label_pattern})"))).alias("labels"),
-        first(F.regexp_extract_all(rest, F.lit(r"\b(19[89]\d|20[0-4]\d)\b"))).alias("years"),
-        F.filter(F.split(F.regexp_replace(rest, r"[^a-z0-9_.+-]+", " "), " "), lambda w: w != "").alias("w"),
+        first(F.zip_with(found("t", RECORD_PATTERN, 1), found("t", RECORD_PATTERN, 2), lambda y, n: F.concat(F.lit("CVE-"), y, F.lit("-"), n))).alias("records"),
+        first(F.transform(found(rest, LABEL_PATTERN, 1), lambda n: F.concat(F.lit("CWE-"), n))).alias("labels"),
+        first(found(rest, YEAR_PATTERN, 1)).alias("years"),
+        found(rest, WORD_PATTERN, 0).alias("w"),
     )
     pairs = lambda joint: F.when(F.size("w") >= 2, F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.struct(F.lit(1).alias("kind"), i.alias("at"), F.concat(F.get("w", i), F.lit(joint), F.get("w", i + 1)).alias("entity")))).otherwise(F.array())
     words = F.transform("w", lambda w, i: F.struct(F.lit(0).alias("kind"), i.alias("at"), w.alias("entity")))

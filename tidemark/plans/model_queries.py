@@ -130,10 +130,23 @@ def _confused(x, n):
     return H.confused_pairs(cells, E.cooccurrence(dense(x)), E.label_index(x.canonical()), n)
 
 
+def _record_drift(x):
+    """K1 over the records that have a document of their id: its cluster is its language, its label and year are the record's."""
+    docs = x.documents().select("id", "grp").join(x.canonical(), "id").join(x.records().select("id", "year"), "id")
+    return K.drift_score(docs, *_given_clusters(x))
+
+
+def _given_clusters(x):
+    clusters = x.documents().select("grp", "id", F.col("lang").alias("cluster"))
+    flagged = T.cluster_label_stats(clusters, x.documents().select("id", "label", "generic")).select("grp", "cluster", (F.col("size") >= 15).alias("flagged"))
+    return clusters, flagged
+
+
 def _series(x):
-    """A series per label and year: records of the label."""
+    """A series per label and year: records of the label, with its degree in the year's network and K1's drift."""
     counts = x.canonical().join(x.records().select("id", "year"), "id").groupBy("label", "year").agg(F.count(F.lit(1)).alias("value"))
-    return counts.select("label", "year", "value", (F.col("value") % 7).alias("degree"), F.col("value").alias("frequency"), F.lit(0.0).alias("drift"))
+    both = counts.join(_text._degree_by_year(x), ["label", "year"], "left").join(_record_drift(x), ["label", "year"], "left")
+    return both.select("label", "year", "value", F.coalesce("degree", F.lit(0)).alias("degree"), F.col("value").alias("frequency"), "drift")
 
 
 def _examples(x):
@@ -146,16 +159,18 @@ def _backtest(x):
 
 
 def _forecast(x):
-    e = _examples(x)
-    last = e.agg(F.max("year").alias("year"))
-    return K.predict(K.fit_change_model(e.join(last, "year", "left_anti")), e.join(last, "year", "left_semi"))
+    past, newest = K.before_newest(cut(_examples(x), "examples"))
+    return K.predict(K.fit_change_model(past), newest)
+
+
+def _central_latest(x):
+    """K7 over centralities: predicted, actual and no-change values of the newest year, by a model of the years before it."""
+    past, newest = K.before_newest(cut(_central_examples(x), "examples"))
+    return K.predict(K.fit_change_model(past), newest)
 
 
 def _drift(x):
-    docs = _docs(x).select("id", "grp", "label", "year")
-    clusters = x.documents().select("grp", "id", F.col("lang").alias("cluster"))
-    flagged = T.cluster_label_stats(clusters, x.documents().select("id", "label", "generic")).select("grp", "cluster", (F.col("size") >= 15).alias("flagged"))
-    return K.drift_score(docs, clusters, flagged).withColumn("drift", rounded(F.col("drift"), 9))
+    return K.drift_score(_docs(x).select("id", "grp", "label", "generic", "year"), *_given_clusters(x)).withColumn("drift", rounded(F.col("drift"), 9))
 
 
 def _tfidf_train(x):
@@ -196,13 +211,13 @@ def _variance(x):
 
 
 def _importance(x):
-    return x.spark.createDataFrame(K.feature_importance(K.fit_change_model(_examples(x))), "feature string, importance double")
+    return x.spark.createDataFrame(K.feature_importance(K.fit_change_model(K.before_newest(cut(_examples(x), "examples"))[0])), "feature string, importance double")
 
 
 def _central_examples(x):
     """E9's centralities as the series to forecast, with K1's drift."""
-    grid = _text._by_year(x)
-    return K.forecast_examples(grid.select("label", "year", F.col("centrality").alias("value"), "degree", "frequency", F.lit(None).cast("double").alias("drift")), 5)
+    grid = _text._by_year(x).select("label", "year", F.col("centrality").alias("value"), "degree", "frequency")
+    return K.forecast_examples(grid.join(_record_drift(x), ["label", "year"], "left"), 5)
 
 
 def _central_backtest(x):
@@ -220,6 +235,7 @@ QUERIES = {
     "pca_variance": _q(_variance),
     "rolling_backtest": _q(lambda x: K.rolling_backtest(_examples(x))),
     "centrality_backtest": _q(_central_backtest),
+    "latest_predictions": _q(_central_latest),
     "feature_importance": _q(_importance),
     "entity_shares": _q(lambda x: _shares(x).withColumn("share", rounded(F.col("share"), 9))),
     "standardize": _q(lambda x: P.standardize(_vectors(x), _dims()).select("vec_id", *[rounded(F.col(c), 6).alias(c) for c in _dims()])),
@@ -251,7 +267,7 @@ QUERIES = {
     "confused_pairs": _q(lambda x: _confused(x, 15)),
     "confusion_vs_network": _q(lambda x: H.confusion_vs_network(_confused(x, None)).select("n", rounded(F.col("rho"), 8).alias("rho"))),
     "drift_score": _q(_drift),
-    "forecast_examples": _q(lambda x: _examples(x).select("label", "year", "value", "degree", rounded(F.col("growth_pct"), 6).alias("growth_pct"), "momentum_1", "momentum_2", "degree_change", "next")),
+    "forecast_examples": _q(lambda x: _examples(x).select("label", "year", "value", "degree", rounded(F.col("growth_pct"), 6).alias("growth_pct"), "momentum_1", "momentum_2", "degree_change", rounded(F.col("drift"), 9).alias("drift"), "next")),
     "forecast_model": _q(_forecast),
     "reversion_fit": _q(lambda x: K.fit_reversion(_examples(x)).select(rounded(F.col("c"), 3).alias("c"))),
     "backtest_baselines": _q(_backtest),
@@ -279,14 +295,18 @@ dl AS (SELECT id, grp, lang AS label, 2015 + id % 10 AS year FROM docs),
 dt AS (SELECT label FROM dl GROUP BY label ORDER BY count(*) DESC, label LIMIT 3),
 lb AS (SELECT id, label AS raw_label, CASE WHEN label IN (FROM dt) THEN label ELSE 'Other' END AS label, year, CASE WHEN year < 2021 THEN 'train' ELSE 'test' END AS split FROM dl),
 pd AS (SELECT id, label, year, CASE WHEN id % 4 <> 0 THEN label ELSE ['de', 'en', 'es', 'fr'][id % 3 + 1] END AS predicted FROM dl),
-se AS (SELECT label, year, count(*) AS value FROM canon JOIN rec USING (id) GROUP BY ALL),
-ex AS (SELECT s.label, s.year, CAST(s.value AS DOUBLE) AS value, CAST(s.value % 7 AS DOUBLE) AS degree, 100.0 * (s.value - a.value) / a.value AS growth, CAST(s.value - a.value AS DOUBLE) AS momentum_1, CAST(a.value - b.value AS DOUBLE) AS momentum_2, CAST(s.value % 7 - a.value % 7 AS DOUBLE) AS degree_change, CAST(n.value AS DOUBLE) AS next
+fl AS (SELECT grp, lang AS cluster FROM docs GROUP BY ALL HAVING count(*) >= 15),
+dv AS (SELECT c.label, rec.year, avg(CASE WHEN fl.cluster IS NULL THEN 0.0 ELSE 1.0 END) AS drift FROM docs d JOIN canon c ON c.id = d.id JOIN rec ON rec.id = d.id LEFT JOIN fl ON fl.grp = d.grp AND fl.cluster = d.lang WHERE NOT c.generic GROUP BY ALL),
+dd AS (SELECT DISTINCT customer, year, label FROM rec JOIN canon USING (id) WHERE NOT generic),
+dg AS (SELECT year, x AS label, count(*) AS degree FROM (SELECT DISTINCT year, a.label AS x, b.label AS y FROM dd a JOIN dd b USING (customer, year) WHERE a.label <> b.label) GROUP BY ALL),
+se AS (SELECT label, year, value, coalesce(degree, 0) AS degree, coalesce(drift, 0.0) AS drift FROM (SELECT label, year, count(*) AS value FROM canon JOIN rec USING (id) GROUP BY ALL) LEFT JOIN dg USING (label, year) LEFT JOIN dv USING (label, year)),
+ex AS (SELECT s.label, s.year, CAST(s.value AS DOUBLE) AS value, CAST(s.degree AS DOUBLE) AS degree, s.drift, 100.0 * (s.value - a.value) / a.value AS growth, CAST(s.value - a.value AS DOUBLE) AS momentum_1, CAST(a.value - b.value AS DOUBLE) AS momentum_2, CAST(s.degree - a.degree AS DOUBLE) AS degree_change, CAST(n.value AS DOUBLE) AS next
   FROM se s JOIN se a ON a.label = s.label AND a.year = s.year - 1 JOIN se b ON b.label = s.label AND b.year = s.year - 2 JOIN se n ON n.label = s.label AND n.year = s.year + 1 WHERE s.value >= 5),
 cg AS (SELECT 0.80 + i / 1000.0 AS c FROM range(251) t(i)),
 yr AS (SELECT DISTINCT year AS target_year FROM ex), pa AS (SELECT * FROM ex JOIN yr ON year < target_year),
-fc AS (SELECT target_year, min_by(c, (e, c)) AS c FROM (SELECT target_year, CAST(c AS DOUBLE) AS c, sum(floor(abs(next - CAST(c AS DOUBLE) * value) * 1000000 + 0.5)) AS e FROM pa, cg GROUP BY ALL) GROUP BY ALL),
+fc AS (SELECT target_year, min_by(c, (e, c)) AS c FROM (SELECT target_year, CAST(c AS DOUBLE) AS c, sum(CAST(abs(next - CAST(c AS DOUBLE) * value) AS DECIMAL(28,12))) AS e FROM pa, cg GROUP BY ALL) GROUP BY ALL),
 tr AS (SELECT target_year, count(*) AS n_train, avg(CAST(next > value AS DOUBLE)) AS up FROM pa GROUP BY ALL HAVING count(*) >= 50),
-bt AS (SELECT target_year, n_train, count(*) AS n_labels, {r('avg(abs(next - value))', 6)} AS naive_mae, {r('avg(abs(next - c * value))', 6)} AS reversion_mae, {r('avg(CAST((next > value) = (up > 0.5) AS DOUBLE))', 6)} AS majority_direction_acc, count(*) >= 100 AS data_rich
+bt AS (SELECT target_year + 1 AS target_year, n_train, count(*) AS n_labels, {r('avg(abs(next - value))', 6)} AS naive_mae, {r('avg(abs(next - c * value))', 6)} AS reversion_mae, {r('avg(CAST((next > value) = (up > 0.5) AS DOUBLE))', 6)} AS majority_direction_acc, count(*) >= 100 AS data_rich
   FROM ex JOIN tr ON year = target_year JOIN fc USING (target_year) GROUP BY ALL) """
 
 
@@ -359,11 +379,22 @@ ORACLE_SQL = {
     "confusion": _FACT + "SELECT a.label, b.label AS predicted, (SELECT count(*) FROM pd WHERE pd.label = a.label AND pd.predicted = b.label) AS n FROM (SELECT DISTINCT label FROM dl) a, (SELECT DISTINCT label FROM dl) b",
     "confused_pairs": _PAIRS + "SELECT * FROM cp ORDER BY errors DESC, src, dst LIMIT 15",
     "confusion_vs_network": _PAIRS + f", k AS (SELECT errors, weight FROM cp WHERE errors > 0 AND weight IS NOT NULL) SELECT count(*) AS n, {r('corr(x, y)', 8)} AS rho FROM (SELECT rank() OVER (ORDER BY errors) + (count(*) OVER (PARTITION BY errors) - 1) / 2.0 AS x, rank() OVER (ORDER BY weight) + (count(*) OVER (PARTITION BY weight) - 1) / 2.0 AS y FROM k)",
-    "drift_score": _FACT + f", fl AS (SELECT grp, lang AS cluster FROM docs GROUP BY ALL HAVING count(*) >= 15) SELECT dl.label, dl.year, {r('avg(CASE WHEN fl.cluster IS NULL THEN 0.0 ELSE 1.0 END)', 9)} AS drift FROM dl LEFT JOIN fl ON fl.grp = dl.grp AND fl.cluster = dl.label GROUP BY ALL",
-    "forecast_examples": _FACT + f"SELECT label, year, value, degree, {r('growth', 6)} AS growth_pct, momentum_1, momentum_2, degree_change, next FROM ex",
-    "reversion_fit": _FACT + f"SELECT {r('min_by(c, (e, c))', 3)} AS c FROM (SELECT CAST(c AS DOUBLE) AS c, sum(floor(abs(next - CAST(c AS DOUBLE) * value) * 1000000 + 0.5)) AS e FROM ex, cg GROUP BY ALL)",
+    "drift_score": _FACT + f"SELECT dl.label, dl.year, {r('avg(CASE WHEN fl.cluster IS NULL THEN 0.0 ELSE 1.0 END)', 9)} AS drift FROM dl LEFT JOIN fl ON fl.grp = dl.grp AND fl.cluster = dl.label WHERE dl.label IS NOT NULL GROUP BY ALL",
+    "forecast_examples": _FACT + f"SELECT label, year, value, degree, {r('growth', 6)} AS growth_pct, momentum_1, momentum_2, degree_change, {r('drift', 9)} AS drift, next FROM ex",
+    "reversion_fit": _FACT + f"SELECT {r('min_by(c, (e, c))', 3)} AS c FROM (SELECT CAST(c AS DOUBLE) AS c, sum(CAST(abs(next - CAST(c AS DOUBLE) * value) AS DECIMAL(28,12))) AS e FROM ex, cg GROUP BY ALL)",
     "backtest_baselines": _FACT + "SELECT * FROM bt",
     "pooled_metrics": _FACT + " UNION ALL ".join(f"SELECT '{name}' AS scope, count(*) AS years, count(*) FILTER (reversion_mae < naive_mae) AS wins, {r('sum(naive_mae * n_labels) / sum(n_labels)', 4)} AS naive_mae, {r('sum(reversion_mae * n_labels) / sum(n_labels)', 4)} AS reversion_mae FROM bt {where}" for name, where in (("all", ""), ("data_rich", "WHERE data_rich"))),
+    "extract_entities": r"""WITH c AS (SELECT conv_id * 100 + turn AS id, lower(coalesce(text, '')) AS t FROM conversations),
+      d AS (SELECT word FROM (SELECT unnest(string_split(t, ' ')) AS word FROM c) WHERE length(word) >= 5 AND regexp_full_match(word, '[a-z]+') GROUP BY word HAVING count(*) >= 20),
+      p AS (SELECT id, list_transform(list_zip(regexp_extract_all(t, '\bcve[-\s]?(\d{4})[-\s](\d{4,})\b', 1), regexp_extract_all(t, '\bcve[-\s]?(\d{4})[-\s](\d{4,})\b', 2)), lambda z: 'CVE-' || z[1] || '-' || z[2]) AS records,
+        regexp_replace(t, '\bcve[-\s]?(\d{4})[-\s](\d{4,})\b', ' ', 'g') AS rest FROM c),
+      w AS (SELECT id, records, list_transform(regexp_extract_all(rest, 'cwe[-\s]?(\d+)', 1), lambda n: 'CWE-' || n) AS labels, regexp_extract_all(rest, '\b(19[89]\d|20[0-4]\d)\b', 1) AS years, regexp_extract_all(rest, '[a-z0-9][a-z0-9._-]*') AS words FROM p),
+      k AS (SELECT id, 0 AS kind, unnest(range(1, len(words) + 1)) AS spot, unnest(words) AS entity FROM w
+        UNION ALL SELECT id, 1, i, words[i] || j || words[i + 1] FROM (SELECT id, words, unnest(range(1, len(words))) AS i FROM w), (SELECT unnest([' ', '_']) AS j)),
+      h AS (SELECT id, entity, min((kind, spot)) AS place FROM k JOIN d ON entity = word GROUP BY ALL),
+      e AS (SELECT id, array_to_string(list(entity ORDER BY place, entity)[1:3], ',') AS entities FROM h GROUP BY id)
+      SELECT w.id, array_to_string(list_filter(records, lambda v, i: list_position(records, v) = i)[1:3], ',') AS records, array_to_string(list_filter(labels, lambda v, i: list_position(labels, v) = i)[1:3], ',') AS labels,
+        array_to_string(list_filter(years, lambda v, i: list_position(years, v) = i)[1:3], ',') AS years, coalesce(entities, '') AS entities FROM w LEFT JOIN e ON e.id = w.id""",
     "entity_dictionary": _FACT + "SELECT entity, count(*) AS n FROM pe GROUP BY entity HAVING count(*) >= 20 AND length(CAST(entity AS VARCHAR)) >= 2",
     "entity_facts": _FACT + f", t AS ({_TOP.format(k='entity', v='label', f='(SELECT entity, label FROM pe JOIN canon USING (id) WHERE NOT generic)', n=10)}) SELECT t.entity, total, place, label, n, {r('100.0 * n / sum(n) OVER (PARTITION BY t.entity)', 1)} AS pct_of_top, {r('100.0 * n / total', 1)} AS pct_of_all FROM t JOIN (SELECT entity, count(*) AS total FROM pe GROUP BY entity) USING (entity)",
     "entity_family_facts": _FACT + f", t AS ({_TOP.format(k='entity', v='label', f='(SELECT entity, label FROM pe JOIN canon USING (id) WHERE NOT generic)', n=10)}), p AS (SELECT entity, label, {r('100.0 * n / sum(n) OVER (PARTITION BY entity)', 1)} AS pct FROM t), f AS (SELECT entity, pct, CASE " + " ".join(f"WHEN label IN ({', '.join(repr(v) for v in m)}) THEN '{k}'" for k, m in FAMILIES.items()) + f" END AS family FROM p) SELECT entity, family, {r('sum(pct)', 1)} AS pct_of_top FROM f WHERE family IS NOT NULL GROUP BY ALL",
