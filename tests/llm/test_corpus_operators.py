@@ -391,3 +391,13 @@ def test_the_language_stage_rejects_what_is_no_known_language(spark):
     got = corpus_pipeline.identify_language(spark, known.unionByName(strange).unionByName(mixed), SF)
     ids = Counter(r["doc_id"] // 10_000 for r in got.select("doc_id").collect())
     assert ids[0] == known.where(F.col("text").rlike(r"\p{L}")).count() and ids[1] <= 20 and ids[2] == mixed.count()
+
+
+def test_packing_spreads_rows_of_one_id(spark):
+    """Nine rows out of ten without an id: shards stay small, batches whole, and nothing is lost."""
+    rows = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.col("id")).alias("doc_id"), F.lit(7).cast("long").alias("length"))
+    got = packing.pack(rows, max_length=512, budget=70, buckets=2, shard=1000)
+    shards = [r["count"] for r in got.groupBy(F.substring_index("batch", "-", 2).alias("shard")).count().collect()]
+    assert sum(shards) == 20_000 and len(shards) == 20 and max(shards) < 1500
+    sizes = [r["count"] for r in got.groupBy("batch").count().collect()]
+    assert max(sizes) == 10 and sum(s < 10 for s in sizes) <= len(shards)

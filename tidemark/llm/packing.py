@@ -76,7 +76,7 @@ def pack(df: DataFrame, id: str = "doc_id", length: str = "length", max_length:
     null gives one empty sequence, padded to the smallest boundary. Boundaries are multiples of step. A
     batch holds at most budget padded tokens, or one sequence. Sequences of a bucket are numbered by id
     within shards of about `shard` sequences, so that a bucket with any share of all rows is spread over
-    tasks; only the last batch of a shard can be short. Repeated ids stay, ordered by part. Other
+    tasks, whatever the ids: rows of a repeated or null id go to any shard; only the last batch of a shard can be short. Repeated ids stay. Other
     columns are ignored; an empty table gives an empty result. The driver holds a histogram of
     max_length / step lengths.
     """
@@ -91,7 +91,7 @@ def pack(df: DataFrame, id: str = "doc_id", length: str = "length", max_length:
         F.least(F.lit(max_length).cast("long"), F.col("tokens") - F.col("part").cast("long") * max_length).alias("length"),
     )
     seqs = seqs.withColumn("rounded", F.greatest(F.lit(step).cast("long"), F.ceil(F.col("length") / step) * step))
-    seqs = materialize(seqs, "sequences")
+    seqs = materialize(seqs.withColumn("row", F.monotonically_increasing_id()), "sequences")
     counts = {r["rounded"]: r["n"] for r in seqs.groupBy("rounded").agg(F.count("*").alias("n")).collect()}
     edges = boundaries(counts, buckets)
     sizes = {b: 0 for b in edges}
@@ -103,8 +103,8 @@ def pack(df: DataFrame, id: str = "doc_id", length: str = "length", max_length:
         bucket = F.when(F.col("rounded") <= b, F.lit(b).cast("long")).otherwise(bucket)
     for b, n in sizes.items():
         shards = F.when(F.col("bucket") == b, F.lit(max(1, -(-n // shard)))).otherwise(shards)
-    placed = seqs.withColumn("bucket", bucket).withColumn("shard", F.pmod(F.xxhash64("id", "part"), shards).cast("long"))
-    order = Window.partitionBy("bucket", "shard").orderBy("id", "part", "length")
+    placed = seqs.withColumn("bucket", bucket).withColumn("shard", F.pmod(F.xxhash64("id", "part", "row"), shards).cast("long"))
+    order = Window.partitionBy("bucket", "shard").orderBy("id", "part", "length", "row")
     each = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.col("bucket")))
     numbered = placed.withColumn("at", (F.row_number().over(order) - 1).cast("long"))
     return numbered.select(

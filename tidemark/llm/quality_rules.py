@@ -20,7 +20,7 @@ from tidemark.llm.common import append_columns, map_arrow, table
 from tidemark.llm.units import in_slices
 
 MIN_WORDS, REPEATED_PERCENT = 50, 50
-COMMON = 30
+COMMON = 60
 #: Words of a language that the second round counts; it counts all where these turn out not to decide the common ones.
 CANDIDATES = 200
 MAX_CHAR, MAX_WORD = 0.16, 0.10
