@@ -172,8 +172,8 @@ def test_quality_verdict_is_that_of_brute_force(spark, candidates):
             parts.append((max(c / 0.16, w / quality_rules.Reference(chars, [], np.array(ref)).allowed(np.array([len(words)]), 0.10)[0]), c, w))
         return min(parts)
 
-    once = brute_references([(t, l) for _, t, l in rows], lambda t: True, 30)
-    twice = brute_references([(t, l) for _, t, l in rows], lambda t: judge(once, t)[0] <= 1, 30)
+    once = brute_references([(t, l) for _, t, l in rows], lambda t: True, quality_rules.COMMON)
+    twice = brute_references([(t, l) for _, t, l in rows], lambda t: judge(once, t)[0] <= 1, quality_rules.COMMON)
     known = quality_rules.references(frame, candidates=candidates)
     assert {l: (r.chars.tolist(), list(zip(r.words, r.counts.tolist())), r.counts.sum()) for l, r in known.items()} == {l: (c.tolist(), top, n) for l, (c, top, n) in twice.items()}
     assert any(len(w) > 4 for r in known.values() for w in r.words)
