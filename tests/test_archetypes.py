@@ -1,19 +1,49 @@
 """The scan covers the reference's range and starts, and archetypes take its verdict."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.operators import profiles
+from tidemark.operators import manykmeans, profiles
 from tidemark.plans import model_queries
 
 
 def test_registered_scan_covers_the_reference(spark, monkeypatch):
-    tried, starts = [], profiles._best_start
-    monkeypatch.setattr(profiles, "_best_start", lambda scaled, k, seeds, seed: tried.append((k, seeds)) or starts(scaled, k, 1, seed))
+    tried, scan = [], profiles.scan
+    monkeypatch.setattr(profiles, "scan", lambda df, column, ks, starts, seed: tried.append((column, list(ks), starts)) or scan(df, column, ks, 2, seed))
     rows = model_queries.QUERIES["kmeans_scan"](spark, "/root/testdata/sf0.001").collect()
-    assert tried == [(k, 10) for k in range(2, 11)] and [r["k"] for r in rows] == list(range(2, 11))
+    assert tried == [("pca", list(range(2, 11)), 10)] and [r["k"] for r in rows] == list(range(2, 11))
     assert sum(r["best"] for r in rows) == 1
 
 
+def test_scan_agrees_with_single_models(spark):
+    """Each model of the scan rests where Lloyd's rounds from its own centroids do, and costs and silhouettes are those of Spark's own tools."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.3, (40 + 20 * i, 2)) for i, c in enumerate([(0, 0), (4, 0), (0, 5)])])
+    df = spark.createDataFrame([(Vectors.dense(r),) for r in x.tolist()], ["pca"])
+    found = manykmeans.scan(df, "pca", range(2, 5), 10, 42)
+    for m in found:
+        far = ((x[:, None] - m["centers"][None]) ** 2).sum(2)
+        own = far.argmin(1)
+        assert np.isclose(far.min(1).sum(), m["cost"]) and np.allclose([x[own == k].mean(0) for k in range(m["k"])], m["centers"])
+        marked = spark.createDataFrame([(Vectors.dense(r), int(k)) for r, k in zip(x.tolist(), own)], ["pca", "cluster"])
+        assert np.isclose(ClusteringEvaluator(featuresCol="pca", predictionCol="cluster").evaluate(marked), m["silhouette"])
+        single = min(KMeans(k=m["k"], seed=s, featuresCol="pca", maxIter=300).fit(df).summary.trainingCost for s in range(3))
+        assert m["cost"] <= single * 1.02
+    assert max(found, key=lambda m: m["silhouette"])["k"] == 3
+
+
+def test_scan_of_few_points(spark):
+    from pyspark.ml.linalg import Vectors
+
+    one = spark.createDataFrame([(Vectors.dense([1.0, 2.0]),)] * 3, ["pca"])
+    assert [(m["cost"], m["silhouette"]) for m in manykmeans.scan(one, "pca", range(2, 4), 2, 1)] == [(0.0, 0.0)] * 2
+    assert manykmeans.scan(one.limit(0), "pca", range(2, 4), 2, 1) == []
+
+
 def test_archetypes_take_the_best_k(spark, monkeypatch):
     labels = list("abcdef")
     shares = spark.range(36).select(F.concat(F.lit("e"), "id").alias("entity"), F.element_at(F.array(*map(F.lit, labels)), (F.col("id") % 6 + 1).cast("int")).alias("label"), (1 - F.col("id") / 1000).alias("share"), F.lit(20).cast("long").alias("total"))

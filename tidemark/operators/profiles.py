@@ -7,11 +7,12 @@ from multiprocessing.pool import ThreadPool
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, PCAModel, StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.manykmeans import scan
+
 # fixed values: two families of labels by which clusters are named, and the name of clusters that neither marks
 FAMILIES = {
     "Memory-safety-heavy": ["CWE-119", "CWE-120", "CWE-122", "CWE-125", "CWE-190", "CWE-415", "CWE-416", "CWE-476", "CWE-787", "CWE-908"],
@@ -53,36 +54,30 @@ def fit_pca(df: DataFrame, columns: list[str], k: int = 2) -> PipelineModel:
     return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True), PCA(k=k, inputCol="scaled", outputCol="pca")]).fit(df)
 
 
-def _best_start(scaled: DataFrame, k: int, seeds: int, seed: int, at_once: int = 5):
+def _best_start(scaled: DataFrame, k: int, seeds: int, seed: int, column: str = "pca", at_once: int = 5):
     """The k-means model with the least cost of several starts, each until it rests or for 300 rounds. Starts know nothing of each
     other, so `at_once` of them run as jobs side by side over the same cached rows."""
-    fit = inheritable_thread_target(scaled.sparkSession)(lambda s: KMeans(k=k, seed=seed + s, featuresCol="scaled", predictionCol="cluster", maxIter=300).fit(scaled))
+    fit = inheritable_thread_target(scaled.sparkSession)(lambda s: KMeans(k=k, seed=seed + s, featuresCol=column, predictionCol="cluster", maxIter=300).fit(scaled))
     with ThreadPool(max(1, min(at_once, seeds))) as pool:
         models = pool.map(fit, range(seeds), chunksize=1)
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
-def kmeans_scan(scaled: DataFrame, ks: range = range(2, 11), seeds: int = 10, seed: int = 42) -> list[dict]:
-    """for each k the best of several starts by cost, with its silhouette. `best` marks the highest
-    silhouette and `at_edge` warns that it is the last k tried."""
-    scaled = scaled.select("scaled").persist()
-    out = []
-    for k in ks:
-        best = _best_start(scaled, k, seeds, seed)
-        silhouette = ClusteringEvaluator(featuresCol="scaled", predictionCol="cluster").evaluate(best.transform(scaled))
-        out.append({"k": k, "cost": best.summary.trainingCost, "silhouette": silhouette})
-    top = max(out, key=lambda r: (r["silhouette"], -r["k"]))
-    scaled.unpersist()
+def kmeans_scan(df: DataFrame, ks: range = range(2, 11), seeds: int = 10, seed: int = 42, column: str = "pca") -> list[dict]:
+    """for each k the best of several starts by cost, with its silhouette, over the components of fit_pca(). `best` marks the highest
+    silhouette and `at_edge` warns that it is the last k tried. All models share their scans; see manykmeans.scan()."""
+    out = [{"k": m["k"], "cost": m["cost"], "silhouette": m["silhouette"]} for m in scan(df, column, ks, seeds, seed)]
+    top = max(out, key=lambda r: (r["silhouette"], -r["k"]), default=None)
     return [r | {"best": r is top, "at_edge": r is top and r["k"] == out[-1]["k"]} for r in out]
 
 
 def fit_archetypes(df: DataFrame, columns: list[str], ks: range = range(2, 11), seeds: int = 10, seed: int = 42) -> PipelineModel:
-    """one pipeline of scaler, PCA and k-means at the k that the scan marks as best, to be saved and used on later data."""
+    """one pipeline of scaler, PCA and k-means over the components at the k that the scan marks as best, to be saved and used on later data."""
     base = fit_pca(df, columns)
-    scaled = base.transform(df).select("scaled").persist()
-    k = next(r["k"] for r in kmeans_scan(scaled, ks, seeds, seed) if r["best"])
-    kmeans = _best_start(scaled.persist(), k, seeds, seed)
-    scaled.unpersist()
+    parts = base.transform(df).select("pca").persist()
+    k = next(r["k"] for r in kmeans_scan(parts, ks, seeds, seed) if r["best"])
+    kmeans = _best_start(parts, k, seeds, seed)
+    parts.unpersist()
     return PipelineModel(stages=[*base.stages, kmeans])
 
 
