@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats
+from tidemark.operators import neighbours as N
 from tidemark.operators import network as E
 from tidemark.plans.roles import ROLE_SQL, Roles, r
 
@@ -59,6 +60,15 @@ QUERIES = {
     "nb_year_shares": _nb(lambda b: E.year_shares(b, LABEL, 8, 3)),
     "nb_drivers": _nb(lambda b: E.drivers(b, LABEL, PARTNER)),
     "nb_hubs": _nb(lambda b: E.hubs(b, LABEL)),
+    "nb_all_carriers": _nb(N.all_carriers),
+    "nb_all_pairings": _nb(N.all_pairings),
+    "nb_all_summaries": _nb(N.all_summaries),
+    "nb_all_partners": _nb(N.all_partners),
+    "nb_all_recent_shifts": _nb(N.all_recent_shifts),
+    "nb_all_drawn": _nb(lambda b: N.all_drawn(b, E.prune_top_k(E.cooccurrence(b), 5))),
+    "nb_all_year_shares": _nb(lambda b: N.all_year_shares(b, 8, 3)),
+    "nb_all_drivers": _nb(N.all_drivers),
+    "nb_all_hubs": _nb(N.all_hubs),
 }
 
 _PAIR = "SELECT a.label AS src, b.label AS dst, count(*) AS weight FROM {0} a JOIN {0} b USING (entity, item, year) WHERE a.label < b.label GROUP BY ALL"
@@ -71,6 +81,9 @@ dg AS (SELECT label, count(*) AS degree FROM (SELECT src AS label FROM e UNION A
 ms AS (SELECT label, frequency, coalesce(degree, 0) AS degree FROM ix LEFT JOIN dg USING (label)),
 car AS (SELECT entity, item, year FROM d WHERE label = '{LABEL}'),
 pr AS (SELECT year, label AS partner, entity, item FROM d JOIN car USING (entity, item, year) WHERE label <> '{LABEL}') """
+_ALL = _W + """, ap AS (SELECT a.label, b.label AS partner, entity, item, year FROM d a JOIN d b USING (entity, item, year) WHERE a.label <> b.label),
+cy AS (SELECT label, year, count(*) AS carriers FROM d GROUP BY ALL), ct AS (SELECT label, count(*) AS carriers FROM d GROUP BY label),
+py AS (SELECT label, partner, year, count(*) AS n FROM ap GROUP BY ALL) """
 _RANKS = "SELECT label, frequency, degree, row_number() OVER (ORDER BY frequency DESC, label) AS frequency_rank, row_number() OVER (ORDER BY degree DESC, label) AS degree_rank FROM ms"
 
 ORACLE_SQL = {
@@ -100,4 +113,18 @@ ORACLE_SQL = {
       SELECT p.partner, y.year, coalesce({r('100.0 * (SELECT nullif(count(*), 0) FROM pr WHERE pr.partner = p.partner AND pr.year = y.year) / carriers', 2)}, 0.0) AS share_pct FROM y, p""",
     "nb_drivers": _W + f"SELECT entity, item, count(DISTINCT year) AS years, min(year) AS first_year, max(year) AS last_year FROM pr WHERE partner = '{PARTNER}' GROUP BY entity, item",
     "nb_hubs": _W + "SELECT entity, item, count(DISTINCT partner) AS partners, count(DISTINCT year) AS years FROM pr GROUP BY entity, item ORDER BY partners DESC, years DESC, entity, item LIMIT 15",
+    "nb_all_carriers": _ALL + "SELECT * FROM cy",
+    "nb_all_pairings": _ALL + "SELECT * FROM ap",
+    "nb_all_summaries": _ALL + f"""SELECT label, carriers, coalesce(partners, 0) AS partners, coalesce(shared, 0) AS shared, {r('100.0 * coalesce(shared, 0) / carriers', 2)} AS shared_pct FROM ct
+      LEFT JOIN (SELECT label, count(DISTINCT partner) AS partners, count(DISTINCT (entity, item, year)) AS shared FROM ap GROUP BY label) USING (label)""",
+    "nb_all_partners": _ALL + f"SELECT label, partner, count(*) AS shared, min(year) AS first_year, {r('100.0 * count(*) / any_value(carriers)', 2)} AS share_pct FROM ap JOIN ct USING (label) GROUP BY label, partner",
+    "nb_all_recent_shifts": _ALL + f""", y AS (SELECT label, year, carriers, CASE WHEN k <= 3 THEN 'now' WHEN k <= 6 THEN 'then' END AS w FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY year DESC) AS k FROM cy)),
+      t AS (SELECT label, sum(carriers) FILTER (w = 'now') AS n_now, sum(carriers) FILTER (w = 'then') AS n_then FROM y GROUP BY label),
+      c AS (SELECT label, partner, count(*) FILTER (w = 'now') AS a, count(*) FILTER (w = 'then') AS b FROM ap JOIN y USING (label, year) GROUP BY ALL)
+      SELECT label, partner, {r('100.0 * (a / n_now - b / n_then)', 4)} AS shift FROM c JOIN t USING (label)""",
+    "nb_all_drawn": _ALL + f", kept AS ({_PRUNE.format('ed', 5)}), kb AS (SELECT src AS label, dst AS partner FROM kept UNION SELECT dst, src FROM kept) SELECT DISTINCT ap.label, ap.partner, kb.label IS NOT NULL AS drawn FROM ap LEFT JOIN kb ON kb.label = ap.label AND kb.partner = ap.partner",
+    "nb_all_year_shares": _ALL + f""", p AS (SELECT label, partner FROM (SELECT label, partner, row_number() OVER (PARTITION BY label ORDER BY sum(n) DESC, partner) AS k FROM py GROUP BY label, partner) WHERE k <= 8)
+      SELECT p.label, p.partner, cy.year, coalesce({r('100.0 * n / carriers', 2)}, 0.0) AS share_pct FROM p JOIN cy ON cy.label = p.label LEFT JOIN py ON py.label = p.label AND py.partner = p.partner AND py.year = cy.year WHERE carriers >= 3""",
+    "nb_all_drivers": _ALL + "SELECT label, partner, entity, item, count(DISTINCT year) AS years, min(year) AS first_year, max(year) AS last_year FROM ap GROUP BY ALL",
+    "nb_all_hubs": _ALL + "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY partners DESC, years DESC, entity, item) AS place FROM (SELECT label, entity, item, count(DISTINCT partner) AS partners, count(DISTINCT year) AS years FROM ap GROUP BY ALL)) WHERE place <= 15",
 }
