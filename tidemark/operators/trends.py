@@ -29,10 +29,15 @@ def _scored(records: DataFrame, affected: DataFrame, keys: list[str]) -> DataFra
 def entity_year_trend(records: DataFrame, affected: DataFrame) -> DataFrame:
     """Per entity and year count, score statistics, the average pooled over this and the two present years
     before, and growth over the last present year in percent."""
+    return entity_trend_of(_scored(records, affected, ["entity"]))
+
+
+def entity_trend_of(scored: DataFrame) -> DataFrame:
+    """D1 from (entity, year, n, total, scored, min_score, max_score)."""
     by_year = Window.partitionBy("entity").orderBy("year")
     frame = by_year.rowsBetween(-2, 0)
     before = F.lag("n").over(by_year)
-    return _scored(records, affected, ["entity"]).select(
+    return scored.select(
         "entity",
         "year",
         "n",
@@ -54,7 +59,11 @@ def rank_by_year(trend: DataFrame, name: str = "rank_in_year") -> DataFrame:
 
 def item_year_trend(records: DataFrame, affected: DataFrame) -> DataFrame:
     """D3: per entity, item and year count, average score and rank in the year."""
-    trend = _scored(records, affected, ["entity", "item"])
+    return item_trend_of(_scored(records, affected, ["entity", "item"]))
+
+
+def item_trend_of(trend: DataFrame) -> DataFrame:
+    """D3 from (entity, item, year, n, total, scored)."""
     return rank_by_year(trend.select("entity", "item", "year", "n", rounded(F.col("total") / F.nullif(F.col("scored"), F.lit(0)), 2).alias("avg_score")))
 
 
@@ -66,13 +75,23 @@ def year_totals(records: DataFrame) -> DataFrame:
 def label_year_trend(records: DataFrame, canonical: DataFrame) -> DataFrame:
     """Per canonical label and year count, percent of all records of the year (labelled or not), growth in percent."""
     counts = canonical.join(records.select("id", "year"), "id").groupBy("label", "year").agg(F.count(F.lit(1)).alias("n"))
+    return label_trend_of(counts, year_totals(records))
+
+
+def label_trend_of(counts: DataFrame, totals: DataFrame) -> DataFrame:
+    """D4 from (label, year, n) and (year, total)."""
     before = F.lag("n").over(Window.partitionBy("label").orderBy("year"))
-    return counts.join(year_totals(records), "year").select("label", "year", "n", percent(F.col("n"), F.col("total"), 2).alias("pct_of_year"), percent(F.col("n") - before, before).alias("yoy_pct"))
+    return counts.join(totals, "year").select("label", "year", "n", percent(F.col("n"), F.col("total"), 2).alias("pct_of_year"), percent(F.col("n") - before, before).alias("yoy_pct"))
 
 
 def severity_year_trend(records: DataFrame) -> DataFrame:
     """Mix of severities per year."""
     counts = records.groupBy("year", F.coalesce("severity", F.lit(UNSCORED)).alias("severity")).agg(F.count(F.lit(1)).alias("n"))
+    return severity_trend_of(counts)
+
+
+def severity_trend_of(counts: DataFrame) -> DataFrame:
+    """D5 from (year, severity, n)."""
     return counts.withColumn("pct_of_year", percent(F.col("n"), F.sum("n").over(Window.partitionBy("year")), 2))
 
 
@@ -85,6 +104,11 @@ def coverage_by_year(records: DataFrame, affected: DataFrame, assignments: DataF
     has_label = assignments.where(~F.col("generic")).select("id").distinct().withColumn("has_label", F.lit(1))
     flagged = records.select("id", "year").join(has_item, "id", "left").join(has_label, "id", "left")
     out = flagged.groupBy("year").agg(F.count(F.lit(1)).alias("total"), F.count("has_item").alias("with_item"), F.count("has_label").alias("with_label"))
+    return coverage_of(out)
+
+
+def coverage_of(out: DataFrame) -> DataFrame:
+    """D6 from (year, total, with_item, with_label)."""
     return out.withColumns({"item_pct": percent(F.col("with_item"), F.col("total")), "label_pct": percent(F.col("with_label"), F.col("total"))})
 
 

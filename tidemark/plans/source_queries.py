@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.shared import new_path
 from tidemark.operators import trends as D
-from tidemark.plans.roles import ROLE_SQL, Roles
+from tidemark.plans import trend_queries
+from tidemark.plans.roles import AUTHORITY, PRIMARY, ROLE_SQL, Roles
 from tidemark.sources import feeds, tables
-from tidemark.streaming import incremental
+from tidemark.streaming import incremental, maintained
 
 
 def _q(f):
@@ -60,7 +61,36 @@ def _streamed(x):
     return incremental.current(x.spark, target).select("user_id", "event_id", "value")
 
 
+def _restated(x):
+    """Orders with all their child rows, and what stale versions of half of them said."""
+    asg = x.assignments().groupBy("id").agg(F.collect_list(F.struct("label", "source", "type", "generic")).alias("assignments"))
+    aff = x.affected().groupBy("id").agg(F.collect_list(F.struct("entity", "item", "version")).alias("affected"))
+    rows = x.records().drop("customer").join(asg, "id", "left").join(aff, "id", "left").withColumn("modified", F.lit(1).cast("long"))
+    less = lambda c: F.when(F.size(c) > 0, F.slice(c, 1, 1)).alias(c)
+    stale = rows.where(F.col("id") % 2 == 0).select("id", "date", (F.col("year") - 1).alias("year"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("severity"), "status", less("assignments"), less("affected"), F.lit(0).cast("long").alias("modified"))
+    return rows, stale.select(*rows.columns)
+
+
+def _kept(x, *names):
+    """All orders as a stream of two deltas: stale versions of a quarter and the rest as it is, then that quarter restated and stale versions
+    of another quarter, which come too late."""
+    rows, stale = _restated(x)
+    landing, target, state = (new_path(x.spark, n) for n in ("landing", "kept", "state"))
+    part = F.col("id") % 4
+    for delta in (stale.where(part == 0).unionByName(rows.where(part != 0)), rows.where(part == 0).unionByName(stale.where(part == 2))):
+        delta.write.mode("append").parquet(landing)
+        maintained.stream_tables(x.spark, landing, rows.schema, target, ["modified"], state, authority=AUTHORITY, primary=PRIMARY, names=list(names), buckets=8).awaitTermination()
+    return maintained.Maintained(x.spark, target)
+
+
 QUERIES = {
+    "kept_assignments": _q(lambda x: _kept(x).children("assignments")),
+    "kept_entity_trend": _q(lambda x: _kept(x, "entities").entity_year_trend()),
+    "kept_item_trend": _q(lambda x: _kept(x, "items").item_year_trend()),
+    "kept_label_trend": _q(lambda x: _kept(x, "labels", "coverage").label_year_trend()),
+    "kept_severity_trend": _q(lambda x: _kept(x, "severities").severity_year_trend()),
+    "kept_coverage": _q(lambda x: _kept(x, "coverage").coverage_by_year()),
+    "kept_edges": _q(lambda x: _kept(x, "edges").edges()),
     "feed_records": _q(lambda x: feeds.flatten_records(_feed(x)).select("id", "date", "year", "status", "text", "score", "version", "severity")),
     "feed_affected": _q(lambda x: feeds.explode_affected(_feed(x)).select("id", "part", "entity", "item", "version")),
     "feed_assignments": _q(lambda x: feeds.explode_assignments(_feed(x)).select("id", "label", "source", "type", "generic")),
@@ -70,6 +100,14 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "kept_assignments": ROLE_SQL + " SELECT * FROM asg",
+    "kept_entity_trend": trend_queries.ORACLE_SQL["entity_year_trend"],
+    "kept_item_trend": trend_queries.ORACLE_SQL["item_year_trend"],
+    "kept_label_trend": trend_queries.ORACLE_SQL["label_year_trend"],
+    "kept_severity_trend": trend_queries.ORACLE_SQL["severity_year_trend"],
+    "kept_coverage": trend_queries.ORACLE_SQL["coverage_by_year"],
+    "kept_edges": ROLE_SQL + """, b AS (SELECT DISTINCT entity, item, year, label FROM aff JOIN rec USING (id) JOIN canon USING (id) WHERE NOT generic)
+      SELECT x.label AS src, y.label AS dst, count(*) AS weight FROM b x JOIN b y ON x.entity = y.entity AND x.item = y.item AND x.year = y.year AND x.label < y.label GROUP BY ALL""",
     "feed_records": ROLE_SQL + " SELECT CAST(id AS VARCHAR) AS id, date, year, status, 'order of customer ' || customer AS text, score, 'v31' AS version, severity FROM rec",
     "feed_affected": ROLE_SQL + " SELECT DISTINCT CAST(id AS VARCHAR) AS id, 'a' AS part, 's ' || entity AS entity, 'p' || item AS item, CAST(version AS VARCHAR) AS version FROM aff WHERE version < 7",
     "feed_assignments": ROLE_SQL + " SELECT DISTINCT CAST(id AS VARCHAR) AS id, label, source, type, false AS generic FROM asg",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,33 +34,27 @@ def scope(records: DataFrame, start: int | None = None, end: int | None = None)
     return out if end is None else out.where(F.col("year") <= end)
 
 
-def stream_upsert(spark: SparkSession, landing: str, schema: T.StructType | str, target: str, key: str, order: list[str], checkpoint: str, trigger: dict | None = None, buckets: int = 64, after: Callable[[DataFrame], None] | None = None):
+def stream_upsert(spark: SparkSession, landing: str, schema: T.StructType | str, target: str, key: str, order: list[str], checkpoint: str, trigger: dict | None = None, buckets: int = 64, after: Callable[[DataFrame], None] | None = None, changed: Callable[[DataFrame, int], None] | None = None):
     """A file stream of deltas that keeps a table of the latest row per key under target, in buckets by a hash of the key.
 
-    Every batch reads and writes the buckets that it touches, as a new generation beside the old one, and names them in
-    target/_generations, so that readers are not disturbed, and a batch that runs again after a failure writes the same
-    generation again. Of a bucket the last two generations stay. after(table) is called then, to recompute what depends on
-    the table, such as trends. current() reads it.
+    Every batch reads and writes the buckets that it touches, as a new generation beside the old one (merge_generation()), so
+    that readers are not disturbed, and a batch that runs again after a failure writes the same generation again. A stream that
+    starts anew, with another checkpoint, goes on above the generations that are there. changed(rows, generation) gets the rows
+    whose keys the batch names, before (__sign -1) and after it (__sign 1), to carry what depends on the table forward;
+    after(table) is called then. current() reads the table.
     """
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{target}/_schema")
+    base = _base(spark, target, checkpoint)
 
     def apply(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-        rows = latest(batch, key, order).withColumn("__bucket", bucket).persist()
-        touched = {r["__bucket"] for r in rows.select("__bucket").distinct().collect()}  # at most `buckets`
-        held = _generations(session, target, before=number)
-        old = [f"{target}/g{held[b][0]}/__bucket={b}" for b in sorted(touched) if b in held]
-        merged = rows
-        if old:  # a late delta must not undo a newer row
-            before = session.read.schema(batch.schema).parquet(*old).withColumn("__bucket", bucket)
-            merged = latest(before.unionByName(rows), key, order)
-        merged.repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{target}/g{number}")
+        session, generation = batch.sparkSession, base + number
+        rows = latest(batch, key, order).persist()
+        # a late delta must not undo a newer row
+        before, now = merge_generation(session, target, generation, rows, [key], buckets, lambda held, new: latest(held.unionByName(new), key, order))
+        if changed:
+            keys = rows.select(key)
+            changed(before.join(keys, key, "left_semi").withColumn("__sign", F.lit(-1)).unionByName(now.join(keys, key, "left_semi").withColumn("__sign", F.lit(1))), generation)
         rows.unpersist()
-        named = [(number, b) for b in sorted(touched)]
-        session.createDataFrame(named, "generation long, bucket int").coalesce(1).write.mode("overwrite").parquet(f"{target}/_generations/n{number}")
-        for b in touched:
-            for generation in held.get(b, [])[1:]:
-                remove(session, f"{target}/g{generation}/__bucket={b}")
         if after:
             after(current(session, target))
 
@@ -67,19 +62,78 @@ def stream_upsert(spark: SparkSession, landing: str, schema: T.StructType | str,
     return reader.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _generations(spark: SparkSession, target: str, before: int | None = None) -> dict[int, list[int]]:
-    """The generations of each bucket, the newest first."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_generations")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return {}
-    named = spark.read.schema("generation long, bucket int").option("recursiveFileLookup", True).parquet(f"{target}/_generations")
-    named = named if before is None else named.where(F.col("generation") < before)
-    return {r["bucket"]: r["g"] for r in named.groupBy("bucket").agg(F.reverse(F.array_sort(F.collect_set("generation"))).alias("g")).collect()}
+def merge_generation(spark: SparkSession, target: str, generation: int, rows: DataFrame, key: list[str], buckets: int, combine: Callable[[DataFrame, DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Write combine(held rows, rows) for the buckets (a hash of key) that rows touch, as a generation of the table under target, and
+    return these buckets before and after. combine must keep a row in the bucket of its key.
 
-
-def current(spark: SparkSession, target: str) -> DataFrame:
-    """The table that stream_upsert() keeps."""
-    return spark.read.parquet(*[f"{target}/g{g[0]}/__bucket={b}" for b, g in sorted(_generations(spark, target).items())])
+    target/_generations holds a list of the last two generations of every bucket, written last: a generation that is not in a
+    complete list does not exist. Only those and the last two lists stay, so nothing grows with the number of batches.
+    """
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+    touched = sorted(r["b"] for r in rows.select(bucket.alias("b")).distinct().collect())  # at most `buckets`
+    held = _generations(spark, target, before=generation)
+    before = _rows_of(spark, target, {b: held[b] for b in touched if b in held}, rows.schema)
+    folder = f"{target}/g{generation}"
+    if touched:
+        combine(before, rows).withColumn("__bucket", bucket).repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(folder)
+    filled = {int(name.split("=")[1]) for name in _names(spark, folder) if name.startswith("__bucket=")} if touched else set()
+    now = held | {b: [(generation, b in filled), *held.get(b, [])[:1]] for b in touched}
+    named = [(b, g, f) for b, kept in sorted(now.items()) for g, f in kept]
+    spark.createDataFrame(named, "bucket int, generation long, filled boolean").coalesce(1).write.mode("overwrite").parquet(f"{target}/_generations/n{generation}")
+    in_use = {g for _, g, _ in named}
+    for b in touched:
+        for g, _ in held.get(b, [])[1:]:
+            remove(spark, f"{target}/g{g}/__bucket={b}")
+    for g in {g for kept in held.values() for g, _ in kept} - in_use:
+        remove(spark, f"{target}/g{g}")
+    for n in [n for n in _lists(spark, target) if n < generation][:-1]:
+        remove(spark, f"{target}/_generations/n{n}")
+    return before, _rows_of(spark, target, {b: now[b] for b in touched}, rows.schema)
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, which need not exist."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+
+
+def _lists(spark: SparkSession, target: str) -> list[int]:
+    """The generations of which there is a complete list (two or three), ascending."""
+    found = [n for n in _names(spark, f"{target}/_generations") if n.startswith("n")]
+    return sorted(int(n[1:]) for n in found if "_SUCCESS" in _names(spark, f"{target}/_generations/{n}"))
+
+
+def _generations(spark: SparkSession, target: str, before: int | None = None) -> dict[int, list[tuple[int, bool]]]:
+    """The generations of each bucket and whether they have rows, the newest first."""
+    lists = [n for n in _lists(spark, target) if before is None or n < before]
+    out: dict[int, list[tuple[int, bool]]] = {}
+    if lists:
+        rows = spark.read.schema("bucket int, generation long, filled boolean").parquet(f"{target}/_generations/n{lists[-1]}").collect()
+        for r in sorted(rows, key=lambda r: -r["generation"]):  # two a bucket
+            out.setdefault(r["bucket"], []).append((r["generation"], r["filled"]))
+    return out
+
+
+def _rows_of(spark: SparkSession, target: str, held: dict[int, list[tuple[int, bool]]], schema: T.StructType) -> DataFrame:
+    paths = [f"{target}/g{kept[0][0]}/__bucket={b}" for b, kept in sorted(held.items()) if kept[0][1]]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def _base(spark: SparkSession, target: str, checkpoint: str) -> int:
+    """The generation of a stream's first batch: that of its first start if its checkpoint goes on, else one above those there."""
+    place = f"{target}/_starts/{hashlib.sha256(checkpoint.encode()).hexdigest()}"
+    if "offsets" in _names(spark, checkpoint) and "_SUCCESS" in _names(spark, place):
+        return spark.read.schema("base long").parquet(place).first()["base"]
+    base = max(_lists(spark, target), default=-1) + 1
+    spark.createDataFrame([(base,)], "base long").coalesce(1).write.mode("overwrite").parquet(place)
+    return base
+
+
+def current(spark: SparkSession, target: str, schema: T.StructType | None = None) -> DataFrame:
+    """The table that stream_upsert() or merge_generation() keeps; before the first batch it is empty. The schema is that of the stream if none is given."""
+    schema = schema or spark.read.parquet(f"{target}/_schema").schema
+    return _rows_of(spark, target, _generations(spark, target), schema)
 
 
 def freshness(records: DataFrame, as_of: str, delta_days: int = 8) -> DataFrame:
