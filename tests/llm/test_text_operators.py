@@ -262,3 +262,14 @@ def test_candidates_by_brute_force():
             start = m.start() + m[0].index(token) if token else 0
             if len(token) >= 6 and re.search("[0-9@]", token):
                 assert any(a < start + len(token) and start < b for a, b in [*spans, *((c, d) for _, c, d in base)]), (t, token)
+
+
+@pytest.mark.parametrize("size", [16**4, 16**6])
+def test_bitmap_of_prefixes_is_packed_in_tasks(spark, size):
+    """Repeats count once, and slices without a number are there; the driver gets size / 8 bytes however many numbers there are."""
+    numbers = spark.range(3_000_000).select(F.pmod(F.xxhash64(F.col("id") % 1_000_000), F.lit(size // 2)).cast("int").alias("p"))
+    want = np.zeros(size, bool)
+    want[numbers.select("p").distinct().toPandas()["p"].to_numpy()] = True
+    got = fingerprints.bitmap(numbers, size)
+    assert len(got) == size // 8 and got == np.packbits(want).tobytes()
+    assert fingerprints.bitmap(numbers.limit(0), size) == bytes(size // 8)

@@ -13,6 +13,7 @@ import unicodedata
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -25,6 +26,7 @@ from tidemark.llm.ranges import ranges_of
 #: Hexadecimal digits of a digest by which rows are told that can't have an equal: the fewest, within these bounds, that give 32 or
 #: more prefixes to a repeated digest. The table of prefixes has 16 ** digits bits, 2 MB at most.
 PREFIX_DIGITS = (4, 6)
+SLICE = 1 << 16  # bits of that table that a task packs at a time
 
 
 def canonical(text: str | None) -> str:
@@ -43,6 +45,23 @@ def sha256(folded: str) -> bytes:
     return hashlib.sha256(folded.encode("utf-8", "surrogatepass")).digest()
 
 
+def bitmap(numbers: DataFrame, size: int) -> bytes:
+    """Packed bits, of which those at the numbers p (0 to size - 1, repeats allowed) are set; none for an empty table.
+
+    Tasks pack a slice of at most SLICE distinct numbers each, so the driver gets the bits alone, size / 8 bytes.
+    """
+    width = min(size, SLICE)
+
+    def pack(found: pd.DataFrame) -> pd.DataFrame:
+        marks = np.zeros(width, bool)
+        marks[found["p"].to_numpy() % width] = True
+        return pd.DataFrame({"slice": [found["p"].iloc[0] // width], "bits": [np.packbits(marks).tobytes()]})
+
+    slices = numbers.distinct().groupBy(F.floor(F.col("p") / width)).applyInPandas(pack, "slice long, bits binary")
+    parts = {r["slice"]: r["bits"] for r in slices.collect()}  # size / SLICE rows
+    return b"".join(parts.get(k, bytes(width // 8)) for k in range(size // width))
+
+
 def split_classes(digests: DataFrame, texts: DataFrame, digest_of: Callable[[str], str] = wide_digest) -> DataFrame:
     """The classes (digest, folded bytes, class number) of buckets in which different texts share a digest.
 
@@ -54,9 +73,7 @@ def split_classes(digests: DataFrame, texts: DataFrame, digest_of: Callable[[str
     n, (least, most) = repeated.count(), PREFIX_DIGITS
     digits = next((d for d in range(least, most) if 16**d >= 32 * n), most)
     prefix = F.conv(F.substring("digest", 1, digits), 16, 10).cast("int")
-    marks = np.zeros(16**digits, bool)
-    marks[repeated.select(prefix.alias("p")).distinct().toPandas()["p"].to_numpy(np.int64)] = True  # 16 ** digits rows at most
-    packed = np.packbits(marks).tobytes()
+    packed = bitmap(repeated.select(prefix.alias("p")), 16**digits)
 
     def fold(batches):
         marked, pack = np.unpackbits(np.frombuffer(packed, np.uint8)), zstandard.ZstdCompressor(level=1)
