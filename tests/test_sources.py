@@ -89,3 +89,21 @@ def test_stream_equals_batch_and_replays(spark, tmp_path):
     assert {tuple(r) for r in incremental.current(spark, target).select(*events.columns).collect()} == want
     incremental.stream_upsert(spark, landing, events.schema, target, "user_id", ["ts", "event_id"], str(tmp_path / "state2")).awaitTermination()
     assert {tuple(r) for r in incremental.current(spark, target).select(*events.columns).collect()} == want
+
+
+def test_only_partitions_of_the_delta_are_rewritten(spark, tmp_path):
+    """Files of the other years keep their names and times, and a join with few years reads these years alone."""
+    path = str(tmp_path / "t")
+    rows = lambda lo, hi: spark.range(lo, hi).select("id", (F.col("id") % 5 + 2000).cast("int").alias("year"))
+    tables.materialize(rows(0, 100), path, ["year"])
+    files = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("*.parquet")}
+    before = files()
+    tables.replace_partitions(rows(0, 50).where("year = 2002"), path, ["year"])
+    after = files()
+    assert {f for f in before if "year=2002" not in str(f)} == {f for f in before if after.get(f) == before[f]}
+    assert {r["year"]: r["count"] for r in spark.read.parquet(path).groupBy("year").count().collect()} == {2000: 20, 2001: 20, 2002: 10, 2003: 20, 2004: 20}
+    few = spark.createDataFrame([(2002, "a"), (2003, "b")], "year int, name string").where("name = 'a'")
+    joined = spark.read.parquet(path).join(F.broadcast(few), "year")
+    assert joined.count() == 10
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()

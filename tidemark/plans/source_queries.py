@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.shared import new_path
+from tidemark.operators import network as E
 from tidemark.operators import trends as D
 from tidemark.plans import trend_queries
 from tidemark.plans.roles import AUTHORITY, PRIMARY, ROLE_SQL, Roles
@@ -51,6 +52,17 @@ def _stored(x):
     return tables.materialize(x.records(), new_path(x.spark, "records"), ["year"]).where("year = 1997").select("id", "score", F.col("year").cast("long").alias("year"))
 
 
+def _stored_buckets(x):
+    """E1's buckets stored by year, one year of them from half the records, which is then made anew alone; only the latest five years are
+    read, told by a join that prunes partitions while it runs."""
+    aff, rec, canon = x.affected(), x.records(), x.canonical()
+    path = new_path(x.spark, "buckets")
+    tables.materialize(E.buckets(aff, rec.where("year <> 1997 OR id % 2 = 0"), canon), path, ["year"])
+    tables.replace_partitions(E.buckets(aff, rec.where("year = 1997"), canon), path, ["year"])
+    years = F.broadcast(D.latest_years(D.year_totals(rec), 5).select(F.col("year").cast("int").alias("year")))  # a row per year
+    return x.spark.read.parquet(path).join(years, "year").select("entity", "item", F.col("year").cast("long").alias("year"), "label")
+
+
 def _streamed(x):
     """Events as a stream of three deltas, upserted by user."""
     events = x.table("events").select("event_id", "ts", "user_id", "value")
@@ -96,6 +108,7 @@ QUERIES = {
     "feed_assignments": _q(lambda x: feeds.explode_assignments(_feed(x)).select("id", "label", "source", "type", "generic")),
     "csv_year_totals": _q(_csv),
     "stored_records": _q(_stored),
+    "stored_buckets": _q(_stored_buckets),
     "stream_upsert": _q(_streamed),
 }
 
@@ -112,6 +125,7 @@ ORACLE_SQL = {
     "feed_affected": ROLE_SQL + " SELECT DISTINCT CAST(id AS VARCHAR) AS id, 'a' AS part, 's ' || entity AS entity, 'p' || item AS item, CAST(version AS VARCHAR) AS version FROM aff WHERE version < 7",
     "feed_assignments": ROLE_SQL + " SELECT DISTINCT CAST(id AS VARCHAR) AS id, label, source, type, false AS generic FROM asg",
     "csv_year_totals": ROLE_SQL + " SELECT year, count(*) AS total FROM rec GROUP BY year",
+    "stored_buckets": ROLE_SQL + " SELECT DISTINCT entity, item, year, label FROM aff JOIN rec USING (id) JOIN canon USING (id) WHERE NOT generic AND year IN (SELECT year FROM rec GROUP BY year ORDER BY year DESC LIMIT 5)",
     "stored_records": ROLE_SQL + " SELECT id, score, year FROM rec WHERE year = 1997",
     "stream_upsert": "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events) WHERE place = 1",
 }
