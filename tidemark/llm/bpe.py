@@ -161,6 +161,7 @@ def roundtrip_digests(df: DataFrame, path: str, text: str = "text", leaf: int =
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:
+    """Tokens of all documents by the byte-level vocabulary and the texts decoded from them, as digests: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

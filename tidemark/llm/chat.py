@@ -130,6 +130,7 @@ def read_loss_text(segments: Column, template: Template | None = None) -> Column
 
 
 def op3_chat(spark, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7 formatted, and what is read back from the output: conv_id, turns, loss and lengths as digests."""
     from tidemark.llm.common import table
 
     real = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")

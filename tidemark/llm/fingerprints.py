@@ -226,4 +226,5 @@ def edited_fingerprints(df: DataFrame, digest_of: Callable[[str], str] = wide_di
 
 
 def op2_fingerprints(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, with likenesses; nulls, ties and empty tables: see edited_fingerprints() and with_next()."""
     return edited_fingerprints(table(spark, sf_dir, "documents"))

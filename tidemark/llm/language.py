@@ -210,6 +210,7 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", pred: str
 
 
 def op10_language(spark, sf_dir: str) -> DataFrame:
+    """Languages of all documents by a model of those outside the held-out quarter: doc_id, held_out, lang_pred, score."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = identify(docs.drop("lang"), fit(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.round("score", 6).alias("score"))

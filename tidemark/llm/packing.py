@@ -119,6 +119,7 @@ def pack(df: DataFrame, id: str = "doc_id", length: str = "length", max_length:
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:
+    """Sequences of all documents in tokens, packed into length buckets that minimise padding; odd rows: see pack()."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

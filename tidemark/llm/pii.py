@@ -312,6 +312,7 @@ def redact(df: DataFrame, weights: np.ndarray, text: str = "text", threshold: fl
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: doc_id, counts per kind, base_sha256 and all spans; odd texts: see find()."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find(docs, fit(docs)).drop("text")
     base = F.filter("spans", lambda s: s["base"])

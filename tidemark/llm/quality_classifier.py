@@ -170,5 +170,6 @@ def classify(df: DataFrame, weights: np.ndarray, text: str = "text", threshold:
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:
+    """Scores and verdicts of all documents by a scorer trained on posterior labels: doc_id, score, kept."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return classify(docs, fit(docs)).select("doc_id", F.round("score", 6).alias("score"), "kept")

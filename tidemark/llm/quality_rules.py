@@ -279,6 +279,7 @@ def quality(df: DataFrame, known: dict[str | None, Reference], text: str = "text
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Base measures and verdicts of all documents: see quality() for texts that are null, empty or short."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = quality(docs.drop("lang"), references(docs)).drop("text")
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))

@@ -311,5 +311,6 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document at 4 differing bits: see near_duplicates() for null and empty texts and repeated rows."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")

@@ -184,6 +184,7 @@ def _read(spark: SparkSession, path: str, schema: str, result, kind: pa.DataType
 
 
 def op6_token_files(spark, sf_dir: str) -> DataFrame:
+    """All documents written as token files and read back: doc_id, start, n_tokens, ids_crc32."""
     import public_tokenizers
 
     path = new_path(spark, "token-files")
