@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.shared import new_path
+from tidemark.operators import keywords as W
 from tidemark.operators import search as S
 from tidemark.plans.roles import ROLE_SQL, Roles
 from tidemark.streaming import incremental as B
@@ -45,6 +50,18 @@ def _flat_detail(x):
     return d.select("id", "canonical", labels.alias("labels"), products.alias("products"))
 
 
+#: Searches of the index: frequent words, a rare one, one within others, two characters (a scan), one that no text has.
+SEARCHES = ["THE of", "Theaea", "onerblend ER", "of", "zzyzx"]
+
+
+def _indexed(x):
+    """All SEARCHES over one index of the documents."""
+    path = new_path(x.spark, "keywords")
+    W.build_index(x.table("documents").select(F.col("doc_id").alias("id"), "text"), path)
+    found = [W.search_index(x.spark, path, words).select(F.lit(words).alias("words"), "id") for words in SEARCHES]
+    return reduce(DataFrame.unionByName, found)
+
+
 QUERIES = {
     "upsert_latest": _q(_upsert),
     "scope_years": _q(lambda x: B.scope(x.records(), 1996, 1997).select("id", "year")),
@@ -56,6 +73,7 @@ QUERIES = {
     "search_label": _q(lambda x: S.search(x.records(), canonical=x.canonical(), labels=_some(x)).select("id")),
     "search_missing": _q(lambda x: S.search(x.records(), affected=x.affected(), missing_entity=True).select("id")),
     "search_keywords": _q(lambda x: S.search(x.documents(), words="THE of").select("id")),
+    "search_indexed": _q(_indexed),
     "normalize_id": _q(lambda x: x.table("orders").select("o_orderkey", S.normalize_id(F.concat(F.lit(" cve-"), F.date_format("o_orderdate", "yyyy"), F.lit("-"), F.col("o_orderkey").cast("string"))).alias("canonical_id"))),
     "search_severity_page": _q(lambda x: S.page(S.search(x.records(), first_year=1997), "severity", 200).select("id", "score", "date")),
     "search_total": _q(lambda x: S.page_with_total(_searched(x), "newest", 20).select("id", "total")),
@@ -79,6 +97,7 @@ ORACLE_SQL = {
     "search_label": ROLE_SQL + f" SELECT id FROM rec WHERE id IN (SELECT id FROM canon WHERE label IN {_LIST})",
     "search_missing": ROLE_SQL + " SELECT id FROM rec WHERE NOT EXISTS (SELECT 1 FROM aff WHERE aff.id = rec.id)",
     "search_keywords": ROLE_SQL + " SELECT id FROM docs WHERE contains(lower(text), 'the') AND contains(lower(text), 'of')",
+    "search_indexed": ROLE_SQL + " " + " UNION ALL ".join(f"SELECT '{s}' AS words, id FROM docs WHERE " + " AND ".join(f"contains(lower(text), '{w.lower()}')" for w in s.split()) for s in SEARCHES),
     "normalize_id": "SELECT o_orderkey, CASE WHEN length(CAST(o_orderkey AS VARCHAR)) >= 4 THEN 'CVE-' || year(o_orderdate) || '-' || o_orderkey END AS canonical_id FROM orders",
     "search_severity_page": ROLE_SQL + " SELECT id, score, date FROM rec WHERE year >= 1997 ORDER BY score DESC NULLS LAST, date DESC, id DESC LIMIT 200",
     "search_total": ROLE_SQL + f", f AS ({_FOUND}) SELECT id, (SELECT count(*) FROM f) AS total FROM f ORDER BY date DESC, id DESC LIMIT 20",
