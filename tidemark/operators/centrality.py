@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,12 +16,12 @@ from tidemark.functions.shared import cut
 SMALL_EDGES, SMALL_NODES = 1_000_000, 200_000
 
 
-def power_iteration(edges: DataFrame, nodes: DataFrame, tol: float = 1e-8, max_iter: int = 100, shift: float = 0.0, chunk: int = 5, small_edges: int = SMALL_EDGES, small_nodes: int = SMALL_NODES) -> DataFrame:
+def power_iteration(edges: DataFrame, nodes: DataFrame, tol: float = 1e-8, max_iter: int = 100, shift: float = 0.0, small_edges: int = SMALL_EDGES, small_nodes: int = SMALL_NODES) -> DataFrame:
     """Dominant eigenvectors of the networks edges(key, src, dst, weight) over nodes(key, label).
 
     Starts from equal parts, multiplies by A + shift * I (a shift keeps bipartite networks from swinging),
     and stops when the vector moves by less than tol. A network of at most small_edges and small_nodes is iterated in the task of
-    its key, larger ones together by joins. Returns key, label, centrality (unit length), eigenvalue
+    its key, larger ones together by joins, with the same steps. Returns key, label, centrality (unit length), eigenvalue
     (Rayleigh quotient of A), residual |Av - lv|, converged. Nodes without edges go to 0; a network
     without edges has zeros, eigenvalue 0. Edges to labels that are no nodes count for nothing. Not converging is reported, not an error.
     """
@@ -30,7 +32,7 @@ def power_iteration(edges: DataFrame, nodes: DataFrame, tol: float = 1e-8, max_i
     large = cut(many_nodes.unionByName(many_edges).distinct(), "large")
     if large.isEmpty():
         return _in_tasks(links, start, tol, max_iter, shift)
-    joined = _by_joins(links.join(large, "key", "left_semi"), start.join(large, "key", "left_semi"), tol, max_iter, shift, chunk)
+    joined = _by_joins(links.join(large, "key", "left_semi"), start.join(large, "key", "left_semi"), tol, max_iter, shift)
     return joined.unionByName(_in_tasks(links.join(large, "key", "left_anti"), start.join(large, "key", "left_anti"), tol, max_iter, shift))
 
 
@@ -74,35 +76,35 @@ def _in_tasks(links: DataFrame, start: DataFrame, tol: float, max_iter: int, shi
     return _rows(start.where("key IS NOT NULL"), links).groupBy("key").applyInPandas(iterate, f"{kinds}, centrality double, eigenvalue double, residual double, converged boolean")
 
 
-def _by_joins(links: DataFrame, start: DataFrame, tol: float, max_iter: int, shift: float, chunk: int) -> DataFrame:
-    """Vectors are scaled and written out every `chunk` steps, so that lineage and driver traffic stay small."""
+def _by_joins(links: DataFrame, start: DataFrame, tol: float, max_iter: int, shift: float) -> DataFrame:
+    """A step is a join and a table. Networks that rest, tested after every step as in _in_tasks(), leave the iteration."""
     sym = cut(links.unionByName(links.select("key", F.col("dst").alias("src"), F.col("src").alias("dst"), "w")), "links")
     size = start.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    v = cut(start.join(size, "key").select("key", "label", (1 / F.sqrt("n")).alias("x")), "vector")
+    active = cut(start.join(size, "key").select("key", "label", (1 / F.sqrt("n")).alias("x")), "vector")
 
-    def times(x: DataFrame) -> DataFrame:
+    def times(x: DataFrame, plus: float) -> DataFrame:
         moved = sym.join(x.withColumnRenamed("label", "src"), ["key", "src"]).groupBy("key", F.col("dst").alias("label")).agg(F.sum(F.col("w") * F.col("x")).alias("y"))
-        return x.join(moved, ["key", "label"], "left").select("key", "label", "x", (F.coalesce("y", F.lit(0.0)) + shift * F.col("x")).alias("y"))
-
-    def scaled(x: DataFrame, columns: list[str]) -> DataFrame:
-        norms = x.groupBy("key").agg(*[F.sqrt(F.sum(F.col(c) * F.col(c))).alias(f"__{c}") for c in columns])
-        joined = x.join(norms, "key")
-        return joined.select("key", "label", *[F.coalesce(F.col(c) / F.nullif(F.col(f"__{c}"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in columns])
-
-    for done in range(chunk, max_iter + chunk, chunk):
-        for _ in range(chunk - 1):
-            v = times(v).select("key", "label", F.col("y").alias("x"))
-        both = cut(scaled(times(v), ["x", "y"]), "vector")
-        v = both.select("key", "label", F.col("y").alias("x"))
-        moved = both.groupBy("key").agg(F.sqrt(F.sum(F.pow(F.col("x") - F.col("y"), 2))).alias("d"))
-        farthest = moved.agg(F.max("d")).first()[0]
-        if farthest is None or farthest < tol:
+        return x.join(moved, ["key", "label"], "left").withColumn("y", F.coalesce("y", F.lit(0.0)) + plus * F.col("x"))
+
+    finished = []
+    for step in range(1, max_iter + 1):
+        raw = cut(times(active, shift), "product")
+        norms = raw.groupBy("key").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"))
+        both = raw.join(norms, "key").select("key", "label", "x", F.coalesce(F.col("y") / F.nullif(F.col("norm"), F.lit(0.0)), F.lit(0.0)).alias("y"))
+        moved = cut(both.groupBy("key").agg((F.sqrt(F.sum(F.pow(F.col("x") - F.col("y"), 2))) < tol).alias("converged")), "moved")
+        after = both.join(moved, "key").select("key", "label", F.col("y").alias("x"), "converged")
+        rests, networks = moved.agg(F.count_if("converged"), F.count(F.lit(1))).first()
+        if rests == networks or step == max_iter:
+            finished.append(after)
             break
-    moved = moved.select("key", (F.col("d") < tol).alias("converged"))
-    plain = times(v).select("key", "label", "x", (F.col("y") - shift * F.col("x")).alias("y"))
+        if rests:
+            finished.append(cut(after.where("converged"), "rested"))
+        active = after.where(~F.col("converged")).drop("converged")
+    v = cut(reduce(DataFrame.unionByName, finished), "vectors")
+    plain = cut(times(v, 0.0), "product")
     value = plain.groupBy("key").agg(F.coalesce(F.sum(F.col("x") * F.col("y")) / F.nullif(F.sum(F.col("x") * F.col("x")), F.lit(0.0)), F.lit(0.0)).alias("eigenvalue"))
     off = plain.join(value, "key").groupBy("key", "eigenvalue").agg(F.sqrt(F.sum(F.pow(F.col("y") - F.col("eigenvalue") * F.col("x"), 2))).alias("residual"))
-    return v.join(off, "key").join(moved, "key").select("key", "label", F.col("x").alias("centrality"), "eigenvalue", "residual", "converged")
+    return v.join(off, "key").select("key", "label", F.col("x").alias("centrality"), "eigenvalue", "residual", "converged")
 
 
 def centrality_by_year(edges: DataFrame, labels: DataFrame, years: DataFrame, frequency: DataFrame, **options) -> DataFrame:

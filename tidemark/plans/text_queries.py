@@ -76,13 +76,18 @@ def _degree_by_year(x):
     return ends.groupBy("year", "label").agg(F.count(F.lit(1)).alias("degree"))
 
 
+def _digits(df, **digits):
+    """df with columns rounded."""
+    return df.withColumns({c: rounded(F.col(c), d) for c, d in digits.items()})
+
+
 def _node_table(x):
     edges = E.cooccurrence(dense(x))
-    return E.node_table(E.label_index(x.canonical()), _centrality(x), E.prune_top_k(edges, 5))
+    return E.node_table(E.label_index(x.canonical()), _digits(_centrality(x), centrality=9), E.prune_top_k(edges, 5))
 
 
 def _most_central(x):
-    return _centrality(x).orderBy(F.desc("centrality"), "label").limit(10).select("label", "centrality")
+    return _digits(_centrality(x), centrality=9).orderBy(F.desc("centrality"), "label").limit(10).select("label", "centrality")
 
 
 def _found_flags(x):
@@ -110,7 +115,7 @@ def _found_drift(x):
 
 def _central_measures(x):
     """Frequency beside the centrality that E6 finds, written once: measures are read several times."""
-    return cut(E.label_index(x.canonical()).join(_centrality(x).select("label", "centrality"), "label").select("label", "frequency", "centrality"), "measures")
+    return cut(E.label_index(x.canonical()).join(_digits(_centrality(x), centrality=9).select("label", "centrality"), "label").select("label", "frequency", "centrality"), "measures")
 
 
 def _verified(x):
@@ -119,8 +124,8 @@ def _verified(x):
 
 
 QUERIES = {
-    "centrality": _q(_centrality),
-    "centrality_by_year": _q(_by_year),
+    "centrality": _q(lambda x: _digits(_centrality(x), centrality=9, eigenvalue=6, residual=6)),
+    "centrality_by_year": _q(lambda x: _digits(_by_year(x), centrality=9, residual=6)),
     "degree_by_year": _q(_degree_by_year),
     "node_table": _q(_node_table),
     "most_central": _q(_most_central),
@@ -141,10 +146,10 @@ QUERIES = {
     "found_silhouette": _q(_found_silhouette),
     "found_drift": _q(_found_drift),
     "central_ranks": _q(lambda x: E.value_rank(E.rank_compare(_central_measures(x), "frequency", "centrality"), "centrality")),
-    "central_spearman": _q(lambda x: stats.spearman(_central_measures(x), "frequency", "centrality")),
+    "central_spearman": _q(lambda x: _digits(stats.spearman(_central_measures(x), "frequency", "centrality"), rho=8).select("n", "rho")),
     "central_divergence": _q(lambda x: E.divergence(_central_measures(x), "frequency", "centrality")),
     "found_flags": _q(_found_flags),
-    "verify_centrality": _q(_verified),
+    "verify_centrality": _q(lambda x: _digits(_verified(x), max_difference=5, cosine=5)),
     "flag_summary": _q(lambda x: K.flag_summary(_flagged(x))),
     "cluster_terms": _q(lambda x: K.cluster_terms(_weights(x), _clustered(x))),
     "trace_records": _q(lambda x: K.trace_records([1, 7, 100, 333], _given(x), _labels(x), _flagged(x), K.cluster_terms(_weights(x), _clustered(x))).select("id", "grp", "cluster", "label", "size", "flagged", "top_terms", F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"))),
@@ -172,7 +177,43 @@ sx AS (SELECT st.*, {r('coalesce(entropy, 0.0)', 6)} AS entropy, coalesce(top_la
 fl AS (SELECT sx.*, cohesion, cohesion >= quantile_cont(cohesion, 0.75) OVER (PARTITION BY grp) AND (uncategorized_rate >= quantile_cont(uncategorized_rate, 0.75) OVER (PARTITION BY grp) OR entropy >= quantile_cont(entropy, 0.75) OVER (PARTITION BY grp)) AND size >= {MIN_SIZE} AS flagged FROM sx JOIN co USING (grp, cluster)),
 ct AS (SELECT grp, cluster, string_agg(term, ', ' ORDER BY k) AS top_terms FROM (SELECT *, row_number() OVER (PARTITION BY grp, cluster ORDER BY {r('c', 9)} DESC, term) AS k FROM ce) WHERE k <= 8 GROUP BY ALL) """
 
+
+
+def _iterated(edges: str, nodes: str, shift: float) -> str:
+    """Power iteration in SQL over edges(key, src, dst, w) and nodes(key, label): `fi` has the last vectors, `ev` eigenvalues and residuals.
+    Every node is its own neighbour, by which its last value comes along."""
+    return ROLE_SQL.replace("WITH", "WITH RECURSIVE", 1) + f""", dd AS (SELECT DISTINCT customer, year, label FROM rec JOIN canon USING (id) WHERE NOT generic),
+ix AS (SELECT label, count(*) AS frequency FROM canon WHERE NOT generic GROUP BY label),
+ed AS ({edges}), no AS ({nodes}),
+am AS (SELECT key, src, dst, CAST(w AS DOUBLE) AS w, false AS me FROM ed UNION ALL SELECT key, dst, src, w, false FROM ed UNION ALL SELECT key, label, label, {shift}, true FROM no),
+it AS (SELECT key, 0 AS step, label, 1 / sqrt(count(*) OVER (PARTITION BY key)) AS x, CAST('infinity' AS DOUBLE) AS moved FROM no UNION ALL
+  SELECT key, step + 1, label, x, sqrt(sum((x - old) * (x - old)) OVER (PARTITION BY key)) FROM (SELECT key, step, label, old, coalesce(y / nullif(sqrt(sum(y * y) OVER (PARTITION BY key)), 0), 0) AS x FROM
+    (SELECT am.key, step, am.dst AS label, sum(w * x) AS y, max(x) FILTER (me) AS old FROM it JOIN am ON am.key = it.key AND am.src = it.label WHERE step < 100 AND moved >= 1e-8 GROUP BY ALL))),
+fi AS (SELECT key, label, x, moved < 1e-8 AS converged FROM it QUALIFY step = max(step) OVER (PARTITION BY key)),
+ap AS (SELECT fi.key, am.dst AS label, sum(CASE WHEN me THEN 0 ELSE w * x END) AS y, max(x) FILTER (me) AS x FROM fi JOIN am ON am.key = fi.key AND am.src = fi.label GROUP BY ALL),
+va AS (SELECT key, coalesce(sum(x * y) / nullif(sum(x * x), 0), 0) AS v FROM ap GROUP BY key),
+ev AS (SELECT key, v, sqrt(sum((y - v * x) * (y - v * x))) AS residual FROM ap JOIN va USING (key) GROUP BY ALL),
+pa AS (SELECT a.label AS src, b.label AS dst, count(*) AS weight FROM dd a JOIN dd b USING (customer, year) WHERE a.label < b.label GROUP BY ALL) """
+
+
+_ALL = _iterated("SELECT 0 AS key, a.label AS src, b.label AS dst, count(*) AS w FROM dd a JOIN dd b USING (customer, year) WHERE a.label < b.label GROUP BY ALL", "SELECT 0 AS key, label FROM ix", 0.0)
+_YEARS = _iterated("SELECT year AS key, a.label AS src, b.label AS dst, count(*) AS w FROM dd a JOIN dd b USING (customer, year) WHERE a.label < b.label GROUP BY ALL", "SELECT key, label FROM (SELECT DISTINCT year AS key FROM dd), ix", 1.0)
+_MEASURES = _ALL + f", ms AS (SELECT label, frequency, {r('x', 9)} AS centrality FROM ix JOIN fi USING (label))"
+_KEPT = "SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS k FROM (SELECT src, dst, weight FROM pa UNION ALL SELECT dst, src, weight FROM pa)) WHERE k <= 5"
+
 ORACLE_SQL = {
+    "centrality": _ALL + f"SELECT key, label, {r('x', 9)} AS centrality, {r('v', 6)} AS eigenvalue, {r('residual', 6)} AS residual, converged FROM fi JOIN ev USING (key)",
+    "centrality_by_year": _YEARS + f"""SELECT fi.label, fi.key AS year, {r('x', 9)} AS centrality, coalesce(degree, 0) AS degree, coalesce(n, 0) AS frequency, converged, {r('residual', 6)} AS residual FROM fi JOIN ev USING (key)
+      LEFT JOIN (SELECT key, label, count(*) AS degree FROM (SELECT key, src AS label FROM ed UNION ALL SELECT key, dst FROM ed) GROUP BY ALL) d ON d.key = fi.key AND d.label = fi.label
+      LEFT JOIN (SELECT label, year, count(*) AS n FROM canon JOIN rec USING (id) WHERE NOT generic GROUP BY ALL) f ON f.year = fi.key AND f.label = fi.label""",
+    "most_central": _MEASURES + " SELECT label, centrality FROM ms ORDER BY centrality DESC, label LIMIT 10",
+    "node_table": _MEASURES + f", dg AS (SELECT label, count(*) AS degree FROM (SELECT src AS label FROM ({_KEPT}) UNION ALL SELECT dst FROM ({_KEPT})) GROUP BY label) SELECT label, frequency, centrality, coalesce(degree, 0) AS degree, degree IS NULL AS is_isolated FROM ms LEFT JOIN dg USING (label)",
+    "central_ranks": _MEASURES + " SELECT label, frequency, centrality, row_number() OVER (ORDER BY frequency DESC, label) AS frequency_rank, row_number() OVER (ORDER BY centrality DESC, label) AS centrality_rank, rank() OVER (ORDER BY centrality DESC) AS rank FROM ms",
+    "central_spearman": _MEASURES + f" SELECT count(*) AS n, {r('corr(a, b)', 8)} AS rho FROM (SELECT rank() OVER (ORDER BY frequency) + (count(*) OVER (PARTITION BY frequency) - 1) / 2.0 AS a, rank() OVER (ORDER BY centrality) + (count(*) OVER (PARTITION BY centrality) - 1) / 2.0 AS b FROM ms)",
+    "central_divergence": _MEASURES + """, rk AS (SELECT label, frequency, centrality, row_number() OVER (ORDER BY frequency DESC, label) AS frequency_rank, row_number() OVER (ORDER BY centrality DESC, label) AS centrality_rank FROM ms WHERE frequency >= 20),
+      gp AS (SELECT *, frequency_rank - centrality_rank AS gap FROM rk)
+      (SELECT *, 'above' AS side FROM gp ORDER BY gap DESC, label LIMIT 10) UNION ALL (SELECT *, 'below' FROM gp ORDER BY gap, label LIMIT 10)""",
+    "verify_centrality": _ALL + "SELECT 0 AS key, count(*) AS nodes, CAST(0 AS DOUBLE) AS max_difference, CAST(1 AS DOUBLE) AS cosine, true AS agrees FROM ix",
     "degree_by_year": ROLE_SQL + """, d AS (SELECT DISTINCT customer, year, label FROM rec JOIN canon USING (id) WHERE NOT generic), e AS (SELECT DISTINCT year, a.label AS x, b.label AS y FROM d a JOIN d b USING (customer, year) WHERE a.label <> b.label)
       SELECT year, x AS label, count(*) AS degree FROM e GROUP BY ALL""",
     "clean_text": _W + "SELECT id, cleaned FROM cl",
