@@ -66,3 +66,29 @@ def test_stability_follows_the_archetypes(spark, monkeypatch):
     row = model_queries._archetype_stability(None).collect()
     assert [tuple(r) for r in row] == [(18, 12, 6, 18, 12)]
     assert {r["entity"] for r in profiles.drift_paths(model_queries._archetype_by_year(None)).collect()} == {f"e{k}" for k in range(6)}
+
+
+def test_models_are_fitted_once_for_equal_rows(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    from tidemark.functions.shared import remove_tables
+    from tidemark.sources.tables import fitted_once
+
+    fits = []
+
+    def fit(df):
+        fits.append(df.count())
+        return Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="v")]).fit(df)
+
+    rows = [(float(k % 7), k) for k in range(40)]
+    df = spark.createDataFrame(rows, "x double, `a.b` long")
+    fitted_once(df, "m", fit, 3)
+    model = fitted_once(spark.createDataFrame(rows[::-1], df.schema).repartition(3), "m", fit, 3)  # the same rows in another order
+    assert fits == [40] and model.transform(df).first()["v"][0] == 0.0
+    fitted_once(df, "m", fit, 4)
+    fitted_once(df.unionByName(df.limit(1)), "m", fit, 3)
+    assert fits == [40, 40, 41]
+    remove_tables(spark)
+    fitted_once(df, "m", fit, 3)
+    assert fits == [40, 40, 41, 40]

@@ -11,17 +11,34 @@ from pyspark.sql import DataFrame, SparkSession
 _WRITTEN: list[str] = []
 
 
-def new_path(spark: SparkSession, name: str) -> str:
+def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tidemark.shared.dir", None)
     if not folder:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("tidemark.shared.dir", folder)
-    _WRITTEN.append(f"{folder.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}")
+    return f"{folder.rstrip('/')}/tidemark"
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    _WRITTEN.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
     return _WRITTEN[-1]
 
 
+def moved(spark: SparkSession, path: str, to: str) -> None:
+    """Rename what new_path() named and somebody wrote; where `to` is there already it stays, and path is left to remove_tables()."""
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, to))
+    system = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(target) and system.rename(source, target):
+        _WRITTEN.append(to)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df, which reads a table, over as many partitions as there are cores at least: a table in few files would keep most of them idle."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.shared import cut
@@ -20,6 +21,7 @@ from tidemark.plans import text_queries as _text
 from tidemark.plans.network_queries import dense
 from tidemark.plans.roles import ROLE_SQL, WEAKNESS_SQL, Roles, r
 from tidemark.plans.trend_queries import ORACLE_SQL as _trends
+from tidemark.sources.tables import fitted_once
 
 DIMS = 64
 FAMILIES = {"Large goods": [f"Brand#{b}/{t}" for b in (11, 12, 13, 21, 22) for t in ("LARGE", "MEDIUM")], "Small goods": [f"Brand#{b}/{t}" for b in (11, 12, 13, 21, 22) for t in ("SMALL", "ECONOMY")]}
@@ -60,8 +62,8 @@ def _pooled(x):
 
 def _archetypes(x):
     labels = _labels(x)
-    wide = P.wide_shares(_shares(x), labels)
-    model = P.fit_archetypes(wide, labels)
+    wide = cut(P.wide_shares(_shares(x), labels), "wide")
+    model = fitted_once(wide, "archetypes", lambda df: P.fit_archetypes(df, labels), labels)
     profile = P.cluster_profile(model.transform(wide), labels)
     return model, wide, labels, P.name_clusters(profile, FAMILIES)
 
@@ -76,6 +78,40 @@ def _map(x):
     return P.entity_map(model, wide, names)
 
 
+def _archetype_check(x):
+    """What holds for the archetypes whatever their numbers: entities placed, from 2 to 10 archetypes, none empty, and names for all."""
+    model, wide, _, names = _archetypes(x)
+    placed = P.entity_map(model, wide, names).agg(F.count("cluster").alias("entities"), F.count("name").alias("named"), F.count_distinct("cluster").alias("k"), (F.max("cluster") + 1).alias("__top"))
+    return placed.select("entities", "named", F.col("k").between(2, 10).alias("k_in_range"), (F.col("k") == F.col("__top")).alias("none_empty"))
+
+
+def _year_check(x):
+    """F10 scores each profiled entity in the years it has a profile of."""
+    found = _archetype_by_year(x)
+    return found.groupBy("year").agg(F.count("cluster").alias("entities"))
+
+
+def _pca_check(x):
+    """What holds for components whatever their signs: they are centred and do not correlate, the first varies most, and their variances,
+    over that of all scaled columns, are the parts that the model reports."""
+    model, found = P.fit_pca(_vectors(x), _dims()), _pca(x)
+    (_, one), (_, two) = P.explained_variance(model)
+    near = lambda a, b: F.abs(a - b) < 1e-6
+    return found.agg(
+        F.count(F.lit(1)).alias("rows"),
+        (near(F.avg("pc1"), F.lit(0.0)) & near(F.avg("pc2"), F.lit(0.0))).alias("centred"),
+        near(F.covar_samp("pc1", "pc2"), F.lit(0.0)).alias("uncorrelated"),
+        (F.var_samp("pc1") >= F.var_samp("pc2")).alias("ordered"),
+        (near(F.var_samp("pc1") / DIMS, F.lit(one)) & near(F.var_samp("pc2") / DIMS, F.lit(two))).alias("as_reported"),
+    )
+
+
+def _scan_check(x):
+    """What holds for a scan: costs fall with k, silhouettes lie within -1 and 1, and one k is best."""
+    before = F.lag("cost").over(Window.orderBy("k"))  # a row per k
+    return _scan(x).withColumn("__fell", F.coalesce(F.col("cost") <= before, F.lit(True))).agg(F.count(F.lit(1)).alias("models"), F.bool_and("__fell").alias("costs_fall"), F.bool_and(F.abs("silhouette") <= 1).alias("silhouettes_bounded"), F.count_if("best").alias("best"))
+
+
 def _pca(x):
     model = P.fit_pca(_vectors(x), _dims())
     from pyspark.ml.functions import vector_to_array
@@ -241,6 +277,10 @@ QUERIES = {
     "standardize": _q(lambda x: P.standardize(_vectors(x), _dims()).select("vec_id", *[rounded(F.col(c), 6).alias(c) for c in _dims()])),
     "pca_embeddings": _q(_pca),
     "kmeans_scan": _q(_scan),
+    "archetype_check": _q(_archetype_check),
+    "archetype_year_check": _q(_year_check),
+    "pca_check": _q(_pca_check),
+    "scan_check": _q(_scan_check),
     "archetypes": _q(lambda x: P.archetype_counts(_map(x))),
     "entity_map": _q(_map),
     "archetype_by_year": _q(_archetype_by_year),
@@ -362,6 +402,10 @@ ORACLE_SQL = {
         (SELECT CASE WHEN count(*) > 0 THEN count(*) END FROM asg WHERE asg.id = rec.id) AS n_assignments, (SELECT CASE WHEN count(*) > 0 THEN count(*) END FROM aff WHERE aff.id = rec.id) AS n_products, (SELECT string_agg(archetype || '=' || entities, ';' ORDER BY archetype) FROM g WHERE g.id = rec.id) AS groups
       FROM rec LEFT JOIN canon USING (id)""",
     "entity_shares": _FACT + "SELECT * FROM sh",
+    "archetype_check": _FACT + "SELECT count(DISTINCT entity) AS entities, count(DISTINCT entity) AS named, true AS k_in_range, true AS none_empty FROM sh",
+    "archetype_year_check": _FACT + "SELECT year, count(*) AS entities FROM (SELECT entity, year FROM pe JOIN tc USING (id) JOIN rec USING (id) WHERE entity IN (SELECT entity FROM sh) GROUP BY ALL HAVING count(*) >= 5) GROUP BY year",
+    "pca_check": "SELECT count(*) AS rows, true AS centred, true AS uncorrelated, true AS ordered, true AS as_reported FROM embeddings",
+    "scan_check": "SELECT CAST(9 AS BIGINT) AS models, true AS costs_fall, true AS silhouettes_bounded, CAST(1 AS BIGINT) AS best",
     "standardize": "SELECT vec_id, " + ", ".join(r(f"(CAST(embedding[{i}] AS DOUBLE) - avg(CAST(embedding[{i}] AS DOUBLE)) OVER ()) / stddev_pop(CAST(embedding[{i}] AS DOUBLE)) OVER ()", 6) + f" AS d{i - 1}" for i in range(1, DIMS + 1)) + " FROM embeddings",
     "cluster_profile": f"SELECT cluster, label, {r('avg(share)', 6)} AS mean_share, count(*) AS size, row_number() OVER (PARTITION BY cluster ORDER BY avg(share) DESC, label) AS place FROM ({_long(DIMS)}) GROUP BY cluster, label",
     "name_clusters": f"SELECT cluster, CASE WHEN o > greatest(a, b) THEN 'Diffuse (no dominant category)' WHEN a = greatest(a, b) THEN 'A' ELSE 'B' END AS name FROM (SELECT cluster, sum(m) FILTER (d < 20) AS a, sum(m) FILTER (d BETWEEN 20 AND 39) AS b, sum(m) FILTER (d = 63) AS o FROM (SELECT cluster, CAST(label[2:] AS INT) AS d, avg(share) AS m FROM ({_long(DIMS)}) GROUP BY ALL) GROUP BY cluster)",

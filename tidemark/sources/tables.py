@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.shared import exists, moved, new_path, shared_folder
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -43,3 +49,23 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def content_digest(df: DataFrame, *settings) -> str:
+    """A digest of df's schema and rows, repeated ones too, in any order, and of the settings beside it."""
+    rows = [F.xxhash64(F.lit(k), *[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)") for k in range(2)]
+    sums = df.agg(F.count(F.lit(1)), *[F.sum(h) for h in rows]).first()
+    return hashlib.sha256(repr((df.schema.simpleString(), *sums, settings)).encode()).hexdigest()[:32]
+
+
+def fitted_once(df: DataFrame, name: str, fit: Callable[[DataFrame], PipelineModel], *settings) -> PipelineModel:
+    """The model that fit(df) gives, fitted once for equal rows and settings: kept in the shared folder under the digest of both and
+    loaded from there by later queries and sessions that share the folder. A model is in its place only when written whole.
+    remove_tables() forgets the models of this session."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{content_digest(df, *settings)}"
+    if not exists(spark, path):
+        written = new_path(spark, name)
+        save_model(fit(df), written)
+        moved(spark, written, path)
+    return load_model(path)
