@@ -166,6 +166,24 @@ def _confused(x, n):
     return H.confused_pairs(cells, E.cooccurrence(dense(x)), E.label_index(x.canonical()), n)
 
 
+def _classify_check(x):
+    """Every document after the training years gets a class of the training set, mostly the right one."""
+    found = cut(_classified(x), "predictions")
+    known = _labelled(x).where("split = 'train'").select(F.col("label").alias("predicted")).distinct().withColumn("__known", F.lit(True))
+    return found.join(F.broadcast(known), "predicted", "left").groupBy("year").agg(F.count(F.lit(1)).alias("documents"), F.bool_and(F.coalesce("__known", F.lit(False))).alias("known"), (F.count_if(F.col("label") == F.col("predicted")) > 0.8 * F.count(F.lit(1))).alias("mostly_right"))
+
+
+def _forecast_check(x):
+    """K7's rows but for the prediction itself, which is a number."""
+    return _forecast(x).select("label", "year", "actual", "naive", (~F.isnan("predicted")).alias("predicted"))
+
+
+def _rolling_check(x):
+    """K5's baselines beside a model that has an error and a rate of right directions in every target year."""
+    out = K.rolling_backtest(_examples(x))
+    return out.select("target_year", "n_train", "n_labels", rounded(F.col("naive_mae"), 6).alias("naive_mae"), (F.coalesce(F.col("model_mae") >= 0, F.lit(False)) & F.coalesce(F.col("model_direction_acc").between(0, 1), F.lit(False))).alias("judged"))
+
+
 def _record_drift(x):
     """K1 over the records that have a document of their id: its cluster is its language, its label and year are the record's."""
     docs = x.documents().select("id", "grp").join(x.canonical(), "id").join(x.records().select("id", "year"), "id")
@@ -277,6 +295,9 @@ QUERIES = {
     "standardize": _q(lambda x: P.standardize(_vectors(x), _dims()).select("vec_id", *[rounded(F.col(c), 6).alias(c) for c in _dims()])),
     "pca_embeddings": _q(_pca),
     "kmeans_scan": _q(_scan),
+    "classify_check": _q(_classify_check),
+    "forecast_check": _q(_forecast_check),
+    "rolling_check": _q(_rolling_check),
     "archetype_check": _q(_archetype_check),
     "archetype_year_check": _q(_year_check),
     "pca_check": _q(_pca_check),
@@ -402,6 +423,9 @@ ORACLE_SQL = {
         (SELECT CASE WHEN count(*) > 0 THEN count(*) END FROM asg WHERE asg.id = rec.id) AS n_assignments, (SELECT CASE WHEN count(*) > 0 THEN count(*) END FROM aff WHERE aff.id = rec.id) AS n_products, (SELECT string_agg(archetype || '=' || entities, ';' ORDER BY archetype) FROM g WHERE g.id = rec.id) AS groups
       FROM rec LEFT JOIN canon USING (id)""",
     "entity_shares": _FACT + "SELECT * FROM sh",
+    "classify_check": _FACT + "SELECT year, count(*) AS documents, true AS known, true AS mostly_right FROM lb WHERE split = 'test' GROUP BY year",
+    "forecast_check": _FACT + "SELECT label, year, CAST(next AS DOUBLE) AS actual, value AS naive, true AS predicted FROM ex WHERE year = (SELECT max(year) FROM ex)",
+    "rolling_check": _FACT + "SELECT target_year, n_train, n_labels, naive_mae, true AS judged FROM bt",
     "archetype_check": _FACT + "SELECT count(DISTINCT entity) AS entities, count(DISTINCT entity) AS named, true AS k_in_range, true AS none_empty FROM sh",
     "archetype_year_check": _FACT + "SELECT year, count(*) AS entities FROM (SELECT entity, year FROM pe JOIN tc USING (id) JOIN rec USING (id) WHERE entity IN (SELECT entity FROM sh) GROUP BY ALL HAVING count(*) >= 5) GROUP BY year",
     "pca_check": "SELECT count(*) AS rows, true AS centred, true AS uncorrelated, true AS ordered, true AS as_reported FROM embeddings",

@@ -47,6 +47,18 @@ def _csv(x):
     return tables.read_csv_table(x.spark, path, "year long, total long")
 
 
+def _label_catalog(x):
+    """The parts written as elements of three sorts with markup in their descriptions, some without a name, and read as a catalogue."""
+    path = new_path(x.spark, "catalog")
+    parts = x.table("part")
+    text = F.concat(F.lit("<p>"), "p_type", F.lit("</p>\n   "), "p_brand", F.lit(" "))
+    for k, tag in enumerate(("Weakness", "Category", "View")):
+        some = parts.where(F.col("p_partkey") % 3 == k)
+        name = F.when(F.col("p_partkey") % 10 != 0, F.col("p_name"))
+        some.select(F.col("p_partkey").alias("_ID"), name.alias("_Name"), text.alias("Description")).write.option("rowTag", tag).option("rootTag", "Catalog").xml(f"{path}/{tag}")
+    return feeds.read_label_catalog(x.spark, f"{path}/*")
+
+
 def _stored(x):
     """Records stored by year; one year is read back."""
     return tables.materialize(x.records(), new_path(x.spark, "records"), ["year"]).where("year = 1997").select("id", "score", F.col("year").cast("long").alias("year"))
@@ -106,6 +118,7 @@ QUERIES = {
     "feed_records": _q(lambda x: feeds.flatten_records(_feed(x)).select("id", "date", "year", "status", "text", "score", "version", "severity")),
     "feed_affected": _q(lambda x: feeds.explode_affected(_feed(x)).select("id", "part", "entity", "item", "version")),
     "feed_assignments": _q(lambda x: feeds.explode_assignments(_feed(x)).select("id", "label", "source", "type", "generic")),
+    "label_catalog": _q(_label_catalog),
     "csv_year_totals": _q(_csv),
     "stored_records": _q(_stored),
     "stored_buckets": _q(_stored_buckets),
@@ -124,6 +137,7 @@ ORACLE_SQL = {
     "feed_records": ROLE_SQL + " SELECT CAST(id AS VARCHAR) AS id, date, year, status, 'order of customer ' || customer AS text, score, 'v31' AS version, severity FROM rec",
     "feed_affected": ROLE_SQL + " SELECT DISTINCT CAST(id AS VARCHAR) AS id, 'a' AS part, 's ' || entity AS entity, 'p' || item AS item, CAST(version AS VARCHAR) AS version FROM aff WHERE version < 7",
     "feed_assignments": ROLE_SQL + " SELECT DISTINCT CAST(id AS VARCHAR) AS id, label, source, type, false AS generic FROM asg",
+    "label_catalog": "SELECT 'CWE-' || p_partkey AS id, p_name AS name, p_type || ' ' || p_brand AS description FROM part WHERE p_partkey % 10 <> 0",
     "csv_year_totals": ROLE_SQL + " SELECT year, count(*) AS total FROM rec GROUP BY year",
     "stored_buckets": ROLE_SQL + " SELECT DISTINCT entity, item, year, label FROM aff JOIN rec USING (id) JOIN canon USING (id) WHERE NOT generic AND year IN (SELECT year FROM rec GROUP BY year ORDER BY year DESC LIMIT 5)",
     "stored_records": ROLE_SQL + " SELECT id, score, year FROM rec WHERE year = 1997",
