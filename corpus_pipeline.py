@@ -40,7 +40,8 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a 5-word Jaccard similarity of 0.8 or more the one with the smallest id stays.
+    """Of each group of documents linked by a 5-word Jaccard similarity of 0.8 or more the one with the smallest id stays. SimHash fingerprints
+    (operator 5's index) and MinHash bands propose, shingle sets decide.
 
     Rows that share an id are one document with several texts: all of them stay if one of the texts is the one its group keeps.
     A document without an id stays. Whole texts cross the network here, in the join with the ids that stay."""

@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from tidemark.llm import jaccard
+from tidemark.llm import jaccard, simhash
 from tidemark.llm.common import table
 from tests.llm.test_text_operators import docs
 
@@ -78,3 +78,28 @@ def test_odd_rows(spark):
     got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard.near_duplicates(docs(spark, ODD)).collect()), key=str)
     assert got == sorted([(1, 1), (2, 1), (3, 3), (4, 3), (None, None), (3, 3), (7, 7), (8, 1)], key=str)
     assert jaccard.near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_simhash_index_proposes_all_within_its_bits(spark):
+    """The pipeline's stage goes through operator 5's index: any two classes within 4 bits are connected, whatever their bands."""
+    rng, rows = random.Random(9), []
+    for k in range(60):
+        base = rng.getrandbits(64)
+        rows += [(4 * k + j, base ^ sum(1 << b for b in rng.sample(range(64), j))) for j in range(4)] + [(1000 + k, base)]
+    frame = spark.createDataFrame([(i, f - (1 << 64) if f >= 1 << 63 else f) for i, f in rows], "rep long, fp long")
+    top = {i: i for i, _ in rows}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for r in jaccard.alike(frame).collect():
+        a, b = find(r["a"]), find(r["b"])
+        top[max(a, b)] = min(a, b)
+    assert [find(i) for i, _ in rows] == [4 * (k // 5) for k in range(300)]
+
+
+def test_signatures_hold_operator_5s_fingerprint(spark):
+    for text in (None, "", "one", "A b c d e f", "a b c d e a b c d e a b c d e f"):
+        assert simhash.fingerprint(jaccard.hashes(text, 5)) == simhash.simhash(text, 5)

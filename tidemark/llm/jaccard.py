@@ -1,10 +1,10 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, for the pipeline.
+"""Near-duplicates by SimHash and exact Jaccard similarity of word shingles, for the pipeline.
 
-Texts with equal shingle sets are one class. MinHash bands propose: classes that agree on all ROWS minima of
-one of BANDS bands are suspects, and components of suspects meet in a task with their shingle sets. There,
-links are pairs of similarity LEAST or more, counted exactly. Two texts of similarity 0.8 share no band
-with probability (1 - 0.8^5)^28 = 1.5e-5, less if they are more alike. SimHash can't propose them: at
-that similarity 64-bit fingerprints differ in 10 bits on average, and often in 15.
+Texts with equal shingle sets are one class. Operator 5's index over Gray-ordered fingerprints proposes classes whose SimHash differs in at most its
+4 bits. At the limit, similarity 0.8, fingerprints differ in 10 bits on average, and often in 15, beyond what
+block masks can index, so MinHash bands propose the others: classes that agree on all ROWS minima of one of BANDS bands. Two texts of
+similarity 0.8 share no band with probability (1 - 0.8^5)^28 = 1.5e-5, less if they are more alike. Components of these
+suspects meet in a task with their shingle sets, where links are pairs of similarity LEAST or more, counted exactly.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import append_columns, map_arrow, materialize, partitions
-from tidemark.llm.simhash import components
+from tidemark.llm.simhash import components, fingerprint, links
 
 WORDS = 5
 LEAST = (4, 5)  # similarity 0.8, as a fraction
@@ -28,13 +28,18 @@ _XOR = _RNG.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64)
 _FACTOR = _RNG.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct XXH64 (seed 42) of all word shingles; a shorter text is one shingle, one without words none."""
+def hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """XXH64 (seed 42) of all word shingles in order, repeats included; a shorter text is one shingle, one without words none."""
     found = (text or "").encode().lower().split()
     if not found:
         return np.zeros(0, np.uint64)
     parts = [b" ".join(found)] if len(found) < words else map(b" ".join, zip(*(found[i:] for i in range(words))))
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in parts), np.uint64))
+    return np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in parts), np.uint64)
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The hashes, sorted and distinct."""
+    return np.unique(hashes(text, words))
 
 
 def digest(found: np.ndarray) -> bytes:
@@ -106,6 +111,13 @@ def _search(batches):
         yield close(held)
 
 
+def alike(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that connect all of classes(rep, fp) whose fingerprints are within operator 5's bits."""
+    prints = materialize(classes.groupBy("fp").agg(F.min("rep").alias("least")), "prints")
+    same = classes.join(prints, "fp").filter("rep > least").select(F.col("least").alias("a"), F.col("rep").alias("b"))
+    return links(prints.select("fp", F.col("least").alias("rep"))).unionByName(same)
+
+
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """One row per row of df: id, component_id, the smallest id reachable by links of similarity 0.8 or more.
 
@@ -116,8 +128,16 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words
 
     def make():
         def signature(batch):
-            found = [shingles(t, words) for t in batch.column("text").to_pylist()]
-            return [pa.array([digest(s) for s in found], pa.binary()), pa.array(np.array([bands(s) for s in found], np.uint64).reshape(-1, BANDS).view(np.int64).tolist(), pa.list_(pa.int64()))]
+            sets, minima, prints = [], [], []
+            for text in batch.column("text").to_pylist():
+                every = hashes(text, words)
+                found = np.unique(every)
+                sets.append(digest(found))
+                minima.append(bands(found))
+                prints.append(fingerprint(every))
+            flat = np.array(minima, np.uint64).view(np.int64).ravel()
+            listed = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32), pa.array(flat))
+            return [pa.array(sets, pa.binary()), listed, pa.array(np.array(prints, np.uint64).view(np.int64))]
 
         return signature
 
@@ -129,12 +149,12 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words
             yield out.filter(pa.array([digest(s) == x for s, x in zip(found, of.to_pylist())], pa.bool_()))  # rows may share an id
 
     rows = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    prints = materialize(append_columns(rows, {"set": "binary", "bands": "array<bigint>"}, make).select("id", "set", "bands"), "signatures")
-    classes = materialize(prints.filter("id IS NOT NULL").groupBy("set").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    prints = materialize(append_columns(rows, {"set": "binary", "bands": "array<bigint>", "fp": "bigint"}, make).select("id", "set", "bands", "fp"), "signatures")
+    classes = materialize(prints.filter("id IS NOT NULL").groupBy("set").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.min("fp").alias("fp")), "classes")
     keys = classes.select("rep", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most")
     edges = keys.join(shared, "key").filter("rep > least").select(F.col("least").alias("a"), F.col("rep").alias("b"))
-    suspects = classes.join(components(edges), F.col("rep") == F.col("node")).select("component", "rep", "set")
+    suspects = classes.join(components(alike(classes).unionByName(edges)), F.col("rep") == F.col("node")).select("component", "rep", "set")
     met = rows.join(suspects, F.col("id") == F.col("rep")).select("component", "rep", "set", "text")
     placed = map_arrow(met, sets, "component long, rep long, set binary, shingles binary")
     placed = placed.repartition(partitions(df.sparkSession), "component").sortWithinPartitions("component", "rep", "set")

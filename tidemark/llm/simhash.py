@@ -35,8 +35,12 @@ def simhash(text: str | None, words: int = WORDS) -> int:
         shingles, n = [b" ".join(found)], 1
     else:
         shingles, n = map(b" ".join, zip(*(found[i:] for i in range(words)))), len(found) - words + 1
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64, n)
-    ones = np.zeros(64, np.int64)
+    return fingerprint(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64, n))
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes of shingles, repeats included; zero without any."""
+    ones, n = np.zeros(64, np.int64), len(hashes)
     for at in range(0, n, SLICE):
         ones += np.unpackbits(hashes[at : at + SLICE].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
