@@ -4,8 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import classify, textclusters
 from tidemark.operators import text as G
-from tidemark.operators.tfidf import weigh_groups
+from tidemark.operators.tfidf import pack_groups, weigh_groups
 
 
 def _plain(docs, min_df, max_df, min_docs):
@@ -46,3 +47,39 @@ def test_clean_text_takes_runs_with_a_letter(spark):
     odd = ["See HTTPS://a.b/c?d now", "CVE-2020-12345 fixed in 1.2.3 and v1.2", "  ", "", None, "12 345 6a a6 ７x", "tab\tx\x0by z", "9" * 5000 + "a " + "7" * 5000, "don't stop-me", "www.x.y z"]
     got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(odd)], "k int, t string").orderBy("k").select(G.clean_text(F.col("t"))).collect()]
     assert got == ["see now", "fixed in and v1", "", "", None, "6a a6 x", "tab x y z", "9" * 5000 + "a", "don t stop me", "z"]
+
+
+def test_packed_weights_give_what_rows_give(spark):
+    docs = _docs(spark)
+    rows = _plain(docs, 3, 0.5, 2).persist()
+    given = docs.where("grp is not null").select("grp", "id", (F.col("id") % 4).alias("cluster")).join(rows.select("grp", "id").distinct(), ["grp", "id"])
+    for chars, part_chars in ((5000, 900), (1 << 21, 1 << 21)):
+        packed = pack_groups(docs, 3, 0.5, 2, "cleaned", G.STOP_WORDS, chars, part_chars)
+        assert sorted(map(tuple, textclusters.weighed(packed).collect())) == sorted(map(tuple, rows.select("grp", "id").distinct().collect()))
+        for f in (textclusters.cohesion, textclusters.cluster_terms, textclusters.silhouette):
+            want, got = ({tuple(r[:2]) if f is not textclusters.silhouette else r[0]: r[-1] for r in f(w, given).collect()} for w in (rows, packed))
+            assert want and got.keys() == want.keys()
+            assert all(got[k] == want[k] if isinstance(want[k], str) else abs(got[k] - want[k]) < 1e-9 for k in want)
+        clusters = [{tuple(r[:2]): r[2] for r in textclusters.cluster_docs(w, starts=2, rounds=30).collect()} for w in (rows, packed)]
+        assert clusters[0] == clusters[1] and len(set(clusters[0].values())) > 5
+
+
+def test_centroids_of_packed_weights_need_no_row_per_term(spark):
+    """Before, cohesion and terms of clusters shuffled a row per term of a document."""
+    docs = _docs(spark)
+    packed = pack_groups(docs, 3, 0.5, 2, "cleaned", G.STOP_WORDS)
+    plan = textclusters.cohesion(packed, docs.select("grp", "id", F.lit(1).alias("cluster")))._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Generate" not in plan and "term" not in plan.split("FlatMapCoGroupsInArrow")[0]
+
+
+def test_classifier_on_packed_weights_predicts_as_on_rows(spark):
+    rng, rows = random.Random(5), []
+    for k in range(240):
+        kind = rng.choice("abc")
+        rows.append((k, " ".join(rng.choice([f"{kind}{rng.randint(1, 12)}x", f"w{rng.randint(1, 30)}"]) for _ in range(rng.randint(1, 12))) if k % 40 else "", kind))
+    docs = spark.createDataFrame(rows, "id long, cleaned string, label string")
+    train, other = docs.where("id < 160"), docs.where("id >= 160")
+    known, weights = classify.tfidf_train_only(train, other)
+    want = {r["id"]: r["predicted"] for r in classify.predict(weights, other, classify.fit_classifier(known, train)).collect()}
+    got = {r["id"]: r["predicted"] for r in classify.classify(train, other).collect()}
+    assert got == want and len(got) == 80 and len(set(got.values())) == 3
