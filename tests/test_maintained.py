@@ -102,3 +102,13 @@ def test_all_rows_of_a_bucket_can_go(spark, tmp_path):
     for generation, n in enumerate((1, -1, 2)):
         before, now = incremental.merge_generation(spark, str(tmp_path / "t"), generation, spark.createDataFrame([(7, n)], "k long, n long"), ["k"], 4, add)
         assert (before.count(), now.count()) == [(0, 1), (1, 0), (0, 1)][generation]
+
+
+def test_restated_orders_are_joined_once(spark):
+    """Both deltas and the stale versions in them joined and collected all child rows anew."""
+    from tidemark.plans import source_queries
+    from tidemark.plans.roles import Roles
+
+    for part in source_queries._restated(Roles(spark, "/root/testdata/sf0.001")):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.shared import new_path
+from tidemark.functions.shared import cut, new_path
 from tidemark.operators import network as E
 from tidemark.operators import trends as D
 from tidemark.plans import trend_queries
@@ -86,10 +86,10 @@ def _streamed(x):
 
 
 def _restated(x):
-    """Orders with all their child rows, and what stale versions of half of them said."""
+    """Orders with all their child rows, written once since both deltas and the stale versions read them, and what stale versions of half of them said."""
     asg = x.assignments().groupBy("id").agg(F.collect_list(F.struct("label", "source", "type", "generic")).alias("assignments"))
     aff = x.affected().groupBy("id").agg(F.collect_list(F.struct("entity", "item", "version")).alias("affected"))
-    rows = x.records().drop("customer").join(asg, "id", "left").join(aff, "id", "left").withColumn("modified", F.lit(1).cast("long"))
+    rows = cut(x.records().drop("customer").join(asg, "id", "left").join(aff, "id", "left").withColumn("modified", F.lit(1).cast("long")), "restated")
     less = lambda c: F.when(F.size(c) > 0, F.slice(c, 1, 1)).alias(c)
     stale = rows.where(F.col("id") % 2 == 0).select("id", "date", (F.col("year") - 1).alias("year"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("severity"), "status", less("assignments"), less("affected"), F.lit(0).cast("long").alias("modified"))
     return rows, stale.select(*rows.columns)
