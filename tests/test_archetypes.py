@@ -92,3 +92,16 @@ def test_models_are_fitted_once_for_equal_rows(spark):
     remove_tables(spark)
     fitted_once(df, "m", fit, 3)
     assert fits == [40, 40, 41, 40]
+
+
+def test_scan_of_a_small_table_takes_all_cores_and_no_shuffle(spark, monkeypatch):
+    """Before, a table in one file was one task in every round, and sums were shuffled."""
+    from pyspark.ml.linalg import Vectors
+
+    seen, plain = [], manykmeans._pass
+    monkeypatch.setattr(manykmeans, "_pass", lambda points, centers: seen.append(points.rdd.getNumPartitions()) or plain(points, centers))
+    df = spark.createDataFrame([(Vectors.dense([float(i % 7), float(i % 5)]),) for i in range(400)], ["pca"]).coalesce(1)
+    found = manykmeans.scan(df, "pca", range(2, 4), 2, 3)
+    assert len(found) == 2 and min(seen) >= spark.sparkContext.defaultParallelism
+    n, total, _, cost = manykmeans._pass(df.select(F.array(F.lit(1.0), F.lit(3.0)).alias("x")).repartition(3), [np.zeros((2, 2)), np.array([[1.0, 2.0]])])[1]
+    assert n.tolist() == [400] and total.tolist() == [[400, 1200]] and cost == 400
