@@ -105,3 +105,34 @@ def test_scan_of_a_small_table_takes_all_cores_and_no_shuffle(spark, monkeypatch
     assert len(found) == 2 and min(seen) >= spark.sparkContext.defaultParallelism
     n, total, _, cost = manykmeans._pass(df.select(F.array(F.lit(1.0), F.lit(3.0)).alias("x")).repartition(3), [np.zeros((2, 2)), np.array([[1.0, 2.0]])])[1]
     assert n.tolist() == [400] and total.tolist() == [[400, 1200]] and cost == 400
+
+
+def test_labels_are_settled_once_for_all_shares(spark, monkeypatch):
+    """Archetypes by year settled canonical labels five times; now once, and the shares of all years follow from those by year."""
+    from tidemark.operators import labels as L
+    from tidemark.plans.roles import Roles
+
+    calls, plain = [], Roles.canonical
+    monkeypatch.setattr(Roles, "canonical", lambda x: calls.append(1) or plain(x))
+    x = Roles(spark, "/root/testdata/sf0.001")
+    yearly, pooled, labels = model_queries._shares(x, ["year"]), model_queries._shares(x), model_queries._labels(x)
+    assert len(calls) == 1 and len(labels) == 21
+    top = L.with_top_label(plain(x), 20)
+
+    def shares(df, *key):
+        return {(*[r[k] for k in key], r["entity"], r["label"]): (round(r["share"], 12), r["total"]) for r in df.collect()}
+
+    def plainly(least, by=()):
+        by = list(by)
+        pairs = x.affected().select("id", "entity").distinct().join(top.join(x.records().select("id", "year"), "id") if by else top, "id").collect()
+        of = {}
+        for r in pairs:
+            of.setdefault((*[r[k] for k in by], r["entity"]), []).append(r["top_label"])
+        out = {}
+        for key, got in of.items():
+            known = [v for v in got if v is not None]
+            if len(got) >= least:
+                out |= {(*key, v): (round(known.count(v) / len(known), 12), len(got)) for v in set(known)} or {(*key, None): (0.0, len(got))}
+        return out
+
+    assert shares(pooled) == plainly(20) and shares(yearly, "year") == plainly(5, ["year"])
