@@ -125,6 +125,12 @@ def test_audit_of_an_empty_table_has_no_parts(spark):
     assert len(some) % 600 == 0 and sum(x[4] + x[5] for x in some.values()) == 0
 
 
+def test_audit_broadcasts_nothing_whatever_the_files_of_the_labels_weigh(spark):
+    """Labels are small in their files, eight times as many rows in the join: the driver would have to hold them all."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    assert "BroadcastExchange" not in filter_audit.mask_cells(docs, labels)._jdf.queryExecution().executedPlan().toString()
+
+
 def brute_base(rows):
     tokens = [re.findall(r"[^\x20\x09-\x0D]+", lowered(t)) + ["\n"] for _, t in rows]
     held = [i is not None and crc32(str(i).encode()) % 5 == 1 for i, _ in rows]

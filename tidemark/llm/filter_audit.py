@@ -46,7 +46,8 @@ def mask_cells(docs: DataFrame, labels: DataFrame, fails: dict[str, Column] | No
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)))
     flags = labels.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     flags = flags.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    known = rows.join(flags, ["id", "salt"], "left").fillna(0, ["good", "toxic"])
+    # both joins merge: by the size of its files Spark would take the flags for small, and broadcast many times that from the driver
+    known = rows.join(flags.hint("merge"), ["id", "salt"], "left").fillna(0, ["good", "toxic"])
     # rows of a text with one fate, by id first: then the smallest id's rows are counted without a second look at the others
     kinds = ["digest", "bits", "part", "good", "toxic"]
     each = known.groupBy(*kinds, "id").agg(F.count(F.lit(1)).alias("n"))
@@ -57,7 +58,7 @@ def mask_cells(docs: DataFrame, labels: DataFrame, fails: dict[str, Column] | No
     )
     smallest = groups.groupBy("digest").agg(F.min("first.id").alias("smallest"), F.count(F.lit(1)).alias("groups"))
     # a text of one group alone, which is the rule, brings its smallest id along; a digest has a group per part and label at most
-    several = groups.join(smallest.where("groups > 1").select("digest", "smallest"), "digest", "left")
+    several = groups.join(smallest.where("groups > 1").select("digest", "smallest").hint("merge"), "digest", "left")
     first = F.coalesce("smallest", "first.id")
     originals = F.col("unnamed") + F.when(F.col("first.id") == first, F.col("first.n")).otherwise(0)
     bit = 2 ** len(fails)
