@@ -1,10 +1,13 @@
 """A stream of restated records keeps children, trends and edges as the batch operators count them."""
 
+import glob
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions.shared import shuffles_freed
 from tidemark.operators import network as E
 from tidemark.operators import trends as D
 from tidemark.operators.labels import canonical_label
@@ -112,3 +115,42 @@ def test_restated_orders_are_joined_once(spark):
     for part in source_queries._restated(Roles(spark, "/root/testdata/sf0.001")):
         plan = part._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_a_bucket_is_the_work_of_many_tasks(spark):
+    """Each bucket was gathered in one task, which grew with the table."""
+    dealt = incremental.dealt_out(spark.range(4000), ["id"], 2).withColumn("task", F.spark_partition_id())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = {(r["__bucket"], r["task"]) for r in dealt.select("__bucket", "task").distinct().collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert all(len({t for b, t in tasks if b == bucket}) > 1 for bucket in (0, 1))
+
+
+def test_a_batch_tells_what_it_replaced_and_holds_no_table_in_memory(spark, tmp_path):
+    """Late and repeated rows change nothing; whole rows were cached, three times a batch."""
+    told, cached = [], []
+
+    def changed(rows, generation):
+        told.append(sorted((r["k"], r["v"], r["__sign"]) for r in rows.collect()))
+        cached.append(spark._jsc.sc().getPersistentRDDs().size())
+
+    for rows in ([(1, 1), (2, 5)], [(1, 2), (2, 3), (2, 5), (3, 1), (3, 4)]):
+        spark.createDataFrame(rows, "k long, v long").write.mode("append").parquet(str(tmp_path / "in"))
+        incremental.stream_upsert(spark, str(tmp_path / "in"), "k long, v long", str(tmp_path / "t"), "k", ["v"], str(tmp_path / "state"), buckets=2, changed=changed).awaitTermination()
+    assert told == [[(1, 1, 1), (2, 5, 1)], [(1, 1, -1), (1, 2, 1), (3, 4, 1)]]
+    assert cached == [0, 0]
+
+
+def test_shuffle_files_go_with_their_query(spark, tmp_path):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {p for d in folders for p in glob.glob(f"{d}/*/shuffle_*.data")}
+    before = files()
+    with shuffles_freed(spark):
+        spark.range(1000).repartition(3, "id").write.parquet(str(tmp_path / "t"))
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and spark.read.parquet(str(tmp_path / "t")).count() == 1000

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.shared import cut, new_path
+from tidemark.functions.shared import cut, discard, new_path, remove, shuffles_freed
 from tidemark.operators import network as E
 from tidemark.operators import trends as D
 from tidemark.plans import trend_queries
@@ -98,12 +98,16 @@ def _restated(x):
 def _kept(x, *names):
     """All orders as a stream of two deltas: stale versions of a quarter and the rest as it is, then that quarter restated and stale versions
     of another quarter, which come too late."""
-    rows, stale = _restated(x)
-    landing, target, state = (new_path(x.spark, n) for n in ("landing", "kept", "state"))
-    part = F.col("id") % 4
-    for delta in (stale.where(part == 0).unionByName(rows.where(part != 0)), rows.where(part == 0).unionByName(stale.where(part == 2))):
-        delta.write.mode("append").parquet(landing)
-        maintained.stream_tables(x.spark, landing, rows.schema, target, ["modified"], state, authority=AUTHORITY, primary=PRIMARY, names=list(names), buckets=8).awaitTermination()
+    with shuffles_freed(x.spark):
+        rows, stale = _restated(x)
+        landing, target, state = (new_path(x.spark, n) for n in ("landing", "kept", "state"))
+        part, schema = F.col("id") % 4, rows.schema
+        for k, delta in enumerate((stale.where(part == 0).unionByName(rows.where(part != 0)), rows.where(part == 0).unionByName(stale.where(part == 2)))):
+            delta.write.mode("append").option("compression", "zstd").parquet(landing)
+            if k:
+                discard(rows)
+            maintained.stream_tables(x.spark, landing, schema, target, ["modified"], state, authority=AUTHORITY, primary=PRIMARY, names=list(names), buckets=8).awaitTermination()
+        remove(x.spark, landing)
     return maintained.Maintained(x.spark, target)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.shared import remove
+from tidemark.functions.shared import remove, shuffles_freed
 
 
 def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -40,21 +40,26 @@ def stream_upsert(spark: SparkSession, landing: str, schema: T.StructType | str,
     Every batch reads and writes the buckets that it touches, as a new generation beside the old one (merge_generation()), so
     that readers are not disturbed, and a batch that runs again after a failure writes the same generation again. A stream that
     starts anew, with another checkpoint, goes on above the generations that are there. changed(rows, generation) gets the rows
-    whose keys the batch names, before (__sign -1) and after it (__sign 1), to carry what depends on the table forward;
-    after(table) is called then. current() reads the table.
+    that the batch has replaced (__sign -1) and those that it has put into the table (__sign 1), to carry what depends on the table forward: they lie on
+    disk, each reading takes the columns that it asks for. after(table) is called then. current() reads the table.
+
+    A batch and the rows held are dealt out and sorted once, by bucket and key; no table of whole rows is held in memory.
     """
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{target}/_schema")
     base = _base(spark, target, checkpoint)
 
     def apply(batch: DataFrame, number: int) -> None:
         session, generation = batch.sparkSession, base + number
-        rows = latest(batch, key, order).persist()
         # a late delta must not undo a newer row
-        before, now = merge_generation(session, target, generation, rows, [key], buckets, lambda held, new: latest(held.unionByName(new), key, order))
-        if changed:
-            keys = rows.select(key)
-            changed(before.join(keys, key, "left_semi").withColumn("__sign", F.lit(-1)).unionByName(now.join(keys, key, "left_semi").withColumn("__sign", F.lit(1))), generation)
-        rows.unpersist()
+        with shuffles_freed(session):
+            _, now = _merged(session, target, generation, batch, [key], buckets, lambda held, new: _newest(held, new, key, order, buckets, bool(changed)))
+            gone = f"{target}/g{generation}/__bucket={buckets}"
+            if changed:
+                marked = T.StructType([*batch.schema.fields, T.StructField("__new", T.BooleanType())])
+                lost = _read(session, [gone] if _names(session, gone) else [], batch.schema)
+                came = _rows_of(session, target, now, marked).where("__new").drop("__new")
+                changed(lost.withColumn("__sign", F.lit(-1)).unionByName(came.withColumn("__sign", F.lit(1))), generation)
+            remove(session, gone)
         if after:
             after(current(session, target))
 
@@ -64,18 +69,43 @@ def stream_upsert(spark: SparkSession, landing: str, schema: T.StructType | str,
 
 def merge_generation(spark: SparkSession, target: str, generation: int, rows: DataFrame, key: list[str], buckets: int, combine: Callable[[DataFrame, DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Write combine(held rows, rows) for the buckets (a hash of key) that rows touch, as a generation of the table under target, and
-    return these buckets before and after. combine must keep a row in the bucket of its key.
+    return these buckets before and after. combine must keep a row in the bucket of its key; what it gives back is dealt out by bucket unless it has been by dealt_out().
 
     target/_generations holds a list of the last two generations of every bucket, written last: a generation that is not in a
     complete list does not exist. Only those and the last two lists stay, so nothing grows with the number of batches.
     """
+    before, now = _merged(spark, target, generation, rows, key, buckets, combine)
+    return _rows_of(spark, target, before, rows.schema), _rows_of(spark, target, now, rows.schema)
+
+
+def dealt_out(df: DataFrame, key: list[str], buckets: int) -> DataFrame:
+    """df with __bucket, a hash of key, and __share of it, by which it is dealt out: a bucket is the work of as many tasks as there are, and no task has many buckets."""
+    hashed, tasks = F.xxhash64(*key), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = -(-4 * tasks // buckets)
+    placed = df.withColumns({"__bucket": F.pmod(hashed, F.lit(buckets)).cast("int"), "__share": F.pmod(F.shiftrightunsigned(hashed, 20), F.lit(shares)).cast("int")})
+    return placed.repartition("__bucket", "__share")
+
+
+def _newest(held: DataFrame, new: DataFrame, key: str, order: list[str], buckets: int, replaced: bool) -> DataFrame:
+    """The last row of each key by order, of equal ones the held one, with __new: whether it came; if asked for, the held rows that others replace are put into the bucket after the last."""
+    both = dealt_out(held.withColumn("__new", F.lit(False)).unionByName(new.withColumn("__new", F.lit(True))), [key], buckets)
+    rank = F.row_number().over(Window.partitionBy("__bucket", "__share", key).orderBy(*[F.desc(c) for c in order], "__new"))
+    ranked = both.withColumn("__rank", rank).where("__rank = 1 OR NOT __new" if replaced else "__rank = 1")
+    return ranked.withColumn("__bucket", F.when(F.col("__rank") == 1, F.col("__bucket")).otherwise(buckets)).drop("__rank")
+
+
+def _merged(spark: SparkSession, target: str, generation: int, rows: DataFrame, key: list[str], buckets: int, combine: Callable[[DataFrame, DataFrame], DataFrame]) -> tuple[dict, dict]:
+    """merge_generation(): the generations of the buckets touched, before and after."""
     bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
     touched = sorted(r["b"] for r in rows.select(bucket.alias("b")).distinct().collect())  # at most `buckets`
     held = _generations(spark, target, before=generation)
-    before = _rows_of(spark, target, {b: held[b] for b in touched if b in held}, rows.schema)
+    before = {b: held[b] for b in touched if b in held}
     folder = f"{target}/g{generation}"
     if touched:
-        combine(before, rows).withColumn("__bucket", bucket).repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(folder)
+        made = combine(_rows_of(spark, target, before, rows.schema), rows)
+        if "__bucket" not in made.columns:
+            made = dealt_out(made, key, buckets)
+        made.drop("__share").write.mode("overwrite").option("compression", "zstd").partitionBy("__bucket").parquet(folder)
     filled = {int(name.split("=")[1]) for name in _names(spark, folder) if name.startswith("__bucket=")} if touched else set()
     now = held | {b: [(generation, b in filled), *held.get(b, [])[:1]] for b in touched}
     named = [(b, g, f) for b, kept in sorted(now.items()) for g, f in kept]
@@ -88,7 +118,7 @@ def merge_generation(spark: SparkSession, target: str, generation: int, rows: Da
         remove(spark, f"{target}/g{g}")
     for n in [n for n in _lists(spark, target) if n < generation][:-1]:
         remove(spark, f"{target}/_generations/n{n}")
-    return before, _rows_of(spark, target, {b: now[b] for b in touched}, rows.schema)
+    return before, {b: now[b] for b in touched}
 
 
 def _names(spark: SparkSession, folder: str) -> list[str]:
@@ -116,7 +146,10 @@ def _generations(spark: SparkSession, target: str, before: int | None = None) ->
 
 
 def _rows_of(spark: SparkSession, target: str, held: dict[int, list[tuple[int, bool]]], schema: T.StructType) -> DataFrame:
-    paths = [f"{target}/g{kept[0][0]}/__bucket={b}" for b, kept in sorted(held.items()) if kept[0][1]]
+    return _read(spark, [f"{target}/g{kept[0][0]}/__bucket={b}" for b, kept in sorted(held.items()) if kept[0][1]], schema)
+
+
+def _read(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.shared import cut, discard
 from tidemark.operators import trends as D
-from tidemark.streaming.incremental import current, merge_generation, stream_upsert
+from tidemark.streaming.incremental import current, dealt_out, merge_generation, stream_upsert
 
 #: Kept counts with their key; E1's buckets are stored by place, so that a bucket's labels lie together.
 KEYS = {
@@ -48,7 +49,9 @@ def _each(versions: DataFrame, fields: list[str]) -> DataFrame:
 
 def signed(versions: DataFrame, name: str, authority: str, primary: str) -> DataFrame:
     """What versions (with __sign) add to the counts of that name: its key and n."""
-    rows = versions.withColumn("__best", canonical(authority, primary))
+    rows = versions
+    if name in ("labels", "buckets"):
+        rows = rows.withColumn("__best", canonical(authority, primary))
     if name == "entities":
         rows = _each(rows, ["entity"])
     elif name == "items":
@@ -58,15 +61,16 @@ def signed(versions: DataFrame, name: str, authority: str, primary: str) -> Data
     elif name == "severities":
         rows = rows.withColumn("severity", F.coalesce("severity", F.lit(D.UNSCORED)))
     elif name == "coverage":
-        named = F.coalesce(F.exists("assignments", lambda a: ~a["generic"]), F.lit(False))
-        rows = rows.withColumns({"has_item": F.coalesce(F.size("affected") > 0, F.lit(False)), "has_label": named})
+        named = F.coalesce(F.exists("assignments.generic", lambda generic: ~generic), F.lit(False))
+        rows = rows.withColumns({"has_item": F.coalesce(F.size("affected.entity") > 0, F.lit(False)), "has_label": named})
     else:
         rows = _each(rows.where(~F.col("__best.generic")), ["entity", "item"]).withColumn("label", F.col("__best.label"))
     return rows.groupBy(*KEYS[name]).agg(F.sum("__sign").cast("long").alias("n")).where("n <> 0")
 
 
-def _add(key: list[str]):
-    return lambda held, new: held.unionByName(new).groupBy(*key).agg(F.sum("n").cast("long").alias("n")).where("n <> 0")
+def _add(key: list[str], by: list[str], buckets: int):
+    """Sums of held and new counts, both a row per key at most, where they are dealt out by bucket."""
+    return lambda held, new: dealt_out(held.unionByName(new), by, buckets).groupBy("__bucket", "__share", *key).agg(F.sum("n").cast("long").alias("n")).where("n <> 0")
 
 
 def edge_changes(before: DataFrame, now: DataFrame) -> DataFrame:
@@ -97,22 +101,19 @@ def stream_tables(spark: SparkSession, landing: str, schema: T.StructType, targe
 
     def changed(versions: DataFrame, generation: int) -> None:
         session = versions.sparkSession
-        versions = versions.persist()
+
+        def merge(name: str, counts: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+            written = cut(counts, "signed")  # its buckets are asked for first
+            out = merge_generation(session, f"{target}/{name}", generation, written, by, buckets, _add(KEYS[name], by, buckets))
+            discard(written)
+            return out
+
         for name in wanted:
             if name == "edges":
                 continue
-            counts = signed(versions, name, authority, primary).persist()
-            by = PLACE if name == "buckets" else KEYS[name]
-            before, now = merge_generation(session, f"{target}/{name}", generation, counts, by, buckets, _add(KEYS[name]))
-            if name == "buckets" and "edges" in wanted:
-                same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in PLACE]
-                touched = counts.select(*PLACE).distinct()
-                near = [s.alias("a").join(touched.alias("b"), same, "left_semi").select(*PLACE, "label") for s in (before, now)]
-                pairs = edge_changes(*near).persist()
-                merge_generation(session, f"{target}/edges", generation, pairs, KEYS["edges"], buckets, _add(KEYS["edges"]))
-                pairs.unpersist()
-            counts.unpersist()
-        versions.unpersist()
+            before, now = merge(name, signed(versions, name, authority, primary), PLACE if name == "buckets" else KEYS[name])
+            if name == "buckets" and "edges" in wanted:  # places without change give no pairs
+                merge("edges", edge_changes(before.select(*PLACE, "label"), now.select(*PLACE, "label")), KEYS["edges"])
 
     return stream_upsert(spark, landing, versions_of, f"{target}/records", "id", order, checkpoint, trigger, buckets, changed=changed)
 
@@ -142,7 +143,10 @@ class Maintained:
         total = F.sum(F.col("score").cast("decimal(18,2)") * F.col("n").cast("decimal(18,0)")).cast("double")
         scored = F.coalesce(F.sum(F.when(F.col("score").isNotNull(), F.col("n"))), F.lit(0)).cast("long")
         keys = [k for k in KEYS[name] if k != "score"]
-        return self.counts(name).groupBy(*keys).agg(F.sum("n").alias("n"), total.alias("total"), scored.alias("scored"), F.min("score").alias("min_score"), F.max("score").alias("max_score"))
+        counts = self.counts(name)
+        if name == "items":  # about as many groups as rows: these are dealt out as they are, and once for the years of an item
+            counts = counts.repartition("entity", "item")
+        return counts.groupBy(*keys).agg(F.sum("n").alias("n"), total.alias("total"), scored.alias("scored"), F.min("score").alias("min_score"), F.max("score").alias("max_score"))
 
     def entity_year_trend(self) -> DataFrame:
         return D.entity_trend_of(self._scored("entities"))
