@@ -1,9 +1,11 @@
 """TF-IDF in chunks and parts against the plain join of counts with the vocabulary."""
 
+import os
 import random
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.shared import shared_folder
 from tidemark.operators import textclusters
 from tidemark.operators import text as G
 from tidemark.operators.tfidf import pack_groups, weigh_groups
@@ -70,3 +72,12 @@ def test_centroids_of_packed_weights_need_no_row_per_term(spark):
     packed = pack_groups(docs, 3, 0.5, 2, "cleaned", G.STOP_WORDS)
     plan = textclusters.cohesion(packed, docs.select("grp", "id", F.lit(1).alias("cluster")))._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "Generate" not in plan and "term" not in plan.split("FlatMapCoGroupsInArrow")[0]
+
+
+def test_only_weights_and_terms_stay_on_the_shared_folder(spark):
+    """Texts and the chunks' places in the vocabulary stayed beside them."""
+    folder = shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    packed = pack_groups(_docs(spark), 3, 0.5, 2, "cleaned", G.STOP_WORDS)
+    assert sorted(name.split("-")[0] for name in set(os.listdir(folder)) - before) == ["packed", "terms"]
+    assert packed.vocabulary.count() and packed.matrix.count()
